@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, warc
+from . import chat, decontam, packing, warc
 
 QUERIES = {
+    "op4_decontamination": decontam.query,
     "op5_chat_formatting": chat.query,
+    "op9_packing": packing.query,
     "op10_warc": warc.query,
 }
 ORACLE_SQL = {
+    "op4_decontamination": decontam.SQL,
     "op5_chat_formatting": chat.SQL,
     "op10_warc": warc.SQL,
 }
