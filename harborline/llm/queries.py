@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, packing, warc
+from . import chat, decontam, fingerprints, packing, warc
 
 QUERIES = {
     "op4_decontamination": decontam.query,
     "op5_chat_formatting": chat.query,
+    "op6_fingerprints": fingerprints.query,
     "op9_packing": packing.query,
     "op10_warc": warc.query,
 }
