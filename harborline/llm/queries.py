@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, fingerprints, packing, warc
+from . import chat, decontam, fingerprints, html_extract, packing, warc
 
 QUERIES = {
     "op4_decontamination": decontam.query,
     "op5_chat_formatting": chat.query,
     "op6_fingerprints": fingerprints.query,
+    "op7_html_extraction": html_extract.query,
     "op9_packing": packing.query,
     "op10_warc": warc.query,
 }
