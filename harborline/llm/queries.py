@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, fingerprints, html_extract, packing, warc
+from . import chat, decontam, fingerprints, html_extract, langid, packing, warc
 
 QUERIES = {
+    "op1_language_id": langid.query,
     "op4_decontamination": decontam.query,
     "op5_chat_formatting": chat.query,
     "op6_fingerprints": fingerprints.query,
