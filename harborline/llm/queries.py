@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, fingerprints, html_extract, langid, packing, warc
+from . import chat, decontam, fingerprints, html_extract, langid, packing, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.query,
+    "op3_toxicity": toxicity.query,
     "op4_decontamination": decontam.query,
     "op5_chat_formatting": chat.query,
     "op6_fingerprints": fingerprints.query,
