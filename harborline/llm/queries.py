@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, fingerprints, html_extract, langid, packing, toxicity, warc
+from . import chat, decontam, fingerprints, html_extract, langid, packing, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.query,
+    "op2_substring_dedup": substring_dedup.query,
     "op3_toxicity": toxicity.query,
     "op4_decontamination": decontam.query,
     "op5_chat_formatting": chat.query,
@@ -15,6 +16,7 @@ QUERIES = {
     "op10_warc": warc.query,
 }
 ORACLE_SQL = {
+    "op2_substring_dedup": substring_dedup.SQL,
     "op4_decontamination": decontam.SQL,
     "op5_chat_formatting": chat.SQL,
     "op10_warc": warc.SQL,
