@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, fingerprints, html_extract, langid, packing, substring_dedup, toxicity, warc
+from . import chat, decontam, fingerprints, html_extract, jaccard_join, langid, packing, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat_formatting": chat.query,
     "op6_fingerprints": fingerprints.query,
     "op7_html_extraction": html_extract.query,
+    "op8_jaccard_join": jaccard_join.query,
     "op9_packing": packing.query,
     "op10_warc": warc.query,
 }
@@ -19,5 +20,6 @@ ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.SQL,
     "op4_decontamination": decontam.SQL,
     "op5_chat_formatting": chat.SQL,
+    "op8_jaccard_join": jaccard_join.SQL,
     "op10_warc": warc.SQL,
 }
