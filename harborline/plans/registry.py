@@ -1,0 +1,70 @@
+"""A catalogue of pipelines in YAML: ids, their directories, configurations and audit stores."""
+
+from __future__ import annotations
+
+import os
+import re
+from dataclasses import dataclass
+from pathlib import Path
+
+
+class RegistryError(ValueError):
+    pass
+
+
+@dataclass(frozen=True)
+class Entry:
+    id: str
+    dir: str
+    config: str
+    audit_db: str
+    warehouse: str = ""
+
+
+def _filled(text: str, where: str) -> str:
+    """${NAME} from the environment."""
+    def value(m):
+        if m[1] not in os.environ:
+            raise RegistryError(f"{where}: environment variable {m[1]} is not set")
+        return os.environ[m[1]]
+
+    return re.sub(r"\$\{(\w+)\}", value, text)
+
+
+def load(path: str | Path) -> dict[str, Entry]:
+    import yaml
+
+    path = Path(path)
+    raw = (yaml.safe_load(path.read_text()) or {}).get("pipelines") or []
+    out: dict[str, Entry] = {}
+    stores: dict[str, str] = {}
+    for x in raw:
+        missing = [k for k in ("id", "dir", "config", "audit_db") if not x.get(k)]
+        if missing:
+            raise RegistryError(f"a pipeline requires {', '.join(missing)}")
+        if x["id"] in out:
+            raise RegistryError(f"pipeline {x['id']!r} is listed twice")
+        if x["audit_db"] in stores:
+            raise RegistryError(f"pipelines {stores[x['audit_db']]!r} and {x['id']!r} share an audit store")
+        stores[x["audit_db"]] = x["id"]
+        at = lambda p: p if "://" in p or os.path.isabs(p) else str(path.parent / p)
+        out[x["id"]] = Entry(x["id"], at(_filled(x["dir"], x["id"])), at(_filled(x["config"], x["id"])), _filled(x["audit_db"], x["id"]), _filled(x.get("warehouse", ""), x["id"]))
+    return out
+
+
+def resolve(entries: dict[str, Entry], name: str) -> Entry:
+    if name not in entries:
+        raise RegistryError(f"no pipeline {name!r}; there are {', '.join(sorted(entries)) or 'none'}")
+    return entries[name]
+
+
+def create(folder: str | Path, name: str, config_yaml: str) -> Path:
+    """A new pipeline folder with its configuration and an inbox. Nothing is overwritten."""
+    slug = re.sub(r"[^a-z0-9]+", "-", name.lower()).strip("-")
+    if not slug:
+        raise RegistryError(f"{name!r} has no letters or digits")
+    at = Path(folder, slug)
+    at.mkdir(parents=True)
+    (at / "incoming").mkdir()
+    (at / "pipeline.yaml").write_text(config_yaml)
+    return at
