@@ -110,7 +110,9 @@ def _csv_decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> Scan:
-    """Header row, commas, double quotes doubled inside quotes, line feeds inside quotes, no trimming, all text. Short rows end in nulls, long ones are cut."""
+    """Header row, commas, double quotes doubled inside quotes, line feeds inside quotes, no trimming, all text. Short rows end in nulls, long ones are cut.
+
+    An empty cell without quotes reads as null, not as empty text; both count as missing values everywhere."""
     options = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "mode": "PERMISSIVE", "inferSchema": False, "enforceSchema": False, "nullValue": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     if encoding.lower().replace("_", "-") in SPARK_ENCODINGS:
         df = spark.read.options(**options).option("encoding", encoding).csv(path)
