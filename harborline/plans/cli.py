@@ -78,10 +78,14 @@ def main(argv: list[str] | None = None) -> int:
         if args.registry:
             e = registry.resolve(registry.load(args.registry), args.pipeline)
             args.dir, args.config, args.audit_db, args.warehouse = e.dir, e.config, e.audit_db, e.warehouse or args.warehouse
-        if not all((args.dir, args.config, args.audit_db, args.warehouse)):
-            print("run needs --dir, --config, --audit-db and --warehouse, or --registry and --pipeline", file=sys.stderr)
+        if not all((args.dir, args.config, args.audit_db)):
+            print("run needs --dir, --config and --audit-db, or --registry and --pipeline", file=sys.stderr)
             return 1
-        out = run(spark, args.dir, configs.load(args.config), Audit(args.audit_db), args.warehouse)
+        c = configs.load(args.config)
+        if not args.warehouse and not c.connector:
+            print("run needs --warehouse where the configuration names no connector", file=sys.stderr)
+            return 1
+        out = run(spark, args.dir, c, Audit(args.audit_db), args.warehouse or "")
         say(asdict(out))
         return int(out.failed > 0)
     if args.command == "inspect":

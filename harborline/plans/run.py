@@ -17,6 +17,7 @@ from ..functions.crypto import encryption_key, protect, token_key
 from ..operators import cdc as changes
 from ..operators.quarantine import gate, sidecar_lines, sidecar_name
 from ..operators.schema import declared
+from ..operators.destinations import destination
 from ..operators.store import Table, with_provenance
 from ..operators.transform import FAULT, Checked, check
 from ..sources.readers import ERROR, ROW, Scan, scan
@@ -124,7 +125,7 @@ def _load_changes(table: Table, checked: Checked, candidate: Candidate, config:
     return rows
 
 
-def run(spark: SparkSession, directory: str, config: Pipeline, audit: Audit, warehouse: str, progress: Callable[[dict], None] | None = None, worker: str | None = None) -> Summary:
+def run(spark: SparkSession, directory: str, config: Pipeline, audit: Audit, warehouse: str = "", progress: Callable[[dict], None] | None = None, worker: str | None = None) -> Summary:
     """Recover, register, then claim and load each file in order of path. One file's failure does not stop the others."""
     tell = progress or (lambda event: None)
     began, out, run_id = time.time(), Summary(), uuid.uuid4().hex
@@ -132,7 +133,7 @@ def run(spark: SparkSession, directory: str, config: Pipeline, audit: Audit, war
     audit.ping()
     out.retried = audit.retry_failed(config.retry_cap)
     out.reclaimed = audit.reclaim_stale(config.stale_timeout_minutes)
-    table = Table(spark, f"{warehouse.rstrip('/')}/{config.dest_table}")
+    table = destination(spark, config.connector, config.dest_table, warehouse)
     table.ensure(declared(config.columns))
     found = register(spark, audit, directory, config)
     out.new, out.skipped, out.failed = found.new, found.skipped, len(found.refused)
