@@ -27,8 +27,8 @@ from .common import Words, mix, pieces, table, text_buffers
 
 WINDOW = 24
 STRIDE = 12
-TRAIN_DOCS = 3000
-TRAIN_CHARS = 20_000
+TRAIN_DOCS = 2500
+TRAIN_CHARS = 10_000
 THRESHOLD = 0.7
 TABLE = 1 << 16
 WORD_DIM = CHAR_DIM = 8
@@ -44,7 +44,7 @@ class Vocabulary:
     """The distinct words of some texts: hash buckets, and buckets of their character n-grams (CSR)."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        w = Words(raw, offsets, lower=True)
+        self.words = w = Words(raw, offsets, lower=True)
         self.first = w.first
         hashes, where, self.of = np.unique(w.hash, return_index=True, return_inverse=True)
         self.word = (hashes & np.uint64(TABLE - 1)).astype(np.int64)
@@ -202,76 +202,112 @@ class Network:
         """0 to 1 for each text."""
         if self.prior is not None:
             return np.full(len(offsets) - 1, self.prior)
+        return _sigmoid(self.scale[0] * self.worst(raw, offsets).astype(np.float64) + self.scale[1])
+
+    def worst(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The highest logit of any window of each text."""
         v = Vocabulary(raw, offsets)
         index, at = windows(v.first)
-        worst = np.maximum.reduceat(self.window_logits(v, index), at[:-1])
-        return _sigmoid(self.scale[0] * worst.astype(np.float64) + self.scale[1])
+        return np.maximum.reduceat(self.window_logits(v, index), at[:-1])
+
+
+class _Counts:
+    """How many texts of each class have each bucket."""
+
+    def __init__(self):
+        self.n = np.zeros((2, TABLE), np.int64)
+
+    def add(self, buckets: np.ndarray, docs: np.ndarray, gold: np.ndarray) -> None:
+        pair = np.unique(buckets * len(gold) + docs)
+        bucket, doc = pair // len(gold), pair % len(gold)
+        for k in (0, 1):
+            self.n[k] += np.bincount(bucket[gold[doc] == k], minlength=TABLE)
 
+    def log_odds(self, n0: int, n1: int) -> np.ndarray:
+        """How much more of the toxic texts have a bucket, smoothed, within -1 and 1.5."""
+        neg, pos = self.n
+        odds = np.log((pos + 0.4) / (n1 + 0.8)) - np.log((neg + 0.4) / (n0 + 0.8))
+        odds[pos + neg == 0] = 0
+        z = odds / np.sqrt(1 / (pos + 0.4) + 1 / (neg + 0.4))
+        return np.clip(np.where(np.abs(z) > 2, odds, odds * 0.2) / 3, -1, 1.5).astype(np.float32)
 
-def _log_odds(buckets: np.ndarray, docs: np.ndarray, gold: np.ndarray) -> np.ndarray:
-    """Of each bucket: how much more toxic texts have it, smoothed, within -1 and 1.5."""
-    pair = np.unique(buckets * len(gold) + docs)
-    bucket, doc = pair // len(gold), pair % len(gold)
-    pos, neg = (np.bincount(bucket[gold[doc] == k], minlength=TABLE) for k in (1, 0))
-    n1, n0 = gold.sum(), (1 - gold).sum()
-    odds = np.log((pos + 0.4) / (n1 + 0.8)) - np.log((neg + 0.4) / (n0 + 0.8))
-    odds[pos + neg == 0] = 0
-    z = odds / np.sqrt(1 / (pos + 0.4) + 1 / (neg + 0.4))
-    return np.clip(np.where(np.abs(z) > 2, odds, odds * 0.2) / 3, -1, 1.5).astype(np.float32)
+
+def _levels(net: Network, v: Vocabulary, index: np.ndarray, hint: bool) -> np.ndarray:
+    """What is thought of each window: by log-odds of its words, or by the network."""
+    if not hint:
+        return net.window_logits(v, index)
+    if not len(v.word):
+        return np.full(len(index), -9.0)
+    word = net.p["word"][v.word, 0] + np.maximum.reduceat(net.p["char"][v.gram, 0], v.gram_at[:-1])
+    return np.where(index >= 0, word[v.of[np.maximum(index, 0)]], -9).max(1)
+
+
+def _window_text(v: Vocabulary, row: np.ndarray) -> str:
+    w, row = v.words, row[row >= 0]
+    return bytes(w.raw[w.start[row[0]] : w.end[row[-1]]]).decode()
 
 
 def train(texts: list[str], gold: list[int], seed: int = 7, rounds: int = 3, epochs: int = 3) -> Network:
+    """Texts are gone through in small pieces each time; only the windows that a round learns from are kept."""
     net, y = Network(seed), np.array(gold, np.int64)
     if len(set(gold)) < 2:
         net.prior = float(y.mean()) if len(y) else 0.0
         return net
     r = np.random.default_rng(seed)
-    v = Vocabulary(*text_buffers(pa.array(texts, pa.string())))
     held = r.random(len(y)) < 0.2
     if held[y == 1].sum() < 5:
         held[:] = False  # too few rows: calibrate on what was learned
-    docs = np.repeat(np.arange(len(y)), np.diff(v.first))
-    use = ~held[docs]
-    seen = np.unique(v.of[use] * len(y) + docs[use])  # distinct (word, text)
-    word, doc = seen // len(y), seen % len(y)
-    net.p["word"][:, 0] = _log_odds(v.word[word], doc, y)
-    n = v.gram_at[word + 1] - v.gram_at[word]
-    to = np.concatenate([[0], np.cumsum(n)])
-    net.p["char"][:, 0] = _log_odds(v.gram[np.arange(to[-1]) - np.repeat(to[:-1] - v.gram_at[word], n)], np.repeat(doc, n), y)
-    hint = net.p["word"][v.word, 0] + np.maximum.reduceat(net.p["char"][v.gram, 0], v.gram_at[:-1])
-    index, at = windows(v.first)
-    owner = np.repeat(np.arange(len(y)), np.diff(at))
-    level = np.where(index >= 0, np.append(hint, -9)[np.where(index >= 0, v.of[np.maximum(index, 0)] if len(v.of) else 0, -1)], -9).max(1)
+    raw, off = text_buffers(pa.array(texts, pa.string()))
+    word, char = _Counts(), _Counts()
+    for i, j in pieces(off):
+        v, own = Vocabulary(raw, off[i : j + 1]), y[i:j]
+        docs = np.repeat(np.arange(j - i), np.diff(v.first))
+        use = ~held[i:j][docs]
+        seen = np.unique(v.of[use] * (j - i) + docs[use])  # distinct (word, text)
+        w, doc = seen // (j - i), seen % (j - i)
+        word.add(v.word[w], doc, own)
+        n = v.gram_at[w + 1] - v.gram_at[w]
+        to = np.concatenate([[0], np.cumsum(n)])
+        char.add(v.gram[np.arange(to[-1]) - np.repeat(to[:-1] - v.gram_at[w], n)], np.repeat(doc, n), own)
+    totals = int((1 - y)[~held].sum()), int(y[~held].sum())
+    net.p["word"][:, 0], net.p["char"][:, 0] = word.log_odds(*totals), char.log_odds(*totals)
     opt: dict = {"t": 0}
-    full = index[:, 0] >= 0
     for turn in range(rounds):
-        order = np.lexsort((-level, owner))
-        place = np.arange(len(order)) - at[:-1][owner[order]]
-        ok = ~held[owner[order]] & full[order]
-        pos = order[ok & (y[owner[order]] == 1) & (place < 1)]
-        neg = order[ok & (y[owner[order]] == 0) & (place < 2)]
-        some = np.flatnonzero(~held[owner] & full & (y[owner] == 0))
-        neg = np.concatenate([neg, r.choice(some, min(len(some), len(neg)), replace=False)]) if len(some) else neg
-        if not len(pos) or not len(neg):
+        chosen: list[str] = []
+        t: list[int] = []
+        for i, j in pieces(off):
+            v = Vocabulary(raw, off[i : j + 1])
+            index, at = windows(v.first)
+            level = _levels(net, v, index, turn == 0)
+            for k in range(i, j):
+                a, b = at[k - i], at[k - i + 1]
+                if held[k] or index[a, 0] < 0:
+                    continue
+                # the worst window of a toxic text; of a clean one the two worst and one at random
+                top = a + np.argsort(-level[a:b], kind="stable")[: 2 - y[k]]
+                some = top if y[k] else np.append(top, a + r.integers(b - a))
+                chosen += [_window_text(v, index[x]) for x in some]
+                t += [int(y[k])] * len(some)
+        gold_ = np.array(t, np.float64)
+        if len(set(t)) < 2:
             break
-        rows = np.concatenate([pos, neg])
-        t = np.concatenate([np.ones(len(pos)), np.zeros(len(neg))])
-        w = np.where(t == 1, len(rows) / (2 * len(pos)), len(rows) / (2 * len(neg)))
-        steps = max(epochs, -(-60 * 128 // len(rows)))
-        for _ in range(steps):
-            mixed = r.permutation(len(rows))
-            for i in range(0, len(rows), 128):
+        weight = np.where(gold_ == 1, len(t) / (2 * gold_.sum()), len(t) / (2 * (1 - gold_).sum()))
+        v = Vocabulary(*text_buffers(pa.array(chosen, pa.string())))
+        index, at = windows(v.first)
+        index = index[at[:-1]]
+        for _ in range(max(epochs, -(-60 * 128 // len(t)))):
+            mixed = r.permutation(len(t))
+            for i in range(0, len(t), 128):
                 b = mixed[i : i + 128]
-                net.learn(v, index[rows[b]], t[b], w[b], opt, 0.01 if turn < rounds - 1 else 0.004)
-        level = net.window_logits(v, index)
-    worst = np.maximum.reduceat(level, at[:-1]).astype(np.float64)
+                net.learn(v, index[b], gold_[b], weight[b], opt, 0.01 if turn < rounds - 1 else 0.004)
+    worst = np.concatenate([net.worst(raw, off[i : j + 1]) for i, j in pieces(off)]).astype(np.float64)
     fit = held if held.any() else np.ones(len(y), bool)
-    X, t, w = np.stack([worst[fit], np.ones(fit.sum())], 1), y[fit], np.array([1.0, 0.0])
+    X, t_, w_ = np.stack([worst[fit], np.ones(fit.sum())], 1), y[fit], np.array([1.0, 0.0])
     for _ in range(50):
-        q = _sigmoid(X @ w)
+        q = _sigmoid(X @ w_)
         H = (X * (q * (1 - q))[:, None]).T @ X + np.diag([0.5, 0.05])
-        w = w - np.clip(np.linalg.solve(H, X.T @ (q - t) + np.array([0.5 * (w[0] - 1), 0.05 * w[1]])), -1, 1)
-    net.scale = (max(0.05, float(w[0])), float(w[1]))
+        w_ = w_ - np.clip(np.linalg.solve(H, X.T @ (q - t_) + np.array([0.5 * (w_[0] - 1), 0.05 * w_[1]])), -1, 1)
+    net.scale = (max(0.05, float(w_[0])), float(w_[1]))
     return net
 
 
