@@ -33,7 +33,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Words, mix, pieces, release, rolling, shuffle_partitions, stage, table, text_buffers, unstage
@@ -42,7 +42,7 @@ from .components import connected
 SHINGLE = 5
 #: Similarity as a percentage.
 PERCENT = 75
-SMALL = 64
+SMALL = 256
 #: Hashes a task holds before it sends them.
 HELD = 1_500_000
 
@@ -61,12 +61,12 @@ class Band:
 
     def __init__(self, number: int, percent: int = PERCENT):
         self.number, self.lo, self.hi, self.percent = number, 1 << number, (2 << number) - 1, percent
-        self.segments = math.ceil(1.3 * (distance(2 * self.hi, percent) + 1)) + 6
+        self.segments = math.ceil(1.3 * (distance(2 * self.hi, percent) + 1)) + 10
 
         # segments that a set of n shingles may spend its budget on: enough that are not empty, with room; never fewer for a larger set
         n = np.arange(self.lo, self.hi + 1)
         need = (100 - percent) * 2 * n // (100 + percent) + 1
-        room = np.ceil((1.1 * need + 6) / (1 - np.exp(-n / self.segments)))
+        room = np.ceil((1.1 * need + 14) / (1 - np.exp(-n / self.segments)))
         self._used = np.minimum(self.segments, np.maximum.accumulate(room)).astype(np.int64)
 
     def used(self, n: np.ndarray) -> np.ndarray:
@@ -116,7 +116,7 @@ def set_hashes(key: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-#: Flags of a hash: of the set's own band; with one shingle left out; of a segment with two shingles or more.
+#: Flags of a hash: of a segment that the set may spend on; with one shingle left out; of a segment with two shingles or more.
 OWN, DELETED, FAT = 1, 2, 4
 
 
@@ -158,13 +158,15 @@ def signatures(key: np.ndarray, at: np.ndarray, which: np.ndarray, percent: int
                 usable = s < B.used(size)[r]
                 slack[sets] = np.bincount(r[usable], minlength=len(sets)) - (distance_array(2 * size, percent) + 1)
                 fat[sets] = np.where(size <= SMALL, np.bincount(r[usable & (count > 1)], minlength=len(sets)), 0)
-            own = 0 if up else OWN
+            own = np.where((not up) & (s < B.used(size)[r]), OWN, 0)
             salt = mix(s.astype(np.uint64) + np.uint64((B.number + 1) << 40))
-            out.append((mix(value ^ salt), sets[r], (own | np.where(count > 1, FAT, 0)).astype(np.uint8), s))
+            # a longer set has one row a segment, so that the segment's number need not travel
+            seg = np.where((size[r] <= SMALL) & (own > 0), s, 0)
+            out.append((mix(value ^ salt), sets[r], (own | np.where((count > 1) & (size[r] <= SMALL), FAT, 0)).astype(np.uint8), seg))
             ok = np.repeat((count > 1) & (size[r] <= SMALL), count)
             if ok.any():
                 less = np.repeat(value, count)[ok] - inner[ok]
-                out.append((mix(less ^ np.repeat(salt, count)[ok]), sets[np.repeat(r, count)[ok]], np.full(int(ok.sum()), own | DELETED | FAT, np.uint8), np.repeat(s, count)[ok]))
+                out.append((mix(less ^ np.repeat(salt, count)[ok]), sets[np.repeat(r, count)[ok]], (np.repeat(own, count)[ok] | DELETED | FAT).astype(np.uint8), np.repeat(seg, count)[ok]))
     if not out:
         z = np.zeros(0, np.int64)
         return (z.astype(np.uint64), z, z.astype(np.uint8), z), slack, fat
@@ -179,33 +181,50 @@ def _planes(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
 
 
-_PLANES = (np.uint64, np.int64, np.uint32, np.int16, np.uint8, np.uint8, np.uint32)  # hash, doc, n, slack, fat, flags, segment
-_WIDTH = sum(np.dtype(k).itemsize for k in _PLANES)
+_ROW = (np.uint64, np.uint32, np.uint8, np.uint16)  # hash, number of the document in the blob, flags, segment
+_DOC = (np.int64, np.uint32, np.int16, np.uint8)  # doc, n, slack, fat
 
 
-def pack(columns: list[np.ndarray]) -> bytes:
-    """Rows sorted by hash."""
-    first = np.diff(columns[0], prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(_planes(c.astype(k)) for c, k in zip([first, *columns[1:]], _PLANES)))
+def pack(sig: np.ndarray, doc: np.ndarray, n: np.ndarray, slack: np.ndarray, fat: np.ndarray, flags: np.ndarray, seg: np.ndarray) -> bytes:
+    """Rows sorted by hash; what is known of a document stands once."""
+    _, first, number = np.unique(doc, return_index=True, return_inverse=True)
+    head = np.array([len(sig), len(first)], np.int64).tobytes()
+    rows = [np.diff(sig, prepend=np.uint64(0)), number, flags, seg]
+    docs = [c[first] for c in (doc, n, slack, fat)]
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(_planes(c.astype(k)) for c, k in zip([*rows, *docs], _ROW + _DOC)))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
+    """sig, doc, n, slack, fat, flags, seg."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n, out, at = len(data) // _WIDTH, [], 0
-    for kind in _PLANES:
-        width = np.dtype(kind).itemsize
+    lengths, at, out = data[:16].view(np.int64), 16, []
+    for i, kind in enumerate(_ROW + _DOC):
+        n, width = int(lengths[int(i >= len(_ROW))]), np.dtype(kind).itemsize
         out.append(np.ascontiguousarray(data[at : at + n * width].reshape(width, n).T).view(kind).ravel())
         at += n * width
-    out[0] = np.cumsum(out[0], dtype=np.uint64)
-    return out
+    sig, number, flags, seg, *docs = out
+    return [np.cumsum(sig, dtype=np.uint64), *(c[number] for c in docs), flags, seg]
 
 
-_BLOB = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("blob", pa.binary()), ("doc", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("weak", pa.bool_())])
-_BLOB_DDL = "kind int, bucket long, blob binary, doc long, n long, h1 long, h2 long, weak boolean"
+def _documents(documents: DataFrame, shingle: int) -> DataFrame:
+    """doc, n and hashes of the set of each document."""
+
+    def run(parts):
+        for batch in parts:
+            raw, off = text_buffers(batch.column(1))
+            for i, j in pieces(off):
+                key, at = shingle_sets(raw, off[i : j + 1], shingle)
+                h1, h2 = set_hashes(key, at)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at).astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc", "n", "h1", "h2"])
+
+    return documents.mapInArrow(run, "doc long, n long, h1 long, h2 long")
+
+
+_BLOB = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("doc", pa.int64()), ("n", pa.int64())])
 
 
 def _blobs(documents: DataFrame, buckets: int, percent: int, shingle: int) -> DataFrame:
-    """kind 0: doc, n and set hashes of a document, and whether its segments fall short of its budget. kind 1: packed hashes of a bucket."""
+    """Packed hashes of a bucket; and with bucket -1 the doc and n of sets whose segments fall short of their budget."""
 
     def run(parts):
         held: list[list] = []
@@ -217,11 +236,11 @@ def _blobs(documents: DataFrame, buckets: int, percent: int, shingle: int) -> Da
             columns = [c[order] for c in columns]
             edge = np.searchsorted(columns[0], np.array([b * (1 << 64) // buckets for b in range(1, buckets)], np.uint64))
             cuts = [0, *edge.tolist(), len(order)]
-            made = [(b, pack([c[i:j] for c in columns])) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
+            made = [(b, pack(*(c[i:j] for c in columns))) for b, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i]
             for i in range(0, len(made), 64):
                 some = made[i : i + 64]
                 none = pa.nulls(len(some), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([1] * len(some), pa.int32()), pa.array([b for b, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary()), none, none, none, none, pa.nulls(len(some), pa.bool_())], schema=_BLOB)
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary()), none, none], schema=_BLOB)
 
         met: set = set()
         for batch in parts:
@@ -231,7 +250,7 @@ def _blobs(documents: DataFrame, buckets: int, percent: int, shingle: int) -> Da
             for i, j in pieces(off):
                 key, at = shingle_sets(raw, off[i : j + 1], shingle)
                 h1, h2 = set_hashes(key, at)
-                n, m = np.diff(at), j - i
+                n = np.diff(at)
                 # of the sets this task has met before nothing more is sent
                 fresh = []
                 for k, pair in enumerate(zip(h1.tolist(), h2.tolist())):
@@ -239,9 +258,8 @@ def _blobs(documents: DataFrame, buckets: int, percent: int, shingle: int) -> Da
                         met.add(pair)
                         fresh.append(k)
                 (sig, row, flags, seg), slack, fat = signatures(key, at, np.array(fresh, np.int64), percent)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.zeros(m, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), batch.column(0).slice(i, m).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(slack + fat < 0)], schema=_BLOB
-                )
+                if (short := np.flatnonzero(slack + fat < 0)).size:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(short), -1)), pa.nulls(len(short), pa.binary()), pa.array(ids[i + short]), pa.array(n[short].astype(np.int64))], schema=_BLOB)
                 held.append([sig, ids[i + row], n[row], np.clip(slack[row], -32768, 32767), fat[row], flags, seg])
                 count += len(sig)
                 if count >= HELD:
@@ -252,14 +270,15 @@ def _blobs(documents: DataFrame, buckets: int, percent: int, shingle: int) -> Da
         if count:
             yield from flush()
 
-    return documents.mapInArrow(run, _BLOB_DDL)
+    return documents.mapInArrow(run, "bucket long, blob binary, doc long, n long")
 
 
 _SHARED = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("slack", pa.int32()), ("fat", pa.int32()), ("flags", pa.int32()), ("seg", pa.int64()), ("full", pa.int64()), ("less", pa.int64())])
 
 
 def _shared(blobs: DataFrame) -> DataFrame:
-    """Rows of hashes that two documents or more have, with how many have it full (full) or with one left out (less)."""
+    """Rows of hashes that two documents or more have, with how many have it full (full) or with one left out (less). Rows
+    without a hash name sets whose segments fall short."""
 
     def emit(held):
         columns = [np.concatenate(x) for x in zip(*(unpack(b) for b in held))]
@@ -278,7 +297,10 @@ def _shared(blobs: DataFrame) -> DataFrame:
     def run(parts):
         current, held = None, []
         for batch in parts:
-            for b, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for b, blob, doc, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3)):
+                if b < 0:
+                    yield pa.RecordBatch.from_pylist([{"doc": doc.as_py(), "n": n.as_py()}], schema=_SHARED)
+                    continue
                 if b != current:
                     if held:
                         yield from emit(held)
@@ -288,7 +310,7 @@ def _shared(blobs: DataFrame) -> DataFrame:
             yield from emit(held)
 
     ddl = "sig long, doc long, n long, slack int, fat int, flags int, seg long, full long, less long"
-    return blobs.where("kind = 1").select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl)
+    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl)
 
 
 def allocate(n: int, slack: int, fat: int, touched: dict[int, tuple[int, int, bool]], percent: int = PERCENT) -> dict[int, int]:
@@ -313,18 +335,20 @@ def allocate(n: int, slack: int, fat: int, touched: dict[int, tuple[int, int, bo
     return spent
 
 
-_CHOSEN = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("deleted", pa.bool_()), ("probe", pa.int32())])
+_CHOSEN = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("deleted", pa.bool_()), ("probe", pa.int32()), ("done", pa.bool_())])
 
 
 def _choose(shared: DataFrame, percent: int) -> DataFrame:
-    """The rows of shared with probe: 0 not looked up, 1 among full segments, 2 also among those with one left out."""
+    """The rows of shared with probe: 0 not looked up, 1 among full segments, 2 also among those with one left out; and done:
+    the budget is met where nobody else is, so no set of this size or less can be similar."""
 
     def decide(rows):
         _, doc, n, slack, fat = rows[0][:5]
-        limit = int(band(n.bit_length() - 1, percent).used(np.array([n]))[0])
+        if n > SMALL:
+            rows = [(*r[:6], k, *r[7:]) for k, r in enumerate(rows)]
         cost: dict[int, list] = {}
         for _, _, _, _, _, flags, seg, full, less in rows:
-            if flags & OWN and seg < limit:
+            if flags & OWN:
                 c = cost.setdefault(seg, [0, 0, False])
                 c[2] |= bool(flags & FAT)
                 if flags & DELETED:
@@ -333,10 +357,11 @@ def _choose(shared: DataFrame, percent: int) -> DataFrame:
                     c[0] += full - 1
                     c[1] += less
         spent = allocate(n, slack, fat, {k: tuple(v) for k, v in cost.items()}, percent)
+        done = not any(v[0] or e and v[1] for v, e in ((cost[k], e) for k, e in spent.items()))
         for sig, _, _, _, _, flags, seg, _, _ in rows:
-            e = spent.get(seg, -1) if flags & OWN else -1
+            e = spent.get(seg, -1) if flags & OWN and not done else -1
             deleted = bool(flags & DELETED)
-            yield sig, doc, n, deleted, 0 if e < 0 or deleted and e < 1 else 2 if e == 1 and not deleted else 1
+            yield sig, doc, n, deleted, 0 if e < 0 or deleted and e < 1 else 2 if e == 1 and not deleted else 1, done
 
     def run(parts):
         current, rows, out = None, [], []
@@ -355,46 +380,64 @@ def _choose(shared: DataFrame, percent: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CHOSEN)], schema=_CHOSEN)
 
-    return shared.repartition("doc").sortWithinPartitions("doc", "n").mapInArrow(run, "sig long, doc long, n long, deleted boolean, probe int")
+    return shared.repartition("doc").sortWithinPartitions("doc", "n").mapInArrow(run, "sig long, doc long, n long, deleted boolean, probe int, done boolean")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """doc, t: the shingles of the documents named in wanted."""
+    """doc, t, p of the documents named in wanted: the shingles, and a bit for each of 64 * 2^k classes of them that tells whether it
+    has an odd number. Where the bits of two sets differ, so do the sets, once at least."""
 
     def run(parts):
         for batch in parts:
             raw, off = text_buffers(batch.column(1))
             for i, j in pieces(off, 1 << 18):
                 key, at = shingle_sets(raw, off[i : j + 1], shingle)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(key.view(np.int64)))], names=["doc", "t"])
+                words = 1 << np.maximum(0, np.ceil(np.log2(np.maximum(1, np.diff(at)) / 16)).astype(np.int64))
+                where = np.concatenate([[0], np.cumsum(words)])
+                owner = np.repeat(np.arange(j - i), np.diff(at))
+                h = mix(key ^ np.uint64(0x3C3C3C3C3C3C3C3C))
+                parity = np.zeros(where[-1], np.uint64)
+                np.bitwise_xor.at(parity, where[owner] + ((h >> np.uint64(6)).astype(np.int64) & (words[owner] - 1)), np.uint64(1) << (h & np.uint64(63)))
+                lists = [pa.ListArray.from_arrays(pa.array(a.astype(np.int32)), pa.array(v.view(np.int64))) for a, v in ((at, key), (where, parity))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["doc", "t", "p"])
+
+    return documents.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, t array<bigint>, p array<bigint>")
+
 
-    return documents.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, t array<bigint>")
+def _folded(p: Column, size: Column) -> Column:
+    """Parities of half as many classes, if size is half."""
+    return F.when(F.size(p) == size, p).otherwise(F.zip_with(F.slice(p, F.lit(1), size), F.slice(p, size + 1, size), lambda x, y: x.bitwiseXOR(y)))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are similar. Parities, an eighth as large as the sets, first drop what is certainly too far apart; the
+    shingles of what is left are counted."""
+    far = sets.select("doc", "p", F.size("t").alias("n"))
+    a, b = (far.select(F.col("doc").alias(k), F.col("p").alias(f"p{k}"), F.col("n").alias(f"n{k}")) for k in "uv")
+    size = F.least(F.size("pu"), F.size("pv"))
+    apart = F.aggregate(F.zip_with(_folded(F.col("pu"), size), _folded(F.col("pv"), size), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (apart * (100 + percent) <= (100 - percent) * (F.col("nu") + F.col("nv")))
+    left = stage(pairs.join(a, "u").join(b, "v").where(near).select("u", "v"), "jaccard-near")
     a, b = sets.select(F.col("doc").alias("u"), F.col("t").alias("a")), sets.select(F.col("doc").alias("v"), F.col("t").alias("b"))
-    both = pairs.join(a, "u").join(b, "v")
-    near = (100 * F.least(F.size("a"), F.size("b")) >= percent * F.greatest(F.size("a"), F.size("b")))
     shared = F.size(F.array_intersect("a", "b"))
-    return both.where(near).where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    return left.join(a, "u").join(b, "v").where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
 def components(documents: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc"), "text")
-    blobs = stage(_blobs(rows, buckets or 4 * shuffle_partitions(spark), percent, shingle), "jaccard-blobs")
-    docs = stage(blobs.where("kind = 0").select("doc", "n", "h1", "h2", "weak"), "jaccard-docs")
-    shared = stage(_shared(blobs), "jaccard-shared")
-    unstage(blobs)
+    docs = stage(_documents(rows, shingle), "jaccard-docs")
+    shared = stage(_shared(_blobs(rows, buckets or shuffle_partitions(spark), percent, shingle)), "jaccard-shared")
     release(spark)
-    chosen = stage(_choose(shared, percent), "jaccard-chosen")
+    chosen = stage(_choose(shared.where("sig is not null"), percent), "jaccard-chosen")
+    weak = stage(shared.where("sig is null").select(F.col("doc").alias("u"), F.col("n").alias("m")).distinct(), "jaccard-weak")
     unstage(shared)
-    probed = chosen.groupBy("sig").agg(F.max("probe").alias("p"), F.min(F.when(~F.col("deleted"), F.col("doc"))).alias("d0")).where("p > 0").drop("p")
+    # aggregates are tables of their own: a join whose sides are both dealt anew can be split where a key is hot
+    probed = stage(chosen.groupBy("sig").agg(F.max("probe").alias("p"), F.min(F.when(~F.col("deleted"), F.col("doc"))).alias("d0")).where("p > 0").drop("p"), "jaccard-hashes")
     chosen = stage(chosen.join(probed, "sig"), "jaccard-probed")
     release(spark)
     known = docs.where("doc is not null and n > 0")
-    weak = known.where("weak").select(F.col("doc").alias("u"), F.col("n").alias("m"))
     # sets whose segments fall short meet all of their size; the room given to segments makes these next to none
     short = weak.join(known.select(F.col("doc").alias("v"), "n"), (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n")) & (F.col("u") != F.col("v"))).select("u", "v") if weak.limit(1).count() else None
     wanted = chosen.select("doc")
@@ -407,19 +450,21 @@ def components(documents: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     first = stage((first if short is None else first.unionByName(short)).select(*pair).distinct(), "jaccard-pairs")
     edges = stage(_verified(first, sets, percent), "jaccard-edges")
     release(spark)
-    classes = known.groupBy("h1", "h2", "n").agg(F.min("doc").alias("u"), F.count("*").alias("c")).where("c > 1").drop("c")
+    classes = stage(known.groupBy("h1", "h2", "n").agg(F.min("doc").alias("u"), F.count("*").alias("c")).where("c > 1").drop("c"), "jaccard-classes")
     copies = known.join(classes, ["h1", "h2", "n"]).where("doc != u").select("u", F.col("doc").alias("v"))
     found = connected(edges.unionByName(copies))
     # hashes whose documents are not all joined yet
     placed = chosen.drop("d0").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
     placed = stage(placed, "jaccard-placed")
     most = placed.groupBy("sig", "c").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("several")).where("several > 1").select("sig", F.col("top.c").alias("top"))
+    most = stage(most, "jaccard-most")
     mixed = stage(placed.join(most, "sig"), "jaccard-mixed")
     release(spark)
-    m = mixed.where("c != top").select("sig", F.col("doc").alias("u"), F.col("n").alias("nu"), F.col("deleted").alias("du"), F.col("probe").alias("pu"), F.col("c").alias("cu"))
-    x = mixed.select(F.col("sig").alias("sx"), F.col("doc").alias("v"), F.col("n").alias("nv"), F.col("deleted").alias("dv"), F.col("probe").alias("pv"), F.col("c").alias("cv"))
-    looks = lambda p, q, a, b: f"({p} > 0 and {b} <= {a} and 100 * {b} >= {percent} * {a} and (not {q} or {p} = 2))"
-    test = f"sig = sx and cu != cv and not (du and dv) and ({looks('pu', 'dv', 'nu', 'nv')} or {looks('pv', 'du', 'nv', 'nu')})"
+    m = mixed.where("c != top").select("sig", F.col("doc").alias("u"), F.col("n").alias("nu"), F.col("deleted").alias("du"), F.col("probe").alias("pu"), F.col("c").alias("cu"), F.col("done").alias("eu"))
+    x = mixed.select(F.col("sig").alias("sx"), F.col("doc").alias("v"), F.col("n").alias("nv"), F.col("deleted").alias("dv"), F.col("probe").alias("pv"), F.col("c").alias("cv"), F.col("done").alias("ev"))
+    # the larger looks for the smaller; of equal sizes either may, unless the other is done
+    looks = lambda p, q, a, b, e: f"({p} > 0 and ({b} < {a} or {b} = {a} and not {e}) and 100 * {b} >= {percent} * {a} and (not {q} or {p} = 2))"
+    test = f"sig = sx and cu != cv and not (du and dv) and ({looks('pu', 'dv', 'nu', 'nv', 'ev')} or {looks('pv', 'du', 'nv', 'nu', 'eu')})"
     second = m.join(x, F.expr(test)).select(*pair).distinct().join(first, ["u", "v"], "left_anti")
     more = stage(_verified(second, sets, percent), "jaccard-more")
     if more.limit(1).count():
@@ -434,7 +479,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0
 ), n AS (
