@@ -227,7 +227,8 @@ def _by_windows(reps: DataFrame, window: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["x", "y", "doc", "s"])
 
     rows = reps.select("doc", "s", "words").mapInArrow(run, "x long, y long, doc long, s int")
-    first = rows.groupBy("x", "y").agg(F.min(F.struct("doc", "s")).alias("f"), F.count("*").alias("m")).where("m > 1").drop("m")
+    rows = stage(rows, "dedup-windows")
+    first = stage(rows.groupBy("x", "y").agg(F.min(F.struct("doc", "s")).alias("f"), F.count("*").alias("m")).where("m > 1").drop("m"), "dedup-windows-first")
     return rows.join(first, ["x", "y"]).where(F.struct("doc", "s") != F.col("f")).select("doc", "s", F.lit(1).alias("n"))
 
 
@@ -236,14 +237,15 @@ def repeats(documents: DataFrame, window: int = WINDOW, shard: int = SHARD) -> D
     spark = documents.sparkSession
     rows = documents.select(_key(F.col("doc_id")).alias("doc"), "text")
     found = _segment_rows(rows, window)
-    twice = found.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a")
+    # a table of its own: a join whose sides are both dealt anew can be split where an anchor is hot
+    twice = stage(found.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a"), "dedup-twice")
     candidates = stage(found.join(twice, "a", "left_semi"), "dedup-candidates")
     release(spark)
     first = candidates.groupBy("a", "c").agg(F.min(F.struct("doc", "s", "n")).alias("f"), F.count("*").alias("m"))
     first = stage(first.select("a", "c", "f.doc", "f.s", "f.n", "m"), "dedup-first")
     copies = first.where("m > 1").select("a", "c", F.col("doc").alias("d0"), F.col("s").alias("s0"))
     whole = candidates.join(copies, ["a", "c"]).where("doc != d0 or s != s0").select("doc", "s", "n")
-    several = first.groupBy("a").agg(F.count("*").alias("k")).where("k > 1")
+    several = stage(first.groupBy("a").agg(F.count("*").alias("k")).where("k > 1"), "dedup-several")
     reps = first.join(several, "a").select("a", "k", "doc", "s", "n")
     reps = stage(_with_words(rows, reps, window), "dedup-shards")
     release(spark)
