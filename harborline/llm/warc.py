@@ -124,6 +124,7 @@ def mark_revisits(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).alias("size"))
     kept = rows.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    kept = stage(kept, "warc-kept")  # so that the join deals both sides anew and Spark can split a hot payload
     revisit = F.coalesce(F.col("page_id") < F.col("kept"), F.col("page_id").isNull() & F.col("kept").isNotNull())
     return rows.join(kept, ["digest", "size"], "left").select(
         "page_id", "url", "html", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("kept")).alias("refers_to")
