@@ -3,7 +3,8 @@
 A bounded sample of each host's pages (SAMPLE of them, those with the smallest hashes in as many hash classes) is parsed
 to outlines and aligned by simple tree matching. Aligned nodes that hold the same text on every sampled page become
 template, those that vary are slots; the region with most varying text that is neither links nor page furniture is the
-content. That is a host's wrapper: the region's path and the template nodes inside it. Every page is then cut by the
+content. That is a host's wrapper: the region's path and the template nodes inside it, each known by its path and its
+text, so that other nodes of the same path stay. Every page is then cut by the
 wrapper of its host; where its path is missing, or the host has one page, the region is found on the page itself.
 
 Inside an article, plain text blocks (no class, id or role) are always content, even if every page has them: pages of a
@@ -15,6 +16,7 @@ all extracted; pages keep all of their blocks, however long; columns beyond thos
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
@@ -146,7 +148,8 @@ def dropped(node: Node, inside: bool) -> bool:
     return False
 
 
-def blocks(region: Node, inside: bool, template: frozenset = frozenset()) -> list[str]:
+def blocks(region: Node, inside: bool, template: dict[str, set[str]] = {}) -> list[str]:
+    """Text blocks of a region, without furniture and template: for paths from the root, the keys of nodes that are dropped."""
     out: list[str] = []
     run: list[str] = []
 
@@ -156,7 +159,7 @@ def blocks(region: Node, inside: bool, template: frozenset = frozenset()) -> lis
             out.append(text)
         run.clear()
 
-    stack: list = [(region, region.label, inside, False)]
+    stack: list = [(region, path_of(region), inside, False)]
     while stack:
         x, path, within, leaving = stack.pop()
         if isinstance(x, str):
@@ -166,7 +169,7 @@ def blocks(region: Node, inside: bool, template: frozenset = frozenset()) -> lis
             flush()
             continue
         if x is not region:
-            if dropped(x, within) or path in template and not (x.plain and within):
+            if dropped(x, within) or path in template and not (x.plain and within) and key(x) in template[path]:
                 flush()
                 continue
             within = within or x.tag in ("article", "main")
@@ -181,6 +184,40 @@ def blocks(region: Node, inside: bool, template: frozenset = frozenset()) -> lis
     return out
 
 
+def path_of(node: Node) -> str:
+    labels = []
+    while node is not None:
+        labels.append(node.label)
+        node = node.parent
+    return ">".join(reversed(labels))
+
+
+def key(node: Node) -> str:
+    """Hash of the text of a node."""
+    return hashlib.blake2b("\n".join(blocks(node, True)).encode("utf-8", "replace"), digest_size=12).hexdigest()
+
+
+def seen(root: Node, paths: set[str]) -> dict[str, set[str]]:
+    """Of those paths that a page has: the keys of all nodes there."""
+    above = {p[: m.start()] for p in paths for m in re.finditer(">", p)}
+    found: dict[str, set[str]] = {}
+    stack = [(root, root.label)]
+    while stack:
+        x, path = stack.pop()
+        if path in paths:
+            found.setdefault(path, set()).add(key(x))
+        if path in above:
+            stack.extend((k, f"{path}>{k.label}") for k in x.kids if not isinstance(k, str))
+    return found
+
+
+def _by_path(nodes: list) -> dict[str, set[str]]:
+    out: dict[str, set[str]] = {}
+    for path, k in nodes:
+        out.setdefault(path, set()).add(k)
+    return out
+
+
 def _walk(root: Node):
     """Elements that are not furniture, in order, with their paths."""
     stack = [(root, root.label)]
@@ -306,7 +343,7 @@ def align(a: Slot, b: Slot, memo: dict) -> None:
 
 
 def induce(pages: list[str]) -> dict:
-    """The wrapper of some pages of a host: region, its path; template, paths below it that are the same on all pages."""
+    """The wrapper of some pages of a host: region, its path; template, path and key of nodes below it that are the same on all pages."""
     roots = [parse(p) for p in pages]
     tree = Slot(roots[0], 0, [MAX_NODES])
     for r in roots[1:]:
@@ -334,7 +371,8 @@ def induce(pages: list[str]) -> dict:
         region = max(heavy, key=len) if heavy else ""
     else:
         region = ""
-    return {"region": region, "template": sorted(p for p in constant if region and p.startswith(region + ">"))}
+    met = [seen(r, {p for p in constant if region and p.startswith(region + ">")}) for r in roots]
+    return {"region": region, "template": sorted([p, k] for p in met[0] for k in set.intersection(*(m.get(p, set()) for m in met)))}
 
 
 def extract(source: str | None, wrapper: dict | None) -> str:
@@ -349,10 +387,9 @@ def extract(source: str | None, wrapper: dict | None) -> str:
         inside = bool(re.search(r"(^|>)(article|main)\b|:main", wrapper["region"]))
         if not any(_mass(x) for x in regions) or not inside and _has(root, "article"):
             regions = []
-    template = frozenset()
+    template: dict[str, set[str]] = {}
     if regions:
-        cut = wrapper["region"].rfind(">") + 1
-        template = frozenset(p[cut:] for p in wrapper["template"])
+        template = _by_path(wrapper["template"])
     else:
         regions, inside = own_region(root)
     return "\n\n".join(b for r in regions for b in blocks(r, inside, template))

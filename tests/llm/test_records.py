@@ -41,6 +41,15 @@ def test_wrapper_of_a_host_without_articles():
     assert html_extract.extract(page(texts[0]), w) == "\n\n".join(texts[0])
 
 
+def test_template_is_told_from_varying_nodes_of_its_path():
+    rng = random.Random(2)
+    texts = [(prose(rng, 4), prose(rng, 40), prose(rng, 30)) for _ in range(4)]
+    pages = [f"{HEAD}<div class=content><p>By our staff</p><h2>{a}</h2><p>{b}</p><p>{c}</p></div></body>" for a, b, c in texts]
+    w = html_extract.induce(pages)
+    for page, want in zip(pages, texts):
+        assert html_extract.extract(page, w).split("\n\n") == list(want)
+
+
 def test_equal_articles_of_a_host_are_kept():
     page = f"{HEAD}<nav>n</nav>{ARTICLE}</body>"
     assert html_extract.extract(page, html_extract.induce([page] * 4)).split("\n\n") == WANT
