@@ -4,8 +4,10 @@ A bounded sample of each host's pages (SAMPLE of them, those with the smallest h
 to outlines and aligned by simple tree matching. Aligned nodes that hold the same text on every sampled page become
 template, those that vary are slots; the region with most varying text that is neither links nor page furniture is the
 content. That is a host's wrapper: the region's path and the template nodes inside it, each known by its path and its
-text, so that other nodes of the same path stay. Every page is then cut by the
-wrapper of its host; where its path is missing, or the host has one page, the region is found on the page itself.
+text, so that other nodes of the same path stay. The sample only proposes template: what is not met on every page of the
+host that has its path is struck out. Every page is then cut by the
+wrapper of its host; where its path is missing or holds less of the page's own text than a region must, or the host has
+one page or outlines that were cut, the region is found on the page itself.
 
 Inside an article, plain text blocks (no class, id or role) are always content, even if every page has them: pages of a
 host may repeat an article. Furniture is told by element (nav, footer, form ...), role or class words.
@@ -27,9 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import stage, table
 
-#: Pages of a host that are aligned, and nodes of an outline at most; longer outlines are cut below the same depth.
+#: Pages of a host that are aligned, and nodes and depth of an outline at most; a host of longer ones has no region.
 SAMPLE = 6
-MAX_NODES = 400
+MAX_NODES = 1500
+MAX_DEPTH = 60
+#: Shares of the text that varies: a region that is an article or main has more than the first, any other more than the second.
+NAMED, HEAVY = 0.3, 0.75
 #: A table of wrappers up to this size is broadcast; a larger one is joined by host.
 BROADCAST_BYTES = 64 << 20
 
@@ -239,6 +244,18 @@ def _mass(node: Node) -> int:
     return total
 
 
+def _own_mass(top: Node, known: dict[str, set[str]], without: list[Node]) -> int:
+    """Characters below that are neither furniture, links, nodes known by path and key, nor in some other nodes."""
+    total, stack = 0, [(top, path_of(top))]
+    while stack:
+        x, path = stack.pop()
+        if isinstance(x, str):
+            total += len(x.strip())
+        elif x is top or not (dropped(x, False) or x.tag == "a" or x in without or path in known and key(x) in known[path]):
+            stack.extend((k, path if isinstance(k, str) else f"{path}>{k.label}") for k in x.kids)
+    return total
+
+
 def own_region(root: Node) -> tuple[list[Node], bool]:
     """The content of a page by itself: its articles, else main, else the smallest element with most of the text."""
     for wanted in (lambda x: x.tag == "article", lambda x: x.tag == "main" or x.label.endswith(":main")):
@@ -271,7 +288,7 @@ class Slot:
 
     def __init__(self, node: Node, depth: int, budget: list[int]):
         self.label, self.plain, self.link, self.furniture = node.label, node.plain, node.tag == "a", dropped(node, False)
-        budget[0] -= 1
+        budget[0] -= not self.furniture
         self.kids: list[Slot] = []
         own = []
         for k in node.kids:
@@ -279,7 +296,9 @@ class Slot:
                 own.append(k)
             elif k.tag in RAW:
                 continue
-            elif budget[0] > 0 and depth < 12 and k.tag not in INLINE:
+            elif k.tag in INLINE or self.furniture:
+                own.append(k.text())
+            elif budget[0] > 0 and depth < MAX_DEPTH:
                 # children of one label in a row fold to one slot, which holds what repeats
                 s = Slot(k, depth + 1, budget)
                 if self.kids and self.kids[-1].label == s.label:
@@ -288,6 +307,7 @@ class Slot:
                     self.kids.append(s)
             else:
                 own.append(k.text())
+                budget[0] = -1  # cut
         self.texts = [" ".join("".join(own).split())]
 
     def fold(self, other: "Slot") -> None:
@@ -343,11 +363,14 @@ def align(a: Slot, b: Slot, memo: dict) -> None:
 
 
 def induce(pages: list[str]) -> dict:
-    """The wrapper of some pages of a host: region, its path; template, path and key of nodes below it that are the same on all pages."""
+    """The wrapper of some pages of a host: region, its path, empty if there is none or outlines were cut; path and key of nodes
+    that are the same on all pages: template, those below the region (all, if outlines were cut), and outside, the others."""
     roots = [parse(p) for p in pages]
-    tree = Slot(roots[0], 0, [MAX_NODES])
-    for r in roots[1:]:
-        align(tree, Slot(r, 0, [MAX_NODES]), {})
+    budgets = [[MAX_NODES] for _ in roots]
+    tree, *others = (Slot(r, 0, b) for r, b in zip(roots, budgets))
+    for other in others:
+        align(tree, other, {})
+    whole = all(b[0] >= 0 for b in budgets)
     varying: dict[str, int] = {}
     constant: set[str] = set()
 
@@ -363,16 +386,27 @@ def induce(pages: list[str]) -> dict:
         return mass + sum(kids)
 
     total = visit(tree, tree.label, False)
-    named = [p for p, m in varying.items() if m > 0.3 * total and re.search(r"(^|>)(article|main)\b[^>]*$|:main$", p)]
+    named = [p for p, m in varying.items() if m > NAMED * total and re.search(r"(^|>)(article|main)\b[^>]*$|:main$", p)]
     if total and named:
         region = min(named, key=len)
     elif total:
-        heavy = [p for p, m in varying.items() if m > 0.75 * total and not re.search(r">(p|h\d|li|pre|blockquote)\b[^>]*$", p)]
+        heavy = [p for p, m in varying.items() if m > HEAVY * total and not re.search(r">(p|h\d|li|pre|blockquote)\b[^>]*$", p)]
         region = max(heavy, key=len) if heavy else ""
     else:
         region = ""
-    met = [seen(r, {p for p in constant if region and p.startswith(region + ">")}) for r in roots]
-    return {"region": region, "template": sorted([p, k] for p in met[0] for k in set.intersection(*(m.get(p, set()) for m in met)))}
+    if not whole:
+        region = ""
+    met = [seen(r, constant if total else set()) for r in roots]
+    same = sorted([p, k] for p in met[0] for k in set.intersection(*(m.get(p, set()) for m in met)))
+    inner = [x for x in same if not whole or region and x[0].startswith(region + ">")]
+    return {"region": region, "template": inner, "outside": [x for x in same if x not in inner]}
+
+
+def absent(source: str | None, wrapper: dict) -> list[tuple[str, str]]:
+    """What a wrapper holds for the same on all pages, but is not so on this one: its path is there with other texts only."""
+    nodes = _by_path(wrapper["template"] + wrapper["outside"])
+    found = seen(parse(source or ""), set(nodes))
+    return [(p, k) for p, met in found.items() for k in nodes[p] - met]
 
 
 def extract(source: str | None, wrapper: dict | None) -> str:
@@ -382,15 +416,19 @@ def extract(source: str | None, wrapper: dict | None) -> str:
     root = parse(source)
     regions: list[Node] = []
     inside = False
-    if wrapper and wrapper["region"]:
-        regions = [x for x, path in _walk(root) if path == wrapper["region"]]
-        inside = bool(re.search(r"(^|>)(article|main)\b|:main", wrapper["region"]))
-        if not any(_mass(x) for x in regions) or not inside and _has(root, "article"):
-            regions = []
     template: dict[str, set[str]] = {}
-    if regions:
-        template = _by_path(wrapper["template"])
-    else:
+    if wrapper:
+        template = known = _by_path(wrapper["template"] + wrapper.get("outside", []))
+        if wrapper["region"]:
+            regions = [x for x, path in _walk(root) if path == wrapper["region"]]
+            inside = bool(re.search(r"(^|>)(article|main)\b|:main", wrapper["region"]))
+            within = sum(_own_mass(x, known, []) for x in regions)
+            # the page has to meet what made the region that of the host
+            if not any(_mass(x) for x in regions) or not inside and _has(root, "article"):
+                regions = []
+            elif within <= (NAMED if inside else HEAVY) * (within + _own_mass(root, known, regions)) and _own_mass(root, known, []):
+                regions = []
+    if not regions:
         regions, inside = own_region(root)
     return "\n\n".join(b for r in regions for b in blocks(r, inside, template))
 
@@ -423,11 +461,50 @@ def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return grouped.mapInArrow(run, "host string, wrapper string")
 
 
+def _with_rules(pages: DataFrame, rules: DataFrame, how: str) -> DataFrame:
+    size = rules.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("wrapper") + 32), F.lit(0))).first()[0]
+    return with_host(pages).join(F.broadcast(rules) if size <= BROADCAST_BYTES else rules, "host", how)
+
+
+def verified(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """The wrappers without what is not the same on all pages of the host."""
+
+    def look(parts):
+        known: dict = {}
+        for batch in parts:
+            out = []
+            for host, source, rule in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                if host not in known:
+                    if len(known) > 5000:
+                        known = {}
+                    known[host] = json.loads(rule)
+                w = known[host]
+                # each is told once
+                if w["template"] or w["outside"]:
+                    for node in absent(source.as_py(), w):
+                        out.append((host, *node))
+                        for part in ("template", "outside"):
+                            w[part] = [x for x in w[part] if tuple(x) != node]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in (zip(*out) if out else ((), (), ()))], names=["host", "path", "node"])
+
+    def strike(parts):
+        for batch in parts:
+            made = []
+            for rule, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                w, gone = json.loads(rule), {(x["path"], x["node"]) for x in gone or ()}
+                made.append(json.dumps(w | {part: [x for x in w[part] if tuple(x) not in gone] for part in ("template", "outside")}))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "wrapper"])
+
+    some = rules.where(~F.col("wrapper").endswith('"template": [], "outside": []}'))
+    gone = _with_rules(pages, some, "inner").select("host", "html", "wrapper").mapInArrow(look, "host string, path string, node string")
+    gone = stage(gone.groupBy("host").agg(F.collect_set(F.struct("path", "node")).alias("gone")), "html-varying")
+    return rules.join(gone, "host", "left").select("host", "wrapper", "gone").mapInArrow(strike, "host string, wrapper string")
+
+
 def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """page_id, url, text of every page."""
-    rules = stage(wrappers(pages, sample), "html-wrappers")
-    size = rules.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("wrapper") + 32), F.lit(0))).first()[0]
-    joined = with_host(pages).join(F.broadcast(rules) if size <= BROADCAST_BYTES else rules, "host", "left").select("page_id", "url", "html", "wrapper")
+    rules = stage(verified(pages, stage(wrappers(pages, sample), "html-wrappers")), "html-verified")
+    joined = _with_rules(pages, rules, "left").select("page_id", "url", "html", "wrapper")
 
     def run(parts):
         known: dict = {None: None}

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import json
 import random
 
 import pytest
@@ -50,6 +51,40 @@ def test_template_is_told_from_varying_nodes_of_its_path():
         assert html_extract.extract(page, w).split("\n\n") == list(want)
 
 
+def test_template_is_checked_on_all_pages_of_a_host(spark):
+    rng = random.Random(3)
+    lines = lambda i: (prose(rng, 40), "Standing text of one section" if i < 6 else prose(rng, 12))
+    texts = [lines(i) for i in range(12)]
+    pages = [f"{HEAD}<div class=x1><p class=a>{a}</p><p class=b>{b}</p><p class=c>Same everywhere</p></div></body>" for a, b in texts]
+    rows = [(i, f"https://h.example/{i}", p) for i, p in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = spark.createDataFrame([("h.example", json.dumps(html_extract.induce(pages[:6])))], "host string, wrapper string")
+    assert len(json.loads(rules.first()["wrapper"])["template"]) == 2
+    w = json.loads(html_extract.verified(df, rules).first()["wrapper"])
+    for page, want in zip(pages, texts):
+        assert html_extract.extract(page, w).split("\n\n") == list(want)
+
+
+def test_second_layout_of_a_host():
+    rng = random.Random(4)
+    box = "<div class=x1><p>{}</p></div>"
+    w = html_extract.induce([f"{HEAD}{box.format(prose(rng, 60))}</body>" for _ in range(6)])
+    assert w["region"].endswith("div.1.x:")
+    other = [prose(rng, 50) for _ in range(3)]
+    page = f"{HEAD}{box.format('A few words')}<div class=y>{''.join(f'<p>{p}</p>' for p in other)}</div></body>"
+    assert all(p in html_extract.extract(page, w).split("\n\n") for p in other)
+
+
+def test_long_outlines():
+    rng = random.Random(5)
+    pages = []
+    for _ in range(4):
+        many = "".join(f"<h2>{prose(rng, 2)}</h2><p class=k>{prose(rng, 8)}</p>" for _ in range(1000))
+        pages.append(f"{HEAD}<div class=x1><p class=k>Same</p>{many}</div><div class=y>{prose(rng, 20)}</div></body>")
+    w = html_extract.induce(pages)
+    assert w["region"] == "" and [len(html_extract.extract(p, w).split("\n\n")) >= 2000 for p in pages] == [True] * 4
+
+
 def test_equal_articles_of_a_host_are_kept():
     page = f"{HEAD}<nav>n</nav>{ARTICLE}</body>"
     assert html_extract.extract(page, html_extract.induce([page] * 4)).split("\n\n") == WANT
