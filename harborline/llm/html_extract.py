@@ -10,7 +10,8 @@ wrapper of its host; where its path is missing or holds less of the page's own t
 one page or outlines that were cut, the region is found on the page itself.
 
 Inside an article, plain text blocks (no class, id or role) are always content, even if every page has them: pages of a
-host may repeat an article. Furniture is told by element (nav, footer, form ...), role or class words.
+host may repeat an article. Furniture is told by element (nav, footer, form ...), role or class words; class words never
+make furniture of html, body, main, h1, an article (unless in another one) or what holds one of main, h1 and article.
 
 Defined cases: null, empty and text-less pages give an empty text; a null url is a host of its own; repeated rows are
 all extracted; pages keep all of their blocks, however long; columns beyond those named are not read.
@@ -85,6 +86,21 @@ class Node:
         return "".join(out)
 
 
+def unhint(node: Node) -> None:
+    """Class words count neither for elements of main text nor for those above; inside an article, parts of it may be articles."""
+    if node.tag in ("html", "body"):
+        node.hinted = False
+    if node.tag not in ("article", "main", "h1") and not node.label.endswith(":main"):
+        return
+    above = [node]
+    while above[-1].parent is not None and not above[-1].furniture:
+        above.append(above[-1].parent)
+        if above[-1].tag == "article":
+            return  # it has done so for those above
+    for x in above:
+        x.hinted = False
+
+
 def parse(source: str) -> Node:
     """A DOM of elements and decoded texts. Unclosed and misnested elements are closed where HTML would, roughly."""
     root = top = Node("#", "", None)
@@ -124,6 +140,7 @@ def parse(source: str) -> Node:
                 top = x = x.parent
         node = Node(tag, m[3], top)
         top.kids.append(node)
+        unhint(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|$)", re.I).search(source, at)
             node.kids.append(source[at : end.start() if end else n])

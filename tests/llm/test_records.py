@@ -85,6 +85,13 @@ def test_long_outlines():
     assert w["region"] == "" and [len(html_extract.extract(p, w).split("\n\n")) >= 2000 for p in pages] == [True] * 4
 
 
+def test_class_words_of_containers():
+    page = "<html><body class='single has-sidebar'><div class='content with-sidebar'><article class='post related'><h1>T</h1><p>text</p><div class=comments><article class='comment'>I say</article></div></article></div><div class=sidebar>side</div></body></html>"
+    assert html_extract.extract(page, None) == html_extract.extract(page, html_extract.induce([page.replace("text", x) for x in "abc"])) == "T\n\ntext"
+    assert html_extract.extract("<body id=banner><div class='page-header'><h1 class=banner>T</h1></div><p>text</p><div class=share>s</div></body>", None) == "T\n\ntext"
+    assert html_extract.extract("<div class='widget'><main class=social><p>text</p></main></div><p>rest</p>", None) == "text"
+
+
 def test_equal_articles_of_a_host_are_kept():
     page = f"{HEAD}<nav>n</nav>{ARTICLE}</body>"
     assert html_extract.extract(page, html_extract.induce([page] * 4)).split("\n\n") == WANT
