@@ -5,11 +5,11 @@ and a paragraph is inserted or deleted by adding or subtracting its vector. The
 
 * four 62-bit hashes of the paragraph, summed modulo 2^62: equality,
 * the counts of paragraphs and of pieces (up to four words of a line in a row, from its start),
-* 60 counters of 15 bits, four to a number summed modulo 2^60: for each piece, 60 bits of its hash.
+* 60 counters of 31 bits, two to a number summed modulo 2^62: for each piece, 60 bits of its hash.
 
 The counters tell likeness. With a bit as +1 or -1, the squared distance of two fingerprints is, on average, the
 number of pieces that only one text has, so likeness is 1 - distance / (both norms), within 0 and 1; equal fingerprints
-have likeness 1. Counters are told apart up to 32,767 pieces a text; beyond, equality holds and likeness is rougher.
+have likeness 1. A counter has room for 2^31 - 1 pieces, more than a text can have: it has fewer than 2^31 bytes.
 
 Defined cases: null and empty texts are one empty paragraph with no piece; two texts without pieces have likeness 1 if
 their fingerprints are equal, else 0; of equal ids the order is by text; one document alone is its own next; a null id
@@ -25,9 +25,9 @@ from .common import shuffle_partitions, table
 
 SEEDS = (1, 2, 3, 4)
 EQUAL_MASK = (1 << 62) - 1
-LANES, LANE_BITS = 15, 15
-LANE_MASK = (1 << 60) - 1
-PICK = sum(1 << (LANE_BITS * i) for i in range(4))
+LANES, LANE_BITS = 30, 31
+LANE_MASK = (1 << 62) - 1
+PICK = sum(1 << (LANE_BITS * i) for i in range(2))
 PIECE = r"[^\s]+(?:[ \t]+[^\s]+){0,3}"
 
 def _long(value: int) -> Column:
@@ -47,7 +47,7 @@ def equality(text: Column) -> Column:
 
 
 def counters(text: Column) -> Column:
-    """Sums over the pieces of the paragraphs of a text that is not null: their number and c0 .. c14."""
+    """Sums over the pieces of the paragraphs of a text that is not null: their number and c0 .. c29."""
     return F.aggregate(
         F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)),
         F.struct(_long(0).alias("pieces"), *(_long(0).alias(f"c{i}") for i in range(LANES))),
@@ -84,7 +84,7 @@ def signs(counts: Column) -> Column:
     """The 60 sums of +1 and -1, as an array of doubles."""
     n = counts["pieces"]
     return F.flatten(F.transform(F.array(*(counts[f"c{i}"] for i in range(LANES))), lambda c: F.array(
-        *((2 * F.shiftrightunsigned(c, lane * LANE_BITS).bitwiseAND(_long((1 << LANE_BITS) - 1)) - n).cast("double") for lane in range(4))
+        *((2 * F.shiftrightunsigned(c, lane * LANE_BITS).bitwiseAND(_long((1 << LANE_BITS) - 1)) - n).cast("double") for lane in range(2))
     )))
 
 

@@ -102,6 +102,19 @@ def test_fingerprints_are_sums(spark):
     assert r["sum"] == fp[1] and r["rest"] == fp[2]
 
 
+def test_likeness_of_long_texts(spark):
+    rng = random.Random(9)
+    lines = lambda n: "\n".join(f"{rng.getrandbits(40):x}" for _ in range(n))
+    one, other = lines(100_000), lines(100_000)
+    half = one[: len(one) // 2] + other[len(other) // 2 :]
+    pairs = [(0, one, other), (1, one, half), (2, "ab cd\n" * 100, "ef gh\n" * 100), (3, "ab cd\n" * 100_000, "ef gh\n" * 100_000)]
+    df = spark.createDataFrame(pairs, "i int, a string, b string")
+    prints = df.select("i", *(f(F.col(c)).alias(c + k) for c in "ab" for k, f in (("e", fingerprints.equality), ("c", fingerprints.counters)))).localCheckpoint()
+    signs = prints.select("i", "ae", "be", *(fingerprints.signs(F.col(c)).alias(c) for c in ("ac", "bc")))
+    got = {r["i"]: r["x"] for r in signs.select("i", fingerprints.likeness(F.col("ae"), F.col("ac"), F.col("be"), F.col("bc")).alias("x")).collect()}
+    assert got[0] < 0.4 and 0.3 < got[1] < 0.75 and abs(got[2] - got[3]) < 1e-9
+
+
 def test_next_wraps_over_many_ranges(spark):
     ids = [5, 9, 2, 2, None, 7, 100, -4]
     df = spark.createDataFrame([(d, f"t{k}", k) for k, d in enumerate(ids)], "doc_id long, text string, k int")
