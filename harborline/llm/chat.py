@@ -9,7 +9,8 @@ text can hold a control string and the change can be undone; in roles a line fee
 
 Defined cases: a null role or text is empty; a null score counts as 0; ties of branches go to the smaller leaf id; a
 parent that is null or absent makes a root; a message that is its own ancestor has no root and is not formatted; of
-repeated node ids of a tree one is kept, that with the smallest (parent, role, text).
+repeated node ids of a tree one is kept, that with the smallest (parent, role, text); a null tree or node id is an id like
+others, so messages of a null tree id are one tree, but nothing replies to a null node id, as a null parent makes a root.
 """
 
 from __future__ import annotations
@@ -42,7 +43,11 @@ def unescape_role(role: Column) -> Column:
 
 def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     """tree_id, root_id, leaf_id, rank and for each message of the path: depth, node_id. The best `top` of each root (None: all)."""
-    nodes = stage(messages.select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "chat-nodes")
+    # in structs, null ids are equal
+    kind = messages.schema["node_id"].dataType
+    ids = [F.struct(F.col(c).alias("id")).alias(c) for c in ("tree_id", "node_id")]
+    parent = F.when(F.col("parent_id").isNotNull(), F.struct(F.col("parent_id").cast(kind).alias("id")))
+    nodes = stage(messages.select(*ids, parent.alias("parent_id"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score")), "chat-nodes")
     known = nodes.select("tree_id", F.col("node_id").alias("up"))
     hop = nodes.select("tree_id", "node_id", F.col("parent_id").alias("up")).join(known, ["tree_id", "up"], "left_semi").select("tree_id", "node_id", "up")
     leaves = nodes.join(hop.select("tree_id", F.col("up").alias("node_id")), ["tree_id", "node_id"], "left_anti").select("tree_id", "node_id")
@@ -66,7 +71,8 @@ def branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     )
     if top is not None:
         ranked = ranked.where(F.col("rank") <= top)
-    return path.join(ranked, ["tree_id", "leaf_id"]).select("tree_id", "root_id", "leaf_id", "rank", "node_id", (F.col("last") - F.col("above")).alias("depth"))
+    plain = lambda c: F.col(c)["id"].alias(c)
+    return path.join(ranked, ["tree_id", "leaf_id"]).select(plain("tree_id"), plain("root_id"), plain("leaf_id"), "rank", plain("node_id"), (F.col("last") - F.col("above")).alias("depth"))
 
 
 def format_branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
@@ -76,7 +82,7 @@ def format_branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     messages = stage(messages.select("tree_id", "node_id", "parent_id", "role", "text", "score"), "chat-messages")
     role, text = escape_role(F.coalesce("role", F.lit(""))), escape(F.coalesce("text", F.lit("")))
     turns = messages.select(
-        "tree_id", "node_id",
+        F.col("tree_id").alias("of_tree"), F.col("node_id").alias("of_node"),
         F.concat(F.lit(START), role, F.lit("\n"), text, F.lit(END + "\n")).alias("turn"),
         (F.length(role) + len(START) + 1).cast("long").alias("lead"),
         F.length(text).cast("long").alias("chars"),
@@ -84,7 +90,8 @@ def format_branches(messages: DataFrame, top: int | None = 1) -> DataFrame:
     )
     keys = ["tree_id", "root_id", "leaf_id", "rank"]
     before = Window.partitionBy("tree_id", "leaf_id").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
-    rows = branches(messages, top).join(turns, ["tree_id", "node_id"]).withColumn("at", F.coalesce(F.sum(F.length("turn")).over(before), F.lit(0)))
+    same = F.col("tree_id").eqNullSafe(F.col("of_tree")) & F.col("node_id").eqNullSafe(F.col("of_node"))
+    rows = branches(messages, top).join(turns, same).withColumn("at", F.coalesce(F.sum(F.length("turn")).over(before), F.lit(0)))
     span = F.when(F.col("learn"), F.struct((F.col("at") + F.col("lead")).alias("start"), F.col("chars").alias("length")))
     both = F.sort_array(F.collect_list(F.struct("depth", "turn", span.alias("span"))))
     return (

@@ -159,6 +159,20 @@ def test_chat_query(spark, tmp_path):
     assert [r["conv_id"] for r in chat.query(spark, str(tmp_path)).collect()] == [-1]
 
 
+def test_chat_with_null_ids(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "user", "c"), (3, 0, "assistant", "d")]
+    save(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tmp_path, "conversations")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = chat.query(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(chat.SQL).fetchall(), key=str) and len(got) == 3
+    nodes = [(None, None, None, "user", "x", 0.0), (None, 1, None, "user", "y", 0.0), (None, 2, 1, "user", "z", 0.0), (5, None, 1, "user", "v", 0.0), (5, 1, None, "user", "w", 0.0)]
+    df = spark.createDataFrame(nodes, "tree_id long, node_id long, parent_id long, role string, text string, score double")
+    made = {(r["tree_id"], r["root_id"], r["leaf_id"]): [t.split("\n")[1] for t in r["formatted"].split("<|im_end|>\n")[:-1]] for r in chat.format_branches(df).collect()}
+    assert made == {(None, None, None): ["x"], (None, 1, 2): ["y", "z"], (5, 1, None): ["w", "v"]}
+
+
 def test_reply_trees(spark):
     # 1 - 2 - 4, 1 - 3 - 5, 3 - 6; 7 alone; 8 and 9 point at each other; 10 has a parent that is not there; 2 stands twice
     rows = [(1, None, 0.0), (2, 1, 5.0), (2, 1, 5.0), (3, 1, 1.0), (4, 2, 1.0), (5, 3, 9.0), (6, 3, None), (7, None, 0.0), (8, 9, 0.0), (9, 8, 0.0), (10, 99, 1.0)]
