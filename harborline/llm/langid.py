@@ -8,7 +8,8 @@ on training texts that the models have not seen, also in short snippets; a text
 `reject`, or whose cross-entropy lies above what its language shows on such texts, is rejected.
 
 Models are fitted on a bounded sample: at most TRAIN_DOCS labelled rows of each language of up to TRAIN_CHARS
-characters each. All texts are scored whole.
+characters each, and windows of longer texts where a language has too few of these. Every language is learned, however
+many there are, in memory for all n-grams times all languages. All texts are scored whole.
 
 Defined cases: null texts and texts without letters are "und" with score 0; a single learned language gives score 1
 for texts it does not reject; without any labelled row every text is "und"; ties go to the first language by name.
@@ -27,7 +28,6 @@ ORDER = 4
 #: Bounds of the training sample, for each language.
 TRAIN_DOCS = 600
 TRAIN_CHARS = 20_000
-MAX_LANGS = 256
 #: Share of the sample that calibrates instead of fitting.
 HELD = 0.2
 REJECT = 0.5
@@ -218,18 +218,31 @@ class Model:
 
 
 def sample(rows: DataFrame, label: str, most: int, max_chars: int = TRAIN_CHARS) -> dict[str, list[str]]:
-    """At most `most` texts of each label, those of the smallest hashes; texts of 1 to max_chars characters."""
-    rows = rows.select(F.col("doc_id"), F.col("text"), F.col(label).cast("string").alias("label")).where("label is not null and text is not null")
-    rows = rows.where(F.length("text").between(1, max_chars)).withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGS).collect()}
+    """At most `most` texts of each label, those of the smallest hashes; texts of 1 to max_chars characters and, for labels that
+    have fewer than `most` of them, windows of max_chars characters from longer texts."""
+    rows = rows.select(F.col("doc_id"), F.col("text"), F.col(label).cast("string").alias("label")).where("label is not null and text != ''")
+    rows = rows.withColumns({"h": F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)), "long": F.length("text") > max_chars})
+    counts: dict[str, dict[bool, int]] = {}
+    for r in rows.groupBy("label", "long").count().collect():
+        counts.setdefault(r["label"], {})[r["long"]] = r["count"]
     if not counts:
         return {}
-    limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 40) * min(1.0, 1.3 * most / n + 20 / n))).cast("long"))])
+    below: dict[bool, list] = {False: [], True: []}
+    for k, n in sorted(counts.items()):
+        wanted = most
+        for long in (False, True):
+            if wanted > 0 and n.get(long):
+                below[long] += [F.lit(k), F.lit(int((1 << 40) * min(1.0, 1.3 * wanted / n[long] + 20 / n[long]))).cast("long")]
+            wanted -= n.get(long, 0)
+    at = lambda pairs: F.create_map(*pairs)[F.col("label")] if pairs else F.lit(None).cast("long")
+    start = (F.col("h") % (F.length("text") - max_chars + 1) + 1).cast("int")
+    text = F.when(F.col("long"), F.substr("text", start, F.lit(max_chars))).otherwise(F.col("text")).alias("text")
+    chosen = rows.where(F.col("h") < F.when(F.col("long"), at(below[True])).otherwise(at(below[False])))
     found: dict[str, list[tuple]] = {}
     # about 1.3 times `most` rows of each label reach the driver
-    for r in rows.where(F.col("h") < limit[F.col("label")]).select("label", "h", "text").toLocalIterator():
-        found.setdefault(r["label"], []).append((r["h"], r["text"]))
-    return {k: [t for _, t in sorted(v)[:most]] for k, v in found.items()}
+    for r in chosen.select("label", "long", "h", text).toLocalIterator():
+        found.setdefault(r["label"], []).append((r["long"], r["h"], r["text"]))
+    return {k: [t for _, _, t in sorted(v)[:most]] for k, v in found.items()}
 
 
 def train(labelled: DataFrame, most: int = TRAIN_DOCS, order: int = ORDER) -> Model | None:

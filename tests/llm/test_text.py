@@ -157,6 +157,13 @@ def test_language_query(spark, tmp_path):
     assert {r["lang_pred"] for r in langid.query(spark, str(tmp_path)).collect()} == {"und"}
 
 
+def test_every_label_is_learned(spark):
+    rows = [(i, f"text {i}", f"l{i % 300}") for i in range(600)] + [(1000 + i, f"{i} " + "long " * 30, "far" if i % 2 else "l0") for i in range(10)]
+    got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", 2, 100)
+    assert set(got) == {f"l{i}" for i in range(300)} | {"far"}
+    assert sorted(got["l0"]) == ["text 0", "text 300"] and [len(t) for t in got["far"]] == [100, 100]
+
+
 def _gradient_loss(net, v, index, gold):
     proj = net.inputs(v)
     z = net.run(proj, np.where(index >= 0, v.of[np.maximum(index, 0)], -1))
