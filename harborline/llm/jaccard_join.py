@@ -18,11 +18,16 @@ Hashes travel packed: each task sorts its own into blobs by bucket, so a shuffle
 Equal sets of a task send their hashes once, so groups of copies do not pile up in a bucket.
 
 Candidates of a hash are not paired with each other. First each meets the least document of its hash only; those pairs
-are verified and give components. A hash whose documents are in one component is done. In the others, documents outside
-its largest component meet those of other components, and only pairs that are not yet joined are verified.
+are verified and give components. A hash whose documents are in one component is done. Sets that meet a set of another
+component in some hash are partitioned once more, as finely as can be: each shingle is a segment, its cost is how many of
+these sets have it, and a set spends on the cheapest. Of |r & s| >= t shingles in common at least one is among the
+|r| - t + 1 cheapest of r and the |s| - t + 1 cheapest of s, so only sets of different components that meet there are
+paired. A member of a large group that is too far from its centre differs from it in more shingles than that, and these
+are its own: it meets nobody, however large the group.
 
 Defined cases: null and word-less texts have an empty set, linked with nothing; texts below five words are one shingle;
 of rows that repeat a doc_id each is linked by its own text and all are one node; a null doc_id is linked with nothing.
+An empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Words, mix, pieces, release, rolling, shuffle_partitions, stage, table, text_buffers, unstage
@@ -43,6 +48,8 @@ SHINGLE = 5
 #: Similarity as a percentage.
 PERCENT = 75
 SMALL = 256
+#: The bits of the hash of a set that tell sets of one doc_id apart.
+TAG = 0x7FFFFFFF
 #: Hashes a task holds before it sends them.
 HELD = 1_500_000
 
@@ -182,20 +189,25 @@ def _planes(a: np.ndarray) -> bytes:
 
 
 _ROW = (np.uint64, np.uint32, np.uint8, np.uint16)  # hash, number of the document in the blob, flags, segment
-_DOC = (np.int64, np.uint32, np.int16, np.uint8)  # doc, n, slack, fat
+_DOC = (np.int64, np.uint32, np.int16, np.uint8, np.int32)  # doc, n, slack, fat, tag
 
 
-def pack(sig: np.ndarray, doc: np.ndarray, n: np.ndarray, slack: np.ndarray, fat: np.ndarray, flags: np.ndarray, seg: np.ndarray) -> bytes:
-    """Rows sorted by hash; what is known of a document stands once."""
-    _, first, number = np.unique(doc, return_index=True, return_inverse=True)
+def pack(sig: np.ndarray, doc: np.ndarray, n: np.ndarray, slack: np.ndarray, fat: np.ndarray, tag: np.ndarray, flags: np.ndarray, seg: np.ndarray) -> bytes:
+    """Rows sorted by hash; what is known of a set stands once. A tag tells sets of one doc_id apart."""
+    order = np.lexsort((n, tag, doc))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in (doc, tag, n)])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = order[new]
     head = np.array([len(sig), len(first)], np.int64).tobytes()
     rows = [np.diff(sig, prepend=np.uint64(0)), number, flags, seg]
-    docs = [c[first] for c in (doc, n, slack, fat)]
+    docs = [c[first] for c in (doc, n, slack, fat, tag)]
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(_planes(c.astype(k)) for c, k in zip([*rows, *docs], _ROW + _DOC)))
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
-    """sig, doc, n, slack, fat, flags, seg."""
+    """sig, doc, n, slack, fat, tag, flags, seg."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
     lengths, at, out = data[:16].view(np.int64), 16, []
     for i, kind in enumerate(_ROW + _DOC):
@@ -260,7 +272,7 @@ def _blobs(documents: DataFrame, buckets: int, percent: int, shingle: int) -> Da
                 (sig, row, flags, seg), slack, fat = signatures(key, at, np.array(fresh, np.int64), percent)
                 if (short := np.flatnonzero(slack + fat < 0)).size:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(short), -1)), pa.nulls(len(short), pa.binary()), pa.array(ids[i + short]), pa.array(n[short].astype(np.int64))], schema=_BLOB)
-                held.append([sig, ids[i + row], n[row], np.clip(slack[row], -32768, 32767), fat[row], flags, seg])
+                held.append([sig, ids[i + row], n[row], np.clip(slack[row], -32768, 32767), fat[row], (h1[row] & np.uint64(TAG)).astype(np.int32), flags, seg])
                 count += len(sig)
                 if count >= HELD:
                     yield from flush()
@@ -273,7 +285,7 @@ def _blobs(documents: DataFrame, buckets: int, percent: int, shingle: int) -> Da
     return documents.mapInArrow(run, "bucket long, blob binary, doc long, n long")
 
 
-_SHARED = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("slack", pa.int32()), ("fat", pa.int32()), ("flags", pa.int32()), ("seg", pa.int64()), ("full", pa.int64()), ("less", pa.int64())])
+_SHARED = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("slack", pa.int32()), ("fat", pa.int32()), ("tag", pa.int32()), ("flags", pa.int32()), ("seg", pa.int64()), ("full", pa.int64()), ("less", pa.int64())])
 
 
 def _shared(blobs: DataFrame) -> DataFrame:
@@ -282,15 +294,15 @@ def _shared(blobs: DataFrame) -> DataFrame:
 
     def emit(held):
         columns = [np.concatenate(x) for x in zip(*(unpack(b) for b in held))]
-        order = np.lexsort((columns[1], columns[0]))
-        sig, doc, n, slack, fat, flags, seg = (c[order] for c in columns)
+        order = np.lexsort((columns[5], columns[1], columns[0]))
+        sig, doc, n, slack, fat, tag, flags, seg = (c[order] for c in columns)
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         many = np.diff(np.append(first, len(sig)))
-        docs = np.add.reduceat(np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])]).astype(np.int64), first)
+        docs = np.add.reduceat(np.concatenate([[True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])]).astype(np.int64), first)
         full = np.add.reduceat((flags & DELETED == 0).astype(np.int64), first)
         ok = np.repeat((docs > 1) & (full > 0), many)
         full, less = np.repeat(full, many)[ok], np.repeat(many - full, many)[ok]
-        rows = [sig[ok].view(np.int64), doc[ok], n[ok], slack[ok], fat[ok], flags[ok], seg[ok], full, less]
+        rows = [sig[ok].view(np.int64), doc[ok], n[ok], slack[ok], fat[ok], tag[ok], flags[ok], seg[ok], full, less]
         for i in range(0, len(full), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]).cast(f.type) for c, f in zip(rows, _SHARED)], schema=_SHARED)
 
@@ -309,7 +321,7 @@ def _shared(blobs: DataFrame) -> DataFrame:
         if held:
             yield from emit(held)
 
-    ddl = "sig long, doc long, n long, slack int, fat int, flags int, seg long, full long, less long"
+    ddl = "sig long, doc long, n long, slack int, fat int, tag int, flags int, seg long, full long, less long"
     return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl)
 
 
@@ -335,19 +347,19 @@ def allocate(n: int, slack: int, fat: int, touched: dict[int, tuple[int, int, bo
     return spent
 
 
-_CHOSEN = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("deleted", pa.bool_()), ("probe", pa.int32()), ("done", pa.bool_())])
+_CHOSEN = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("deleted", pa.bool_()), ("probe", pa.int32())])
 
 
 def _choose(shared: DataFrame, percent: int) -> DataFrame:
-    """The rows of shared with probe: 0 not looked up, 1 among full segments, 2 also among those with one left out; and done:
-    the budget is met where nobody else is, so no set of this size or less can be similar."""
+    """The rows of shared with probe: 0 not looked up, 1 among full segments, 2 also among those with one left out. A set whose
+    budget is met where nobody else is looks nowhere: no set of this size or less can be similar."""
 
     def decide(rows):
-        _, doc, n, slack, fat = rows[0][:5]
+        _, doc, n, slack, fat, tag = rows[0][:6]
         if n > SMALL:
-            rows = [(*r[:6], k, *r[7:]) for k, r in enumerate(rows)]
+            rows = [(*r[:7], k, *r[8:]) for k, r in enumerate(rows)]
         cost: dict[int, list] = {}
-        for _, _, _, _, _, flags, seg, full, less in rows:
+        for *_, flags, seg, full, less in rows:
             if flags & OWN:
                 c = cost.setdefault(seg, [0, 0, False])
                 c[2] |= bool(flags & FAT)
@@ -358,19 +370,19 @@ def _choose(shared: DataFrame, percent: int) -> DataFrame:
                     c[1] += less
         spent = allocate(n, slack, fat, {k: tuple(v) for k, v in cost.items()}, percent)
         done = not any(v[0] or e and v[1] for v, e in ((cost[k], e) for k, e in spent.items()))
-        for sig, _, _, _, _, flags, seg, _, _ in rows:
+        for sig, *_, flags, seg, _, _ in rows:
             e = spent.get(seg, -1) if flags & OWN and not done else -1
             deleted = bool(flags & DELETED)
-            yield sig, doc, n, deleted, 0 if e < 0 or deleted and e < 1 else 2 if e == 1 and not deleted else 1, done
+            yield sig, doc, tag, deleted, 0 if e < 0 or deleted and e < 1 else 2 if e == 1 and not deleted else 1
 
     def run(parts):
         current, rows, out = None, [], []
         for batch in parts:
             for x in zip(*(c.to_pylist() for c in batch.columns)):
-                if x[1:3] != current:
+                if (x[1], x[2], x[5]) != current:
                     if rows:
                         out.extend(decide(rows))
-                    current, rows = x[1:3], []
+                    current, rows = (x[1], x[2], x[5]), []
                     if len(out) >= 20_000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CHOSEN)], schema=_CHOSEN)
                         out = []
@@ -380,11 +392,11 @@ def _choose(shared: DataFrame, percent: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CHOSEN)], schema=_CHOSEN)
 
-    return shared.repartition("doc").sortWithinPartitions("doc", "n").mapInArrow(run, "sig long, doc long, n long, deleted boolean, probe int, done boolean")
+    return shared.repartition("doc").sortWithinPartitions("doc", "n", "tag").mapInArrow(run, "sig long, doc long, tag int, deleted boolean, probe int")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """doc, t, p of the documents named in wanted: the shingles, and a bit for each of 64 * 2^k classes of them that tells whether it
+    """doc, h1, t, p of the documents named in wanted: a hash of the set, the shingles, and a bit for each of 64 * 2^k classes of them that tells whether it
     has an odd number. Where the bits of two sets differ, so do the sets, once at least."""
 
     def run(parts):
@@ -399,9 +411,9 @@ def _sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 parity = np.zeros(where[-1], np.uint64)
                 np.bitwise_xor.at(parity, where[owner] + ((h >> np.uint64(6)).astype(np.int64) & (words[owner] - 1)), np.uint64(1) << (h & np.uint64(63)))
                 lists = [pa.ListArray.from_arrays(pa.array(a.astype(np.int32)), pa.array(v.view(np.int64))) for a, v in ((at, key), (where, parity))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *lists], names=["doc", "t", "p"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(set_hashes(key, at)[0].view(np.int64)), *lists], names=["doc", "h1", "t", "p"])
 
-    return documents.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, t array<bigint>, p array<bigint>")
+    return documents.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, h1 long, t array<bigint>, p array<bigint>")
 
 
 def _folded(p: Column, size: Column) -> Column:
@@ -423,6 +435,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(a, "u").join(b, "v").where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
+def _tops(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """key, top of the keys whose rows are in several components: the one with the most rows."""
+    most = rows.groupBy(key, "c").agg(F.count("*").alias("k")).groupBy(key).agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("several"))
+    return stage(most.where("several > 1").select(key, F.col("top.c").alias("top")), name)
+
+
+def _apart(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs u < v of documents that may be similar, of sets (doc, h1, n, c, t) of different c: each shingle is a segment, and
+    sets spend on those that the fewest have."""
+    shingles = sets.select("doc", "h1", "n", "c", F.explode("t").alias("g"))
+    many = stage(shingles.groupBy("g").agg(F.count("*").alias("f")).where("f > 1"), "jaccard-frequent")
+    of_set = Window.partitionBy("doc", "h1")
+    # place in the order of costs, after the shingles that nobody else has
+    at = F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("f", "g")) - 1
+    cheap = shingles.join(many, "g").withColumn("at", at).where(F.expr(f"100 * at <= {100 - percent} * n")).drop("h1", "f")
+    cheap = stage(cheap, "jaccard-cheap")
+    unstage(many)
+    m = stage(cheap.join(_tops(cheap, "g", "jaccard-tops"), "g"), "jaccard-meet")
+    unstage(cheap)
+    x, m = (m.select("g", *(F.col(c).alias(c + k) for c in ("doc", "n", "c", "at"))) for k, m in (("v", m), ("u", m.where("c != top"))))
+    least = f"(({percent} * (nu + nv) + {99 + percent}) div {100 + percent})"
+    near = f"cu != cv and 100 * nv >= {percent} * nu and 100 * nu >= {percent} * nv and atu <= nu - {least} and atv <= nv - {least}"
+    pairs = m.withColumnRenamed("g", "gu").join(x, F.expr(f"g = gu and {near}"))
+    return pairs.select(F.least("docu", "docv").alias("u"), F.greatest("docu", "docv").alias("v")).where("u != v").distinct()
+
+
 def components(documents: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, buckets: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = documents.sparkSession
@@ -431,41 +469,46 @@ def components(documents: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     shared = stage(_shared(_blobs(rows, buckets or shuffle_partitions(spark), percent, shingle)), "jaccard-shared")
     release(spark)
     chosen = stage(_choose(shared.where("sig is not null"), percent), "jaccard-chosen")
-    weak = stage(shared.where("sig is null").select(F.col("doc").alias("u"), F.col("n").alias("m")).distinct(), "jaccard-weak")
+    weak = stage(shared.where("sig is null").select("n").distinct(), "jaccard-weak")
     unstage(shared)
+    known = docs.where("doc is not null and n > 0")
     # aggregates are tables of their own: a join whose sides are both dealt anew can be split where a key is hot
     probed = stage(chosen.groupBy("sig").agg(F.max("probe").alias("p"), F.min(F.when(~F.col("deleted"), F.col("doc"))).alias("d0")).where("p > 0").drop("p"), "jaccard-hashes")
-    chosen = stage(chosen.join(probed, "sig"), "jaccard-probed")
+    meet = stage(chosen.join(probed, "sig").select("sig", "doc", "tag", "d0"), "jaccard-probed")
+    unstage(chosen)
+    unstage(probed)
     release(spark)
-    known = docs.where("doc is not null and n > 0")
-    # sets whose segments fall short meet all of their size; the room given to segments makes these next to none
-    short = weak.join(known.select(F.col("doc").alias("v"), "n"), (100 * F.col("n") >= percent * F.col("m")) & (100 * F.col("m") >= percent * F.col("n")) & (F.col("u") != F.col("v"))).select("u", "v") if weak.limit(1).count() else None
-    wanted = chosen.select("doc")
-    if short is not None:
-        wanted = wanted.unionByName(short.select(F.col("u").alias("doc"))).unionByName(short.select(F.col("v").alias("doc")))
+    wanted = meet.select("doc")
+    # sets whose segments fall short of their budget are compared with all of their size; the room given to segments makes these next to none
+    short = None
+    if weak.limit(1).count():
+        sizes = weak.select(F.explode(F.expr(f"sequence(cast(ceil({percent} * n / 100) as bigint), n * 100 div {percent})")).alias("n")).distinct()
+        short = stage(known.join(sizes, "n", "left_semi").select("doc", "h1"), "jaccard-short")
+        wanted = wanted.unionByName(short.select("doc"))
     sets = stage(_sets(rows, wanted.distinct(), shingle), "jaccard-sets")
     release(spark)
     pair = (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    first = chosen.where("doc != d0").select(F.col("d0").alias("u"), F.col("doc").alias("v"))
-    first = stage((first if short is None else first.unionByName(short)).select(*pair).distinct(), "jaccard-pairs")
+    first = stage(meet.where("doc != d0").select(F.col("d0").alias("u"), F.col("doc").alias("v")).select(*pair).distinct(), "jaccard-pairs")
     edges = stage(_verified(first, sets, percent), "jaccard-edges")
     release(spark)
     classes = stage(known.groupBy("h1", "h2", "n").agg(F.min("doc").alias("u"), F.count("*").alias("c")).where("c > 1").drop("c"), "jaccard-classes")
     copies = known.join(classes, ["h1", "h2", "n"]).where("doc != u").select("u", F.col("doc").alias("v"))
     found = connected(edges.unionByName(copies))
-    # hashes whose documents are not all joined yet
-    placed = chosen.drop("d0").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
-    placed = stage(placed, "jaccard-placed")
-    most = placed.groupBy("sig", "c").agg(F.count("*").alias("k")).groupBy("sig").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("several")).where("several > 1").select("sig", F.col("top.c").alias("top"))
-    most = stage(most, "jaccard-most")
-    mixed = stage(placed.join(most, "sig"), "jaccard-mixed")
+    # sets that meet one of another component, each once
+    label = found.select(F.col("node").alias("doc"), F.col("component").alias("c"))
+    placed = stage(meet.select("sig", "doc", "tag").join(label, "doc", "left").withColumn("c", F.coalesce("c", "doc")), "jaccard-placed")
+    unstage(meet)
+    several = stage(placed.groupBy("sig").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least != most").select("sig"), "jaccard-several")
+    mixed = placed.join(several, "sig").select("doc", "tag", "c").distinct()
+    mixed = known.join(mixed, "doc").where(F.col("h1").bitwiseAND(TAG).cast("int") == F.col("tag")).select("doc", "h1", "h2", "n", "c")
+    if short is not None:
+        mixed = mixed.unionByName(known.join(short, ["doc", "h1"], "left_semi").join(label, "doc", "left").select("doc", "h1", "h2", "n", F.coalesce("c", "doc").alias("c")))
+    mixed = stage(mixed.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc", "c")).alias("m")).select("m.doc", "h1", "n", "m.c"), "jaccard-mixed")
+    unstage(placed)
+    release(spark)
+    second = _apart(sets.select("doc", "h1", "t").join(mixed, ["doc", "h1"]), percent)
+    second = stage(second.join(first, ["u", "v"], "left_anti"), "jaccard-second")
     release(spark)
-    m = mixed.where("c != top").select("sig", F.col("doc").alias("u"), F.col("n").alias("nu"), F.col("deleted").alias("du"), F.col("probe").alias("pu"), F.col("c").alias("cu"), F.col("done").alias("eu"))
-    x = mixed.select(F.col("sig").alias("sx"), F.col("doc").alias("v"), F.col("n").alias("nv"), F.col("deleted").alias("dv"), F.col("probe").alias("pv"), F.col("c").alias("cv"), F.col("done").alias("ev"))
-    # the larger looks for the smaller; of equal sizes either may, unless the other is done
-    looks = lambda p, q, a, b, e: f"({p} > 0 and ({b} < {a} or {b} = {a} and not {e}) and 100 * {b} >= {percent} * {a} and (not {q} or {p} = 2))"
-    test = f"sig = sx and cu != cv and not (du and dv) and ({looks('pu', 'dv', 'nu', 'nv', 'ev')} or {looks('pv', 'du', 'nv', 'nu', 'eu')})"
-    second = m.join(x, F.expr(test)).select(*pair).distinct().join(first, ["u", "v"], "left_anti")
     more = stage(_verified(second, sets, percent), "jaccard-more")
     if more.limit(1).count():
         found = connected(edges.unionByName(copies).unionByName(more))
