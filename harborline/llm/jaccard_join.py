@@ -32,7 +32,6 @@ An empty table gives no rows. Extra columns are not read.
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -51,7 +50,9 @@ SMALL = 256
 #: The bits of the hash of a set that tell sets of one doc_id apart.
 TAG = 0x7FFFFFFF
 #: Hashes a task holds before it sends them.
-HELD = 1_500_000
+HELD = 600_000
+#: Rows for which budgets are spent at a time.
+SPENT = 100_000
 
 
 def distance(total: int, percent: int = PERCENT) -> int:
@@ -272,7 +273,8 @@ def _blobs(documents: DataFrame, buckets: int, percent: int, shingle: int) -> Da
                 (sig, row, flags, seg), slack, fat = signatures(key, at, np.array(fresh, np.int64), percent)
                 if (short := np.flatnonzero(slack + fat < 0)).size:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(short), -1)), pa.nulls(len(short), pa.binary()), pa.array(ids[i + short]), pa.array(n[short].astype(np.int64))], schema=_BLOB)
-                held.append([sig, ids[i + row], n[row], np.clip(slack[row], -32768, 32767), fat[row], (h1[row] & np.uint64(TAG)).astype(np.int32), flags, seg])
+                tag = (h1 & np.uint64(TAG)).astype(np.int32)
+                held.append([sig, ids[i + row], n.astype(np.uint32)[row], np.clip(slack, -32768, 32767).astype(np.int16)[row], fat.astype(np.uint8)[row], tag[row], flags, seg.astype(np.uint16)])
                 count += len(sig)
                 if count >= HELD:
                     yield from flush()
@@ -294,6 +296,16 @@ def _shared(blobs: DataFrame) -> DataFrame:
 
     def emit(held):
         columns = [np.concatenate(x) for x in zip(*(unpack(b) for b in held))]
+        held.clear()
+        # most hashes are met once
+        order = np.argsort(columns[0], kind="stable")
+        sig = columns[0][order]
+        again = np.concatenate([[False], sig[1:] == sig[:-1]])
+        again[:-1] |= again[1:]
+        order = order[again]
+        if not len(order):
+            return
+        columns = [c[order] for c in columns]
         order = np.lexsort((columns[5], columns[1], columns[0]))
         sig, doc, n, slack, fat, tag, flags, seg = (c[order] for c in columns)
         first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
@@ -325,72 +337,77 @@ def _shared(blobs: DataFrame) -> DataFrame:
     return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl)
 
 
-def allocate(n: int, slack: int, fat: int, touched: dict[int, tuple[int, int, bool]], percent: int = PERCENT) -> dict[int, int]:
-    """Spend the budget of a set of n shingles where it costs least.
+def allocate(group: np.ndarray, seg: np.ndarray, flags: np.ndarray, full: np.ndarray, less: np.ndarray, n: np.ndarray, slack: np.ndarray, fat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spend the budget of each set where it costs least.
 
-    touched: segment to its cost with allowance 0, the further cost of allowance 1, and whether that is offered. All other
-    segments cost nothing. Returns the allowance of each touched segment that is looked at.
+    Rows are the shared hashes of sets 0.. (group); n, slack, fat stand once for each set. Segments without a shared hash cost
+    nothing. Another shared segment costs the sets that have it too; allowance 1 costs further those with one left out.
+    Returns the allowance of each row's segment (-1: not looked at), and for each set whether it is done: nothing that it
+    has to spend on costs anything.
     """
-    small = n <= SMALL
-    need = len(touched) - slack
-    if small:
-        need -= fat - sum(v[2] for v in touched.values())
-    spent: dict[int, int] = {}
-    heap = [(c, s, 0) for s, (c, _, _) in touched.items()]
-    heapq.heapify(heap)
-    while heap and (need > 0 or heap[0][0] == 0):
-        _, s, e = heapq.heappop(heap)
-        spent[s] = e
-        need -= 1
-        if e == 0 and small and touched[s][2]:
-            heapq.heappush(heap, (touched[s][1], s, 1))
-    return spent
+    own = np.flatnonzero(flags & OWN)
+    width = int(seg.max()) + 1 if len(seg) else 1
+    where, place = np.unique(group[own] * width + seg[own], return_inverse=True)
+    of = where // width
+    deleted = flags[own] & DELETED > 0
+    add = lambda w: np.bincount(place, weights=w, minlength=len(where)).astype(np.int64)
+    cost = add(np.where(deleted, 0, full[own] - 1))
+    further = add(np.where(deleted, full[own], less[own]))
+    more = (add(flags[own] & FAT) > 0) & (n[of] <= SMALL)
+    touched = np.bincount(of, minlength=len(n))
+    need = touched - slack - np.where(n <= SMALL, fat - np.bincount(of[more], minlength=len(n)), 0)
+    # of a segment the first allowance never comes after the second
+    price = np.concatenate([cost, np.maximum(cost, further)[more]])
+    item = np.concatenate([np.arange(len(where)), np.flatnonzero(more)])
+    second = np.arange(len(item)) >= len(where)
+    order = np.lexsort((second, price, of[item]))
+    at = of[item[order]]
+    rank = np.arange(len(order)) - np.searchsorted(at, at)
+    pays = price[order] > 0
+    spent = (rank < need[at]) | ~pays
+    allowance = np.bincount(item[order][spent], minlength=len(where)) - 1
+    done = np.bincount(at[spent & pays], minlength=len(n)) == 0
+    out = np.full(len(group), -1, np.int64)
+    out[own] = allowance[place]
+    return out, done
 
 
 _CHOSEN = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("tag", pa.int32()), ("deleted", pa.bool_()), ("probe", pa.int32())])
 
 
-def _choose(shared: DataFrame, percent: int) -> DataFrame:
+def _choose(shared: DataFrame) -> DataFrame:
     """The rows of shared with probe: 0 not looked up, 1 among full segments, 2 also among those with one left out. A set whose
     budget is met where nobody else is looks nowhere: no set of this size or less can be similar."""
 
-    def decide(rows):
-        _, doc, n, slack, fat, tag = rows[0][:6]
-        if n > SMALL:
-            rows = [(*r[:7], k, *r[8:]) for k, r in enumerate(rows)]
-        cost: dict[int, list] = {}
-        for *_, flags, seg, full, less in rows:
-            if flags & OWN:
-                c = cost.setdefault(seg, [0, 0, False])
-                c[2] |= bool(flags & FAT)
-                if flags & DELETED:
-                    c[1] += full
-                else:
-                    c[0] += full - 1
-                    c[1] += less
-        spent = allocate(n, slack, fat, {k: tuple(v) for k, v in cost.items()}, percent)
-        done = not any(v[0] or e and v[1] for v, e in ((cost[k], e) for k, e in spent.items()))
-        for sig, *_, flags, seg, _, _ in rows:
-            e = spent.get(seg, -1) if flags & OWN and not done else -1
-            deleted = bool(flags & DELETED)
-            yield sig, doc, tag, deleted, 0 if e < 0 or deleted and e < 1 else 2 if e == 1 and not deleted else 1
+    def decide(columns):
+        sig, doc, n, slack, fat, tag, flags, seg, full, less = columns
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (n[1:] != n[:-1]) | (tag[1:] != tag[:-1])])
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        # a longer set has one row a segment
+        seg = np.where(n > SMALL, np.arange(len(n)) - first[group], seg)
+        e, done = allocate(group, seg, flags, full, less, n[first], slack[first], fat[first])
+        deleted = flags & DELETED > 0
+        probe = np.where(deleted, e == 1, np.where(e < 0, 0, e + 1)) * ~done[group]
+        yield from pa.Table.from_arrays([pa.array(c).cast(f.type) for c, f in zip((sig, doc, tag, deleted, probe), _CHOSEN)], schema=_CHOSEN).to_batches(50_000)
 
     def run(parts):
-        current, rows, out = None, [], []
+        held: list[list] = []
+        count = 0
         for batch in parts:
-            for x in zip(*(c.to_pylist() for c in batch.columns)):
-                if (x[1], x[2], x[5]) != current:
-                    if rows:
-                        out.extend(decide(rows))
-                    current, rows = (x[1], x[2], x[5]), []
-                    if len(out) >= 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CHOSEN)], schema=_CHOSEN)
-                        out = []
-                rows.append(x)
-        if rows:
-            out.extend(decide(rows))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CHOSEN)], schema=_CHOSEN)
+            held.append([np.asarray(c) for c in batch.columns])
+            count += batch.num_rows
+            if count < SPENT:
+                continue
+            columns = [np.concatenate(c) for c in zip(*held)]
+            # the last set may go on in the next batch
+            other = np.flatnonzero((columns[1] != columns[1][-1]) | (columns[2] != columns[2][-1]) | (columns[5] != columns[5][-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from decide([c[:cut] for c in columns])
+            held = [[c[cut:].copy() for c in columns]]
+            count = len(held[0][0])
+        if count:
+            yield from decide([np.concatenate(c) for c in zip(*held)])
 
     return shared.repartition("doc").sortWithinPartitions("doc", "n", "tag").mapInArrow(run, "sig long, doc long, tag int, deleted boolean, probe int")
 
@@ -468,7 +485,7 @@ def components(documents: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     docs = stage(_documents(rows, shingle), "jaccard-docs")
     shared = stage(_shared(_blobs(rows, buckets or shuffle_partitions(spark), percent, shingle)), "jaccard-shared")
     release(spark)
-    chosen = stage(_choose(shared.where("sig is not null"), percent), "jaccard-chosen")
+    chosen = stage(_choose(shared.where("sig is not null")), "jaccard-chosen")
     weak = stage(shared.where("sig is null").select("n").distinct(), "jaccard-weak")
     unstage(shared)
     known = docs.where("doc is not null and n > 0")

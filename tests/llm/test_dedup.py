@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import pytest
 
 from harborline.llm import jaccard_join, substring_dedup
@@ -74,15 +76,51 @@ def test_components_small_tables(spark):
 
 
 def test_allocation_spends_the_budget():
+    J = jaccard_join
     n = 30
-    need = jaccard_join.distance(2 * n) + 1
+    assert J.distance(2 * n) + 1 == 9
+
+    def spend(slack, fat, segments):
+        """segments: cost, further cost (of the segment with one left out), offered. Returns the allowances and done."""
+        flags = [J.OWN | (J.FAT if offered else 0) for _, _, offered in segments]
+        rows = [np.array(c, np.int64) for c in ([0] * len(segments), range(len(segments)), flags, [c + 1 for c, _, _ in segments], [m for _, m, _ in segments])]
+        e, done = J.allocate(*rows, np.array([n]), np.array([slack]), np.array([fat]))
+        return e.tolist(), done.tolist()
+
     # exactly enough free segments: nothing that costs is looked at
-    assert jaccard_join.allocate(n, 4, 0, {k: (5, 1, False) for k in range(4)}) == {}
+    assert spend(4, 0, [(5, 1, False)] * 4) == ([-1] * 4, [True])
     # two short: the two cheapest
-    assert jaccard_join.allocate(n, 2, 0, {0: (9, 0, False), 1: (1, 0, False), 2: (3, 0, False), 3: (9, 0, False)}) == {1: 0, 2: 0}
+    assert spend(2, 0, [(9, 0, False), (1, 0, False), (3, 0, False), (9, 0, False)]) == ([-1, 0, 0, -1], [False])
     # the further allowance of a cheap segment before a dear one
-    assert jaccard_join.allocate(n, 1, 1, {0: (1, 1, True), 1: (50, 0, False), 2: (60, 0, False)}) == {0: 1}
-    assert need == 9
+    assert spend(1, 1, [(1, 1, True), (50, 0, False), (60, 0, False)]) == ([1, -1, -1], [False])
+
+
+def test_two_texts_of_one_id_are_linked_each(spark):
+    rng = random.Random(3)
+    text = lambda: [rng.choice("abcdefghijklmnopqrst") * rng.randint(1, 4) for _ in range(120)]
+    a, b = text(), text()
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a[:-1], "z"])), (9, " ".join(["z", *b[1:]])), (11, " ".join(text()))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(frame(spark, rows), buckets=2).collect()}
+    assert got == {5: 5, 7: 5, 9: 5, 11: 11}
+
+
+def test_large_group_around_a_centre(spark):
+    """Copies near and far from one text: far ones meet nobody by chance, and chains between far ones are found."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(150)]
+    rows, chain = [(i, " ".join(base)) for i in range(5)], base
+    for i in range(120):
+        w = list(base)
+        for k in rng.sample(range(150), rng.randint(1, 14)):
+            w[k] = f"x{rng.randrange(100_000)}"
+        rows.append((100 + i, " ".join(w)))
+    for i in range(6):
+        chain = list(chain)
+        for k in rng.sample(range(150), 4):
+            chain[k] = f"y{rng.randrange(100_000)}"
+        rows.append((900 + i, " ".join(chain)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.components(frame(spark, rows), buckets=2).collect()}
+    assert got == brute_components(rows)
 
 
 def test_connected(spark):
