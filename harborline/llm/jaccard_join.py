@@ -483,7 +483,7 @@ def components(documents: DataFrame, percent: int = PERCENT, shingle: int = SHIN
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc"), "text")
     docs = stage(_documents(rows, shingle), "jaccard-docs")
-    shared = stage(_shared(_blobs(rows, buckets or shuffle_partitions(spark), percent, shingle)), "jaccard-shared")
+    shared = stage(_shared(_blobs(rows, buckets or 4 * shuffle_partitions(spark), percent, shingle)), "jaccard-shared")
     release(spark)
     chosen = stage(_choose(shared.where("sig is not null")), "jaccard-chosen")
     weak = stage(shared.where("sig is null").select("n").distinct(), "jaccard-weak")
