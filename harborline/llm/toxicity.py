@@ -13,11 +13,15 @@ The network is fitted on a bounded sample: at most TRAIN_DOCS labelled rows of e
 characters each.
 
 Defined cases: null and word-less texts score as a window without words; without rows of both classes every score is
-the share of toxic rows (0 if there are none); repeated rows get equal scores; null labels are not used.
+the share of toxic rows (0 if there are none); repeated rows get equal scores; null labels are not used. A long text is
+scored in runs of BLOCK windows, one after another. Empty documents give no rows, empty labels scores of 0. Columns of any
+name may be kept but "score" and "predicted".
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +31,8 @@ from .common import Words, mix, pieces, table, text_buffers
 
 WINDOW = 24
 STRIDE = 12
+#: Windows that run through the network at a time.
+BLOCK = 8192
 TRAIN_DOCS = 2500
 TRAIN_CHARS = 10_000
 THRESHOLD = 0.7
@@ -77,16 +83,23 @@ class Vocabulary:
         self.gram_at = np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(n)))])
 
 
-def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word index of each place of each window (-1: none), and the n+1 offsets of texts in the windows."""
+def window_counts(first: np.ndarray) -> np.ndarray:
     n = np.diff(first)
-    count = np.where(n <= WINDOW, 1, -(-(n - WINDOW) // STRIDE) + 1)
-    at = np.concatenate([[0], np.cumsum(count)])
-    k = np.arange(at[-1]) - np.repeat(at[:-1], count)
-    start = np.repeat(first[:-1], count) + k * STRIDE
-    stop = np.repeat(first[1:], count)
-    index = start[:, None] + np.arange(WINDOW)
-    return np.where(index < stop[:, None], index, -1), at
+    return np.where(n <= WINDOW, 1, -(-(n - WINDOW) // STRIDE) + 1)
+
+
+def window_block(first: np.ndarray, at: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows i to j: the word index of each place (-1: none), and the text. at: the n+1 offsets of texts in the windows."""
+    number = np.arange(i, j)
+    text = np.searchsorted(at, number, "right") - 1
+    index = (first[text] + (number - at[text]) * STRIDE)[:, None] + np.arange(WINDOW)
+    return np.where(index < first[text + 1][:, None], index, -1), text
+
+
+def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word index of each place of each window (-1: none), and the n+1 offsets of texts in the windows."""
+    at = np.concatenate([[0], np.cumsum(window_counts(first))])
+    return window_block(first, at, 0, int(at[-1]))[0], at
 
 
 class Network:
@@ -193,7 +206,7 @@ class Network:
         np.add.at(p["word"], v.word[used], -10 * rate * d_word)
         np.add.at(p["char"], gram, -10 * rate * d_char)
 
-    def window_logits(self, v: Vocabulary, index: np.ndarray, most: int = 8192) -> np.ndarray:
+    def window_logits(self, v: Vocabulary, index: np.ndarray, most: int = BLOCK) -> np.ndarray:
         proj = self.inputs(v)
         rows = np.where(index >= 0, v.of[index], -1) if len(v.of) else index
         return np.concatenate([self.run(proj, rows[i : i + most]) for i in range(0, len(rows), most)])
@@ -207,8 +220,14 @@ class Network:
     def worst(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The highest logit of any window of each text."""
         v = Vocabulary(raw, offsets)
-        index, at = windows(v.first)
-        return np.maximum.reduceat(self.window_logits(v, index), at[:-1])
+        proj = self.inputs(v)
+        at = np.concatenate([[0], np.cumsum(window_counts(v.first))])
+        out = np.full(len(at) - 1, -np.inf, np.float32)
+        for i in range(0, int(at[-1]), BLOCK):
+            index, owner = window_block(v.first, at, i, min(int(at[-1]), i + BLOCK))
+            rows = np.where(index >= 0, v.of[index], -1) if len(v.of) else index
+            np.maximum.at(out, owner, self.run(proj, rows))
+        return out
 
 
 class _Counts:
@@ -311,20 +330,33 @@ def train(texts: list[str], gold: list[int], seed: int = 7, rounds: int = 3, epo
     return net
 
 
-def sample(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> tuple[list[str], list[int]]:
-    """At most `most` labelled texts of each class, by hash of doc_id. Only ids within that bound are joined to the texts."""
+def sample(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> DataFrame | None:
+    """toxic, h, text of some more than `most` labelled texts of each class, by hash of doc_id. Only ids within that bound are
+    joined to the texts. None without labels."""
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not counts:
-        return [], []
+        return None
     limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 40) * min(1.0, 1.2 * most / n + 20 / n))).cast("long"))])
     ids = rows.where(F.col("h") < limit[F.col("toxic")]).distinct()
-    found = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text").between(1, max_chars)).select("toxic", "h", "text")
-    by: dict[int, list] = {0: [], 1: []}
-    for r in found.toLocalIterator():
-        by[r["toxic"]].append((r["h"], r["text"]))
-    chosen = [(t, k) for k in (0, 1) for _, t in sorted(by[k])[:most]]
-    return [t for t, _ in chosen], [k for _, k in chosen]
+    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text").between(1, max_chars)).select("toxic", "h", "text")
+
+
+def train_in_task(rows: DataFrame, most: int = TRAIN_DOCS) -> Network:
+    """The network of the first `most` rows (toxic, h, text) of each class. One task trains it, so that the driver holds
+    neither the texts nor what training needs; another executor does so again if that one is lost."""
+
+    def run(parts):
+        by: dict[int, list] = {0: [], 1: []}
+        for batch in parts:
+            for toxic, h, text in zip(*(c.to_pylist() for c in batch.columns)):
+                by[toxic].append((h, text))
+        chosen = [(t, k) for k in (0, 1) for _, t in sorted(by[k])[:most]]
+        net = train([t for t, _ in chosen], [k for _, k in chosen])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    got = rows.repartition(1).mapInArrow(run, "net binary").collect()
+    return pickle.loads(got[0]["net"]) if got else train([], [])
 
 
 def score(documents: DataFrame, net: Network, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
@@ -349,7 +381,8 @@ def held_out(doc_id: Column) -> Column:
 
 def fitted(documents: DataFrame, labels: DataFrame) -> Network:
     """The network of the labels that are not held out."""
-    return train(*sample(documents, labels.where(~held_out(F.col("doc_id")))))
+    rows = sample(documents, labels.where(~held_out(F.col("doc_id"))))
+    return train([], []) if rows is None else train_in_task(rows)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

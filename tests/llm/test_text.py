@@ -218,6 +218,13 @@ def test_toxicity_query(spark, tmp_path):
     held = [d for d in range(240) if got[d]["held_out"]]
     assert np.mean([got[d]["score"] for d in held if d % 4 == 0]) > np.mean([got[d]["score"] for d in held if d % 4]) + 0.4
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got.values()) and got[900]["score"] == got[901]["score"]
+    net = toxicity.fitted(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    # equal texts score alike; one bad passage far inside a long text counts; other columns may have any name
+    long = " ".join([prose(rng, 3000), "moronic scumbag scumlike moronic", prose(rng, 3000)])
+    more = spark.createDataFrame([(1, long, "a"), (1, long, "b"), (None, prose(rng, 6000), None)], "doc_id long, text string, net string")
+    out = {r["net"]: r["score"] for r in toxicity.score(more, net, ["doc_id", "net"]).collect()}
+    assert out["a"] == out["b"] > out[None]
+    assert toxicity.score(frame(spark, []), net, ["doc_id"]).collect() == []
     save(spark.createDataFrame([], "doc_id long, toxic int"), tmp_path, "labels")
     assert {r["score"] for r in toxicity.query(spark, str(tmp_path)).collect()} == {0.0}
 
