@@ -17,8 +17,11 @@ The shards of a whole corpus have no size bound, so they are not broadcast to al
 shard of their anchor, which is the only one that can hold their windows. Each shuffle is of aggregates or feeds a join
 that Spark splits where a key is hot.
 
-Defined cases: null texts have no words; a null doc_id comes before all others; rows that repeat an id count as one
-document: its spans are cut from each of them and a passage is not its own repeat; texts below `window` words are kept.
+Defined cases: null texts have no words; a null doc_id comes before all others; texts below `window` words are kept. A
+document is an id and a text: rows that repeat both are one document, of which each is cut alike and none is the other's
+repeat; rows that share an id (or have none) but not the text are documents of their own, in order of a hash of the text,
+and spans are cut only from the text they were found in. Empty tables give no rows. Extra columns may have any name but
+n_words, n_removed, kept_sha256 and kept_text.
 """
 
 from __future__ import annotations
@@ -143,73 +146,80 @@ def segments(w: Words, window: int) -> tuple[np.ndarray, ...]:
     return best[at], whole, doc[at], at - w.first[doc[at]], n
 
 
-_SEG = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
+_SEG = pa.schema([("a", pa.int64()), ("c", pa.int64()), ("doc", pa.int64()), ("u", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
 
 
 def _key(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(_FIRST).cast("long"))
 
 
+def _rows(documents: DataFrame, *more: Column) -> DataFrame:
+    """text, doc and u, which together tell a document from all others, and more columns."""
+    return documents.select(documents["text"].alias("text"), _key(documents["doc_id"]).alias("doc"), F.xxhash64(documents["text"]).alias("u"), *more)
+
+
 def _segment_rows(documents: DataFrame, window: int) -> DataFrame:
     def run(parts):
         for batch in parts:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            raw, off = text_buffers(batch.column(1))
+            ids, of = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            raw, off = text_buffers(batch.column(2))
             for i, j in pieces(off):
                 a, c, doc, s, n = segments(Words(raw, off[i : j + 1]), window)
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[i + doc]), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], schema=_SEG)
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[i + doc]), pa.array(of[i + doc]), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], schema=_SEG)
 
-    return documents.mapInArrow(run, "a long, c long, doc long, s int, n int")
+    return documents.select("doc", "u", "text").mapInArrow(run, "a long, c long, doc long, u long, s int, n int")
 
 
-_REP = pa.schema([("a", pa.int64()), ("k", pa.int64()), ("doc", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("words", pa.string())])
+_REP = pa.schema([("a", pa.int64()), ("k", pa.int64()), ("doc", pa.int64()), ("u", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("words", pa.string())])
 
 
 def _with_words(documents: DataFrame, reps: DataFrame, window: int) -> DataFrame:
-    """Segments (a, k, doc, s, n) and their words, joined by spaces."""
-    asked = reps.groupBy("doc").agg(F.collect_list(F.struct("a", "k", "s", "n")).alias("asked"))
-    rows = documents.join(asked, "doc").select("doc", "text", "asked")
+    """Segments (a, k, doc, u, s, n) and their words, joined by spaces; as often as a document's row is repeated."""
+    asked = reps.groupBy("doc", "u").agg(F.collect_list(F.struct("a", "k", "s", "n")).alias("asked"))
+    rows = documents.join(asked, ["doc", "u"]).select("doc", "u", "text", "asked")
 
     def run(parts):
         for batch in parts:
             for at in range(batch.num_rows):
-                doc, text, wanted = (batch.column(i)[at] for i in range(3))
+                doc, u, text, wanted = (batch.column(i)[at] for i in range(4))
                 words = Words(*text_buffers(pa.array([text.as_py()], pa.string())))
                 raw = words.raw.tobytes()
                 out = []
                 for x in wanted.as_py():
                     i, j = x["s"], x["s"] + x["n"] + window - 1
-                    if j <= len(words.start):
-                        picked = b" ".join(raw[b:e] for b, e in zip(words.start[i:j].tolist(), words.end[i:j].tolist()))
-                        out.append((x["a"], x["k"], doc.as_py(), x["s"], x["n"], picked.decode()))
+                    picked = b" ".join(raw[b:e] for b, e in zip(words.start[i:j].tolist(), words.end[i:j].tolist()))
+                    out.append((x["a"], x["k"], doc.as_py(), u.as_py(), x["s"], x["n"], picked.decode()))
                 for i in range(0, len(out), 4000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 4000]), _REP)], schema=_REP)
 
-    return rows.mapInArrow(run, "a long, k long, doc long, s int, n int, words string")
+    return rows.mapInArrow(run, "a long, k long, doc long, u long, s int, n int, words string")
 
 
-_SPAN = pa.schema([("doc", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
+_SPAN = pa.schema([("doc", pa.int64()), ("u", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
 
 
 def _by_automata(reps: DataFrame, window: int) -> DataFrame:
     """Repeats among the segments of each anchor; rows come with those of an anchor together, in order."""
 
     def run(parts):
-        current, machine, out = None, None, []
+        current, machine, last, out = None, None, None, []
         for batch in parts:
-            for a, doc, s, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for a, doc, u, s, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if a != current:
-                    current, machine = a, SuffixAutomaton()
+                    current, machine, last = a, SuffixAutomaton(), None
+                if (doc, u, s) == last:
+                    continue  # the row of a document again
+                last = doc, u, s
                 words = text.split(" ")
-                out += [(doc, s + i, n) for i, n in long_spans(machine.matching(words), window)]
+                out += [(doc, u, s + i, n) for i, n in long_spans(machine.matching(words), window)]
                 machine.add(words)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SPAN)], schema=_SPAN)
                 out = []
 
-    ordered = reps.select("a", "doc", "s", "words").repartition("a").sortWithinPartitions("a", "doc", "s")
-    return ordered.mapInArrow(run, "doc long, s int, n int")
+    ordered = reps.select("a", "doc", "u", "s", "words").repartition("a").sortWithinPartitions("a", "doc", "u", "s")
+    return ordered.mapInArrow(run, "doc long, u long, s int, n int")
 
 
 def _by_windows(reps: DataFrame, window: int) -> DataFrame:
@@ -218,35 +228,36 @@ def _by_windows(reps: DataFrame, window: int) -> DataFrame:
     def run(parts):
         for batch in parts:
             out = []
-            for doc, s, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for doc, u, s, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 words = text.split(" ")
                 for i in range(len(words) - window + 1):
                     d = hashlib.blake2b(" ".join(words[i : i + window]).encode(), digest_size=16).digest()
-                    out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), doc, s + i))
+                    out.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), doc, u, s + i))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["x", "y", "doc", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["x", "y", "doc", "u", "s"])
 
-    rows = reps.select("doc", "s", "words").mapInArrow(run, "x long, y long, doc long, s int")
+    rows = reps.select("doc", "u", "s", "words").mapInArrow(run, "x long, y long, doc long, u long, s int")
     rows = stage(rows, "dedup-windows")
-    first = stage(rows.groupBy("x", "y").agg(F.min(F.struct("doc", "s")).alias("f"), F.count("*").alias("m")).where("m > 1").drop("m"), "dedup-windows-first")
-    return rows.join(first, ["x", "y"]).where(F.struct("doc", "s") != F.col("f")).select("doc", "s", F.lit(1).alias("n"))
+    first = stage(rows.groupBy("x", "y").agg(F.min(F.struct("doc", "u", "s")).alias("f"), F.count("*").alias("m")).where("m > 1").drop("m"), "dedup-windows-first")
+    return rows.join(first, ["x", "y"]).where(F.struct("doc", "u", "s") != F.col("f")).select("doc", "u", "s", F.lit(1).alias("n"))
 
 
 def repeats(documents: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
-    """doc, s, n: runs of n windows from word s of document doc (doc_id; nulls as the smallest long) that start earlier elsewhere."""
+    """doc, u, s, n: runs of n windows from word s of document doc (doc_id; nulls as the smallest long), u (hash of its text) that
+    start earlier elsewhere."""
     spark = documents.sparkSession
-    rows = documents.select(_key(F.col("doc_id")).alias("doc"), "text")
+    rows = _rows(documents)
     found = _segment_rows(rows, window)
     # a table of its own: a join whose sides are both dealt anew can be split where an anchor is hot
     twice = stage(found.groupBy("a").agg(F.count("*").alias("m")).where("m > 1").select("a"), "dedup-twice")
     candidates = stage(found.join(twice, "a", "left_semi"), "dedup-candidates")
     release(spark)
-    first = candidates.groupBy("a", "c").agg(F.min(F.struct("doc", "s", "n")).alias("f"), F.count("*").alias("m"))
-    first = stage(first.select("a", "c", "f.doc", "f.s", "f.n", "m"), "dedup-first")
-    copies = first.where("m > 1").select("a", "c", F.col("doc").alias("d0"), F.col("s").alias("s0"))
-    whole = candidates.join(copies, ["a", "c"]).where("doc != d0 or s != s0").select("doc", "s", "n")
+    first = candidates.groupBy("a", "c").agg(F.min(F.struct("doc", "u", "s", "n")).alias("f"), F.count("*").alias("m"))
+    first = stage(first.select("a", "c", "f.doc", "f.u", "f.s", "f.n", "m"), "dedup-first")
+    copies = first.where("m > 1").select("a", "c", F.col("doc").alias("d0"), F.col("u").alias("u0"), F.col("s").alias("s0"))
+    whole = candidates.join(copies, ["a", "c"]).where("doc != d0 or u != u0 or s != s0").select("doc", "u", "s", "n")
     several = stage(first.groupBy("a").agg(F.count("*").alias("k")).where("k > 1"), "dedup-several")
-    reps = first.join(several, "a").select("a", "k", "doc", "s", "n")
+    reps = first.join(several, "a").select("a", "k", "doc", "u", "s", "n")
     reps = stage(_with_words(rows, reps, window), "dedup-shards")
     release(spark)
     partly = _by_automata(reps.where(F.col("k") <= shard), window).unionByName(_by_windows(reps.where(F.col("k") > shard), window))
@@ -268,9 +279,9 @@ def dedup(documents: DataFrame, window: int = WINDOW, keep: list[str] | None = N
     kept_text is the text itself if nothing is removed; else what is left of it between removed spans, joined by line feeds.
     """
     keep = keep or ["doc_id"]
-    spans = repeats(documents, window, shard).groupBy("doc").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    spans = repeats(documents, window, shard).groupBy("doc", "u").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
     release(documents.sparkSession)
-    rows = documents.select(*keep, documents["text"].alias("__text"), _key(documents["doc_id"]).alias("doc")).join(spans, "doc", "left").select(*keep, "__text", "spans")
+    rows = _rows(documents, F.struct(*(documents[f"`{c}`"] for c in keep)).alias("kept")).join(spans, ["doc", "u"], "left").select("kept.*", F.col("text").alias("__text"), F.col("spans").alias("__spans"))
     names, kept_fields = list(keep), documents.select(*keep).schema
 
     def run(parts):

@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-
 import pytest
 
 from harborline.llm import jaccard_join, substring_dedup
@@ -28,6 +27,20 @@ def test_substrings_small_tables(spark):
     assert got[None]["n_removed"] == 29 and got[5]["n_removed"] == 30 and got[5]["kept_sha256"] == sha("")
 
 
+@pytest.mark.parametrize("shard", [1, 128])
+def test_substrings_of_shared_and_missing_ids(spark, shard):
+    """Rows that share an id, or have none, are cut by their own text alone."""
+    rng = random.Random(11)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    inside = prose(rng, 10) + " " + c
+    rows = [(1, a), (5, a), (5, b), (None, c), (None, inside), (None, d), (9, a), (9, a)]
+    df = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "doc_id long, text string, spans int, n_words string")
+    got = {r["spans"]: r["n_removed"] for r in substring_dedup.dedup(df.drop("n_words"), keep=["doc_id", "spans"], shard=shard).collect()}
+    assert (got[0], got[1], got[2], got[5], got[6], got[7]) == (0, 60, 0, 0, 60, 60)
+    # of two without an id that share a passage one keeps it
+    assert sorted([got[3], got[4]]) == [0, 60]
+
+
 def test_suffix_automaton_against_brute_force():
     rng = random.Random(5)
     for _ in range(40):
