@@ -4,17 +4,24 @@ Normalising lower-cases A-Z, keeps words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ a
 their byte offsets, so each hit maps back to characters of the original text. A window is `window` consecutive words of
 an item, or all words of a shorter item.
 
-The benchmark is a stated, small side: its size is checked first and beyond `max_pattern_bytes` its items are dealt to
-several automata, each within the bound, which scan in turn. Documents are never shuffled.
+Every window of an item holds one whole block of (window + 1) / 2 words that starts at a multiple of that many words. The
+automaton has these blocks, a tenth of the text of all windows, and where one occurs the words beside it are compared
+with the item's as far as they are equal: a run of `window` words or more is what the windows in it would hit.
+
+The benchmark is a stated side whose size is checked first. Up to `max_pattern_bytes` of text one automaton scans the
+documents, which are not shuffled. Beyond, items are dealt to shards within that bound, of which the driver holds one at
+a time; each scans all documents in a job of its own, its hits are a table in the shared folder, and documents meet the
+hits of all shards at the end. An item of more than ITEM_WORDS words is dealt as several that overlap.
 
 Defined cases: null and word-less texts have no words, windows or hits; null item ids are left out of the lists but
-their windows hit; repeated items count once for each distinct id; empty tables give no rows or no hits; columns beyond
-those named are kept by `contamination(..., keep=...)` only when asked for.
+their windows hit; repeated items count once for each distinct id; item ids may be strings or numbers; empty tables give
+no rows or no hits; columns beyond those named are kept by `contamination(..., keep=...)` only when asked for, under any
+name but n_words, n_hit, items, spans and clean_text; repeated rows are each scanned; texts of any length are scanned
+whole.
 """
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_right
 
 import numpy as np
@@ -22,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, stage, table
 
 WINDOW = 10
 #: Text of the benchmark that one automaton may hold.
-MAX_PATTERN_BYTES = 32 << 20
+MAX_PATTERN_BYTES = 8 << 20
+#: Words of an item that stand together in a shard.
+ITEM_WORDS = 50_000
 
 #: Each byte to itself if it is part of a word, A-Z to a-z, all else to a space. Bytes from 0x80 belong to words.
 _FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -36,57 +45,69 @@ def words(text: str | None) -> list[bytes]:
     return text.encode().translate(_FOLD).split() if text else []
 
 
-def patterns(items: list[tuple], window: int = WINDOW) -> dict[str, set[int]]:
-    """Window text, spaces around each word, to the numbers of the items that have it. Bytes stand as latin-1 characters."""
-    found: dict[str, set[int]] = {}
-    for k, (_, text) in enumerate(items):
-        w = words(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            found.setdefault((b" " + b" ".join(w[i : i + window]) + b" ").decode("latin-1"), set()).add(k)
-    return found
-
-
-_BUILT: dict = {}
-
-
-def automaton(key: str, items: list[tuple], window: int):
-    """The automaton of these items; a worker keeps the last few it has built."""
-    import ahocorasick
-
-    if (key, window) not in _BUILT:
-        while len(_BUILT) >= 2:
-            _BUILT.pop(next(iter(_BUILT)))
-        a = ahocorasick.Automaton()
-        for p, who in patterns(items, window).items():
-            a.add_word(p, (len(p), tuple(who)))
-        if len(a):
-            a.make_automaton()
-        _BUILT[key, window] = a
-    return _BUILT[key, window]
-
-
-def scan(text: str | None, machines: list) -> tuple[list[bytes], list[tuple[int, int]], list[set[int]]]:
-    """Words of the text, hit word ranges [i, j) in order, merged, and the items found by each machine."""
-    w = words(text)
-    line = " " + b" ".join(w).decode("latin-1") + " "
-    spans, items = [], [set() for _ in machines]
-    starts: list[int] = []
-    for k, machine in enumerate(machines):
-        if not w or not len(machine):
-            continue
-        for end, (n, who) in machine.iter(line):
+class Machine:
+    """The automaton of some items (id, text): blocks of longer items, and shorter items whole. Bytes stand as latin-1 characters."""
+
+    def __init__(self, items: list[tuple], window: int = WINDOW):
+        import ahocorasick
+
+        self.window, self.block = window, (window + 1) // 2
+        self.ids = [x[0] for x in items]
+        known: dict[bytes, bytes] = {}
+        self.words = [[known.setdefault(x, x) for x in words(text)] for _, text in items]
+        found: dict[str, list[tuple[int, int]]] = {}
+        for k, w in enumerate(self.words):
+            size = self.block if len(w) >= window else len(w)
+            for i in range(0, len(w) - size + 1, size) if w else ():
+                found.setdefault((b" " + b" ".join(w[i : i + size]) + b" ").decode("latin-1"), []).append((k, i))
+        self.places = list(found.values())
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for n, p in enumerate(found):
+            self.automaton.add_word(p, n)
+        if found:
+            self.automaton.make_automaton()
+
+    def scan(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+        """Hit ranges [i, j) of the words of a text, and the numbers of the items found."""
+        if not w or not self.places:
+            return [], set()
+        spans, items = [], set()
+        starts: list[int] = []
+        done: dict[tuple[int, int], int] = {}  # item and shift to the end of the last run
+        for end, n in self.automaton.iter(" " + b" ".join(w).decode("latin-1") + " "):
             if not starts:
                 lengths = np.fromiter(map(len, w), np.int64, len(w))
                 starts = (np.cumsum(lengths + 1) - lengths).tolist()  # offset of each word in the line
-            spans.append((bisect_right(starts, end - n + 2) - 1, bisect_right(starts, end)))
-            items[k].update(who)
-    merged: list[tuple[int, int]] = []
+            last = bisect_right(starts, end)  # words up to the end of the block
+            for k, at in self.places[n]:
+                of = self.words[k]
+                if len(of) < self.window:
+                    spans.append((last - len(of), last))
+                    items.add(k)
+                    continue
+                first = last - self.block
+                if done.get((k, first - at), 0) >= last:
+                    continue
+                i, j = 0, self.block
+                while i < min(first, at) and w[first - i - 1] == of[at - i - 1]:
+                    i += 1
+                while first + j < len(w) and at + j < len(of) and w[first + j] == of[at + j]:
+                    j += 1
+                done[k, first - at] = first + j
+                if i + j >= self.window:
+                    spans.append((first - i, first + j))
+                    items.add(k)
+        return spans, items
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
     for i, j in sorted(spans):
-        if merged and i <= merged[-1][1]:
-            merged[-1] = merged[-1][0], max(j, merged[-1][1])
+        if out and i <= out[-1][1]:
+            out[-1] = out[-1][0], max(j, out[-1][1])
         else:
-            merged.append((i, j))
-    return w, merged, items
+            out.append((i, j))
+    return out
 
 
 def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -101,51 +122,101 @@ def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(int(chars[begin[i]]), int(chars[end[j - 1]])) for i, j in spans]
 
 
-def shards(benchmark: DataFrame, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> list[list[tuple]]:
-    """The items dealt to groups of at most max_pattern_bytes of text each. The driver checks the sizes before it reads any text."""
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
-    if size[0] <= max_pattern_bytes:
-        return [[tuple(r) for r in rows.collect()]]
-    n = 2 * (size[0] // max_pattern_bytes + 1)
-    if size[0] > 64 * max_pattern_bytes or size[1] > max_pattern_bytes:
-        raise ValueError(f"the benchmark has {size[0]} bytes; give a larger max_pattern_bytes or split it")
-    return [[tuple(r) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()] for k in range(n)]
+def _parts(benchmark: DataFrame, window: int) -> DataFrame:
+    """item_id, text with items of more than ITEM_WORDS words as several that overlap by window - 1 words."""
 
+    def run(batches):
+        for batch in batches:
+            ids, texts = [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                w = words(text)
+                for i in range(0, max(1, len(w) - window + 1), ITEM_WORDS):
+                    ids.append(k)
+                    texts.append(b" ".join(w[i : i + ITEM_WORDS + window - 1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(texts, pa.binary())], names=["item_id", "text"])
 
-_OUT = pa.schema(
-    [("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.int64())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("clean_text", pa.string())]
-)
-SCHEMA = "n_words long, n_hit long, items array<long>, spans array<struct<start: long, end: long>>, clean_text string"
+    return benchmark.mapInArrow(run, f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, text binary")
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _cut(text: str | None, spans: list[tuple[int, int]], clean: bool) -> tuple:
+    """n_words, n_hit, spans, clean_text of a text whose word ranges `spans` are hit."""
+    spans = merged(spans)
+    at = char_spans(text, spans) if spans else []
+    rest = text
+    if clean and at:
+        rest = "".join(text[a:b] for a, b in zip([0, *(e for _, e in at)], [*(s for s, _ in at), len(text)]))
+    return len(words(text)), sum(j - i for i, j in spans), [{"start": a, "end": b} for a, b in at], rest if clean else None
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES, clean: bool = False) -> DataFrame:
     """The kept columns and n_words, n_hit, items (distinct ids), spans (hit characters); with clean, the text without them."""
-    groups = shards(benchmark, max_pattern_bytes)
-    shared = documents.sparkSession.sparkContext.broadcast(groups)
-    key = hashlib.sha256(repr(groups).encode()).hexdigest()
-    kept = [documents[c] for c in keep]
-    schema = documents.select(*kept).schema
-
-    def run(parts):
-        machines = [automaton(f"{key}-{k}", g, window) for k, g in enumerate(shared.value)]
-        ids = [[x[0] for x in g] for g in shared.value]
+    kept = [documents[f"`{c}`"] for c in keep]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*kept).schema)
+    kind = "string" if benchmark.schema["item_id"].dataType.simpleString() == "string" else "long"
+    id_type = pa.string() if kind == "string" else pa.int64()
+    schema = f"{fields}, n_words long, n_hit long, items array<{kind}>, spans array<struct<start: long, end: long>>, clean_text string"
+    names = [*keep, "n_words", "n_hit", "items", "spans", "clean_text"]
+    spark = documents.sparkSession
+    items = benchmark.select(F.col("item_id").cast(kind).alias("item_id"), "text").where(F.col("text").isNotNull())
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+
+    def rows(batch, found):
+        """Of the kept columns and text of a batch, with hit ranges and ids of each text."""
+        out = [(*_cut(text, spans, clean), ids) for text, (spans, ids) in zip(batch.column(len(keep)).to_pylist(), found)]
+        c = list(zip(*out)) if out else [()] * 5
+        made = [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[4], pa.list_(id_type)), pa.array(c[2], _SPANS), pa.array(c[3], pa.string())]
+        return pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made], names=names)
+
+    def scanned(machine, text):
+        spans, who = machine.scan(words(text))
+        return spans, sorted({machine.ids[k] for k in who} - {None})
+
+    if size <= max_pattern_bytes:
+        shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
+
+        def whole(parts):
+            machine = Machine(shared.value, window)
+            for batch in parts:
+                yield rows(batch, (scanned(machine, x.as_py()) for x in batch.column(len(keep))))
+
+        return documents.select(*kept, documents["text"].alias("__text")).mapInArrow(whole, schema)
+
+    # more than one automaton holds: shards scan in turn
+    n = int(2 * size // max_pattern_bytes + 1)
+    parts_ = stage(_parts(items, window).withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "leaks-items")
+    texts = documents.select(F.md5("text").alias("m"), "text").where("text is not null")
+    hits = None
+    for k in range(n):
+        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"].decode()) for r in parts_.where(F.col("shard") == k).select("item_id", "text").collect()])
+
+        def some(parts, shared=shared):
+            machine = Machine(shared.value, window)
+            for batch in parts:
+                out = []
+                for m, text in zip(batch.column(0), batch.column(1)):
+                    spans, ids = scanned(machine, text.as_py())
+                    if spans:
+                        out.append((m.as_py(), [{"start": i, "end": j} for i, j in merged(spans)], ids))
+                c = list(zip(*out)) if out else [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], _SPANS), pa.array(c[2], pa.list_(id_type))], names=["m", "at", "ids"])
+
+        got = stage(texts.mapInArrow(some, f"m string, at array<struct<start: long, end: long>>, ids array<{kind}>"), f"leaks-{k}")
+        hits = got if hits is None else hits.unionByName(got)
+        shared.unpersist()
+        release(spark)
+    # equal texts have equal hits; a table of its own, so that a join on a hot text can be split
+    once = hits.dropDuplicates(["m", "at", "ids"]).groupBy("m").agg(F.flatten(F.collect_list("at")).alias("__at"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("__ids"))
+    met = documents.withColumn("__m", F.md5("text")).join(stage(once, "leaks-hits").withColumnRenamed("m", "__m"), "__m", "left")
+
+    def joined(parts):
         for batch in parts:
-            rows = []
-            for value in batch.column(len(keep)):
-                text = value.as_py()
-                w, spans, found = scan(text, machines)
-                items = sorted({ids[k][i] for k, who in enumerate(found) for i in who if ids[k][i] is not None})
-                at = char_spans(text, spans) if spans else []
-                rest = text
-                if clean and at:
-                    rest = "".join(text[a:b] for a, b in zip([0, *(e for _, e in at)], [*(s for s, _ in at), len(text)]))
-                rows.append((len(w), sum(j - i for i, j in spans), items, [{"start": a, "end": b} for a, b in at], rest if clean else None))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(c, f.type) for c, f in zip(columns, _OUT))], names=[*keep, *_OUT.names])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return documents.select(*kept, documents["text"].alias("__text")).mapInArrow(run, f"{fields}, {SCHEMA}")
+            at, ids = (batch.column(len(keep) + i).to_pylist() for i in (1, 2))
+            yield rows(batch, (([(x["start"], x["end"]) for x in a or ()], sorted(who or ())) for a, who in zip(at, ids)))
+
+    return met.select(*(met[f"`{c}`"] for c in keep), met["text"].alias("__text"), "__at", "__ids").mapInArrow(joined, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 A fingerprint is a sum of vectors, one for each paragraph (line) of a text, so the order of paragraphs does not matter
 and a paragraph is inserted or deleted by adding or subtracting its vector. The vector of a paragraph has
 
-* four 62-bit hashes of the paragraph, summed modulo 2^62: equality,
+* four 62-bit hashes of the paragraph, each from a seed of its own that comes before the text, so that paragraphs that
+  meet in one do not meet in the others, summed modulo 2^62: equality,
 * the counts of paragraphs and of pieces (up to four words of a line in a row, from its start),
 * 60 counters of 31 bits, two to a number summed modulo 2^62: for each piece, 60 bits of its hash.
 
@@ -13,11 +14,13 @@ have likeness 1. A counter has room for 2^31 - 1 pieces, more than a text can ha
 
 Defined cases: null and empty texts are one empty paragraph with no piece; two texts without pieces have likeness 1 if
 their fingerprints are equal, else 0; of equal ids the order is by text; one document alone is its own next; a null id
-comes last.
+comes last; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +43,7 @@ def equality(text: Column) -> Column:
         F.split(text, "\n"),
         F.struct(*(_long(0).alias(f"e{s}") for s in SEEDS), _long(0).alias("paragraphs")),
         lambda a, p: F.struct(
-            *((a[f"e{s}"] + F.xxhash64(p, F.lit(s)).bitwiseAND(_long(EQUAL_MASK))).bitwiseAND(_long(EQUAL_MASK)).alias(f"e{s}") for s in SEEDS),
+            *((a[f"e{s}"] + F.xxhash64(F.lit(s), p).bitwiseAND(_long(EQUAL_MASK))).bitwiseAND(_long(EQUAL_MASK)).alias(f"e{s}") for s in SEEDS),
             (a["paragraphs"] + 1).alias("paragraphs"),
         ),
     )
@@ -106,8 +109,9 @@ def _bucket(key: Column, cuts: list[int], step: int = 64) -> Column:
     return coarse * step + below(F.slice(F.array(*(_long(c) for c in cuts)), coarse * step + 1, F.lit(step)))
 
 
-def with_next(rows: DataFrame, buckets: int | None = None) -> DataFrame:
+def with_next(rows: DataFrame, buckets: int | None = None, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Columns (doc_id, text, ...) and `next`, a struct of all columns of the next row by descending doc_id (after the last: the first).
+    more: adds columns to the rows once they are dealt, so that what it computes is computed once for each row.
 
     Rows are dealt to ranges of doc_id, as many as `buckets`. Each range is ordered on its own and has the first row of
     the range after it, if any, as its last; the driver sees one id of each range. No task sees more than its range.
@@ -125,6 +129,9 @@ def with_next(rows: DataFrame, buckets: int | None = None) -> DataFrame:
     heads = rows.join(F.broadcast(heads), ["bucket_", "k_"]).withColumn("r_", F.row_number().over(Window.partitionBy("to_").orderBy(F.desc("text")))).where("r_ = 1")
     ends = heads.select(*names, "k_", F.col("to_").alias("bucket_"), F.lit(1).alias("end_"))
     both = rows.select(*names, "k_", "bucket_", F.lit(0).alias("end_")).unionByName(ends)
+    if more:
+        both = more(both)
+        names = [c for c in both.columns if c not in ("k_", "bucket_", "end_")]
     order = Window.partitionBy("bucket_").orderBy("end_", F.desc("k_"), F.desc("text"))
     return both.withColumn("next", F.lead(F.struct(*names)).over(order)).where("end_ = 0").select(*names, "next")
 
@@ -137,8 +144,8 @@ def edited(text: Column, after: Column) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", equality(F.col("text")).alias("equal"), counters(F.col("text")).alias("counts"))
-    both = with_next(rows).withColumn("edited", edited(F.col("text"), F.col("next.text")))
+    own = lambda df: df.withColumns({"equal": equality(F.col("text")), "counts": counters(F.col("text"))})
+    both = with_next(rows, more=own).withColumn("edited", edited(F.col("text"), F.col("next.text")))
     both = both.withColumns({"edited_equal": equality(F.col("edited")), "edited_counts": counters(F.col("edited"))})
     both = both.withColumns({"own_signs": signs(F.col("counts")), "edited_signs": signs(F.col("edited_counts")), "next_signs": signs(F.col("next.counts"))})
     return both.select(

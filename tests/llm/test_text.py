@@ -62,6 +62,44 @@ def test_contamination(spark, tmp_path, bound):
     assert got == want and any(x[4] for x in want.values())
     other = {r["doc_id"]: (r["n_hit"], sorted(r["items"])) for r in decontam.contamination(frame(spark, rows), bench, ["doc_id"], max_pattern_bytes=bound).collect()}
     assert {d: h for d, (h, _) in other.items()} == {d: x[1] for d, x in want.items()}
+    # ids may be strings; repeated rows and rows without an id are scanned as any other
+    named = bench.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("item_id"), "text")
+    again = frame(spark, [*rows, rows[0], (None, long)])
+    got = decontam.contamination(again, named, ["doc_id", "lang"], max_pattern_bytes=bound).drop("lang").collect()
+    assert len(got) == len(rows) + 2 and {i for r in got for i in r["items"]} == {f"q{i}" for _, ids in other.values() for i in ids}
+    assert [r["n_hit"] for r in got if r["doc_id"] is None] == [next(want[d][1] for d, t in rows if t == long)]
+
+
+def test_contamination_by_long_items_in_shards(spark):
+    """An item longer than a shard takes at once: windows over the joints are found, and nothing else."""
+    rng = random.Random(12)
+    w = [f"{rng.getrandbits(30):x}" for _ in range(decontam.ITEM_WORDS + 5000)]
+    at = decontam.ITEM_WORDS
+    rows = [(1, " ".join(["x", *w[at - 7 : at + 8], "y"])), (2, " ".join(w[at : at + 9])), (3, " ".join(w[-12:] + w[:9])), (4, " ".join(w[at - 9 : at + 1]))]
+    item = spark.createDataFrame([("a", " ".join(w)), ("b", "x"), ("c", None)], "item_id string, text string")
+    for bound in (1 << 30, 300_000):
+        got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.contamination(frame(spark, rows), item, ["doc_id"], max_pattern_bytes=bound).collect()}
+        assert got == {1: (16, ["a", "b"]), 2: (0, []), 3: (12, ["a"]), 4: (10, ["a"])}, bound
+
+
+def test_blocks_find_all_windows():
+    rng = random.Random(13)
+    for window in (1, 2, 5, 10):
+        make = lambda n: [rng.choice(["a", "b", "cc"]) for _ in range(n)]
+        items = [(k, " ".join(make(rng.randint(1, 3 * window)))) for k in range(4)]
+        for _ in range(60):
+            w = make(rng.randint(0, 40))
+            hit, who = set(), set()
+            for k, text in items:
+                of = text.split()
+                size = min(window, len(of))
+                for i in range(len(of) - size + 1):
+                    for j in range(len(w) - size + 1):
+                        if w[j : j + size] == of[i : i + size]:
+                            hit |= set(range(j, j + size))
+                            who.add(k)
+            spans, found = decontam.Machine(items, window).scan([x.encode() for x in w])
+            assert {x for i, j in spans for x in range(i, j)} == hit and found == who
 
 
 def test_contamination_spans_are_of_the_original(spark):
@@ -92,6 +130,21 @@ def test_fingerprints(spark, tmp_path):
     assert np.mean([got[d]["near_edited"] for d in long]) > np.mean([got[d]["near_next"] for d in long]) + 0.2
 
 
+def test_hashes_of_a_paragraph_are_independent(spark):
+    """Each component starts from its own seed: none follows from another."""
+    df = spark.range(200).select(fingerprints.equality(F.concat(F.lit("p"), F.col("id").cast("string"))).alias("e"))
+    rows = [tuple(r["e"])[:4] for r in df.collect()]
+    h = [F.xxhash64(F.lit(s), F.lit("p7")).bitwiseAND(fingerprints.EQUAL_MASK) for s in fingerprints.SEEDS]
+    assert tuple(spark.range(1).select(*h).first()) == rows[7]
+    # with a seed after the text all four would be functions of one hash of the text
+    after = df.select(F.xxhash64(F.lit("p7"), F.lit(1)).bitwiseAND(fingerprints.EQUAL_MASK)).first()[0]
+    assert after not in rows[7]
+    bits = np.array([[x >> b & 1 for x in r for b in range(62)] for r in rows])
+    assert np.abs(np.corrcoef(bits.T) - np.eye(248)).max() < 0.4
+    empty = fingerprints.with_next(spark.createDataFrame([], "doc_id long, text string"))
+    assert empty.collect() == []
+
+
 def test_fingerprints_are_sums(spark):
     texts = ["b\na\nc", "a\nb\nc", "a\nb", "c", "", "a\nb\nc\nc"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.struct(fingerprints.equality(F.col("t")).alias("equal"), fingerprints.counters(F.col("t")).alias("counts")).alias("f"))
@@ -109,7 +162,7 @@ def test_likeness_of_long_texts(spark):
     half = one[: len(one) // 2] + other[len(other) // 2 :]
     pairs = [(0, one, other), (1, one, half), (2, "ab cd\n" * 100, "ef gh\n" * 100), (3, "ab cd\n" * 100_000, "ef gh\n" * 100_000)]
     df = spark.createDataFrame(pairs, "i int, a string, b string")
-    prints = df.select("i", *(f(F.col(c)).alias(c + k) for c in "ab" for k, f in (("e", fingerprints.equality), ("c", fingerprints.counters)))).localCheckpoint()
+    prints = df.select("i", *(f(F.col(c)).alias(c + k) for c in "ab" for k, f in (("e", fingerprints.equality), ("c", fingerprints.counters)))).checkpoint()
     signs = prints.select("i", "ae", "be", *(fingerprints.signs(F.col(c)).alias(c) for c in ("ac", "bc")))
     got = {r["i"]: r["x"] for r in signs.select("i", fingerprints.likeness(F.col("ae"), F.col("ac"), F.col("be"), F.col("bc")).alias("x")).collect()}
     assert got[0] < 0.4 and 0.3 < got[1] < 0.75 and abs(got[2] - got[3]) < 1e-9
