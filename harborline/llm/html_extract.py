@@ -2,8 +2,9 @@
 
 A bounded sample of each host's pages (SAMPLE of them, those with the smallest hashes in as many hash classes) is parsed
 to outlines and aligned by simple tree matching. Aligned nodes that hold the same text on every sampled page become
-template, those that vary are slots; the region with most varying text that is neither links nor page furniture is the
-content. That is a host's wrapper: the region's path and the template nodes inside it, each known by its path and its
+template, those that vary are slots. The content is the deepest region with more than HEAVY of the text in slots that is
+not in links, whatever its elements and classes are called; only where that region holds an article or main, or there is
+none, names count too. That is a host's wrapper: the region's path and the template nodes inside it, each known by its path and its
 text, so that other nodes of the same path stay. The sample only proposes template: what is not met on every page of the
 host that has its path is struck out. Every page is then cut by the
 wrapper of its host; where its path is missing or holds less of the page's own text than a region must, or the host has
@@ -14,7 +15,8 @@ host may repeat an article. Furniture is told by element (nav, footer, form ...)
 make furniture of html, body, main, h1, an article (unless in another one) or what holds one of main, h1 and article.
 
 Defined cases: null, empty and text-less pages give an empty text; a null url is a host of its own; repeated rows are
-all extracted; pages keep all of their blocks, however long; columns beyond those named are not read.
+all extracted; pages keep all of their blocks, however long; columns beyond those named are not read; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -52,6 +54,8 @@ HINTS = frozenset(
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A path into an article or main.
+_NAMED = re.compile(r"(^|>)(article|main)\b|:main")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 
@@ -388,29 +392,30 @@ def induce(pages: list[str]) -> dict:
     for other in others:
         align(tree, other, {})
     whole = all(b[0] >= 0 for b in budgets)
-    varying: dict[str, int] = {}
+    varying: dict[str, int] = {}  # text of slots that is not in links
+    content: dict[str, int] = {}  # nor in furniture
     constant: set[str] = set()
 
-    def visit(s: Slot, path: str, furniture: bool) -> int:
-        furniture = furniture or s.furniture or s.link
+    def visit(s: Slot, path: str, furniture: bool, link: bool) -> tuple[int, int]:
+        furniture, link = furniture or s.furniture, link or s.link
         texts = [t for t in s.texts if t]
         same = len(roots) >= 3 and len(s.texts) >= len(roots) and len(set(s.texts)) == 1 and bool(texts)
-        mass = 0 if furniture or same else sum(map(len, texts))
-        kids = [visit(k, f"{path}>{k.label}", furniture) for k in s.kids]
-        if same and not any(kids):
+        mass = 0 if link or same else sum(map(len, texts))
+        kids = [visit(k, f"{path}>{k.label}", furniture, link) for k in s.kids]
+        if same and not any(k for k, _ in kids):
             constant.add(path)
-        varying[path] = varying.get(path, 0) + mass + sum(kids)
-        return mass + sum(kids)
-
-    total = visit(tree, tree.label, False)
-    named = [p for p, m in varying.items() if m > NAMED * total and re.search(r"(^|>)(article|main)\b[^>]*$|:main$", p)]
-    if total and named:
-        region = min(named, key=len)
-    elif total:
-        heavy = [p for p, m in varying.items() if m > HEAVY * total and not re.search(r">(p|h\d|li|pre|blockquote)\b[^>]*$", p)]
-        region = max(heavy, key=len) if heavy else ""
-    else:
-        region = ""
+        got = mass + sum(k for k, _ in kids), (0 if furniture else mass) + sum(k for _, k in kids)
+        varying[path], content[path] = varying.get(path, 0) + got[0], content.get(path, 0) + got[1]
+        return got
+
+    slots, total = visit(tree, tree.label, False, False)
+    region = ""
+    for masses, most in ((varying, slots), (content, total)):
+        heavy = [p for p, m in masses.items() if m > HEAVY * most and not re.search(r">(p|h\d|li|pre|blockquote)\b[^>]*$", p)]
+        region = region or max(heavy, key=len, default="")
+    if total and not _NAMED.search(region):
+        named = [p for p, m in content.items() if m > NAMED * total and re.search(r"(^|>)(article|main)\b[^>]*$|:main$", p)]
+        region = min((p for p in named if not region or p.startswith(region + ">")), key=len, default=region)
     if not whole:
         region = ""
     met = [seen(r, constant if total else set()) for r in roots]
@@ -428,8 +433,13 @@ def absent(source: str | None, wrapper: dict) -> list[tuple[str, str]]:
 
 def extract(source: str | None, wrapper: dict | None) -> str:
     """Main text of a page: blocks joined by two line feeds."""
+    return cut(source, wrapper)[0]
+
+
+def cut(source: str | None, wrapper: dict | None) -> tuple[str, bool]:
+    """Main text of a page, and whether the wrapper has decided its region."""
     if not source:
-        return ""
+        return "", False
     root = parse(source)
     regions: list[Node] = []
     inside = False
@@ -438,16 +448,17 @@ def extract(source: str | None, wrapper: dict | None) -> str:
         template = known = _by_path(wrapper["template"] + wrapper.get("outside", []))
         if wrapper["region"]:
             regions = [x for x, path in _walk(root) if path == wrapper["region"]]
-            inside = bool(re.search(r"(^|>)(article|main)\b|:main", wrapper["region"]))
+            inside = bool(_NAMED.search(wrapper["region"]))
             within = sum(_own_mass(x, known, []) for x in regions)
             # the page has to meet what made the region that of the host
             if not any(_mass(x) for x in regions) or not inside and _has(root, "article"):
                 regions = []
             elif within <= (NAMED if inside else HEAVY) * (within + _own_mass(root, known, regions)) and _own_mass(root, known, []):
                 regions = []
+    decided = bool(regions)
     if not regions:
         regions, inside = own_region(root)
-    return "\n\n".join(b for r in regions for b in blocks(r, inside, template))
+    return "\n\n".join(b for r in regions for b in blocks(r, inside, template)), decided
 
 
 # -- Spark ---------------------------------------------------------------------------------------------------------
@@ -468,11 +479,14 @@ def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     chosen = stage(chosen.select("host", "h").join(many, "host"), "html-sample")
     if 40 * chosen.count() <= BROADCAST_BYTES:
         chosen = F.broadcast(chosen)
-    grouped = pages.join(chosen, ["host", "h"], "left_semi").groupBy("host").agg(F.sort_array(F.collect_set(F.coalesce("html", F.lit("")))).alias("htmls"))
+    # of rows that repeat an id and url one page is taken, so that a host has `sample` of them at most
+    row = F.struct(F.xxhash64("html").alias("x"), F.coalesce("html", F.lit("")).alias("html"))
+    one = pages.join(chosen, ["host", "h"], "left_semi").withColumn("class", F.pmod("h", F.lit(sample))).groupBy("host", "class").agg(F.min(row).alias("m"))
+    grouped = one.groupBy("host").agg(F.sort_array(F.collect_set("m.html")).alias("htmls"))
 
     def run(parts):
         for batch in parts:
-            made = [json.dumps(induce(x[:sample])) for x in batch.column(1).to_pylist()]
+            made = [json.dumps(induce(x)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=["host", "wrapper"])
 
     return grouped.mapInArrow(run, "host string, wrapper string")
@@ -519,24 +533,26 @@ def verified(pages: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def extract_text(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """page_id, url, text of every page."""
+    """page_id, url, text of every page, and by_wrapper: whether the region is that of the host's wrapper."""
     rules = stage(verified(pages, stage(wrappers(pages, sample), "html-wrappers")), "html-verified")
     joined = _with_rules(pages, rules, "left").select("page_id", "url", "html", "wrapper")
 
     def run(parts):
         known: dict = {None: None}
         for batch in parts:
-            texts = []
+            texts, decided = [], []
             for source, rule in zip(batch.column(2), batch.column(3).to_pylist()):
                 if rule not in known:
                     if len(known) > 5000:
                         known = {None: None}
                     known[rule] = json.loads(rule)
-                texts.append(extract(source.as_py(), known[rule]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+                text, by = cut(source.as_py(), known[rule])
+                texts.append(text)
+                decided.append(by)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(decided, pa.bool_())], names=["page_id", "url", "text", "by_wrapper"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string")
+    return joined.mapInArrow(run, "page_id long, url string, text string, by_wrapper boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+    return extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_wrapper")

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import itertools
 import json
 import random
 
@@ -42,6 +43,52 @@ def test_wrapper_of_a_host_without_articles():
     assert html_extract.extract(page(texts[0]), w) == "\n\n".join(texts[0])
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_region_of_hosts_without_telling_names(spark, seed):
+    """No article, main, nav or footer, and classes that say nothing: only the wrapper can tell. Simple tree matching is
+    compared with brute force, and the query counts the pages whose region is that of the wrapper."""
+    rng = random.Random(seed)
+    names = rng.sample([f"q{i}" for i in range(50)], 4)
+
+    def page():
+        body = [prose(rng, rng.randint(25, 60)) for _ in range(rng.randint(2, 5))]
+        links = "".join(f"<li><a href=/{i}>{prose(rng, 2)}</a></li>" for i in range(rng.randint(2, 6)))
+        parts = [f"<div class={names[0]}><ul>{links}</ul></div>", f"<div class={names[1]}>{prose(rng, 3)}</div>"]
+        parts.append(f"<div class={names[2]}><span>{'<h2>' + body[0] + '</h2>'}</span>{''.join(f'<p>{b}</p>' for b in body[1:])}</div>")
+        parts.append(f"<div class={names[3]}>Imprint, the same everywhere. {prose(rng, 4)}</div>")
+        return body, f"{HEAD}{''.join(parts)}</body>"
+
+    made = [page() for _ in range(9)]
+    rows = [(i, f"https://h.example/{i}", html) for i, (_, html) in enumerate(made)]
+    got = {r["page_id"]: r for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i]["by_wrapper"] and got[i]["text"].split("\n\n") == body for i, (body, _) in enumerate(made))
+
+
+def _largest(a, b):
+    """Brute force: the best way to choose children of a and b in the same order."""
+    if a.label != b.label:
+        return 0
+    best = 0
+    for k in range(min(len(a.kids), len(b.kids)) + 1):
+        for x in itertools.combinations(a.kids, k):
+            for y in itertools.combinations(b.kids, k):
+                best = max(best, sum(_largest(p, q) for p, q in zip(x, y)))
+    return 1 + best
+
+
+def test_tree_matching_against_brute_force():
+    rng = random.Random(1)
+
+    def tree(depth):
+        kids = "".join(tree(depth - 1) for _ in range(rng.randint(0, 4))) if depth else "t"
+        tag = rng.choice(["div", "ul", "section"])
+        return f"<{tag}>{kids}</{tag}>"
+
+    for _ in range(40):
+        a, b = (html_extract.Slot(html_extract.parse(tree(3)), 0, [999]) for _ in range(2))
+        assert html_extract.match(a, b, {}) == _largest(a, b)
+
+
 def test_template_is_told_from_varying_nodes_of_its_path():
     rng = random.Random(2)
     texts = [(prose(rng, 4), prose(rng, 40), prose(rng, 30)) for _ in range(4)]
