@@ -7,8 +7,10 @@ leaks, packing. Each stage works on all rows that the one before it kept, and ta
 * benchmark_leaks: words inside benchmark windows are cut; a document of which no word is left goes;
 * packing: pieces of sequences, as the packing operator returns them.
 
-Documents with a null text, a null id or without words pass the first four stages unchanged; rows that repeat an id are one
-document and stay or go together. Extra columns are kept up to the last stage. Empty tables give empty results.
+Documents with a null text or without words pass the first four stages unchanged. A null id is never a near duplicate;
+such a document is scored, cut of passages and leaks as any other. Rows that repeat an id stay or go together as near
+duplicates; everything else is judged by each row's own text, and rows that repeat id and text are one document. Extra
+columns are kept up to the last stage, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations

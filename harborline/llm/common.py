@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_SWEPT: str | None = None
 #: A text batch is worked on in pieces of about this many bytes, so that temporaries stay small.
 PIECE_BYTES = 1 << 20
 
@@ -27,17 +31,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a temporary one;
+    on a cluster, where each machine would write to its own disk, that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master or 'the cluster'} share")
         at = "file://" + tempfile.mkdtemp(prefix="harborline-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/harborline/{name}-{uuid.uuid4().hex}"
+    """A new path below the application's part of the shared folder, which goes when the driver ends."""
+    global _SWEPT
+    if _SWEPT != (app := spark.sparkContext.applicationId):
+        _SWEPT = app
+        atexit.register(sweep, spark)
+    return f"{shared_dir(spark)}/harborline/{app}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application has staged; results that were not yet written go with it."""
+    with contextlib.suppress(Exception):  # the session may have ended before
+        _delete(spark, f"{shared_dir(spark)}/harborline/{spark.sparkContext.applicationId}")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -51,10 +74,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def unstage(df: DataFrame) -> None:
     """Delete the files of a staged table that is not needed again."""
-    jvm = df.sparkSession._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def release(spark: SparkSession) -> None:

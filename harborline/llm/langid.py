@@ -12,7 +12,8 @@ characters each, and windows of longer texts where a language has too few of the
 many there are, in memory for all n-grams times all languages. All texts are scored whole.
 
 Defined cases: null texts and texts without letters are "und" with score 0; a single learned language gives score 1
-for texts it does not reject; without any labelled row every text is "und"; ties go to the first language by name.
+for texts it does not reject; without any labelled row every text is "und"; ties go to the first language by name;
+repeated rows are each scored, alike; an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations

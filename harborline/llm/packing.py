@@ -10,7 +10,8 @@ Tokens of a text are those of the tokenizer for each of its words apart: it drop
 text across it. Words met before come from a bounded table, found by a 64-bit hash.
 
 Defined cases: a null or empty text is the closing id alone; repeated rows are packed each; a text with the tokenizer's
-control strings is encoded whole; an empty table gives no row.
+control strings is encoded whole; an empty table gives no row. Extra columns are not read. A tokenizer that tells case
+or joins text across white space is refused.
 """
 
 from __future__ import annotations
@@ -59,6 +60,11 @@ class Encoder:
             self.ends[i] = token.endswith("</w>")
         self.memory = memory
         self.forget()
+        # what encode() relies on; a tokenizer that tells case or joins text across white space would get wrong ids
+        got = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        parts = ["so", "is", "this", ".", "and", "that", ",", "it's", "12", "é"]
+        if got(" So IS  this. AND\tthat, it's\n12 é") != [i for x in parts for i in got(x)]:
+            raise ValueError(f"{path}: packing takes tokenizers that lower-case and split at white space only")
 
     def forget(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hash of a piece, in order, to its slot

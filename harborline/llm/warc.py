@@ -16,6 +16,7 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +33,7 @@ CHUNK = 1 << 16
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2024-01-01T00:00:00Z"
+SOFTWARE = "software: harborline\r\nformat: WARC File Format 1.1\r\n"
 
 _MANIFEST = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 _RECORD = pa.schema(
@@ -48,11 +49,22 @@ def _line(value: str) -> str:
     return "".join(c if " " <= c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in value)
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None) -> bytes:
+def now() -> str:
+    return datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def info(date: str) -> bytes:
+    """The warcinfo record that an archive begins with."""
+    block = SOFTWARE.encode()
+    head = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("WARC-Block-Digest", _b32(block)), ("Content-Type", "application/warc-fields"), ("Content-Length", str(len(block)))]
+    return VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, kind: str, refers_to: int | None, date: str) -> bytes:
     """One record, not yet compressed. A revisit keeps the HTTP header but not the payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE)]
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{page_id}>" if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date)]
     if url is not None:
         head.append(("WARC-Target-URI", _line(url)))
     if kind == "revisit":
@@ -92,7 +104,7 @@ def _page(uri: str | None) -> int | None:
 
 
 def read_records(source: io.RawIOBase | pa.NativeFile) -> Iterator[dict]:
-    """Records of an archive in order; a framing or digest fault raises ValueError."""
+    """Pages of an archive in order; a framing or digest fault of any record raises ValueError."""
     for raw in _members(source):
         end = raw.find(b"\r\n\r\n")
         if end < 0 or not raw.startswith(VERSION):
@@ -104,6 +116,8 @@ def read_records(source: io.RawIOBase | pa.NativeFile) -> Iterator[dict]:
             raise ValueError(f"{head.get('warc-record-id')}: Content-Length does not frame the block")
         if _b32(block) != head["warc-block-digest"]:
             raise ValueError(f"{head.get('warc-record-id')}: block digest differs")
+        if head["warc-type"] not in ("response", "revisit"):
+            continue  # warcinfo and others that hold no page
         cut = block.index(b"\r\n\r\n") + 4
         payload = block[cut:]
         if head["warc-type"] == "response" and _b32(payload) != head["warc-payload-digest"]:
@@ -131,12 +145,15 @@ def mark_revisits(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame
     )
 
 
-def write_archives(records: DataFrame, to: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def write_archives(records: DataFrame, to: str, roll_bytes: int = ROLL_BYTES, date: str | None = None) -> DataFrame:
     """Write page_id, url, html, record_type, refers_to as .warc.gz files below `to`; returns path, records, bytes of each.
+    date: WARC-Date of all records, when the pages were fetched; the time of this call by default.
 
     A file is listed only once it is closed, under a name of its own for each attempt, so what a lost task left is never read.
     """
 
+    date = date or now()
+
     def write(parts):
         from pyarrow import fs
         from pyspark import TaskContext
@@ -154,8 +171,9 @@ def write_archives(records: DataFrame, to: str, roll_bytes: int = ROLL_BYTES) ->
                 if out is None:
                     store.create_dir(base, recursive=True)
                     out, n, size = store.open_output_stream(f"{base}/{name}-{len(done):04d}.warc.gz", compression=None), 0, 0
+                    out.write(member(info(date)))
                 payload = (html.as_py() or "").encode()
-                data = member(record(page_id.as_py(), url.as_py(), payload, kind.as_py(), refers_to.as_py()))
+                data = member(record(page_id.as_py(), url.as_py(), payload, kind.as_py(), refers_to.as_py(), date))
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= roll_bytes:

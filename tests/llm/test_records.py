@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from harborline.llm import chat, html_extract, warc
 
-from .helpers import brute_components, corpus, frame, prose, save
+from .helpers import WORD, brute_components, brute_substrings, corpus, frame, prose, save, sha
 
 HEAD = '<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>'
+DATE = "2024-05-01T00:00:00Z"
 ARTICLE = "<article><header><h1>Head &amp; more</h1></header><p>One <b>bold</b>&nbsp; text<br>next<p>Two &lt;x&gt; &#233;<ul><li>a<li>b</ul><aside>side</aside><div class='share'>share me</div><blockquote>Quote</blockquote></article>"
 WANT = ["Head & more", "One bold text next", "Two <x> é", "a", "b", "Quote"]
 
@@ -158,12 +159,12 @@ def test_extraction_query(spark, tmp_path):
 
 
 def test_warc_round_trip():
-    data = warc.member(warc.record(3, "http://x/\r\ny", b"\xc3\xa9" * 100000, "response", None)) + warc.member(warc.record(1, None, b"abc", "revisit", 3)) + warc.member(warc.record(None, "u", b"", "response", None))
+    data = warc.member(warc.record(3, "http://x/\r\ny", b"\xc3\xa9" * 100000, "response", None, DATE)) + warc.member(warc.record(1, None, b"abc", "revisit", 3, DATE)) + warc.member(warc.record(None, "u", b"", "response", None, DATE))
     a, b, c = warc.read_records(io.BytesIO(data))
     assert a["payload"] == b"\xc3\xa9" * 100000 and a["url"] == "http://x/%0D%0Ay" and a["payload_digest"] == hashlib.sha1(a["payload"]).hexdigest()
     assert (b["record_type"], b["refers_to"], b["payload"], b["payload_bytes"], b["url"]) == ("revisit", 3, b"", 3, None)
     assert c["page_id"] is None and c["payload_bytes"] == 0
-    for broken in (data[:-9], warc.member(warc.record(3, "u", b"abc", "response", None).replace(b"abc", b"abd")), warc.member(warc.record(3, "u", b"abc", "response", None).replace(b"Content-Length: 7", b"Content-Length: 6")), b"no gzip"):
+    for broken in (data[:-9], warc.member(warc.record(3, "u", b"abc", "response", None, DATE).replace(b"abc", b"abd")), warc.member(warc.record(3, "u", b"abc", "response", None, DATE).replace(b"Content-Length: 7", b"Content-Length: 6")), b"no gzip"):
         with pytest.raises(Exception):
             n = list(warc.read_records(io.BytesIO(broken)))
             assert len(n) == 3 and not broken.startswith(b"\x1f")
@@ -278,6 +279,47 @@ def test_stages(spark, documents):
     assert None in toxic
 
 
+def test_repeated_passages_against_brute_force(spark, documents):
+    folder, rows, _ = documents
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is not null")
+    got = {r["doc_id"]: r for r in corpus_pipeline.cut_repeated_passages(spark, docs, folder).collect()}
+    own = [(d, t) for d, t in rows if d is not None]
+    want = brute_substrings(own)
+    assert set(got) == {d for d, (n, gone, _) in want.items() if not gone or gone < n}
+    for d, t in own:
+        if d in got:
+            n, gone, digest = want[d]
+            assert got[d]["text"] == t if not gone else sha(" ".join(WORD.findall(got[d]["text"]))) == digest
+            assert got[d]["n_chars"] == (None if t is None else len(got[d]["text"]))
+
+
+def test_stages_with_empty_tables_and_other_columns(spark, tmp_path):
+    """Columns named as those that operators add; null and repeated ids; tables without rows."""
+    extra = ["n_words", "n_removed", "kept_text", "kept_sha256", "n_hit", "items", "spans", "clean_text", "score", "predicted", "component_id", "doc", "u", "host"]
+    rng = random.Random(5)
+    long, other = prose(rng, 60), prose(rng, 60)
+    rows = [(1, long), (5, long), (5, other), (None, long), (None, None), (7, ""), (8, prose(rng, 4000))]
+    docs = spark.createDataFrame([(*r, *(f"{c}{i}" for c in extra)) for i, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra))
+    save(spark.createDataFrame([], "doc_id long, toxic int"), tmp_path, "labels")
+    save(spark.createDataFrame([], "item_id long, text string"), tmp_path, "benchmark")
+    kept = {}
+    for name, work in corpus_pipeline.STAGES:
+        for df in (docs, docs.limit(0)):
+            out = work(spark, df, str(tmp_path))
+            got = out.collect()
+            assert name == "packing" or out.dtypes == df.dtypes
+            kept.setdefault(name, got)
+        assert got == []
+    number = lambda name: sorted(int(r["score"][5:]) for r in kept[name])
+    assert number("toxicity") == number("benchmark_leaks") == list(range(7))
+    assert number("near_duplicates") == [0, 3, 4, 5, 6]  # 5 goes with all its rows; no id is no duplicate
+    cut = {int(r["score"][5:]): r["text"] for r in kept["repeated_passages"]}
+    assert cut[2] == other and cut[3] == long and cut[4] is None and not {0, 1} & set(cut)
+    assert {r["doc_id"] for r in kept["packing"]} == {1, 5, 7, 8, None}
+    save(docs.limit(0), tmp_path, "documents")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_pipeline_runs_whole(spark, documents):
     folder, rows, _ = documents
     got = corpus_pipeline.run(spark, folder).collect()

@@ -9,11 +9,35 @@ import pytest
 from pyspark.sql import functions as F
 
 from harborline.llm import decontam, fingerprints, langid, packing, toxicity
-from harborline.llm.common import Words, pieces, text_buffers
+from harborline.llm.common import Words, pieces, shared_dir, text_buffers
 
 from .helpers import WORD, corpus, frame, prose, save, sha
 
 
+def test_shared_folder_is_needed_on_a_cluster():
+    class Conf:
+        def __init__(self, **k):
+            self.of = k
+
+        def get(self, key, default=None):
+            return self.of.get(key, default)
+
+        def set(self, key, value):
+            self.of[key] = value
+
+    class Session:
+        def __init__(self, master):
+            self.conf = Conf(**{"spark.master": master})
+            self.sparkContext = self
+
+        def getConf(self):
+            return Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session("spark://host:7077"))
+    assert shared_dir(Session("local[4]")).startswith("file:/")
+
+
 def test_words_and_pieces():
     texts = [t for _, t in corpus(4)] + ["a", "b", "", "c"]
     raw, off = text_buffers(pa.array(texts, pa.string()))
@@ -206,6 +230,13 @@ def test_language_query(spark, tmp_path):
     assert len(got) == 83 and all(got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) for d in got)
     assert np.mean([got[d]["lang_pred"] == lang for d, _, lang in rows[:80]]) > 0.97
     assert got[100]["lang_pred"] == got[101]["lang_pred"] == "und"
+    # repeated rows and long texts, other columns, no rows
+    more = [*rows, rows[0], (200, make("aeioubc") * 200, None)]
+    save(spark.createDataFrame(more, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit(1), "held_out": F.lit("x")}), tmp_path, "documents")
+    again = langid.query(spark, str(tmp_path)).collect()
+    assert len(again) == 85 and len({tuple(r) for r in again if r["doc_id"] == 0}) == 1 and [r["lang_pred"] for r in again if r["doc_id"] == 200] == ["aa"]
+    save(spark.createDataFrame([], "doc_id long, text string, lang string"), tmp_path, "documents")
+    assert langid.query(spark, str(tmp_path)).collect() == []
     save(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang", F.lit(None).cast("string")), tmp_path, "documents")
     assert {r["lang_pred"] for r in langid.query(spark, str(tmp_path)).collect()} == {"und"}
 
@@ -342,6 +373,13 @@ def test_packing_is_bounded_and_tight():
     assert padding < 0.05 * sum(sizes)
 
 
+def test_other_tokenizers_are_refused():
+    import public_tokenizers as P
+
+    with pytest.raises(ValueError, match="lower-case"):
+        packing.Encoder(P.path("byte_bpe_50k.json"))
+
+
 def test_packing_nothing(spark, tmp_path):
     save(frame(spark, []), tmp_path, "documents")
     assert packing.query(spark, str(tmp_path)).collect() == []
