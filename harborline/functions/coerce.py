@@ -4,6 +4,8 @@ A raw value is text, a VARIANT (a JSON value, whose own type matters) or a nativ
 ("1d", "2024", "t", " 2024-01-15"), so a pattern decides and the cast follows. Casts that fail give null, which is told from a
 null value by the raw value. Dates and timestamps take the ISO 8601 forms that a strict parser of such takes.
 
+The usual shapes are told by one short pattern and cast as they are; the general forms are tried only where that fails.
+
 Deviations: integers beyond 64 bits fail; digits other than 0-9 fail; a double as a string reads as Spark writes it.
 """
 
@@ -23,6 +25,8 @@ FLOAT = rf"^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_
 _DATE = r"\d{4}-\d{2}-\d{2}|\d{8}|\d{4}-W\d{2}(?:-[1-7])?|\d{4}W\d{2}[1-7]?"
 DATE = rf"^(?:{_DATE})$"
 TIMESTAMP = rf"(?s)^({_DATE})(?:.(\d{{2}})(?::?(\d{{2}})(?::?(\d{{2}})(?:[.,](\d+))?)?)?(Z|z|[+-]\d{{2}}(?::?\d{{2}}(?::?\d{{2}})?)?)?)?$"
+#: The forms of a timestamp that a cast reads alike.
+PLAIN_TIMESTAMP = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?(?:Z|[+-]\d{2}:\d{2})?$"
 TRUE, FALSE = ("true", "1", "yes"), ("false", "0", "no")
 
 
@@ -32,17 +36,17 @@ def strip(text: Column) -> Column:
 
 def integer_text(text: Column) -> Column:
     t = strip(text)
-    return F.when(t.rlike(INTEGER), F.regexp_replace(t, "_", "").try_cast("bigint"))
+    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint")).when(t.rlike(INTEGER), F.regexp_replace(t, "_", "").try_cast("bigint"))
 
 
 def float_text(text: Column) -> Column:
     t = strip(text)
-    return F.when(t.rlike(FLOAT), F.regexp_replace(t, "_", "").try_cast("double"))
+    return F.when(text.rlike(r"^[+-]?\d+(?:\.\d+)?$"), text.try_cast("double")).when(t.rlike(FLOAT), F.regexp_replace(t, "_", "").try_cast("double"))
 
 
 def boolean_text(text: Column) -> Column:
-    t = F.lower(strip(text))
-    return F.when(t.isin(*TRUE), True).when(t.isin(*FALSE), False)
+    t, plain = F.lower(strip(text)), F.lower(text)
+    return F.when(plain.isin(*TRUE), True).when(plain.isin(*FALSE), False).when(t.isin(*TRUE), True).when(t.isin(*FALSE), False)
 
 
 def date_text(text: Column) -> Column:
@@ -67,7 +71,7 @@ def timestamp_text(text: Column) -> Column:
         F.concat(F.substring(part[6], 1, 3), F.lit(":"), F.rpad(F.substring(F.regexp_replace(F.substring(part[6], 4, 9), ":", ""), 1, 2), 2, "0"))
     )
     whole = F.concat(date_text(part[1]).cast("string"), F.lit("T"), or_zero[2], F.lit(":"), or_zero[3], F.lit(":"), or_zero[4], F.lit("."), fraction, zone)
-    return F.when(text.rlike(TIMESTAMP), whole.try_cast("timestamp"))
+    return F.when(text.rlike(PLAIN_TIMESTAMP), text.try_cast("timestamp")).when(text.rlike(TIMESTAMP), whole.try_cast("timestamp"))
 
 
 _FROM_TEXT = {"string": lambda t: t, "integer": integer_text, "float": float_text, "boolean": boolean_text, "date": date_text, "timestamp": timestamp_text}

@@ -31,11 +31,3 @@ def overview(records: DataFrame) -> DataFrame:
 
 def listing(records: DataFrame) -> DataFrame:
     return records.select(*LISTED).orderBy(F.desc("updated_at"), "content_hash")
-
-
-def terminal(records: DataFrame, cap: int) -> DataFrame:
-    return records.where((F.col("state") == "FAILED") & (F.col("attempt_count") >= cap))
-
-
-def retryable(records: DataFrame, cap: int) -> DataFrame:
-    return records.where((F.col("state") == "FAILED") & (F.col("attempt_count") < cap))

@@ -1,23 +1,27 @@
 """Compaction: many small NDJSON files into few, each batch complete or absent.
 
 Batches are cut by number of files in order of path. Every batch is one task that streams its files, so batches go in parallel
-and none is held in memory. Which sources are done is told by a manifest in a hidden folder, or by deleting them.
+and none is held in memory. Files are opened with pyarrow.fs, on any store that driver and executors share.
+
+Which sources are done is told by manifests in a hidden folder, one for each batch, or by deleting the sources. A task writes
+the manifest of its batch first; it counts from when the batch has its final name. So a run that stops half way has lost
+nothing and the next does not repeat what was finished.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
 import json
-import os
+import uuid
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import list_files
 
-MANIFEST = ".harborline/compacted.ndjson"
+MANIFESTS = ".harborline"
 
 
 def batch_numbers(files: DataFrame, max_files: int) -> DataFrame:
@@ -26,49 +30,81 @@ def batch_numbers(files: DataFrame, max_files: int) -> DataFrame:
     return files.withColumn("batch", F.floor((F.row_number().over(order) - 1) / max_files).cast("long") + 1)
 
 
-def _local(uri: str) -> str:
+def _store(uri: str):
+    """The file system of a URI or local path, and the path there."""
+    from pyarrow import fs
+
     if uri.startswith("file:"):
-        return "/" + uri.removeprefix("file:").lstrip("/")
-    if "://" in uri:
-        raise ValueError(f"compaction writes to mounted folders, not to {uri}")
-    return uri
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def finished(source: str) -> set[str]:
+    """Names of the files in batches that are complete."""
+    from pyarrow import fs
+
+    store, base = _store(source)
+    done: set[str] = set()
+    for f in store.get_file_info(fs.FileSelector(f"{base}/{MANIFESTS}", allow_not_found=True)):
+        if f.path.endswith(".json"):
+            with store.open_input_stream(f.path) as s:
+                m = json.loads(s.read())
+            other, target = _store(m["batch"])
+            if other.get_file_info(target).type == fs.FileType.File:
+                done |= set(m["files"])
+    return done
+
+
+def _write_batch(paths: list[str], target: str, manifest: str | None, compress: bool) -> None:
+    store, final = _store(target)
+    part = f"{final}.{uuid.uuid4().hex}.tmp"
+    try:
+        with store.open_output_stream(part, compression=None) as raw:
+            sink = gzip.GzipFile(fileobj=raw, mode="wb") if compress else raw
+            for p in paths:
+                other, at = _store(p)
+                with other.open_input_file(at) as lines:
+                    for line in io.TextIOWrapper(lines, encoding="utf-8"):
+                        if line.strip():
+                            sink.write((json.dumps(json.loads(line), ensure_ascii=False) + "\n").encode())
+            if compress:
+                sink.close()
+        if manifest:
+            other, at = _store(manifest)
+            with other.open_output_stream(at, compression=None) as log:
+                log.write(json.dumps({"batch": target, "files": [p.rsplit("/", 1)[-1] for p in paths]}).encode())
+        store.move(part, final)
+    except BaseException:
+        from pyarrow import fs
+
+        if store.get_file_info(part).type == fs.FileType.File:
+            store.delete_file(part)
+        raise
 
 
 def compact(spark: SparkSession, source: str, target: str, max_files: int = 1000, compress: bool = False, delete_source: bool = False, now: datetime | None = None) -> dict:
     """Returns batches and files_compacted."""
-    manifest = Path(_local(source), MANIFEST)
-    done = {json.loads(x)["file"] for x in manifest.read_text().splitlines()} if manifest.exists() else set()
-    files = [p for p, _ in list_files(spark, source, "*.ndjson") if p.rsplit("/", 1)[-1] not in done]
+    done = finished(source)
+    names = [(p,) for p, _ in list_files(spark, source, "*.ndjson") if p.rsplit("/", 1)[-1] not in done]
+    if not names:
+        return {"batches": 0, "files_compacted": 0}
     stamp = (now or datetime.now(UTC)).strftime("%Y%m%dT%H%M%SZ")
-    groups = [(k, files[i : i + max_files]) for k, i in enumerate(range(0, len(files), max_files), 1)]
-    out = _local(target)
-    os.makedirs(out, exist_ok=True)
     suffix = ".ndjson.gz" if compress else ".ndjson"
+    for folder in (target, *([] if delete_source else [f"{source.rstrip('/')}/{MANIFESTS}"])):
+        store, at = _store(folder)
+        store.create_dir(at, recursive=True)
+    groups = batch_numbers(spark.createDataFrame(names, "path string"), max_files).groupBy("batch").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
+
+    def work(rows):
+        for r in rows:
+            name = f"{stamp}_{r['batch']:04d}"
+            manifest = None if delete_source else f"{source.rstrip('/')}/{MANIFESTS}/{name}.json"
+            _write_batch(r["paths"], f"{target.rstrip('/')}/{name}{suffix}", manifest, compress)
+            if delete_source:
+                for p in r["paths"]:
+                    store, at = _store(p)
+                    store.delete_file(at)
+            yield len(r["paths"])
 
-    def work(parts):
-        for k, paths in parts:
-            final = os.path.join(out, f"{stamp}_{k:04d}{suffix}")
-            temporary = f"{final}.{os.getpid()}.tmp"
-            try:
-                with (gzip.open if compress else open)(temporary, "wt", encoding="utf-8") as sink:
-                    for p in paths:
-                        with open(_local(p), encoding="utf-8") as lines:
-                            for line in lines:
-                                if line.strip():
-                                    sink.write(json.dumps(json.loads(line), ensure_ascii=False) + "\n")
-                os.replace(temporary, final)
-            except BaseException:
-                if os.path.exists(temporary):
-                    os.unlink(temporary)
-                raise
-            yield final, len(paths)
-
-    made = spark.sparkContext.parallelize(groups, len(groups)).mapPartitions(work).collect() if groups else []
-    if delete_source:
-        for p in files:
-            os.unlink(_local(p))
-    elif files:
-        manifest.parent.mkdir(exist_ok=True)
-        with manifest.open("a") as log:
-            log.writelines(json.dumps({"file": p.rsplit("/", 1)[-1]}) + "\n" for p in files)
-    return {"batches": len(made), "files_compacted": len(files)}
+    made = spark.sparkContext.parallelize(groups, len(groups)).mapPartitions(work).collect()
+    return {"batches": len(made), "files_compacted": sum(made)}

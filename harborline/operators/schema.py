@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.coerce import SPARK_TYPES
@@ -48,13 +46,3 @@ def require(expected: T.StructType, actual: T.StructType) -> None:
     names = lambda s: {f.name: f.dataType.simpleString() for f in s}
     if found := differences(names(expected), names(actual)):
         raise SchemaError("; ".join(f"{c}: {what} (declared {want}, found {have})" for c, what, want, have in found))
-
-
-def frame_differences(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """The same of two frames (column, type)."""
-    kind = lambda c: F.upper(F.trim(c))
-    names = F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair])
-    norm = lambda c: F.coalesce(names[kind(c)], kind(c))
-    both = expected.select("column", F.col("type").alias("expected_type")).join(actual.select("column", F.col("type").alias("actual_type")), "column", "full_outer")
-    what = F.when(F.col("actual_type").isNull(), "missing").when(F.col("expected_type").isNull(), "extra").when(norm(F.col("expected_type")) != norm(F.col("actual_type")), "type_mismatch")
-    return both.withColumn("difference", what).where("difference is not null")

@@ -29,8 +29,21 @@ class Checked:
         return self.df.where(F.col(FAULT).isNotNull()).select(F.col(ROW).alias("row_number"), F.col(FAULT_COLUMN).alias("column"), F.col(FAULT).alias("error"), F.col(RAW).alias("row"))
 
 
-def column_error(scan: Scan, c: Declared) -> Column:
-    """Text of what is wrong with a column of a row, or null."""
+def coerced(scan: Scan, columns: tuple[Declared, ...]) -> tuple[DataFrame, list[Column]]:
+    """The scan's frame with the value of each declared column, coerced once, and these values.
+
+    A generator of one row stands between them and what is made of them: Catalyst would else put the coercions into each later
+    projection, and into filters on errors once more.
+    """
+    if not columns:
+        return scan.df, []
+    made = F.struct(*(column_value(scan, c).alias(f"_v{i}") for i, c in enumerate(columns)))
+    return scan.df.select("*", F.inline(F.array(made))), [F.col(f"_v{i}") for i in range(len(columns))]
+
+
+def column_error(scan: Scan, c: Declared, value: Column) -> Column:
+    """Text of what is wrong with a column of a row, or null. value: the column, coerced. The texts are fixed: operators of a
+    load read them in sidecars and reports."""
     raw = scan.raw(c.source)
     if raw is None:
         return F.lit(f"Missing required column: {c.source!r}") if c.required else F.lit(None).cast("string")
@@ -39,7 +52,7 @@ def column_error(scan: Scan, c: Declared) -> Column:
         # a key that is absent reads as no variant at all, JSON's null as a variant that holds nothing
         empty = F.when(raw.value.isNull(), F.lit(f"Missing required column: {c.source!r}")).otherwise(empty)
     failed = F.concat(F.lit(f"Cannot coerce {c.source!r}='"), raw.text, F.lit(f"' to {c.type}"))
-    return F.when(raw.empty, empty).when(raw.to(c.type).isNull(), failed)
+    return F.when(raw.empty, empty).when(value.isNull(), failed)
 
 
 def column_value(scan: Scan, c: Declared) -> Column:
@@ -51,15 +64,17 @@ def column_value(scan: Scan, c: Declared) -> Column:
 
 def check(scan: Scan, columns: tuple[Declared, ...], keep_raw: bool = True, extra: dict[str, Column] | None = None) -> Checked:
     """Coerce all declared columns in one projection. extra: more columns to carry, by name."""
-    errors = [column_error(scan, c) for c in columns]
-    at = F.coalesce(*(F.when(e.isNotNull(), F.lit(c.source)) for e, c in zip(errors, columns)))
-    df = scan.df.select(
+    made, values = coerced(scan, columns)
+    errors = [column_error(scan, c, v) for c, v in zip(columns, values)]
+    # both texts of the first error, so that each is worked out once
+    first = F.coalesce(*(F.when(e.isNotNull(), F.struct(F.lit(c.source).alias("at"), e.alias("text"))) for e, c in zip(errors, columns)))
+    df = made.select(
         F.col(ROW),
         F.col(ERROR),
-        F.coalesce(*errors).alias(FAULT),
-        at.alias(FAULT_COLUMN),
+        first["text"].alias(FAULT),
+        first["at"].alias(FAULT_COLUMN),
         (raw_json(scan) if keep_raw else F.lit(None).cast("string")).alias(RAW),
-        *(column_value(scan, c).alias(c.dest) for c in columns),
+        *(v.alias(c.dest) for c, v in zip(columns, values)),
         *(v.alias(k) for k, v in (extra or {}).items()),
     )
     return Checked(df, columns)

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..plans.config import Column as Declared
 from ..sources.readers import ROW, Scan
-from .transform import column_error
+from .transform import coerced, column_error
 
 
 def failures(scan: Scan, columns: tuple[Declared, ...]) -> DataFrame:
     """row_number, column, error of each cell that fails, not only the first of a row."""
-    cells = F.array(*(F.struct(F.lit(c.source).alias("column"), column_error(scan, c).alias("error")) for c in columns))
+    made, values = coerced(scan, columns)
+    cells = F.array(*(F.struct(F.lit(c.source).alias("column"), column_error(scan, c, v).alias("error")) for c, v in zip(columns, values)))
     bad = F.filter(cells, lambda x: x["error"].isNotNull())
-    return scan.df.select(F.col(ROW).alias("row_number"), F.explode(bad).alias("f")).select("row_number", "f.column", "f.error")
+    return made.select(F.col(ROW).alias("row_number"), F.explode(bad).alias("f")).select("row_number", "f.column", "f.error")
 
 
 @dataclass(frozen=True)

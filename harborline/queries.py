@@ -1,13 +1,18 @@
 """Queries that show the engine's operators on the test tables, each with the SQL that gives the same rows.
 
-Tables stand in for files: a row's fields become text as a CSV file would have them, an attribute stands for the file a row came
-from. Every query runs the operator that the engine itself uses.
+Every query runs the operator that the engine itself uses. Those of readers, registration, compaction and fetches first write
+files below the shared folder, as a watched directory would hold them; in the others tables stand in for files, with fields as
+the text that a CSV file would have.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
+import zipfile
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +22,18 @@ from .functions.json import dotted_get
 from .operators import audit_views, cdc, compact, infer, schema, validate
 from .operators.store import Table, with_provenance
 from .operators.transform import check
-from .plans.config import Column, Quarantine
+from .plans.audit import Audit
+from .plans.config import Column, Pipeline, Quarantine, parse
+from .plans.register import register
+from .sources import fetch, readers
 from .sources.readers import ERROR, ROW, Scan
 from .streaming.materialize import cut
 
 KEY = bytes(range(32))
+#: Namespaces of workbooks.
+_SHEETS = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+_OFFICE = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -35,10 +47,35 @@ def _scan(df: DataFrame, row: str, names: list[str]) -> Scan:
 
 
 def _temporary(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="harborline-")
+    """A new path in the folder that driver and executors share; a local session may do without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="harborline-")
     return f"{base.rstrip('/')}/{name}-{os.urandom(6).hex()}"
 
 
+def _put(spark: SparkSession, path: str, data: bytes) -> str:
+    """A small file, through Hadoop's file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(at)
+    out.write(data)
+    out.close()
+    return path
+
+
+def _written(spark: SparkSession, lines: DataFrame, name: str) -> str:
+    """Lines (value) as one text file below a new folder."""
+    path = _temporary(spark, name)
+    lines.select("value").coalesce(1).write.text(path)
+    return path
+
+
+def _pipeline(column: str, kind: str) -> Pipeline:
+    return parse({"format": "csv", "dest_table": "t", "columns": [{"source": column, "dest": column, "type": kind}]})
+
+
 # -- coercion and transform
 
 
@@ -201,22 +238,39 @@ def provenance_lineage(spark, sf):
 
 
 def dedup_by_content_hash(spark, sf):
-    """One record for each content, under the first of its names."""
-    d = _t(spark, sf, "events").select("event_id", F.sha2("props", 256).alias("content_hash"))
-    return d.groupBy("content_hash").agg(F.min("event_id").alias("first_id"), F.count("*").alias("copies"))
+    """Registered twice from a directory where nations of one region are equal files: one record a content, under its first name."""
+    folder = _temporary(spark, "copies")
+    for r in _t(spark, sf, "nation").collect():
+        _put(spark, f"{folder}/n{r['n_nationkey']:02d}.csv", f"region\n{r['n_regionkey']}\n".encode())
+    audit = Audit(":memory:")
+    for _ in range(2):
+        found = register(spark, audit, folder, _pipeline("region", "integer"))
+    copies = spark.createDataFrame([(c.content_hash,) for c in found.candidates], "content_hash string").groupBy("content_hash").agg(F.count("*").alias("copies"))
+    return audit.frame(spark).select("content_hash", F.col("filename").alias("first_name")).join(copies, "content_hash")
 
 
 def registration_anti_join(spark, sf):
-    """New content only: what the audit store has not seen. Its side is as long as the store, so Spark picks the join by size."""
-    files = _t(spark, sf, "events").select("event_id", F.sha2(F.concat_ws(" ", "user_id", "event_type", "props"), 256).alias("content_hash"))
-    known = files.where("event_id % 3 = 0").select("content_hash").distinct()
-    return files.join(known, "content_hash", "left_anti").select("event_id", "content_hash")
+    """Candidates of a directory: content that is new or pending, not what the audit store has loaded under any name."""
+    folder, rows = _temporary(spark, "inbox"), _t(spark, sf, "nation").collect()
+    audit = Audit(":memory:")
+    for r in rows:
+        data = f"{r['n_name']}\n".encode()
+        _put(spark, f"{folder}/{r['n_name']}.csv", data)
+        if r["n_nationkey"] % 3 == 0:
+            h = hashlib.sha256(data).hexdigest()
+            audit.insert_pending("other name.csv", h)
+            if r["n_nationkey"] % 2 == 0:
+                audit.claim(h, "w", "r")
+                audit.committed(h, 1)
+    found = register(spark, audit, folder, _pipeline("name", "string"))
+    return spark.createDataFrame([(c.name, c.size, c.content_hash) for c in found.candidates], "name string, size long, content_hash string")
 
 
 def schema_diff(spark, sf):
-    expected = _t(spark, sf, "region").where("r_regionkey = 0").select(F.explode(F.array(*(F.struct(F.lit(a).alias("column"), F.lit(b).alias("type")) for a, b in (("id", "bigint"), ("name", "string"), ("price", "double"), ("day", "date"))))).alias("x")).select("x.*")
-    actual = _t(spark, sf, "region").where("r_regionkey = 0").select(F.explode(F.array(*(F.struct(F.lit(a).alias("column"), F.lit(b).alias("type")) for a, b in (("id", "INTEGER"), ("name", "VARCHAR"), ("price", "string"), ("note", "text"))))).alias("x")).select("x.*")
-    return schema.frame_differences(expected, actual).select("column", "difference")
+    """The declared columns of orders against what its table has."""
+    declared = {"o_orderkey": "bigint", "o_orderstatus": "VARCHAR", "o_totalprice": "date", "o_discount": "double"}
+    actual = {f.name: f.dataType.simpleString() for f in _t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority").schema}
+    return spark.createDataFrame([(c, what) for c, what, _, _ in schema.differences(declared, actual)], "column string, difference string")
 
 
 # -- audit read models
@@ -245,12 +299,28 @@ def audit_overview(spark, sf):
     return audit_views.overview(_records(spark, sf))
 
 
+def _failed(spark, sf) -> Audit:
+    """Suppliers as files that have failed 0 to 4 times more than once."""
+    audit = Audit(":memory:")
+    for r in _t(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey").orderBy("s_suppkey").collect():
+        audit.insert_pending(r["s_name"], str(r["s_suppkey"]))
+        for _ in range(r["s_nationkey"] % 5 + 1):
+            audit.failed(str(r["s_suppkey"]), "bad row")
+    return audit
+
+
 def requeue_eligible(spark, sf):
-    return audit_views.retryable(_records(spark, sf), 3).select("content_hash", "attempt_count")
+    """What the next run tries again: failed fewer times than the cap."""
+    audit = _failed(spark, sf)
+    audit.retry_failed(3)
+    return audit.frame(spark).where("state = 'PENDING'").select("content_hash", "attempt_count")
 
 
 def requeue_terminal(spark, sf):
-    return audit_views.terminal(_records(spark, sf), 3).select("content_hash", "attempt_count")
+    """What an operator sends back: failed for good, with attempts from nought."""
+    audit = _failed(spark, sf)
+    audit.requeue_all(3)
+    return audit.frame(spark).where("state = 'PENDING'").select("content_hash", "attempt_count", "error_message")
 
 
 # -- crypto
@@ -271,20 +341,71 @@ def aes_roundtrip(spark, sf):
 
 def fixed_width_slice(spark, sf):
     line = F.concat(F.lpad(F.col("p_partkey").cast("string"), 8, " "), F.rpad("p_name", 30, " "), F.rpad("p_brand", 12, " "), F.lpad(F.col("p_size").cast("string"), 4, "0"))
-    cut_ = lambda s, w: F.trim(F.substring("value", s, w))
-    got = _t(spark, sf, "part").select(line.alias("value"))
-    return got.select(coerce.integer_text(cut_(1, 8)).alias("part_key"), cut_(9, 30).alias("name"), cut_(39, 12).alias("brand"), coerce.integer_text(cut_(51, 4)).alias("size"))
+    path = _written(spark, _t(spark, sf, "part").select(line.alias("value")), "fixed")
+    got = readers.scan(spark, path, "fixed_width", layout=[("key", 1, 8), ("name", 9, 30), ("brand", 39, 12), ("size", 51, 4)])
+    return check(got, (Column("key", "part_key", "integer"), Column("name", "name", "string"), Column("brand", "brand", "string"), Column("size", "size", "integer")), keep_raw=False).good()
+
+
+def csv_scan(spark, sf):
+    """Quotes, commas and line feeds inside cells; a column that is not declared; empty cells that may be so."""
+    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))
+    name = F.concat(F.lit('Mr "'), F.col("c_name"), F.lit('", of\n'), F.col("c_mktsegment"))
+    line = F.concat_ws(",", F.col("c_custkey").cast("string"), quoted(name), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_acctbal").cast("string")), F.lit("x"))
+    lines = spark.createDataFrame([(-1, "key,name,balance,more")], "c_custkey long, value string").unionByName(_t(spark, sf, "customer").select(F.col("c_custkey").cast("long"), line.alias("value")))
+    got = readers.scan(spark, _written(spark, lines.orderBy("c_custkey"), "csv"), "csv")
+    return check(got, (Column("key", "key", "integer"), Column("name", "name", "string"), Column("balance", "balance", "float", required=False)), keep_raw=False).good()
+
+
+def ndjson_scan(spark, sf):
+    """JSON keeps its types: a number is cut to an integer, the same digits in quotes are one, true is no text but True."""
+    e = _t(spark, sf, "events")
+    value = F.to_json(F.struct("event_id", F.col("value").alias("n"), F.col("user_id").cast("string").alias("q"), (F.col("event_id") % 2 == 0).alias("even")))
+    got = readers.scan(spark, _written(spark, e.select(value.alias("value")), "ndjson"), "ndjson", wanted=["event_id", "n", "q", "even"])
+    return check(got, (Column("event_id", "event_id", "integer"), Column("n", "n", "integer"), Column("q", "q", "integer"), Column("even", "even", "string")), keep_raw=False).good()
+
+
+def parquet_scan(spark, sf):
+    """Native columns, read as the declared types."""
+    got = readers.scan(spark, f"{sf}/orders.parquet", "parquet")
+    columns = (Column("o_orderkey", "key", "integer"), Column("o_totalprice", "whole", "integer"), Column("o_orderstatus", "status", "string"), Column("o_orderdate", "day", "string"))
+    return check(got, columns, keep_raw=False).good().withColumn("day", F.substring("day", 1, 10))
+
+
+def excel_scan(spark, sf):
+    """A workbook of the nations, on its second sheet."""
+    rows = [["key", "name", "region"], *([r["n_nationkey"], r["n_name"], r["n_regionkey"]] for r in _t(spark, sf, "nation").orderBy("n_nationkey").collect())]
+    cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, int) else f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+    sheet = lambda rows: f'<worksheet xmlns="{_SHEETS}"><sheetData>{"".join(f"<row>{"".join(map(cell, r))}</row>" for r in rows)}</sheetData></worksheet>'
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{_SHEETS}" xmlns:r="{_OFFICE}"><sheets><sheet name="Notes" sheetId="1" r:id="rId1"/><sheet name="Nations" sheetId="2" r:id="rId2"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}"><Relationship Id="rId1" Type="{_OFFICE}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{_OFFICE}/worksheet" Target="worksheets/sheet2.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": sheet([["note"], ["nothing"]]), "xl/worksheets/sheet2.xml": sheet(rows),
+    }
+    with zipfile.ZipFile(data := io.BytesIO(), "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    got = readers.scan(spark, _put(spark, _temporary(spark, "nations") + ".xlsx", data.getvalue()), "excel", sheet="Nations")
+    return check(got, (Column("key", "key", "integer"), Column("name", "name", "string"), Column("region", "region", "integer")), keep_raw=False).good()
 
 
 def preview_window(spark, sf):
-    o = _t(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("priority")).orderBy("o_orderkey")
-    return o.offset(10).limit(10)
+    """Rows 11 to 20 of a file, by their numbers."""
+    lines = F.concat(F.col("o_orderkey").cast("string"), F.lit(","), F.col("o_orderpriority"))
+    head = spark.createDataFrame([(-1, "key,priority")], "o_orderkey long, value string")
+    path = _written(spark, head.unionByName(_t(spark, sf, "orders").select(F.col("o_orderkey").cast("long"), lines.alias("value"))).orderBy("o_orderkey"), "preview")
+    part = readers.window(readers.scan(spark, path, "csv"), 11, 10)
+    return part.df.select(part.values["key"].to("integer").alias("o_orderkey"), part.values["priority"].text.alias("priority"))
 
 
 def compact_batches(spark, sf):
-    """Suppliers as files: batches of 7 by path."""
-    files = _t(spark, sf, "supplier").select(F.col("s_name").alias("path"))
-    return compact.batch_numbers(files, 7).groupBy("batch").agg(F.count("*").alias("files"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))
+    """Nations as files, compacted by 7 in order of path; a second run finds nothing to do."""
+    source, target = _temporary(spark, "small"), _temporary(spark, "compacted")
+    for r in _t(spark, sf, "nation").collect():
+        _put(spark, f"{source}/{r['n_name']}.ndjson", f'{{"name":   "{r["n_name"]}"}}\n\n'.encode())
+    first, second = (compact.compact(spark, source, target, 7) for _ in range(2))
+    rows = spark.read.text(f"{target}/*.ndjson").select(F.regexp_extract(F.col("_metadata.file_name"), r"_(\d+)\.ndjson$", 1).cast("long").alias("batch"), F.get_json_object("value", "$.name").alias("name"))
+    more = F.lit(second["batches"] + first["files_compacted"] - 25).cast("long").alias("left_over")
+    return rows.groupBy("batch").agg(F.count("*").alias("files"), F.min("name").alias("first_name"), F.max("name").alias("last_name"), more)
 
 
 def microbatch_cut(spark, sf):
@@ -292,16 +413,30 @@ def microbatch_cut(spark, sf):
     return cut(e, 100).groupBy("partition", "cut").agg(F.min("offset").alias("start_offset"), F.max("offset").alias("end_offset"), F.count("*").alias("messages"))
 
 
+def _api(spark, sf):
+    """Suppliers as an API would return them, page by page, those above the cursor if one is asked for."""
+    records = [{"id": r["s_suppkey"], "meta": {"at": f"{r['s_nationkey']:02d}-{r['s_suppkey']:06d}"}} for r in _t(spark, sf, "supplier").orderBy("s_suppkey").collect()]
+
+    def transport(url, params, headers):
+        newer = [r for r in records if r["meta"]["at"] > params.get("since", "")]
+        at = (params["page"] - 1) * params["per_page"] if "page" in params else 0
+        return fetch.Response(200, {"data": newer[at : at + params["per_page"]] if "page" in params else records})
+
+    return transport
+
+
 def max_cursor(spark, sf):
-    old = F.lit("2024-01-01T00:00:00")
-    e = _t(spark, sf, "events").groupBy("event_type").agg(F.max(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).alias("c"))
-    return e.select("event_type", F.greatest(old, "c").alias("cursor"))
+    """The cursor after a fetch that starts anew, and after one that finds nothing newer."""
+    source = fetch.Source("s", "https://api.example", records_path="data", cursor_field="meta.at", cursor_param="since", page_size=30)
+    found, first = fetch.fetch(source, _api(spark, sf))
+    none, second = fetch.fetch(source, _api(spark, sf), first)
+    return spark.createDataFrame([(1, first, len(found)), (2, second, len(none))], "run long, cursor string, records long")
 
 
 def cursor_filter(spark, sf):
-    """Records whose dotted field is above the cursor, compared as text; those without it are left out."""
-    e = _t(spark, sf, "events").select("event_id", F.try_parse_json("props").alias("v"))
-    return e.where(dotted_get(F.col("v"), "k") > "5").select("event_id", dotted_get(F.col("v"), "k").alias("k"))
+    """One document whose records are compared here with the cursor, as text."""
+    found, _ = fetch.fetch(fetch.Source("s", "https://api.example", records_path="data", cursor_field="meta.at"), _api(spark, sf), "12-")
+    return spark.createDataFrame([(r["id"], r["meta"]["at"]) for r in found], "id long, at string")
 
 
 QUERIES = {
@@ -309,7 +444,7 @@ QUERIES = {
     for f in (
         transform_cast, coerce_boolean, coerce_edge_cases, coerce_json_number, strict_partition_good, strict_partition_bad, quarantine_by_column, quarantine_by_error, quarantine_threshold, quarantine_raw_row,
         validate_failures, drift_required_null, infer_schema_profile, cdc_latest, cdc_tie_errors, cdc_merge, append_rerun, truncate_last_wins, cdc_apply, provenance_lineage, dedup_by_content_hash, registration_anti_join,
-        schema_diff, audit_status, audit_recent_failures, audit_overview, requeue_eligible, requeue_terminal, hmac_token, aes_roundtrip, fixed_width_slice, preview_window, compact_batches, microbatch_cut, max_cursor, cursor_filter,
+        schema_diff, audit_status, audit_recent_failures, audit_overview, requeue_eligible, requeue_terminal, hmac_token, aes_roundtrip, fixed_width_slice, csv_scan, ndjson_scan, parquet_scan, excel_scan, preview_window, compact_batches, microbatch_cut, max_cursor, cursor_filter,
     )
 }
 
@@ -365,20 +500,26 @@ ORACLE_SQL = {
     "truncate_last_wins": "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, 'file1' AS file_hash FROM nation WHERE n_nationkey % 2 = 1",
     "cdc_apply": f"WITH {_CHANGES} SELECT user_id, seq, value FROM l WHERE operation <> 'delete'",
     "provenance_lineage": "SELECT left(sha256(strftime(o_orderdate, '%Y-%m')), 12) AS file_hash, count(*) AS rows, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders GROUP BY 1",
-    "dedup_by_content_hash": "SELECT sha256(props) AS content_hash, min(event_id) AS first_id, count(*) AS copies FROM events GROUP BY 1",
-    "registration_anti_join": "WITH f AS (SELECT event_id, sha256(user_id || ' ' || event_type || ' ' || props) AS content_hash FROM events) SELECT * FROM f WHERE content_hash NOT IN (SELECT content_hash FROM f WHERE event_id % 3 = 0)",
-    "schema_diff": """SELECT * FROM (VALUES ('price', 'type_mismatch'), ('day', 'missing'), ('note', 'extra')) AS t("column", difference)""",
+    "dedup_by_content_hash": """WITH f AS (SELECT n_nationkey, sha256('region' || chr(10) || n_regionkey || chr(10)) AS content_hash FROM nation)
+        SELECT content_hash, 'n' || lpad(CAST(min(n_nationkey) AS VARCHAR), 2, '0') || '.csv' AS first_name, count(*) AS copies FROM f GROUP BY 1""",
+    "registration_anti_join": """SELECT n_name || '.csv' AS name, CAST(strlen(n_name) + 1 AS BIGINT) AS size, sha256(n_name || chr(10)) AS content_hash FROM nation WHERE n_nationkey % 6 <> 0""",
+    "schema_diff": """SELECT * FROM (VALUES ('o_discount', 'missing'), ('o_orderpriority', 'extra'), ('o_totalprice', 'type_mismatch')) AS t("column", difference)""",
     "audit_status": f"WITH {_RECORDS} SELECT s.state, count(r.state) AS files FROM (VALUES ('PENDING'), ('PROCESSING'), ('COMMITTED'), ('FAILED')) AS s(state) LEFT JOIN r ON r.state = s.state GROUP BY s.state",
     "audit_recent_failures": f"WITH {_RECORDS} SELECT filename, content_hash, updated_at FROM r WHERE state = 'FAILED' ORDER BY updated_at DESC, content_hash LIMIT 10",
     "audit_overview": f"WITH {_RECORDS} SELECT count(*) AS total, count(*) FILTER (state = 'PENDING') AS pending, count(*) FILTER (state = 'PROCESSING') AS processing, count(*) FILTER (state = 'COMMITTED') AS committed, count(*) FILTER (state = 'FAILED') AS failed, CAST(sum(row_count) AS BIGINT) AS total_rows, CAST(coalesce(sum(quarantined), 0) AS BIGINT) AS quarantined_rows FROM r",
-    "requeue_eligible": f"WITH {_RECORDS} SELECT content_hash, attempt_count FROM r WHERE state = 'FAILED' AND attempt_count < 3",
-    "requeue_terminal": f"WITH {_RECORDS} SELECT content_hash, attempt_count FROM r WHERE state = 'FAILED' AND attempt_count >= 3",
+    "requeue_eligible": "SELECT CAST(s_suppkey AS VARCHAR) AS content_hash, s_nationkey % 5 + 1 AS attempt_count FROM supplier WHERE s_nationkey % 5 + 1 < 3",
+    "requeue_terminal": "SELECT CAST(s_suppkey AS VARCHAR) AS content_hash, 0 AS attempt_count, CAST(NULL AS VARCHAR) AS error_message FROM supplier WHERE s_nationkey % 5 + 1 >= 3",
     "hmac_token": f"SELECT c_custkey, to_base64(unhex(sha256('{_PADS[1]}'::BLOB || unhex(sha256('{_PADS[0]}'::BLOB || encode(c_name)))))) AS token FROM customer",
     "aes_roundtrip": "SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_name ELSE '' END AS name FROM customer",
     "fixed_width_slice": "SELECT p_partkey AS part_key, trim(left(p_name, 30)) AS name, trim(left(p_brand, 12)) AS brand, CAST(p_size AS BIGINT) AS size FROM part",
     "preview_window": "SELECT o_orderkey, o_orderpriority AS priority FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 10",
-    "compact_batches": "SELECT batch, count(*) AS files, min(path) AS first_path, max(path) AS last_path FROM (SELECT s_name AS path, CAST((row_number() OVER (ORDER BY s_name) - 1) // 7 + 1 AS BIGINT) AS batch FROM supplier) GROUP BY batch",
+    "csv_scan": """SELECT c_custkey AS key, 'Mr "' || c_name || '", of' || chr(10) || c_mktsegment AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS balance FROM customer""",
+    "ndjson_scan": "SELECT event_id, CAST(trunc(value) AS BIGINT) AS n, CAST(user_id AS BIGINT) AS q, CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END AS even FROM events",
+    "parquet_scan": "SELECT o_orderkey AS key, CAST(trunc(o_totalprice) AS BIGINT) AS whole, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
+    "excel_scan": "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation",
+    "compact_batches": "SELECT batch, count(*) AS files, min(n_name) AS first_name, max(n_name) AS last_name, CAST(0 AS BIGINT) AS left_over FROM (SELECT n_name, CAST((row_number() OVER (ORDER BY n_name || '.ndjson') - 1) // 7 + 1 AS BIGINT) AS batch FROM nation) GROUP BY batch",
     "microbatch_cut": 'SELECT "partition", cut, min(o) AS start_offset, max(o) AS end_offset, count(*) AS messages FROM (SELECT CAST(user_id % 4 AS INTEGER) AS "partition", event_id AS o, CAST((row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1) // 100 AS BIGINT) AS cut FROM events) GROUP BY ALL',
-    "max_cursor": "SELECT event_type, greatest('2024-01-01T00:00:00', max(strftime(ts, '%Y-%m-%dT%H:%M:%S'))) AS cursor FROM events GROUP BY 1",
-    "cursor_filter": "SELECT event_id, props->>'$.k' AS k FROM events WHERE props->>'$.k' > '5'",
+    "max_cursor": """WITH s AS (SELECT max(lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0')) AS cursor, count(*) AS n FROM supplier)
+        SELECT CAST(1 AS BIGINT) AS run, cursor, n AS records FROM s UNION ALL SELECT 2, cursor, 0 FROM s""",
+    "cursor_filter": """SELECT s_suppkey AS id, lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS at FROM supplier WHERE s_nationkey >= 12""",
 }
