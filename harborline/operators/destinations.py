@@ -30,8 +30,11 @@ TYPES = {
     "sqlite": {"string": "TEXT", "bigint": "INTEGER", "double": "REAL", "boolean": "INTEGER", "date": "TEXT", "timestamp": "TEXT"},
     "postgres": {"string": "TEXT", "bigint": "BIGINT", "double": "DOUBLE PRECISION", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMPTZ"},
     "snowflake": {"string": "STRING", "bigint": "NUMBER", "double": "FLOAT", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP_NTZ"},
+    "bigquery": {"string": "STRING", "bigint": "INT64", "double": "FLOAT64", "boolean": "BOOL", "date": "DATE", "timestamp": "TIMESTAMP"},
+    "databricks": {"string": "STRING", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"},
 }
 KINDS = ("files", *TYPES)
+MARKERS = "harborline_applied_files"
 
 
 def quoted(name: str) -> str:
@@ -69,6 +72,20 @@ class Sql:
             f"INSERT INTO {self.table} ({self.columns}) SELECT {self.columns} FROM {staged} AS s WHERE s.{quoted(OPERATION)} <> 'delete'",
         ]
 
+    def markers(self) -> str:
+        """The table that tells which change files a destination has taken."""
+        return f"CREATE TABLE IF NOT EXISTS {quoted(MARKERS)} (destination_table VARCHAR(512) NOT NULL, content_hash VARCHAR(64) NOT NULL, applied_at TIMESTAMP, PRIMARY KEY (destination_table, content_hash))"
+
+    def marked(self, content_hash: str) -> str:
+        return f"SELECT 1 FROM {quoted(MARKERS)} WHERE destination_table = {self._text()} AND content_hash = '{content_hash}'"
+
+    def mark(self, content_hash: str) -> str:
+        """Its key makes the transaction of a second run that applies the same file fail as a whole."""
+        return f"INSERT INTO {quoted(MARKERS)} VALUES ({self._text()}, '{content_hash}', CURRENT_TIMESTAMP)"
+
+    def _text(self) -> str:
+        return "'" + self.table.strip('"').replace("'", "''") + "'"
+
 
 class SqlDestination:
     def __init__(self, spark: SparkSession, kind: str, table: str, options: dict):
@@ -79,6 +96,10 @@ class SqlDestination:
         raise NotImplementedError
 
     def run(self, statements: list[str]) -> None:
+        """All of them in one transaction."""
+        raise NotImplementedError
+
+    def select(self, statement: str) -> list[tuple]:
         raise NotImplementedError
 
     def stage(self, df: DataFrame) -> tuple[str, int]:
@@ -93,13 +114,19 @@ class SqlDestination:
         self.sql = Sql(self.kind, self.name, schema)
         have = self.actual()
         if have is None:
-            self.run(self.sql.create())
+            self.run(self.create())
             return
         have.pop("_id", None)
         want = {f.name: TYPES[self.kind][f.dataType.simpleString()] for f in schema}
         if found := differences(want, have):
             raise SchemaError("; ".join(f"{c}: {what} (declared {a}, found {b})" for c, what, a, b in found))
 
+    def create(self) -> list[str]:
+        return self.sql.create()
+
+    def replace_sql(self, staged: str, content_hash: str, everything: bool) -> list[str]:
+        return self.sql.replace(staged, content_hash, everything)
+
     def _typed(self, df: DataFrame) -> DataFrame:
         more = [F.col(OPERATION)] if OPERATION in df.columns else []
         return df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.schema), *more)
@@ -109,7 +136,7 @@ class SqlDestination:
         try:
             if check:
                 check(rows)
-            self.run(self.sql.replace(staged, content_hash, everything))
+            self.run(self.replace_sql(staged, content_hash, everything))
         finally:
             self.drop(staged)
         return rows
@@ -121,9 +148,13 @@ class SqlDestination:
         return self._replace(df, content_hash, True, check)
 
     def apply(self, changes: DataFrame, keys: list[str], content_hash: str) -> bool:
+        """False if the file was applied before: an older file that comes again does not undo newer ones."""
+        self.run([self.sql.markers()])
+        if self.select(self.sql.marked(content_hash)):
+            return False
         staged, _ = self.stage(self._typed(changes))
         try:
-            self.run(self.sql.merge(staged, keys))
+            self.run([*self.sql.merge(staged, keys), self.sql.mark(content_hash)])
         finally:
             self.drop(staged)
         return True
@@ -153,6 +184,13 @@ class DuckDb(SqlDestination):
         finally:
             con.close()
 
+    def select(self, statement):
+        con = self._connect()
+        try:
+            return con.execute(statement).fetchall()
+        finally:
+            con.close()
+
     def run(self, statements):
         con = self._connect()
         try:
@@ -186,6 +224,13 @@ class Sqlite(SqlDestination):
         finally:
             con.close()
 
+    def select(self, statement):
+        con = self._connect()
+        try:
+            return con.execute(statement).fetchall()
+        finally:
+            con.close()
+
     def run(self, statements):
         con = self._connect()
         try:
@@ -245,6 +290,16 @@ class Jdbc(SqlDestination):
         finally:
             con.close()
 
+    def select(self, statement):
+        con = self._connect()
+        try:
+            found, out = con.createStatement().executeQuery(statement), []
+            while found.next():
+                out.append((found.getObject(1),))
+            return out
+        finally:
+            con.close()
+
     def run(self, statements):
         con = self._connect()
         try:
@@ -294,4 +349,8 @@ def destination(spark: SparkSession, connector: dict, table: str, warehouse: str
         if not url:
             raise ConfigError(f"connector {kind} requires url: or DATABASE_URL")
         return Jdbc(spark, kind, table, connector | {"url": url})
+    if kind in ("bigquery", "databricks"):
+        from .warehouses import BigQuery, Databricks
+
+        return (BigQuery if kind == "bigquery" else Databricks)(spark, kind, table, connector)
     raise ConfigError(f"Unknown connector {kind!r}; choose one of {', '.join(KINDS)}")

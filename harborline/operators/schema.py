@@ -10,7 +10,7 @@ from ..plans.config import Column as Declared
 # The provenance columns of every destination row.
 HASH, AT = "_source_file_hash", "_ingested_at"
 #: Names of one type in different systems.
-ALIASES = {"BIGINT": "INTEGER", "INT64": "INTEGER", "INT": "INTEGER", "LONG": "INTEGER", "NUMBER": "INTEGER", "DOUBLE": "FLOAT", "DOUBLE PRECISION": "FLOAT", "FLOAT64": "FLOAT", "REAL": "FLOAT", "VARCHAR": "STRING", "TEXT": "STRING", "BOOL": "BOOLEAN", "TIMESTAMPTZ": "TIMESTAMP", "TIMESTAMP_NTZ": "TIMESTAMP", "TIMESTAMP WITH TIME ZONE": "TIMESTAMP"}
+ALIASES = {"BIGINT": "INTEGER", "INT64": "INTEGER", "INT": "INTEGER", "LONG": "INTEGER", "NUMBER": "INTEGER", "DOUBLE": "FLOAT", "DOUBLE PRECISION": "FLOAT", "FLOAT64": "FLOAT", "REAL": "FLOAT", "VARCHAR": "STRING", "TEXT": "STRING", "BOOL": "BOOLEAN", "TIMESTAMPTZ": "TIMESTAMP", "TIMESTAMP_NTZ": "TIMESTAMP", "TIMESTAMP WITH TIME ZONE": "TIMESTAMP", "TIMESTAMPNTZ": "TIMESTAMP", "TIMESTAMP_TZ": "TIMESTAMP", "INT8": "INTEGER", "INT4": "INTEGER", "BIGSERIAL": "INTEGER", "DECIMAL": "INTEGER", "FLOAT8": "FLOAT", "FLOAT4": "FLOAT", "CHARACTER VARYING": "STRING"}
 
 
 class SchemaError(ValueError):

@@ -7,6 +7,7 @@ States: PENDING, then PROCESSING, then COMMITTED or FAILED; retries and reclaims
 from __future__ import annotations
 
 import sqlite3
+from collections.abc import Iterable
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,8 +87,13 @@ class Audit:
 
     # -- lookups
 
-    def known(self) -> dict[str, str]:
-        return {r["content_hash"]: r["state"] for r in self.db.execute(f"SELECT content_hash, state FROM {TABLE}")}
+    def known(self, hashes: Iterable[str]) -> dict[str, str]:
+        """The states of those hashes that have a record; a listing is looked up by index, however long the store is."""
+        asked, out = sorted(set(hashes)), {}
+        for i in range(0, len(asked), 500):
+            some = asked[i : i + 500]
+            out |= {r["content_hash"]: r["state"] for r in self.db.execute(f"SELECT content_hash, state FROM {TABLE} WHERE content_hash IN ({', '.join('?' * len(some))})", some)}
+        return out
 
     def get(self, content_hash: str) -> dict | None:
         row = self.db.execute(f"SELECT * FROM {TABLE} WHERE content_hash = ?", (content_hash,)).fetchone()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import argparse
 import json
+import signal
 import sys
+import threading
 from dataclasses import asdict
 from pathlib import Path
 
@@ -12,12 +14,14 @@ from pyspark.sql import SparkSession
 
 from ..operators import infer, quarantine, validate
 from ..operators.compact import compact
+from ..operators.destinations import destination
 from ..operators.store import Table
-from ..sources import readers
+from ..sources import fetch, readers
 from ..sources.files import format_of
 from . import config as configs
-from . import export, registry
+from . import export, log, registry
 from .audit import Audit
+from ..streaming import materialize
 from .run import health, open_scan, run
 
 
@@ -55,10 +59,10 @@ def parser() -> argparse.ArgumentParser:
 
     store = (("--audit-db",), {"required": True})
     sample = [(("--file",), {"required": True}), (("--format",), {}), (("--encoding",), {"default": "utf-8"}), (("--sheet",), {}), (("--config",), {})]
-    command("run", (("--dir",), {}), (("--config",), {}), (("--audit-db",), {}), (("--warehouse",), {}), (("--registry",), {}), (("--pipeline",), {}))
+    command("run", (("--dir",), {}), (("--config",), {}), (("--audit-db",), {}), (("--warehouse",), {}), (("--registry",), {}), (("--pipeline",), {}), (("--log-format",), {"choices": log.FORMATS}))
     command("inspect", *sample, (("--rows",), {"type": int, "default": infer.SAMPLE}))
     command("preview", *sample, (("--rows",), {"type": int, "default": 10}), (("--start-row",), {"type": int, "default": 1}))
-    command("validate", *[(f, o | ({"required": True} if f == ("--config",) else {})) for f, o in sample])
+    command("validate", *[(f, o | ({"required": True} if f == ("--config",) else {})) for f, o in sample], (("--json",), {"action": "store_true"}), (("--shown",), {"type": int, "default": 100}))
     command("status", (("--audit-db",), {"action": "append", "required": True}))
     command("lineage", store, (("reference",), {}))
     command("requeue", store, (("reference",), {"nargs": "?"}), (("--all",), {"action": "store_true"}), (("--retry-cap",), {"type": int, "default": 3}))
@@ -66,7 +70,10 @@ def parser() -> argparse.ArgumentParser:
     command("serve", store, (("--port",), {"type": int, "default": 8080}))
     command("compact", (("--dir",), {"required": True}), (("--out",), {"required": True}), (("--max-files",), {"type": int, "default": 1000}), (("--gzip",), {"action": "store_true"}), (("--delete-source",), {"action": "store_true"}))
     command("redrop-quarantine", (("--sidecar",), {"required": True}), (("--out",), {"required": True}))
-    command("healthcheck", store, (("--table",), {}))
+    command("healthcheck", store, (("--table",), {}), (("--config",), {}), (("--warehouse",), {}))
+    source = [(("--config",), {"required": True}), (("--source",), {"required": True}), (("--dry-run",), {"action": "store_true"})]
+    command("fetch", *source, (("--inbox",), {}), (("--staging",), {}), (("--cursors",), {}), (("--gzip",), {"action": "store_true"}))
+    command("materialize", *source, (("--continuous",), {"action": "store_true"}))
     return p
 
 
@@ -85,7 +92,7 @@ def main(argv: list[str] | None = None) -> int:
         if not args.warehouse and not c.connector:
             print("run needs --warehouse where the configuration names no connector", file=sys.stderr)
             return 1
-        out = run(spark, args.dir, c, Audit(args.audit_db), args.warehouse or "")
+        out = run(spark, args.dir, c, Audit(args.audit_db), args.warehouse or "", progress=log.reporter(args.log_format) if args.log_format else None)
         say(asdict(out))
         return int(out.failed > 0)
     if args.command == "inspect":
@@ -102,12 +109,22 @@ def main(argv: list[str] | None = None) -> int:
         s = open_scan(spark, args.file, c)
         found = validate.failures(s, c.columns)
         bad, total = found.select("row_number").distinct().count(), s.df.count()
-        for r in found.orderBy("row_number", "column").limit(100).collect():
+        fit = validate.tolerance(s.names, c.columns)
+        missing, verdict = fit.missing, None
+        if c.quarantine and bad:
+            verdict = "exceeded" if c.quarantine.exceeded(bad, total) else "quarantined"
+        shown = [r.asDict() for r in found.orderBy("row_number", "column").limit(args.shown).collect()]
+        if args.json:
+            drift = [r.asDict() for r in validate.drift(s, c.columns).orderBy("column").collect()]
+            say({"rows": total, "failing_rows": bad, "failures": shown, "all_shown": len(shown) < args.shown, "missing_columns": missing, "undeclared_columns": fit.extra, "drift": drift, "quarantine": verdict})
+            return int(bad > 0 or bool(missing))
+        for r in shown:
             print(f"row {r['row_number']}: {r['error']}")
-        missing = validate.tolerance(s.names, c.columns).missing
+        if len(shown) == args.shown:
+            print(f"... the first {args.shown}; --shown takes more")
         print(f"{bad} of {total} rows fail" + (f"; missing columns: {', '.join(missing)}" if missing else ""))
-        if c.quarantine and bad:
-            print("over the quarantine threshold" if c.quarantine.exceeded(bad, total) else "would be quarantined")
+        if verdict:
+            print("over the quarantine threshold" if verdict == "exceeded" else "would be quarantined")
         return int(bad > 0 or bool(missing))
     elif args.command == "status":
         say(export.status_all(spark, {p: p for p in args.audit_db}))
@@ -135,7 +152,41 @@ def main(argv: list[str] | None = None) -> int:
         out = Path(args.out)
         write_staged(out.parent, out.name, (r["value"] for r in quarantine.redrop(spark, args.sidecar).toLocalIterator()))
     elif args.command == "healthcheck":
-        out = health(spark, Audit(args.audit_db), Table(spark, args.table) if args.table else None)
+        table = Table(spark, args.table) if args.table else None
+        if args.config:
+            c = configs.load(args.config)
+            table = destination(spark, c.connector, c.dest_table, args.warehouse or "")
+        out = health(spark, Audit(args.audit_db), table)
         say(out)
         return int(not all(x["ok"] for x in out.values()))
+    elif args.command == "fetch":
+        raw = fetch.load_sources(args.config).get(args.source)
+        if raw is None:
+            print(f"no source {args.source!r} in {args.config}", file=sys.stderr)
+            return 1
+        source, place = fetch.parse_source(raw), {k: getattr(args, k) or raw.get(k) for k in ("inbox", "staging", "cursors")}
+        if args.dry_run:
+            say({"source": source.name, "url": source.url, "kind": source.kind} | place)
+            return 0
+        if not all(place.values()):
+            print("fetch needs inbox, staging and cursors, as options or in the source", file=sys.stderr)
+            return 1
+        say(fetch.run_fetch(source, fetch.http, place["inbox"], place["staging"], fetch.CursorStore(place["cursors"]), args.gzip))
+    elif args.command == "materialize":
+        raw = fetch.load_sources(args.config).get(args.source)
+        if raw is None:
+            print(f"no source {args.source!r} in {args.config}", file=sys.stderr)
+            return 1
+        plan = materialize.parse_plan(raw)
+        if args.dry_run:
+            say(asdict(plan))
+            return 0
+        stream = materialize.kafka(spark, plan)
+        if args.continuous:
+            stop = threading.Event()
+            signal.signal(signal.SIGTERM, lambda *_: stop.set())
+            signal.signal(signal.SIGINT, lambda *_: stop.set())
+            materialize.follow(stream, plan, stop, lambda _, paths: say({"paths": paths}))
+        else:
+            say({"paths": materialize.drain(stream, plan)})
     return 0

@@ -5,13 +5,10 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 VERSIONS = ("1",)
 SUFFIX = ".manifest.json"
 #: Why a manifest is refused.
-MISSING, UNREADABLE, NOT_JSON, BAD_VERSION, BAD_SHAPE = "missing", "unreadable", "malformed_json", "unsupported_version", "invalid_shape"
+MISSING, NOT_JSON, BAD_VERSION, NO_FIELD, BAD_RANGE, BAD_SHAPE = "missing", "malformed_json", "unsupported_version", "missing_required_field", "invalid_source_range", "invalid_shape"
 
 
 class ManifestError(ValueError):
@@ -55,24 +52,33 @@ def parse(text: str) -> Manifest:
         raise ManifestError(BAD_VERSION, version)
     job = raw.get("job")
     if not isinstance(job, dict) or not job.get("namespace") or not job.get("name"):
-        raise ManifestError(BAD_SHAPE, "job.namespace and job.name are required")
+        raise ManifestError(NO_FIELD, "job.namespace and job.name are required")
     count = own.get("record_count", raw.get("record_count"))
     if count is not None and (not isinstance(count, int) or isinstance(count, bool) or count < 0):
         raise ManifestError(BAD_SHAPE, f"record_count {count!r}")
-    span = own.get("source_range", raw.get("source_range"))
+    span = _range(raw, own)
     return Manifest(
         job["namespace"], job["name"], (raw.get("run") or {}).get("runId"), version, raw.get("producer"), own.get("source_type", raw.get("source_type")),
         span if span is None or isinstance(span, str) else json.dumps(span, sort_keys=True), own.get("started_at", raw.get("started_at")), own.get("finished_at", raw.get("eventTime")), count, text,
     )
 
 
+def _range(raw: dict, own: dict) -> dict | str | None:
+    """The source range of the run or of the first input that has one. Ranges of inputs are objects; the run's may be text."""
+    spans = [own[k] if k in own else raw[k] for k in ("source_range",) if k in own or k in raw]
+    if any(x is not None and not isinstance(x, (dict, str)) for x in spans):
+        raise ManifestError(BAD_RANGE, f"source_range {spans[0]!r}")
+    inputs = raw.get("inputs") or []
+    if not isinstance(inputs, list) or not all(isinstance(i, dict) for i in inputs):
+        raise ManifestError(BAD_SHAPE, "inputs is an array of objects")
+    facets = [i.get("facets") if isinstance(i.get("facets"), dict) else {} for i in inputs]
+    found = [f["_sourceRange"] for f in facets if "_sourceRange" in f]
+    if bad := [x for x in found if not isinstance(x, dict)]:
+        raise ManifestError(BAD_RANGE, f"_sourceRange {bad[0]!r}")
+    return next((x for x in [*spans, *found] if x is not None), None)
+
+
 def emit(namespace: str, name: str, run_id: str, producer: str, source_type: str, record_count: int, source_range: dict | str | None, started_at: str, finished_at: str) -> str:
     """The text of a manifest for a file that has just been made."""
     own = {"manifest_version": "1", "source_type": source_type, "record_count": record_count, "source_range": source_range, "started_at": started_at, "finished_at": finished_at}
     return json.dumps({"eventType": "COMPLETE", "eventTime": finished_at, "producer": producer, "job": {"namespace": namespace, "name": name}, "run": {"runId": run_id, "facets": {"harborline": own}}}, sort_keys=True)
-
-
-def attach(files: DataFrame, manifests: DataFrame) -> DataFrame:
-    """files (path, ...) with the text of their sidecars. manifests: path, value."""
-    named = manifests.select(F.regexp_replace("path", SUFFIX.replace(".", r"\.") + "$", "").alias("path"), F.col("value").alias("manifest"))
-    return files.join(named, "path", "left")

@@ -55,7 +55,8 @@ def register(spark: SparkSession, audit: Audit, directory: str, config: Pipeline
     p = spark._jvm.org.apache.hadoop.fs.Path(directory)
     store = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     there = {s.getPath().toString() for s in store.listStatus(p)}
-    hashes, known = content_hashes(spark, files), audit.known()
+    hashes = content_hashes(spark, files)
+    known = audit.known(hashes.values())
     for path, size in files:
         h = hashes[path]
         state = known.get(h)

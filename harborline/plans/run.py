@@ -85,7 +85,7 @@ def load_file(spark: SparkSession, table: Table, candidate: Candidate, config: P
     if quarantines:
         gate(config.quarantine, counts["bad"], counts["rows"])
     if config.write_mode == "cdc":
-        return _load_changes(table, checked, candidate, config, at), 0, None
+        return _load_changes(table, checked, candidate, config, at, counts["rows"]), 0, None
     good = with_provenance(_protected(checked.good(), config), candidate.content_hash, at)
     path = None
     staged: tuple[str, str] | None = None
@@ -112,7 +112,7 @@ def load_file(spark: SparkSession, table: Table, candidate: Candidate, config: P
     return rows, counts["bad"], path
 
 
-def _load_changes(table: Table, checked: Checked, candidate: Candidate, config: Pipeline, at: datetime) -> int:
+def _load_changes(table: Table, checked: Checked, candidate: Candidate, config: Pipeline, at: datetime, parsed: int) -> int:
     dest = {c.source: c.dest for c in config.columns}
     keys, sequence = [dest[k] for k in config.cdc.keys], dest[config.cdc.sequence_by]
     df = checked.df.select(ROW, changes.OPERATION, *(F.col(f"`{c.dest}`") for c in config.columns))
@@ -120,6 +120,8 @@ def _load_changes(table: Table, checked: Checked, candidate: Candidate, config:
     if found := changes.errors(df, keys, sequence, ROW).orderBy(ROW).first():
         raise FileError(f"row {found[0]}: {found['error']}")
     rows = df.count()
+    if rows != parsed:
+        raise FileError(f"read {rows} rows of {parsed}; the file changed while it was read")
     newest = changes.latest(df, keys, sequence, ROW).drop(ROW)
     table.apply(with_provenance(newest, candidate.content_hash, at), keys, candidate.content_hash)
     return rows
@@ -156,10 +158,10 @@ def run(spark: SparkSession, directory: str, config: Pipeline, audit: Audit, war
     return out
 
 
-def health(spark: SparkSession, audit: Audit, table: Table | None = None) -> dict[str, dict]:
-    """ok, latency_ms and error of the audit store and the destination."""
+def health(spark: SparkSession, audit: Audit, table=None) -> dict[str, dict]:
+    """ok, latency_ms and error of the audit store and of a destination of any kind."""
     out = {}
-    probes = {"audit": audit.ping, "destination": lambda: (spark.sql("SELECT 1").first(), table and table.state())}
+    probes = {"audit": audit.ping, "destination": lambda: (spark.sql("SELECT 1").first(), table is not None and table.state())}
     for name, probe in probes.items():
         began = time.perf_counter()
         try:

@@ -72,6 +72,32 @@ def parse_source(raw: dict) -> Source:
     return Source(name=raw["name"], url=url, kind=kind, **known)
 
 
+def load_sources(path: str) -> dict[str, dict]:
+    """The sources of a file by name: a `sources:` list."""
+    import yaml
+
+    raw = yaml.safe_load(Path(path).read_text()) or {}
+    out = {s.get("name"): s for s in raw.get("sources", [])}
+    if not out or None in out:
+        raise ConfigError(f"{path} names no sources:")
+    return out
+
+
+def http(url: str, params: dict, headers: dict) -> Response:
+    """A transport over the standard library; header values may name environment variables as env:NAME."""
+    from urllib.error import HTTPError
+    from urllib.parse import urlencode
+    from urllib.request import Request, urlopen
+
+    real = {k: os.environ[v.removeprefix("env:")] if v.startswith("env:") else v for k, v in headers.items()}
+    whole = f"{url}{'&' if '?' in url else '?'}{urlencode(params)}" if params else url
+    try:
+        with urlopen(Request(whole, headers=real), timeout=60) as r:
+            return Response(r.status, json.loads(r.read()), dict(r.headers))
+    except HTTPError as e:
+        return Response(e.code, None, dict(e.headers))
+
+
 def dotted(value: Any, path: str) -> Any:
     for part in path.split(".") if path else []:
         value = value.get(part) if isinstance(value, dict) else None

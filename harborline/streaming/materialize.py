@@ -8,6 +8,7 @@ a crash repeats a batch at most, under the same names: offsets name the file, an
 from __future__ import annotations
 
 import json
+import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -36,6 +37,7 @@ class Plan:
     brokers: str = ""
     batch_size: int = 1000
     batch_timeout_seconds: float = 30.0
+    max_per_trigger: int | None = None  # messages that one batch of the stream takes at most
     compress: bool = False
 
 
@@ -49,11 +51,11 @@ def parse_plan(raw: dict) -> Plan:
     return plan
 
 
-def kafka(spark: SparkSession, plan: Plan, max_per_trigger: int | None = None) -> DataFrame:
+def kafka(spark: SparkSession, plan: Plan) -> DataFrame:
     """The topic as a stream, from its start. Needs Spark's Kafka package on the class path."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", plan.brokers).option("subscribe", plan.topic).option("startingOffsets", "earliest").option("failOnDataLoss", "true")
-    if max_per_trigger:
-        reader = reader.option("maxOffsetsPerTrigger", max_per_trigger)
+    if plan.max_per_trigger:
+        reader = reader.option("maxOffsetsPerTrigger", plan.max_per_trigger)
     return reader.load().select("topic", "partition", "offset", "value")
 
 
@@ -119,3 +121,16 @@ def drain(stream: DataFrame, plan: Plan) -> list[str]:
     paths: list[str] = []
     start(stream, plan, True, lambda _, p: paths.extend(p)).awaitTermination()
     return paths
+
+
+def follow(stream: DataFrame, plan: Plan, stop: threading.Event, progress: Callable[[int, list[str]], None] | None = None) -> None:
+    """Materialise until stop is set, then finish what has come in by then."""
+    query = start(stream, plan, False, progress)
+    try:
+        while not stop.wait(0.2):
+            if not query.isActive:
+                query.awaitTermination()  # raises what ended it
+                return
+        query.processAllAvailable()
+    finally:
+        query.stop()

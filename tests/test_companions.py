@@ -75,7 +75,7 @@ def test_lock_and_failed_staging(tmp_path):
     assert not list(tmp_path.glob("f*"))
 
 
-@pytest.mark.parametrize("text,category", [("{", "malformed_json"), ("[]", "invalid_shape"), ('{"job": {}}', "invalid_shape"), ('{"manifest_version": "9", "job": {"namespace": "n", "name": "m"}}', "unsupported_version")])
+@pytest.mark.parametrize("text,category", [("{", "malformed_json"), ("[]", "invalid_shape"), ('{"job": {}}', "missing_required_field"), ('{"manifest_version": "9", "job": {"namespace": "n", "name": "m"}}', "unsupported_version")])
 def test_manifests_are_refused_by_category(text, category):
     with pytest.raises(manifest.ManifestError) as e:
         manifest.parse(text)
