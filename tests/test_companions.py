@@ -128,7 +128,7 @@ def test_command_line(spark, tmp_path, capsys):
     cfg = tmp_path / "p.yaml"
     cfg.write_text("format: csv\ndest_table: t\ncolumns:\n- {source: id, dest: id, type: integer}\n- {source: amount, dest: amount, type: float}\n")
     file, db = str(tmp_path / "in" / "a.csv"), str(tmp_path / "a.db")
-    assert cli.main(["inspect", "--file", file]) == 0 and "mixed values" in capsys.readouterr().out
+    assert cli.main(["inspect", "--file", file]) == 0 and "1 of 2 values are numbers" in capsys.readouterr().out
     assert cli.main(["preview", "--file", file, "--rows", "1"]) == 0 and capsys.readouterr().out.splitlines()[1].split(" | ") == ["1 ", "2.5"]
     assert cli.main(["validate", "--file", file, "--config", str(cfg)]) == 1 and "1 of 2 rows fail" in capsys.readouterr().out
     assert cli.main(["run", "--dir", str(tmp_path / "in"), "--config", str(cfg), "--audit-db", db, "--warehouse", str(tmp_path / "wh")]) == 1
