@@ -32,7 +32,7 @@ def test_inference_of_json(spark, tmp_path):
     (tmp_path / "a.ndjson").write_text('{"n": 1, "s": "2", "o": {"b": 1, "a": 2}, "l": [1]}\n{"s": "3"}\n')
     got = {c.name: c for c in infer.infer(readers.read_ndjson(spark, str(tmp_path / "a.ndjson")))}
     assert (got["n"].type, got["n"].confidence, got["n"].rows) == ("string", "ambiguous", 1)
-    assert got["s"].type == "integer" and got["o"].notes == ["holds objects with a, b; loads as JSON text"] and got["l"].notes[0].startswith("array value")
+    assert got["s"].type == "integer" and got["o"].notes == ["holds objects with a, b; loads as JSON text"] and got["l"].notes[0].startswith("holds arrays")
     assert "source: s" in infer.as_yaml(list(got.values()))
 
 
