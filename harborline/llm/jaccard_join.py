@@ -48,7 +48,9 @@ SHINGLE = 5
 PERCENT = 75
 SMALL = 256
 #: The bits of the hash of a set that tell sets of one doc_id apart.
-TAG = 0x7FFFFFFF
+TAG = 0x7FFF
+#: The bits of a hash that travel: 56 of 64, the rest compress to nothing. Hashes that meet by chance cost a look, not a link.
+KEPT = 0xFFFFFFFFFFFFFF00
 #: Hashes a task holds before it sends them.
 HELD = 600_000
 #: Rows for which budgets are spent at a time.
@@ -274,7 +276,7 @@ def _blobs(documents: DataFrame, buckets: int, percent: int, shingle: int) -> Da
                 if (short := np.flatnonzero(slack + fat < 0)).size:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(short), -1)), pa.nulls(len(short), pa.binary()), pa.array(ids[i + short]), pa.array(n[short].astype(np.int64))], schema=_BLOB)
                 tag = (h1 & np.uint64(TAG)).astype(np.int32)
-                held.append([sig, ids[i + row], n.astype(np.uint32)[row], np.clip(slack, -32768, 32767).astype(np.int16)[row], fat.astype(np.uint8)[row], tag[row], flags, seg.astype(np.uint16)])
+                held.append([sig & np.uint64(KEPT), ids[i + row], n.astype(np.uint32)[row], np.clip(slack, -32768, 32767).astype(np.int16)[row], fat.astype(np.uint8)[row], tag[row], flags, seg.astype(np.uint16)])
                 count += len(sig)
                 if count >= HELD:
                     yield from flush()
@@ -452,10 +454,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(a, "u").join(b, "v").where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def _tops(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """key, top of the keys whose rows are in several components: the one with the most rows."""
-    most = rows.groupBy(key, "c").agg(F.count("*").alias("k")).groupBy(key).agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("several"))
-    return stage(most.where("several > 1").select(key, F.col("top.c").alias("top")), name)
+def _least(n: str, m: str, percent: int) -> str:
+    """SQL for how many shingles similar sets of n and m have in common at least."""
+    return f"(({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent})"
+
+
+def _tops(rows: DataFrame) -> DataFrame:
+    """g, top, lo of the shingles whose rows (g, c, n) are in several components: the one with the most rows, and the least n."""
+    most = rows.groupBy("g", "c").agg(F.count("*").alias("k"), F.min("n").alias("lo"))
+    most = most.groupBy("g").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("several"), F.min("lo").alias("lo"))
+    return stage(most.where("several > 1").select("g", F.col("top.c").alias("top"), "lo"), "jaccard-tops")
 
 
 def _apart(sets: DataFrame, percent: int) -> DataFrame:
@@ -469,10 +477,12 @@ def _apart(sets: DataFrame, percent: int) -> DataFrame:
     cheap = shingles.join(many, "g").withColumn("at", at).where(F.expr(f"100 * at <= {100 - percent} * n")).drop("h1", "f")
     cheap = stage(cheap, "jaccard-cheap")
     unstage(many)
-    m = stage(cheap.join(_tops(cheap, "g", "jaccard-tops"), "g"), "jaccard-meet")
+    # a shingle that no set has cheap enough for the sizes that meet there is not looked at, so one that all of a group have is no rendezvous
+    reach = f"at <= n - {_least('n', f'greatest(lo, {percent} * n div 100)', percent)}"
+    m = stage(cheap.join(_tops(cheap), "g").where(reach).drop("lo"), "jaccard-meet")
     unstage(cheap)
     x, m = (m.select("g", *(F.col(c).alias(c + k) for c in ("doc", "n", "c", "at"))) for k, m in (("v", m), ("u", m.where("c != top"))))
-    least = f"(({percent} * (nu + nv) + {99 + percent}) div {100 + percent})"
+    least = _least("nu", "nv", percent)
     near = f"cu != cv and 100 * nv >= {percent} * nu and 100 * nu >= {percent} * nv and atu <= nu - {least} and atv <= nv - {least}"
     pairs = m.withColumnRenamed("g", "gu").join(x, F.expr(f"g = gu and {near}"))
     return pairs.select(F.least("docu", "docv").alias("u"), F.greatest("docu", "docv").alias("v")).where("u != v").distinct()
