@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +85,25 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give memory that is no longer used back to the system. Python workers live on between tasks, and what one task has held
+    would count beside what the next needs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow that gives memory back when its task is done."""
+
+    def work(parts: Iterator) -> Iterator:
+        yield from run(parts)
+        trim()
+
+    return work
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

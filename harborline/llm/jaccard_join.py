@@ -40,7 +40,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, mix, pieces, release, rolling, shuffle_partitions, stage, table, text_buffers, unstage
+from .common import Words, mix, pieces, release, rolling, shuffle_partitions, stage, table, text_buffers, trimmed, unstage
 from .components import connected
 
 SHINGLE = 5
@@ -232,7 +232,7 @@ def _documents(documents: DataFrame, shingle: int) -> DataFrame:
                 h1, h2 = set_hashes(key, at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at).astype(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc", "n", "h1", "h2"])
 
-    return documents.mapInArrow(run, "doc long, n long, h1 long, h2 long")
+    return documents.mapInArrow(trimmed(run), "doc long, n long, h1 long, h2 long")
 
 
 _BLOB = pa.schema([("bucket", pa.int64()), ("blob", pa.binary()), ("doc", pa.int64()), ("n", pa.int64())])
@@ -286,7 +286,7 @@ def _blobs(documents: DataFrame, buckets: int, percent: int, shingle: int) -> Da
         if count:
             yield from flush()
 
-    return documents.mapInArrow(run, "bucket long, blob binary, doc long, n long")
+    return documents.mapInArrow(trimmed(run), "bucket long, blob binary, doc long, n long")
 
 
 _SHARED = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("slack", pa.int32()), ("fat", pa.int32()), ("tag", pa.int32()), ("flags", pa.int32()), ("seg", pa.int64()), ("full", pa.int64()), ("less", pa.int64())])
@@ -336,7 +336,7 @@ def _shared(blobs: DataFrame) -> DataFrame:
             yield from emit(held)
 
     ddl = "sig long, doc long, n long, slack int, fat int, tag int, flags int, seg long, full long, less long"
-    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, ddl)
+    return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), ddl)
 
 
 def allocate(group: np.ndarray, seg: np.ndarray, flags: np.ndarray, full: np.ndarray, less: np.ndarray, n: np.ndarray, slack: np.ndarray, fat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -411,7 +411,7 @@ def _choose(shared: DataFrame) -> DataFrame:
         if count:
             yield from decide([np.concatenate(c) for c in zip(*held)])
 
-    return shared.repartition("doc").sortWithinPartitions("doc", "n", "tag").mapInArrow(run, "sig long, doc long, tag int, deleted boolean, probe int")
+    return shared.repartition("doc").sortWithinPartitions("doc", "n", "tag").mapInArrow(trimmed(run), "sig long, doc long, tag int, deleted boolean, probe int")
 
 
 def _sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -432,7 +432,7 @@ def _sets(documents: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(a.astype(np.int32)), pa.array(v.view(np.int64))) for a, v in ((at, key), (where, parity))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(set_hashes(key, at)[0].view(np.int64)), *lists], names=["doc", "h1", "t", "p"])
 
-    return documents.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, h1 long, t array<bigint>, p array<bigint>")
+    return documents.join(wanted, "doc", "left_semi").mapInArrow(trimmed(run), "doc long, h1 long, t array<bigint>, p array<bigint>")
 
 
 def _folded(p: Column, size: Column) -> Column:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, pieces, release, rolling, stage, table, text_buffers
+from .common import Words, mix, pieces, release, rolling, stage, table, text_buffers, trimmed
 
 WINDOW = 20
 ANCHOR = 8
@@ -168,7 +168,7 @@ def _segment_rows(documents: DataFrame, window: int) -> DataFrame:
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[i + doc]), pa.array(of[i + doc]), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], schema=_SEG)
 
-    return documents.select("doc", "u", "text").mapInArrow(run, "a long, c long, doc long, u long, s int, n int")
+    return documents.select("doc", "u", "text").mapInArrow(trimmed(run), "a long, c long, doc long, u long, s int, n int")
 
 
 _REP = pa.schema([("a", pa.int64()), ("k", pa.int64()), ("doc", pa.int64()), ("u", pa.int64()), ("s", pa.int32()), ("n", pa.int32()), ("words", pa.string())])
@@ -193,7 +193,7 @@ def _with_words(documents: DataFrame, reps: DataFrame, window: int) -> DataFrame
                 for i in range(0, len(out), 4000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + 4000]), _REP)], schema=_REP)
 
-    return rows.mapInArrow(run, "a long, k long, doc long, u long, s int, n int, words string")
+    return rows.mapInArrow(trimmed(run), "a long, k long, doc long, u long, s int, n int, words string")
 
 
 _SPAN = pa.schema([("doc", pa.int64()), ("u", pa.int64()), ("s", pa.int32()), ("n", pa.int32())])
@@ -219,7 +219,7 @@ def _by_automata(reps: DataFrame, window: int) -> DataFrame:
                 out = []
 
     ordered = reps.select("a", "doc", "u", "s", "words").repartition("a").sortWithinPartitions("a", "doc", "u", "s")
-    return ordered.mapInArrow(run, "doc long, u long, s int, n int")
+    return ordered.mapInArrow(trimmed(run), "doc long, u long, s int, n int")
 
 
 def _by_windows(reps: DataFrame, window: int) -> DataFrame:
@@ -236,7 +236,7 @@ def _by_windows(reps: DataFrame, window: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=["x", "y", "doc", "u", "s"])
 
-    rows = reps.select("doc", "u", "s", "words").mapInArrow(run, "x long, y long, doc long, u long, s int")
+    rows = reps.select("doc", "u", "s", "words").mapInArrow(trimmed(run), "x long, y long, doc long, u long, s int")
     rows = stage(rows, "dedup-windows")
     first = stage(rows.groupBy("x", "y").agg(F.min(F.struct("doc", "u", "s")).alias("f"), F.count("*").alias("m")).where("m > 1").drop("m"), "dedup-windows-first")
     return rows.join(first, ["x", "y"]).where(F.struct("doc", "u", "s") != F.col("f")).select("doc", "u", "s", F.lit(1).alias("n"))
@@ -305,7 +305,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, keep: list[str] | None = N
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields)
-    return rows.mapInArrow(run, f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return rows.mapInArrow(trimmed(run), f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

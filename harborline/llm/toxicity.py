@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, pieces, table, text_buffers
+from .common import Words, mix, pieces, table, text_buffers, trimmed
 
 WINDOW = 24
 STRIDE = 12
@@ -355,7 +355,7 @@ def train_in_task(rows: DataFrame, most: int = TRAIN_DOCS) -> Network:
         net = train([t for t, _ in chosen], [k for _, k in chosen])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
-    got = rows.repartition(1).mapInArrow(run, "net binary").collect()
+    got = rows.repartition(1).mapInArrow(trimmed(run), "net binary").collect()
     return pickle.loads(got[0]["net"]) if got else train([], [])
 
 
@@ -372,7 +372,7 @@ def score(documents: DataFrame, net: Network, keep: list[str], threshold: float
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return documents.select(*keep, documents["text"].alias("__text")).mapInArrow(run, f"{fields}, score double, predicted int")
+    return documents.select(*keep, documents["text"].alias("__text")).mapInArrow(trimmed(run), f"{fields}, score double, predicted int")
 
 
 def held_out(doc_id: Column) -> Column:
