@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import json
 import signal
 import sys
@@ -19,7 +20,7 @@ from ..operators.store import Table
 from ..sources import fetch, readers
 from ..sources.files import format_of
 from . import config as configs
-from . import export, log, registry
+from . import authoring, export, log, registry, trace
 from .audit import Audit
 from ..streaming import materialize
 from .run import health, open_scan, run
@@ -59,10 +60,13 @@ def parser() -> argparse.ArgumentParser:
 
     store = (("--audit-db",), {"required": True})
     sample = [(("--file",), {"required": True}), (("--format",), {}), (("--encoding",), {"default": "utf-8"}), (("--sheet",), {}), (("--config",), {})]
-    command("run", (("--dir",), {}), (("--config",), {}), (("--audit-db",), {}), (("--warehouse",), {}), (("--registry",), {}), (("--pipeline",), {}), (("--log-format",), {"choices": log.FORMATS}))
+    command("run", (("--dir",), {}), (("--config",), {}), (("--audit-db",), {}), (("--warehouse",), {}), (("--registry",), {}), (("--pipeline",), {}), (("--log-format",), {"choices": log.FORMATS}), (("--trace",), {}))
     command("inspect", *sample, (("--rows",), {"type": int, "default": infer.SAMPLE}))
     command("preview", *sample, (("--rows",), {"type": int, "default": 10}), (("--start-row",), {"type": int, "default": 1}))
     command("validate", *[(f, o | ({"required": True} if f == ("--config",) else {})) for f, o in sample], (("--json",), {"action": "store_true"}), (("--shown",), {"type": int, "default": 100}))
+    command("report", *[(f, o | ({"required": True} if f == ("--config",) else {})) for f, o in sample if f in (("--file",), ("--config",))], (("--rows",), {"type": int}), (("--shown",), {"type": int, "default": 100}))
+    command("draft", *[a for a in sample if a[0] != ("--config",)], (("--table",), {"required": True}), (("--rows",), {"type": int, "default": infer.SAMPLE}), (("--workspace",), {}), (("--acknowledge",), {"action": "append", "default": []}))
+    command("browse", (("--workspace",), {"required": True}))
     command("status", (("--audit-db",), {"action": "append", "required": True}))
     command("lineage", store, (("reference",), {}))
     command("requeue", store, (("reference",), {"nargs": "?"}), (("--all",), {"action": "store_true"}), (("--retry-cap",), {"type": int, "default": 3}))
@@ -92,7 +96,9 @@ def main(argv: list[str] | None = None) -> int:
         if not args.warehouse and not c.connector:
             print("run needs --warehouse where the configuration names no connector", file=sys.stderr)
             return 1
-        out = run(spark, args.dir, c, Audit(args.audit_db), args.warehouse or "", progress=log.reporter(args.log_format) if args.log_format else None)
+        tell = log.reporter(args.log_format) if args.log_format else None
+        with open(args.trace, "a", encoding="utf-8") if args.trace else contextlib.nullcontext() as spans:
+            out = run(spark, args.dir, c, Audit(args.audit_db), args.warehouse or "", progress=trace.tracer(spans, tell) if spans else tell)
         say(asdict(out))
         return int(out.failed > 0)
     if args.command == "inspect":
@@ -126,6 +132,20 @@ def main(argv: list[str] | None = None) -> int:
         if verdict:
             print("over the quarantine threshold" if verdict == "exceeded" else "would be quarantined")
         return int(bad > 0 or bool(missing))
+    elif args.command == "report":
+        import yaml
+
+        found = authoring.examine(spark, args.file, yaml.safe_load(Path(args.config).read_text()), args.rows, args.shown)
+        say({"ok": found.ok} | asdict(found))
+        return int(not found.ok)
+    elif args.command == "draft":
+        sheet = int(args.sheet) if args.sheet and args.sheet.isdigit() else args.sheet
+        made = authoring.from_sample(spark, args.file, args.table, format_of(args.file, args.format), args.encoding, sheet, args.rows).acknowledge(*args.acknowledge)
+        for e in made.unsure():
+            print(f"# {e.name}: {e.type}, {e.confidence}, {e.null_count} of {e.rows} null{''.join('; ' + n for n in e.notes)}", file=sys.stderr)
+        print(made.yaml() if not args.workspace else authoring.save(args.workspace, made, args.file))
+    elif args.command == "browse":
+        say({"pipelines": [asdict(r) for r in registry.browse(Path(args.workspace, registry.FILE))], "unlisted": registry.discover(args.workspace)})
     elif args.command == "status":
         say(export.status_all(spark, {p: p for p in args.audit_db}))
     elif args.command == "lineage":
