@@ -19,12 +19,15 @@ from pyspark.sql import functions as F
 
 from .functions import coerce, crypto
 from .functions.json import dotted_get
-from .operators import audit_views, cdc, compact, infer, schema, validate
+from .operators import audit_views, cdc, compact, infer, quarantine, schema, validate
+from .operators.destinations import destination
 from .operators.store import Table, with_provenance
 from .operators.transform import check
+from .plans import authoring, export
 from .plans.audit import Audit
 from .plans.config import Column, Pipeline, Quarantine, parse
 from .plans.register import register
+from .plans.run import run
 from .sources import fetch, readers
 from .sources.readers import ERROR, ROW, Scan
 from .streaming.materialize import cut
@@ -439,12 +442,122 @@ def cursor_filter(spark, sf):
     return spark.createDataFrame([(r["id"], r["meta"]["at"]) for r in found], "id long, at string")
 
 
+# -- authoring, whole runs, quarantine and destinations
+
+
+def _broken_csv(spark, sf) -> str:
+    rows = _broken(spark, sf)
+    line = F.concat_ws(",", *(v.text for v in rows.values.values()))
+    head = spark.createDataFrame([(0, ",".join(rows.names))], f"{ROW} long, value string")
+    return _written(spark, head.unionByName(rows.df.select(F.col(ROW).cast("long"), line.alias("value"))).orderBy(ROW), "broken")
+
+
+def authoring_report(spark, sf):
+    """What a report says of each area, and the cells that do not load."""
+    raw = {"format": "csv", "dest_table": "t", "columns": [{"source": c.source, "dest": c.dest, "type": c.type} for c in EVENT_COLUMNS]}
+    report = authoring.examine(spark, _broken_csv(spark, sf), raw)
+    rows = [(a, all(f.ok for f in report.of(a)), report.rows, report.failing_cells if a == "strict" else 0) for a in authoring.AREAS]
+    return spark.createDataFrame(rows, "area string, ok boolean, rows long, failing_cells long")
+
+
+def draft_from_sample(spark, sf):
+    """The columns that a draft starts with: types of the whole sample, all of them required."""
+    draft = authoring.from_sample(spark, _broken_csv(spark, sf), "events", "csv", rows=1000)
+    return spark.createDataFrame([(c["source"], c["type"], c["required"], draft.evidence[c["source"]].null_count) for c in draft.raw["columns"]], "source string, type string, required boolean, null_count long")
+
+
+def _sidecar(spark, sf) -> str:
+    """The rows of _broken that do not load, as a quarantine's sidecar; its folder."""
+    bad = check(_broken(spark, sf), EVENT_COLUMNS, keep_raw=True).bad()
+    folder = _temporary(spark, "quarantine")
+    lines = quarantine.sidecar_lines(bad).toLocalIterator()
+    _put(spark, f"{folder}/{quarantine.sidecar_name('events.csv', 'a' * 64)}", "".join(r["value"] + "\n" for r in lines).encode())
+    return folder
+
+
+def quarantine_redrop(spark, sf):
+    """Rows of a sidecar, as they were in their file."""
+    row = F.from_json("value", "id string, type string, value string")
+    return quarantine.redrop(spark, _sidecar(spark, sf)).select(row.alias("r")).select("r.id", "r.type", "r.value")
+
+
+def quarantine_triage(spark, sf):
+    return quarantine.triage(spark, _sidecar(spark, sf)).groupBy("file", "column").agg(F.count("*").alias("n"), F.min("row_number").alias("first_row"))
+
+
+def parquet_inference(spark, sf):
+    found = infer.infer_parquet(_t(spark, sf, "lineitem").schema)
+    return spark.createDataFrame([(c.name, c.type, c.confidence) for c in found], "column string, type string, confidence string")
+
+
+def column_tolerance(spark, sf):
+    """Columns that only the file has, and required ones that it lacks."""
+    fit = validate.tolerance(readers.scan(spark, f"{sf}/nation.parquet", "parquet").names, (Column("n_nationkey", "key", "integer"), Column("n_code", "code", "string"), Column("n_more", "more", "string", required=False)))
+    return spark.createDataFrame([(c, "extra") for c in fit.extra] + [(c, "missing") for c in fit.missing], "column string, kind string")
+
+
+def one_source_two_columns(spark, sf):
+    c = _t(spark, sf, "customer")
+    rows = _scan(c.select(F.col("c_custkey"), F.col("c_custkey").cast("string").alias("key"), "c_name"), "c_custkey", ["key", "c_name"])
+    return check(rows, (Column("key", "key", "integer"), Column("key", "key_text", "string"), Column("c_name", "name", "string")), keep_raw=False).good()
+
+
+def pipeline_run(spark, sf):
+    """A run over a folder: a file of each region's nations, one of them twice, one with a bad key; then the same run again."""
+    folder, raw = _temporary(spark, "run"), {"format": "csv", "dest_table": "nations", "columns": [{"source": "key", "dest": "key", "type": "integer"}, {"source": "name", "dest": "name", "type": "string"}]}
+    files: dict[str, list[str]] = {}
+    for r in _t(spark, sf, "nation").orderBy("n_nationkey").collect():  # 25 rows
+        files.setdefault(f"region{r['n_regionkey']}", []).append(f"{r['n_nationkey']},{r['n_name']}")
+    files |= {"same": files["region0"], "wrong": ["x,NOWHERE"]}
+    for name, lines in files.items():
+        _put(spark, f"{folder}/{name}.csv", "\n".join(["key,name", *lines, ""]).encode())
+    audit, warehouse = Audit(":memory:"), _temporary(spark, "warehouse")
+    done = [run(spark, folder, parse(raw), audit, warehouse) for _ in range(2)]
+    loaded = Table(spark, f"{warehouse}/nations").read().select("key").distinct().count()
+    return spark.createDataFrame([(i, x.committed, x.failed, x.rows, loaded) for i, x in enumerate(done)], "run long, committed long, failed long, rows long, loaded long")
+
+
+def audit_listing(spark, sf):
+    return audit_views.listing(_failed(spark, sf).frame(spark)).select("filename", "content_hash", "state", "attempt_count", "error_message")
+
+
+def status_summary(spark, sf):
+    audit = _failed(spark, sf)
+    audit.retry_failed(3)
+    return spark.createDataFrame(list(export.status(spark, audit)["by_state"].items()), "state string, files long")
+
+
+def _stored(spark, sf, kind: str):
+    """The latest changes in a database of this kind, after an older table of customers; applied twice."""
+    folder = _temporary(spark, kind).removeprefix("file://")
+    os.makedirs(folder)
+    table = destination(spark, {"type": kind, "path": f"{folder}/x.db"}, "t", "")
+    table.ensure(schema.declared((Column("user_id", "user_id", "integer"), Column("seq", "seq", "integer"), Column("value", "value", "float"))))
+    before = _t(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("user_id"), F.lit(-1).cast("long").alias("seq"), F.col("c_acctbal").cast("double").alias("value"))
+    for _ in range(2):
+        table.append(with_provenance(before, "customers", "2024-01-01"), "customers")
+    newest = cdc.latest(_changes(spark, sf), ["user_id"], "seq").select("user_id", "seq", "value", cdc.OPERATION)
+    for _ in range(2):
+        table.apply(with_provenance(newest, "changes", "2024-01-01"), ["user_id"], "changes")
+    return spark.createDataFrame(table.select("SELECT user_id, seq, value FROM t"), "user_id long, seq long, value double")
+
+
+def duckdb_cdc(spark, sf):
+    return _stored(spark, sf, "duckdb")
+
+
+def sqlite_cdc(spark, sf):
+    return _stored(spark, sf, "sqlite")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         transform_cast, coerce_boolean, coerce_edge_cases, coerce_json_number, strict_partition_good, strict_partition_bad, quarantine_by_column, quarantine_by_error, quarantine_threshold, quarantine_raw_row,
         validate_failures, drift_required_null, infer_schema_profile, cdc_latest, cdc_tie_errors, cdc_merge, append_rerun, truncate_last_wins, cdc_apply, provenance_lineage, dedup_by_content_hash, registration_anti_join,
-        schema_diff, audit_status, audit_recent_failures, audit_overview, requeue_eligible, requeue_terminal, hmac_token, aes_roundtrip, fixed_width_slice, csv_scan, ndjson_scan, parquet_scan, excel_scan, preview_window, compact_batches, microbatch_cut, max_cursor, cursor_filter,
+        schema_diff, audit_status, audit_recent_failures, audit_overview, requeue_eligible, requeue_terminal, hmac_token, aes_roundtrip,
+        authoring_report, draft_from_sample, quarantine_redrop, quarantine_triage, parquet_inference, column_tolerance, one_source_two_columns, pipeline_run, audit_listing, status_summary, duckdb_cdc, sqlite_cdc,
+        fixed_width_slice, csv_scan, ndjson_scan, parquet_scan, excel_scan, preview_window, compact_batches, microbatch_cut, max_cursor, cursor_filter,
     )
 }
 
@@ -522,4 +635,21 @@ ORACLE_SQL = {
     "max_cursor": """WITH s AS (SELECT max(lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0')) AS cursor, count(*) AS n FROM supplier)
         SELECT CAST(1 AS BIGINT) AS run, cursor, n AS records FROM s UNION ALL SELECT 2, cursor, 0 FROM s""",
     "cursor_filter": """SELECT s_suppkey AS id, lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS at FROM supplier WHERE s_nationkey >= 12""",
+    "authoring_report": f"""WITH {_BROKEN}, n AS (SELECT (SELECT count(*) FROM b) AS rows, (SELECT count(*) FROM e) AS cells)
+        SELECT area, area <> 'strict' OR cells = 0 AS ok, rows, CASE WHEN area = 'strict' THEN cells ELSE 0 END AS failing_cells
+        FROM n, (VALUES ('config'), ('encryption'), ('write_mode'), ('parser'), ('tolerance'), ('strict')) AS v(area)""",
+    "draft_from_sample": f"""WITH {_BROKEN}, s AS (SELECT count(*) FILTER (no_value) AS n FROM (SELECT * FROM b ORDER BY row_number LIMIT 1000))
+        SELECT source, type, true AS required, CASE WHEN source = 'value' THEN n ELSE 0 END AS null_count
+        FROM s, (VALUES ('id', 'integer'), ('ts', 'string'), ('type', 'string'), ('value', 'string')) AS v(source, type)""",
+    "quarantine_redrop": f"WITH {_BROKEN} SELECT CAST(event_id AS VARCHAR) AS id, type, CASE WHEN no_value THEN '' WHEN bad_value THEN 'n/a' ELSE CAST(value AS VARCHAR) END AS value FROM f JOIN b ON b.row_number = f.row_number",
+    "quarantine_triage": f"""WITH {_BROKEN} SELECT 'events.aaaaaaaaaaaa.quarantine.ndjson' AS file, "column", count(*) AS n, min(row_number) AS first_row FROM f GROUP BY 2""",
+    "parquet_inference": """SELECT column_name AS "column", CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'SMALLINT', 'TINYINT') THEN 'integer' WHEN column_type IN ('DOUBLE', 'FLOAT') THEN 'float'
+        WHEN column_type = 'DATE' THEN 'date' WHEN column_type LIKE 'TIMESTAMP%' THEN 'timestamp' WHEN column_type = 'BOOLEAN' THEN 'boolean' ELSE 'string' END AS type, 'high' AS confidence FROM (DESCRIBE lineitem)""",
+    "column_tolerance": """SELECT column_name AS "column", 'extra' AS kind FROM (DESCRIBE nation) WHERE column_name <> 'n_nationkey' UNION ALL SELECT 'n_code', 'missing'""",
+    "one_source_two_columns": "SELECT CAST(c_custkey AS BIGINT) AS key, CAST(c_custkey AS VARCHAR) AS key_text, c_name AS name FROM customer",
+    "pipeline_run": "SELECT CAST(0 AS BIGINT) AS run, count(DISTINCT n_regionkey) AS committed, CAST(1 AS BIGINT) AS failed, count(*) AS rows, count(*) AS loaded FROM nation UNION ALL SELECT 1, 0, 1, 0, count(*) FROM nation",
+    "audit_listing": "SELECT s_name AS filename, CAST(s_suppkey AS VARCHAR) AS content_hash, 'FAILED' AS state, s_nationkey % 5 + 1 AS attempt_count, 'bad row' AS error_message FROM supplier",
+    "status_summary": """SELECT state, CASE state WHEN 'PENDING' THEN (SELECT count(*) FROM supplier WHERE s_nationkey % 5 + 1 < 3) WHEN 'FAILED' THEN (SELECT count(*) FROM supplier WHERE s_nationkey % 5 + 1 >= 3) ELSE 0 END AS files
+        FROM (VALUES ('PENDING'), ('PROCESSING'), ('COMMITTED'), ('FAILED')) AS v(state)""",
 }
+ORACLE_SQL |= {k: ORACLE_SQL["cdc_merge"] for k in ("duckdb_cdc", "sqlite_cdc")}
