@@ -172,16 +172,17 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 class Words:
-    """Words [^\\x20\\x09-\\x0D]+ of some texts: byte spans, hashes and the range of words of each text."""
+    """Words [^\\x20\\x09-\\x0D]+ of some texts, or what else bytes that are `blank` separate: byte spans, hashes and the range of
+    words of each text."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, lower: bool = False, blank: np.ndarray = _BLANK):
         base = int(offsets[0])
         raw = raw[base : int(offsets[-1])]
         off = offsets - base
         if lower:
             raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
         inside = np.zeros(len(raw) + 2, bool)
-        inside[1:-1] = ~_BLANK[raw]
+        inside[1:-1] = ~blank[raw]
         begins = inside[1:] & ~inside[:-1]
         ends = inside[:-1] & ~inside[1:]
         cut = off[(off > 0) & (off < len(raw))]
@@ -203,6 +204,13 @@ class Words:
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
+    def encoded(self) -> pa.DictionaryArray:
+        """Words as bytes, each different one once, and the number of each word's."""
+        size = self.end - self.start
+        at = np.concatenate([[0], np.cumsum(size)])
+        data = self.raw[np.repeat(self.start - at[:-1], size) + np.arange(at[-1])]
+        return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+
 
 def rolling(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive values; has len(h) - k + 1 values (none if fewer than k)."""

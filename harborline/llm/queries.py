@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, fingerprints, html_extract, jaccard_join, langid, packing, substring_dedup, toxicity, warc
+from . import chat, decontam, divergence, fingerprints, html_extract, jaccard_join, langid, mixing, packing, periodic_runs, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_language_id": langid.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.query,
     "op9_packing": packing.query,
     "op10_warc": warc.query,
+    "op11_source_divergence": divergence.query,
+    "op12_source_mixing": mixing.query,
+    "op13_periodic_runs": periodic_runs.query,
 }
 ORACLE_SQL = {
     "op2_substring_dedup": substring_dedup.SQL,
@@ -22,4 +25,7 @@ ORACLE_SQL = {
     "op5_chat_formatting": chat.SQL,
     "op8_jaccard_join": jaccard_join.SQL,
     "op10_warc": warc.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_source_mixing": mixing.SQL,
+    "op13_periodic_runs": periodic_runs.SQL,
 }
