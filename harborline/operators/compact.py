@@ -3,9 +3,13 @@
 Batches are cut by number of files in order of path. Every batch is one task that streams its files, so batches go in parallel
 and none is held in memory. Files are opened with pyarrow.fs, on any store that driver and executors share.
 
-Which sources are done is told by manifests in a hidden folder, one for each batch, or by deleting the sources. A task writes
-the manifest of its batch first; it counts from when the batch has its final name. So a run that stops half way has lost
-nothing and the next does not repeat what was finished.
+Which sources are done is told by manifests in a hidden folder, one for each batch. A task writes the manifest of its batch first;
+it counts from when the batch has its final name. So a run that stops half way has lost nothing and the next does not repeat
+what was finished. Where sources are deleted, the manifest goes after them, and a run begins by ending such deletions. A manifest knows a
+file by name, size and modification time, so another file that later takes the name is not taken for it.
+
+Batches are named by the time to the microsecond, their number and a random part, and never replace a file: two runs, in one
+process or in two, cannot overwrite each other's.
 """
 
 from __future__ import annotations
@@ -39,25 +43,50 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def finished(source: str) -> set[str]:
-    """Names of the files in batches that are complete."""
+def _manifests(source: str):
+    """(path, content) of the manifests of batches that are complete."""
     from pyarrow import fs
 
     store, base = _store(source)
-    done: set[str] = set()
     for f in store.get_file_info(fs.FileSelector(f"{base}/{MANIFESTS}", allow_not_found=True)):
         if f.path.endswith(".json"):
             with store.open_input_stream(f.path) as s:
                 m = json.loads(s.read())
             other, target = _store(m["batch"])
             if other.get_file_info(target).type == fs.FileType.File:
-                done |= set(m["files"])
-    return done
+                yield f.path, m
+
 
+def _mark(uri: str) -> list:
+    """Size and modification time of a file, which tell it from a later one of the same name."""
+    store, at = _store(uri)
+    info = store.get_file_info(at)
+    return [info.size, info.mtime_ns]
+
+
+def finished(source: str) -> set[str]:
+    """Names of the files in batches that are complete."""
+    base = source.rstrip("/")
+    return {n for _, m in _manifests(source) for n in m["files"] if n not in m.get("marks", {}) or m["marks"][n] == _mark(f"{base}/{n}")}
+
+
+def _end_deletions(source: str) -> None:
+    """Delete what is left of sources whose batch is complete, then their manifests."""
+    store, base = _store(source)
+    for path, m in _manifests(source):
+        if m.get("delete"):
+            for n in m["files"]:
+                if m["marks"][n] == _mark(f"{base}/{n}"):
+                    store.delete_file(f"{base}/{n}")
+            store.delete_file(path)
+
+
+def _write_batch(paths: list[str], target: str, manifest: str, compress: bool, delete: bool) -> None:
+    from pyarrow import fs
 
-def _write_batch(paths: list[str], target: str, manifest: str | None, compress: bool) -> None:
     store, final = _store(target)
     part = f"{final}.{uuid.uuid4().hex}.tmp"
+    marks = {p.rsplit("/", 1)[-1]: _mark(p) for p in paths}
     try:
         with store.open_output_stream(part, compression=None) as raw:
             sink = gzip.GzipFile(fileobj=raw, mode="wb") if compress else raw
@@ -69,14 +98,13 @@ def _write_batch(paths: list[str], target: str, manifest: str | None, compress:
                             sink.write((json.dumps(json.loads(line), ensure_ascii=False) + "\n").encode())
             if compress:
                 sink.close()
-        if manifest:
-            other, at = _store(manifest)
-            with other.open_output_stream(at, compression=None) as log:
-                log.write(json.dumps({"batch": target, "files": [p.rsplit("/", 1)[-1] for p in paths]}).encode())
+        if store.get_file_info(final).type != fs.FileType.NotFound:
+            raise FileExistsError(target)
+        other, at = _store(manifest)
+        with other.open_output_stream(at, compression=None) as log:
+            log.write(json.dumps({"batch": target, "files": list(marks), "marks": marks, "delete": delete}).encode())
         store.move(part, final)
     except BaseException:
-        from pyarrow import fs
-
         if store.get_file_info(part).type == fs.FileType.File:
             store.delete_file(part)
         raise
@@ -84,24 +112,26 @@ def _write_batch(paths: list[str], target: str, manifest: str | None, compress:
 
 def compact(spark: SparkSession, source: str, target: str, max_files: int = 1000, compress: bool = False, delete_source: bool = False, now: datetime | None = None) -> dict:
     """Returns batches and files_compacted."""
+    _end_deletions(source)
     done = finished(source)
     names = [(p,) for p, _ in list_files(spark, source, "*.ndjson") if p.rsplit("/", 1)[-1] not in done]
     if not names:
         return {"batches": 0, "files_compacted": 0}
-    stamp = (now or datetime.now(UTC)).strftime("%Y%m%dT%H%M%SZ")
+    stamp = (now or datetime.now(UTC)).strftime("%Y%m%dT%H%M%S.%fZ")
+    run = uuid.uuid4().hex[:8]
     suffix = ".ndjson.gz" if compress else ".ndjson"
-    for folder in (target, *([] if delete_source else [f"{source.rstrip('/')}/{MANIFESTS}"])):
+    for folder in (target, f"{source.rstrip('/')}/{MANIFESTS}"):
         store, at = _store(folder)
         store.create_dir(at, recursive=True)
     groups = batch_numbers(spark.createDataFrame(names, "path string"), max_files).groupBy("batch").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
 
     def work(rows):
         for r in rows:
-            name = f"{stamp}_{r['batch']:04d}"
-            manifest = None if delete_source else f"{source.rstrip('/')}/{MANIFESTS}/{name}.json"
-            _write_batch(r["paths"], f"{target.rstrip('/')}/{name}{suffix}", manifest, compress)
+            name = f"{stamp}_{run}_{r['batch']:04d}"
+            manifest = f"{source.rstrip('/')}/{MANIFESTS}/{name}.json"
+            _write_batch(r["paths"], f"{target.rstrip('/')}/{name}{suffix}", manifest, compress, delete_source)
             if delete_source:
-                for p in r["paths"]:
+                for p in [*r["paths"], manifest]:
                     store, at = _store(p)
                     store.delete_file(at)
             yield len(r["paths"])
