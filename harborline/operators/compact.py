@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import list_files
+from ..sources.stores import store_of
 
 MANIFESTS = ".harborline"
 
@@ -34,32 +35,23 @@ def batch_numbers(files: DataFrame, max_files: int) -> DataFrame:
     return files.withColumn("batch", F.floor((F.row_number().over(order) - 1) / max_files).cast("long") + 1)
 
 
-def _store(uri: str):
-    """The file system of a URI or local path, and the path there."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 def _manifests(source: str):
     """(path, content) of the manifests of batches that are complete."""
     from pyarrow import fs
 
-    store, base = _store(source)
+    store, base = store_of(source)
     for f in store.get_file_info(fs.FileSelector(f"{base}/{MANIFESTS}", allow_not_found=True)):
         if f.path.endswith(".json"):
             with store.open_input_stream(f.path) as s:
                 m = json.loads(s.read())
-            other, target = _store(m["batch"])
+            other, target = store_of(m["batch"])
             if other.get_file_info(target).type == fs.FileType.File:
                 yield f.path, m
 
 
 def _mark(uri: str) -> list:
     """Size and modification time of a file, which tell it from a later one of the same name."""
-    store, at = _store(uri)
+    store, at = store_of(uri)
     info = store.get_file_info(at)
     return [info.size, info.mtime_ns]
 
@@ -72,7 +64,7 @@ def finished(source: str) -> set[str]:
 
 def _end_deletions(source: str) -> None:
     """Delete what is left of sources whose batch is complete, then their manifests."""
-    store, base = _store(source)
+    store, base = store_of(source)
     for path, m in _manifests(source):
         if m.get("delete"):
             for n in m["files"]:
@@ -84,14 +76,14 @@ def _end_deletions(source: str) -> None:
 def _write_batch(paths: list[str], target: str, manifest: str, compress: bool, delete: bool) -> None:
     from pyarrow import fs
 
-    store, final = _store(target)
+    store, final = store_of(target)
     part = f"{final}.{uuid.uuid4().hex}.tmp"
     marks = {p.rsplit("/", 1)[-1]: _mark(p) for p in paths}
     try:
         with store.open_output_stream(part, compression=None) as raw:
             sink = gzip.GzipFile(fileobj=raw, mode="wb") if compress else raw
             for p in paths:
-                other, at = _store(p)
+                other, at = store_of(p)
                 with other.open_input_file(at) as lines:
                     for line in io.TextIOWrapper(lines, encoding="utf-8"):
                         if line.strip():
@@ -100,7 +92,7 @@ def _write_batch(paths: list[str], target: str, manifest: str, compress: bool, d
                 sink.close()
         if store.get_file_info(final).type != fs.FileType.NotFound:
             raise FileExistsError(target)
-        other, at = _store(manifest)
+        other, at = store_of(manifest)
         with other.open_output_stream(at, compression=None) as log:
             log.write(json.dumps({"batch": target, "files": list(marks), "marks": marks, "delete": delete}).encode())
         store.move(part, final)
@@ -121,7 +113,7 @@ def compact(spark: SparkSession, source: str, target: str, max_files: int = 1000
     run = uuid.uuid4().hex[:8]
     suffix = ".ndjson.gz" if compress else ".ndjson"
     for folder in (target, f"{source.rstrip('/')}/{MANIFESTS}"):
-        store, at = _store(folder)
+        store, at = store_of(folder)
         store.create_dir(at, recursive=True)
     groups = batch_numbers(spark.createDataFrame(names, "path string"), max_files).groupBy("batch").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
 
@@ -132,7 +124,7 @@ def compact(spark: SparkSession, source: str, target: str, max_files: int = 1000
             _write_batch(r["paths"], f"{target.rstrip('/')}/{name}{suffix}", manifest, compress, delete_source)
             if delete_source:
                 for p in [*r["paths"], manifest]:
-                    store, at = _store(p)
+                    store, at = store_of(p)
                     store.delete_file(at)
             yield len(r["paths"])
 

@@ -201,7 +201,7 @@ def main(argv: list[str] | None = None) -> int:
         if args.dry_run:
             say(asdict(plan))
             return 0
-        stream = materialize.kafka(spark, plan)
+        stream = materialize.source(spark, plan)
         if args.continuous:
             stop = threading.Event()
             signal.signal(signal.SIGTERM, lambda *_: stop.set())

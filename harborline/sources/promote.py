@@ -10,10 +10,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from ..plans.manifest import SUFFIX
-
-
-class Locked(RuntimeError):
-    """Another process works on this source."""
+from .stores import Locked
 
 
 def slug(text: str) -> str:

@@ -1,8 +1,9 @@
 """Queues to complete files, by Structured Streaming.
 
-A stream of (topic, partition, offset, value) is cut into micro-batches of at most batch_size messages of a partition; each
-becomes one NDJSON file with a manifest that names its offsets. Spark's checkpoint moves on after a batch's files are promoted, so
-a crash repeats a batch at most, under the same names: offsets name the file, and replacing it with itself changes nothing.
+A stream of (topic, partition, offset, value), of Kafka or of a log in a folder, is cut into micro-batches of at most batch_size
+messages of a partition; each becomes one NDJSON file with a manifest that names its offsets. Executors write the files, one task each; the
+driver gives them their names. Spark's checkpoint moves on after a batch's files are promoted, so a crash repeats a batch at most,
+under the same names: offsets name the file, and replacing it with itself changes nothing.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +22,10 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.json import is_object
 from ..plans import manifest as manifests
 from ..plans.config import ConfigError
-from ..sources.promote import promote, slug, source_lock, write_staged
+from ..sources.promote import slug
+from ..sources.sink import Staged, stage_files
+from ..sources.stores import store_lock
+from .log import read_log
 
 SCHEMA = "topic string, partition int, offset long, value binary"
 
@@ -35,6 +38,7 @@ class Plan:
     checkpoint: str
     topic: str = ""
     brokers: str = ""
+    log: str = ""  # folder of a log, in place of a topic of Kafka
     batch_size: int = 1000
     batch_timeout_seconds: float = 30.0
     max_per_trigger: int | None = None  # messages that one batch of the stream takes at most
@@ -59,10 +63,22 @@ def kafka(spark: SparkSession, plan: Plan) -> DataFrame:
     return reader.load().select("topic", "partition", "offset", "value")
 
 
-def cut(messages: DataFrame, batch_size: int) -> DataFrame:
-    """Adds cut, from 0: the micro-batch of a message within its partition, by offset."""
-    order = Window.partitionBy("topic", "partition").orderBy("offset")
-    return messages.withColumn("cut", F.floor((F.row_number().over(order) - 1) / batch_size).cast("long"))
+def source(spark: SparkSession, plan: Plan) -> DataFrame:
+    """The stream that a plan names."""
+    return read_log(spark, plan.log) if plan.log else kafka(spark, plan)
+
+
+def cut(messages: DataFrame, batch_size: int, stretch: int = 1 << 16) -> DataFrame:
+    """Adds cut, from 0: the micro-batch of a message within its partition, by offset.
+
+    Messages are numbered within stretches of offsets and shifted by the counts before, so a hot partition is many tasks' work."""
+    near = messages.withColumn("_stretch", F.floor(F.col("offset") / stretch))
+    counts = near.groupBy("topic", "partition", "_stretch").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("topic", "partition").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    order = Window.partitionBy("topic", "partition", "_stretch").orderBy("offset")
+    numbered = near.withColumn("_at", F.row_number().over(order) - 1).join(shifts, ["topic", "partition", "_stretch"])
+    return numbered.select(*(F.col(f"`{c}`") for c in messages.columns), F.floor((F.col("_at") + F.col("_shift")) / batch_size).cast("long").alias("cut"))
 
 
 def decoded(messages: DataFrame) -> DataFrame:
@@ -74,38 +90,30 @@ def decoded(messages: DataFrame) -> DataFrame:
 
 
 def materialize_batch(batch: DataFrame, plan: Plan, clock=lambda: datetime.now(UTC)) -> list[str]:
-    """Files of one trigger. Rows reach the driver one partition of the sorted batch at a time, and go straight to their file."""
-    rows = decoded(cut(batch, plan.batch_size)).orderBy("topic", "partition", "offset").select("topic", "partition", "offset", "cut", "line")
-    paths: list[str] = []
-    current, lines, first, last = None, [], 0, 0
-
-    def flush() -> None:
-        topic, partition, _ = current
-        name = "-".join(slug(x) for x in (plan.name, topic, partition, first, last)) + ".ndjson" + (".gz" if plan.compress else "")
-        now = clock().isoformat()
-        staged = write_staged(plan.staging, name, lines)
-        span = {"topic": topic, "partition": partition, "start_offset": first, "end_offset": last}
-        side = manifests.emit("harborline.materialize", plan.name, str(uuid.uuid5(uuid.NAMESPACE_URL, json.dumps(span, sort_keys=True))), "harborline", "kafka", len(lines), span, now, now)
-        paths.append(str(promote(staged, plan.inbox, side)))
-
-    with source_lock(plan.staging, plan.name):
-        for r in rows.toLocalIterator():
-            key = (r["topic"], r["partition"], r["cut"])
-            if key != current:
-                if lines:
-                    flush()
-                current, lines, first = key, [], r["offset"]
-            lines.append(r["line"])
-            last = r["offset"]
-        if lines:
-            flush()
-    return paths
+    """Files of one trigger, in order of topic, partition and offset. No message passes the driver."""
+    batch = batch.persist()  # it is counted and then written
+    try:
+        key = F.to_json(F.struct("topic", "partition", "cut"))
+        rows = decoded(cut(batch, plan.batch_size)).select(key.alias("key"), F.col("offset").alias("mark"), "line")
+        with store_lock(batch.sparkSession, plan.staging, slug(plan.name)):
+            job = stage_files(rows, plan.staging, plan.compress)
+            places = {f.key: json.loads(f.key) for f in job.files}
+            job.files.sort(key=lambda f: (places[f.key]["topic"], places[f.key]["partition"], f.first))
+
+            def target(f: Staged) -> tuple[str, str]:
+                topic, partition = places[f.key]["topic"], places[f.key]["partition"]
+                span = {"topic": topic, "partition": partition, "start_offset": f.first, "end_offset": f.last}
+                name = "-".join(slug(x) for x in (plan.name, topic, partition, f.first, f.last)) + ".ndjson" + (".gz" if plan.compress else "")
+                now, run = clock().isoformat(), str(uuid.uuid5(uuid.NAMESPACE_URL, json.dumps(span, sort_keys=True)))
+                return f"{plan.inbox.rstrip('/')}/{name}", manifests.emit("harborline.materialize", plan.name, run, "harborline", "log" if plan.log else "kafka", f.lines, span, now, now)
+
+            return job.publish(target)
+    finally:
+        batch.unpersist()
 
 
 def start(stream: DataFrame, plan: Plan, drain: bool = True, progress: Callable[[int, list[str]], None] | None = None) -> StreamingQuery:
     """drain: take what is there now and end. Otherwise go on, with a batch every batch_timeout_seconds."""
-    Path(plan.staging).mkdir(parents=True, exist_ok=True)
-
     def each(batch: DataFrame, number: int) -> None:
         paths = materialize_batch(batch, plan)
         if progress:
