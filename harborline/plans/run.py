@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.crypto import encryption_key, protect, token_key
 from ..operators import cdc as changes
-from ..operators.quarantine import gate, sidecar_lines, sidecar_name
+from ..operators.quarantine import gate, stage_sidecars
 from ..operators.schema import declared
 from ..operators.destinations import destination
 from ..operators.store import Table, with_provenance
@@ -87,15 +87,10 @@ def load_file(spark: SparkSession, table: Table, candidate: Candidate, config: P
     if config.write_mode == "cdc":
         return _load_changes(table, checked, candidate, config, at, counts["rows"]), 0, None
     good = with_provenance(_protected(checked.good(), config), candidate.content_hash, at)
-    path = None
-    staged: tuple[str, str] | None = None
+    path = job = None
     if counts["bad"]:
-        # the sidecar is written out before the commit and named after it, so a fault in it cannot follow the commit
-        os.makedirs(config.quarantine.dir, exist_ok=True)
-        path = os.path.join(config.quarantine.dir, sidecar_name(candidate.name, candidate.content_hash))
-        staged = (f"{path}.tmp", path)
-        with open(staged[0], "w", encoding="utf-8") as out:
-            out.writelines(r["value"] + "\n" for r in sidecar_lines(checked.bad()).toLocalIterator())
+        # sidecars are written out before the commit and named after it, so a fault in them cannot follow the commit
+        job, named, path = stage_sidecars(checked.bad(), config.quarantine.dir, candidate.name, candidate.content_hash, counts["rows"])
 
     def whole(rows: int) -> None:
         if rows != counts["rows"] - counts["bad"]:
@@ -104,11 +99,11 @@ def load_file(spark: SparkSession, table: Table, candidate: Candidate, config: P
     try:
         rows = (table.truncate if config.write_mode == "truncate" else table.append)(good, candidate.content_hash, whole)
     except BaseException:
-        if staged and os.path.exists(staged[0]):
-            os.unlink(staged[0])
+        if job:
+            job.discard()
         raise
-    if staged:
-        os.replace(*staged)
+    if job:
+        job.publish(named)
     return rows, counts["bad"], path
 
 

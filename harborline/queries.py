@@ -12,9 +12,10 @@ import io
 import os
 import tempfile
 import zipfile
+from datetime import UTC, datetime
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import coerce, crypto
@@ -30,6 +31,9 @@ from .plans.register import register
 from .plans.run import run
 from .sources import fetch, readers
 from .sources.readers import ERROR, ROW, Scan
+from .sources.sink import stage_files
+from .streaming import materialize
+from .streaming.log import append_log
 from .streaming.materialize import cut
 
 KEY = bytes(range(32))
@@ -233,6 +237,20 @@ def cdc_apply(spark, sf):
     return table.read().select("user_id", "seq", "value")
 
 
+def append_after_merge(spark, sf):
+    """Changes merged, customers appended beside them, then the changes of every third user deleted: nothing else is lost."""
+    table = Table(spark, _temporary(spark, "merged"), buckets=16)
+    table.ensure(schema.declared((Column("user_id", "user_id", "integer"), Column("seq", "seq", "integer"), Column("value", "value", "float"))))
+    newest = cdc.latest(_changes(spark, sf), ["user_id"], "seq").select("user_id", "seq", "value", cdc.OPERATION)
+    table.apply(with_provenance(newest, "first", "2024-01-01"), ["user_id"], "first")
+    more = _t(spark, sf, "customer").select((F.col("c_custkey") + 1_000_000).cast("long").alias("user_id"), F.lit(0).cast("long").alias("seq"), F.col("c_acctbal").cast("double").alias("value"))
+    for _ in range(2):
+        table.append(with_provenance(more, "customers", "2024-01-01"), "customers")
+    gone = newest.where(F.col("user_id") % 3 == 0).withColumn(cdc.OPERATION, F.lit("delete"))
+    table.apply(with_provenance(gone, "second", "2024-01-01"), ["user_id"], "second")
+    return table.read().select("user_id", "seq", "value")
+
+
 def provenance_lineage(spark, sf):
     """Rows and totals of each source file, where a month stands for a file."""
     o = _t(spark, sf, "orders")
@@ -411,6 +429,33 @@ def compact_batches(spark, sf):
     return rows.groupBy("batch").agg(F.count("*").alias("files"), F.min("name").alias("first_name"), F.max("name").alias("last_name"), more)
 
 
+def compact_again(spark, sf):
+    """Lines of orders as many files, half of them compacted, then all that is new: two runs with one time of day keep every line once."""
+    source, target, now = _temporary(spark, "lines"), _temporary(spark, "joined"), datetime(2024, 1, 1, tzinfo=UTC)
+    lines = _t(spark, sf, "orders").select(F.to_json(F.struct("o_orderkey", "o_orderpriority")).alias("line"), (F.col("o_orderkey") % 20).alias("k"), F.col("o_orderkey").alias("mark"))
+    for half in (0, 1):
+        job = stage_files(lines.where(F.col("k") % 2 == half).select(F.format_string("o%02d.ndjson", "k").alias("key"), "mark", "line"), source)
+        job.publish(lambda f: (f"{source}/{f.key}", None))
+        compact.compact(spark, source, target, 3, now=now)
+    rows = spark.read.text(f"{target}/*.ndjson")
+    return rows.select(F.get_json_object("value", "$.o_orderkey").cast("long").alias("o_orderkey"), F.get_json_object("value", "$.o_orderpriority").alias("priority"))
+
+
+def materialize_events(spark, sf):
+    """Events as messages of a log in four partitions, taken to files in two drains that go on from each other: rows by file."""
+    e = _t(spark, sf, "events").withColumn("partition", (F.col("user_id") % 4).cast("int"))
+    order = Window.partitionBy("partition").orderBy("event_id")
+    value = F.encode(F.to_json(F.struct("event_id", "user_id", "event_type", "value")), "UTF-8")
+    sent = e.select(F.lit("events").alias("topic"), "partition", (F.row_number().over(order) - 1).cast("long").alias("offset"), value.alias("value"))
+    base = _temporary(spark, "queue")
+    plan = materialize.parse_plan({"name": "q", "log": f"{base}/log", "inbox": f"{base}/in", "staging": f"{base}/staging", "checkpoint": f"{base}/checkpoint", "batch_size": 500})
+    for part in (F.col("offset") < 700, F.col("offset") >= 700):
+        append_log(sent.where(part), plan.log, 300)
+        materialize.drain(materialize.source(spark, plan), plan)
+    rows = spark.read.text(f"{plan.inbox}/*.ndjson").select(F.from_json("value", "event_id long, user_id long, event_type string, value double").alias("v"), F.col("_metadata.file_name").alias("file"))
+    return rows.select("v.*", "file")
+
+
 def microbatch_cut(spark, sf):
     e = _t(spark, sf, "events").select(F.lit("events").alias("topic"), (F.col("user_id") % 4).cast("int").alias("partition"), F.col("event_id").alias("offset"))
     return cut(e, 100).groupBy("partition", "cut").agg(F.min("offset").alias("start_offset"), F.max("offset").alias("end_offset"), F.count("*").alias("messages"))
@@ -470,8 +515,8 @@ def _sidecar(spark, sf) -> str:
     """The rows of _broken that do not load, as a quarantine's sidecar; its folder."""
     bad = check(_broken(spark, sf), EVENT_COLUMNS, keep_raw=True).bad()
     folder = _temporary(spark, "quarantine")
-    lines = quarantine.sidecar_lines(bad).toLocalIterator()
-    _put(spark, f"{folder}/{quarantine.sidecar_name('events.csv', 'a' * 64)}", "".join(r["value"] + "\n" for r in lines).encode())
+    job, named, _ = quarantine.stage_sidecars(bad, folder, "events.csv", "a" * 64, _t(spark, sf, "events").count())
+    job.publish(named)
     return folder
 
 
@@ -554,10 +599,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         transform_cast, coerce_boolean, coerce_edge_cases, coerce_json_number, strict_partition_good, strict_partition_bad, quarantine_by_column, quarantine_by_error, quarantine_threshold, quarantine_raw_row,
-        validate_failures, drift_required_null, infer_schema_profile, cdc_latest, cdc_tie_errors, cdc_merge, append_rerun, truncate_last_wins, cdc_apply, provenance_lineage, dedup_by_content_hash, registration_anti_join,
+        validate_failures, drift_required_null, infer_schema_profile, cdc_latest, cdc_tie_errors, cdc_merge, append_rerun, truncate_last_wins, cdc_apply, append_after_merge, provenance_lineage, dedup_by_content_hash, registration_anti_join,
         schema_diff, audit_status, audit_recent_failures, audit_overview, requeue_eligible, requeue_terminal, hmac_token, aes_roundtrip,
         authoring_report, draft_from_sample, quarantine_redrop, quarantine_triage, parquet_inference, column_tolerance, one_source_two_columns, pipeline_run, audit_listing, status_summary, duckdb_cdc, sqlite_cdc,
-        fixed_width_slice, csv_scan, ndjson_scan, parquet_scan, excel_scan, preview_window, compact_batches, microbatch_cut, max_cursor, cursor_filter,
+        fixed_width_slice, csv_scan, ndjson_scan, parquet_scan, excel_scan, preview_window, compact_batches, compact_again, microbatch_cut, materialize_events, max_cursor, cursor_filter,
     )
 }
 
@@ -612,6 +657,12 @@ ORACLE_SQL = {
     "append_rerun": "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, 'file' || (n_nationkey % 2) AS file_hash FROM nation",
     "truncate_last_wins": "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, 'file1' AS file_hash FROM nation WHERE n_nationkey % 2 = 1",
     "cdc_apply": f"WITH {_CHANGES} SELECT user_id, seq, value FROM l WHERE operation <> 'delete'",
+    "append_after_merge": f"""WITH {_CHANGES} SELECT user_id, seq, value FROM l WHERE operation <> 'delete' AND user_id % 3 <> 0
+        UNION ALL SELECT c_custkey + 1000000, 0, c_acctbal FROM customer""",
+    "compact_again": "SELECT o_orderkey, o_orderpriority AS priority FROM orders",
+    "materialize_events": """WITH m AS (SELECT *, user_id % 4 AS p, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS o FROM events),
+        c AS (SELECT *, o >= 700 AS later, CASE WHEN o < 700 THEN o // 500 ELSE (o - 700) // 500 END AS cut FROM m)
+        SELECT event_id, user_id, event_type, value, 'q-events-' || p || '-' || min(o) OVER w || '-' || max(o) OVER w || '.ndjson' AS file FROM c WINDOW w AS (PARTITION BY p, later, cut)""",
     "provenance_lineage": "SELECT left(sha256(strftime(o_orderdate, '%Y-%m')), 12) AS file_hash, count(*) AS rows, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders GROUP BY 1",
     "dedup_by_content_hash": """WITH f AS (SELECT n_nationkey, sha256('region' || chr(10) || n_regionkey || chr(10)) AS content_hash FROM nation)
         SELECT content_hash, 'n' || lpad(CAST(min(n_nationkey) AS VARCHAR), 2, '0') || '.csv' AS first_name, count(*) AS copies FROM f GROUP BY 1""",

@@ -184,3 +184,26 @@ def test_claim_is_exclusive(place):
     place.audit.insert_pending("f", "h")
     assert place.audit.claim("h", "w1", "r") and not place.audit.claim("h", "w2", "r")
     assert not place.audit.insert_pending("g", "h")
+
+
+def test_sidecars_of_a_long_file_are_parts(place, spark, monkeypatch):
+    monkeypatch.setattr(quarantine.stage_sidecars, "__defaults__", (3,))
+    place.put("a.csv", "id,amount,day\n" + "".join(f"{i},{'x' if i % 2 else i},\n" for i in range(8)))
+    got = place.run(quarantine={"enabled": True, "dir": str(place.root / "q"), "max_invalid_fraction": 0.5})
+    assert (got.committed, got.rows, got.quarantined) == (1, 4, 4)
+    sides = sorted((place.root / "q").iterdir())
+    assert [x.name.split(".")[2] for x in sides] == ["00000", "00001", "00002"]
+    assert [[json.loads(x)["row_number"] for x in s.read_text().splitlines()] for s in sides] == [[2], [4, 6], [8]]
+    path = place.audit.lookup("a.csv")[0]["quarantine_path"]
+    assert "*" in path and quarantine.redrop(spark, path).count() == 4
+
+
+def test_a_failed_load_leaves_no_sidecar(place, monkeypatch):
+    place.put("a.csv", "id,amount,day\n1,1,\n2,x,\n")
+
+    def fail(*_):
+        raise RuntimeError("no room")
+
+    monkeypatch.setattr(Table, "append", fail)
+    assert place.run(quarantine={"enabled": True, "dir": str(place.root / "q"), "max_invalid_fraction": 0.5}).failed == 1
+    assert not list((place.root / "q").iterdir())
