@@ -184,6 +184,7 @@ def main(argv: list[str] | None = None) -> int:
         if raw is None:
             print(f"no source {args.source!r} in {args.config}", file=sys.stderr)
             return 1
+        raw = fetch.settings(raw)
         source, place = fetch.parse_source(raw), {k: getattr(args, k) or raw.get(k) for k in ("inbox", "staging", "cursors")}
         if args.dry_run:
             say({"source": source.name, "url": source.url, "kind": source.kind} | place)
@@ -191,7 +192,7 @@ def main(argv: list[str] | None = None) -> int:
         if not all(place.values()):
             print("fetch needs inbox, staging and cursors, as options or in the source", file=sys.stderr)
             return 1
-        say(fetch.run_fetch(source, fetch.http, place["inbox"], place["staging"], fetch.CursorStore(place["cursors"]), args.gzip))
+        say(fetch.run_fetch(spark, source, fetch.http, place["inbox"], place["staging"], fetch.CursorStore(place["cursors"]), args.gzip or bool(raw.get("gzip"))))
     elif args.command == "materialize":
         raw = fetch.load_sources(args.config).get(args.source)
         if raw is None:

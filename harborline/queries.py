@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import json
 import os
 import tempfile
 import zipfile
@@ -30,8 +31,10 @@ from .plans.config import Column, Pipeline, Quarantine, parse
 from .plans.register import register
 from .plans.run import run
 from .sources import fetch, readers
+from .sources.api import read_api
 from .sources.readers import ERROR, ROW, Scan
 from .sources.sink import stage_files
+from .sources.stores import read_text
 from .streaming import materialize
 from .streaming.log import append_log
 from .streaming.materialize import cut
@@ -461,30 +464,70 @@ def microbatch_cut(spark, sf):
     return cut(e, 100).groupBy("partition", "cut").agg(F.min("offset").alias("start_offset"), F.max("offset").alias("end_offset"), F.count("*").alias("messages"))
 
 
-def _api(spark, sf):
-    """Suppliers as an API would return them, page by page, those above the cursor if one is asked for."""
-    records = [{"id": r["s_suppkey"], "meta": {"at": f"{r['s_nationkey']:02d}-{r['s_suppkey']:06d}"}} for r in _t(spark, sf, "supplier").orderBy("s_suppkey").collect()]
+def _served(spark, records: DataFrame, size: int, counted: bool = True):
+    """A server of records (mark, record, at), in numbered pages of this size that lie as files in the shared folder. Asked for
+    records `since` a cursor, it pages through those alone, which lie in a folder of their own."""
+    folder = _temporary(spark, "served")
+
+    def put(part: DataFrame, name: str) -> int:
+        page = F.floor((F.row_number().over(Window.orderBy("mark")) - 1) / size) + 1
+        job = stage_files(part.select(page.cast("string").alias("key"), "mark", F.col("record").alias("line")), folder)
+        job.publish(lambda f: (f"{folder}/{name}/{f.key}.ndjson", None))
+        return len(job.files)
+
+    pages: dict[str, int] = {}
 
     def transport(url, params, headers):
-        newer = [r for r in records if r["meta"]["at"] > params.get("since", "")]
-        at = (params["page"] - 1) * params["per_page"] if "page" in params else 0
-        return fetch.Response(200, {"data": newer[at : at + params["per_page"]] if "page" in params else records})
+        name, number = params.get("since", "all"), params.get("page", 1)
+        there = range(number, (number if "page" in params else pages.get(name, 0)) + 1)
+        lines = [x for i in there if i <= pages.get(name, 0) for x in read_text(f"{folder}/{name}/{i}.ndjson").splitlines()]
+        link = {"Link": f'<{url}?page={pages.get(name, 0)}&per_page={size}>; rel="last"'} if counted else {}
+        return fetch.Response(200, {"data": [json.loads(x) for x in lines]}, link)
+
+    def serve(part: DataFrame, since: str = "all") -> None:
+        pages[since] = put(part, since)
+
+    serve(records)
+    return transport, serve
+
 
-    return transport
+def _suppliers(spark, sf) -> DataFrame:
+    at = F.format_string("%02d-%06d", F.col("s_nationkey"), F.col("s_suppkey"))
+    return _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("mark"), at.alias("at"), F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.struct(at.alias("at")).alias("meta"))).alias("record"))
 
 
 def max_cursor(spark, sf):
     """The cursor after a fetch that starts anew, and after one that finds nothing newer."""
     source = fetch.Source("s", "https://api.example", records_path="data", cursor_field="meta.at", cursor_param="since", page_size=30)
-    found, first = fetch.fetch(source, _api(spark, sf))
-    none, second = fetch.fetch(source, _api(spark, sf), first)
-    return spark.createDataFrame([(1, first, len(found)), (2, second, len(none))], "run long, cursor string, records long")
+    transport, _ = _served(spark, _suppliers(spark, sf), 30, counted=False)
+    base = _temporary(spark, "fetched")
+    cursors = fetch.CursorStore(f"{tempfile.mkdtemp(prefix='harborline-')}/cursors.json")  # of the driver, as in a run
+    done = [fetch.run_fetch(spark, source, transport, f"{base}/in", f"{base}/staging", cursors) for _ in range(2)]
+    return spark.createDataFrame([(i + 1, x["cursor"], x["records"]) for i, x in enumerate(done)], "run long, cursor string, records long")
 
 
 def cursor_filter(spark, sf):
-    """One document whose records are compared here with the cursor, as text."""
-    found, _ = fetch.fetch(fetch.Source("s", "https://api.example", records_path="data", cursor_field="meta.at"), _api(spark, sf), "12-")
-    return spark.createDataFrame([(r["id"], r["meta"]["at"]) for r in found], "id long, at string")
+    """One document whose records are compared with the cursor by its reader, as text."""
+    transport, _ = _served(spark, _suppliers(spark, sf), 1_000_000)
+    got = read_api(spark, fetch.Source("s", "https://api.example", records_path="data", cursor_field="meta.at"), transport, "12-")
+    return got.select(F.get_json_object("record", "$.id").cast("long").alias("id"), F.col("cursor").alias("at"))
+
+
+def fetch_pages(spark, sf):
+    """Customers as pages of an API, asked for in ranges side by side; later customers by a second run, which sends the cursor: rows of both
+    runs' files."""
+    c = _t(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("mark"), F.to_json(F.struct("c_custkey", "c_name", F.format_string("%012d", F.col("c_custkey")).alias("changed"))).alias("record"))
+    middle = c.agg(F.floor(F.avg("mark"))).first()[0]
+    transport, serve = _served(spark, c.where(F.col("mark") <= middle), 100)
+    source = fetch.parse_source({"name": "customers", "url": "https://api.example/customers", "record_path": "data", "cursor": {"field": "changed", "param": "since"}, "page_size": 100})
+    base, cursors = _temporary(spark, "fetched"), fetch.CursorStore(f"{tempfile.mkdtemp(prefix='harborline-')}/cursors.json")
+    for k in range(2):
+        if k:
+            serve(c.where(F.col("mark") > middle), cursors.get("customers"))
+        fetch.run_fetch(spark, source, transport, f"{base}/in{k}", f"{base}/staging", cursors, file_records=1000, pages_per_task=4)
+    row = F.from_json("value", "c_custkey long, c_name string, changed string")
+    rows = [spark.read.text(f"{base}/in{k}/*.ndjson").select(F.lit(k).cast("long").alias("run"), row.alias("r")) for k in range(2)]
+    return rows[0].unionByName(rows[1]).select("run", "r.*")
 
 
 # -- authoring, whole runs, quarantine and destinations
@@ -602,7 +645,7 @@ QUERIES = {
         validate_failures, drift_required_null, infer_schema_profile, cdc_latest, cdc_tie_errors, cdc_merge, append_rerun, truncate_last_wins, cdc_apply, append_after_merge, provenance_lineage, dedup_by_content_hash, registration_anti_join,
         schema_diff, audit_status, audit_recent_failures, audit_overview, requeue_eligible, requeue_terminal, hmac_token, aes_roundtrip,
         authoring_report, draft_from_sample, quarantine_redrop, quarantine_triage, parquet_inference, column_tolerance, one_source_two_columns, pipeline_run, audit_listing, status_summary, duckdb_cdc, sqlite_cdc,
-        fixed_width_slice, csv_scan, ndjson_scan, parquet_scan, excel_scan, preview_window, compact_batches, compact_again, microbatch_cut, materialize_events, max_cursor, cursor_filter,
+        fixed_width_slice, csv_scan, ndjson_scan, parquet_scan, excel_scan, preview_window, compact_batches, compact_again, microbatch_cut, materialize_events, max_cursor, cursor_filter, fetch_pages,
     )
 }
 
@@ -663,6 +706,8 @@ ORACLE_SQL = {
     "materialize_events": """WITH m AS (SELECT *, user_id % 4 AS p, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS o FROM events),
         c AS (SELECT *, o >= 700 AS later, CASE WHEN o < 700 THEN o // 500 ELSE (o - 700) // 500 END AS cut FROM m)
         SELECT event_id, user_id, event_type, value, 'q-events-' || p || '-' || min(o) OVER w || '-' || max(o) OVER w || '.ndjson' AS file FROM c WINDOW w AS (PARTITION BY p, later, cut)""",
+    "fetch_pages": """SELECT CASE WHEN c_custkey <= (SELECT floor(avg(c_custkey)) FROM customer) THEN 0 ELSE 1 END::BIGINT AS run, c_custkey::BIGINT AS c_custkey, c_name,
+        lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS changed FROM customer""",
     "provenance_lineage": "SELECT left(sha256(strftime(o_orderdate, '%Y-%m')), 12) AS file_hash, count(*) AS rows, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders GROUP BY 1",
     "dedup_by_content_hash": """WITH f AS (SELECT n_nationkey, sha256('region' || chr(10) || n_regionkey || chr(10)) AS content_hash FROM nation)
         SELECT content_hash, 'n' || lpad(CAST(min(n_nationkey) AS VARCHAR), 2, '0') || '.csv' AS first_name, count(*) AS copies FROM f GROUP BY 1""",

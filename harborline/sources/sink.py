@@ -18,11 +18,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..plans.manifest import SUFFIX
-from .stores import delete_folder, make_folder, move, read_text, store_of, write_text
+from .stores import delete_folder, make_folder, move, qualified, read_text, store_of, write_text
 
 NAME = "harborline_files"
 ACCOUNT = "files.json"
@@ -123,6 +123,7 @@ class FileSink(DataSource):
 class Job:
     """Files that are staged and not yet named."""
 
+    spark: SparkSession
     folder: str
     files: list[Staged]
 
@@ -131,11 +132,12 @@ class Job:
         paths = []
         for f in self.files:
             path, manifest = target(f)
-            make_folder(path.rpartition("/")[0])
+            at = qualified(self.spark, path)
+            make_folder(at.rpartition("/")[0])
             if manifest is not None:
                 write_text(f"{f.path}.manifest", manifest)
-                move(f"{f.path}.manifest", path + SUFFIX)
-            move(f.path, path)
+                move(f"{f.path}.manifest", at + SUFFIX)
+            move(f.path, at)
             paths.append(path)
         self.discard()
         return paths
@@ -148,7 +150,7 @@ def stage_files(rows: DataFrame, folder: str, compress: bool = False) -> Job:
     """Write rows (key, mark, line) as staged files below folder, in order of key and first mark. Nothing is left if it fails."""
     spark = rows.sparkSession
     spark.dataSource.register(FileSink)
-    at = f"{folder.rstrip('/')}/.job-{uuid.uuid4().hex}"
+    at = f"{qualified(spark, folder).rstrip('/')}/.job-{uuid.uuid4().hex}"
     dealt = rows.select("key", "mark", "line").repartition("key").sortWithinPartitions("key", "mark")
     try:
         dealt.write.format(NAME).option("folder", at).option("compress", str(compress).lower()).mode("append").save()
@@ -156,4 +158,4 @@ def stage_files(rows: DataFrame, folder: str, compress: bool = False) -> Job:
     except BaseException:
         delete_folder(at)
         raise
-    return Job(at, sorted(files, key=lambda f: (f.key, f.first)))
+    return Job(spark, at, sorted(files, key=lambda f: (f.key, f.first)))

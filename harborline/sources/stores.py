@@ -20,6 +20,15 @@ def store_of(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme is one of the cluster's default store, for Spark and for store_of() alike."""
+    if ":" in path.split("/", 1)[0]:
+        return path
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return path if store.getUri().getScheme() == "file" else p.makeQualified(store.getUri(), store.getWorkingDirectory()).toString()
+
+
 def exists(uri: str) -> bool:
     from pyarrow import fs
 
