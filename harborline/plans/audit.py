@@ -38,6 +38,15 @@ class Audit:
             if k not in have:
                 self.db.execute(f"ALTER TABLE {TABLE} ADD COLUMN {k} {t.replace(' NOT NULL', '').replace(' UNIQUE', '')}")
 
+        # what has been noted elsewhere of committed records holds while this value does: it changes when one is not committed any more
+        self.db.execute("CREATE TABLE IF NOT EXISTS harborline_epoch (value TEXT)")
+        self.db.execute("INSERT INTO harborline_epoch SELECT hex(randomblob(16)) WHERE NOT EXISTS (SELECT 1 FROM harborline_epoch)")
+        for name, event in (("reopened", f"UPDATE OF state ON {TABLE} WHEN OLD.state = 'COMMITTED' AND NEW.state <> 'COMMITTED'"), ("removed", f"DELETE ON {TABLE} WHEN OLD.state = 'COMMITTED'")):
+            self.db.execute(f"CREATE TRIGGER IF NOT EXISTS harborline_{name} AFTER {event} BEGIN UPDATE harborline_epoch SET value = hex(randomblob(16)); END")
+
+    def epoch(self) -> str:
+        return self.db.execute("SELECT value FROM harborline_epoch").fetchone()[0]
+
     def _now(self) -> str:
         return self.clock().isoformat()
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VERSIONS = ("1",)
 SUFFIX = ".manifest.json"
@@ -82,3 +85,39 @@ def emit(namespace: str, name: str, run_id: str, producer: str, source_type: str
     """The text of a manifest for a file that has just been made."""
     own = {"manifest_version": "1", "source_type": source_type, "record_count": record_count, "source_range": source_range, "started_at": started_at, "finished_at": finished_at}
     return json.dumps({"eventType": "COMPLETE", "eventTime": finished_at, "producer": producer, "job": {"namespace": namespace, "name": name}, "run": {"runId": run_id, "facets": {"harborline": own}}}, sort_keys=True)
+
+
+_DDL = "namespace string, name string, run_id string, version string, producer string, source_type string, source_range string, started_at string, finished_at string, record_count long, payload string"
+
+
+def read(spark: SparkSession, directory: str) -> DataFrame:
+    """path (of the file it belongs to), category (null if it is taken) and detail of why it is not, and manifest (its fields), of all
+    sidecars of a directory, in one job."""
+
+    def work(parts):
+        import pyarrow as pa
+
+        kind = pa.struct([(f.name, pa.int64() if f.name == "record_count" else pa.string()) for f in Manifest.__dataclass_fields__.values()])
+        for batch in parts:
+            out = []
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    fields = asdict(parse(data.decode()))
+                    out.append((path, None, None, {k: v if v is None or k == "record_count" else str(v) for k, v in fields.items()}))
+                except ManifestError as e:
+                    out.append((path, e.category, str(e), None))
+                except UnicodeDecodeError as e:
+                    out.append((path, NOT_JSON, f"{NOT_JSON}: {e}", None))
+            path, category, detail, fields = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(category, pa.string()), pa.array(detail, pa.string()), pa.array(fields, kind)], names=["path", "category", "detail", "manifest"])
+
+    sides = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").option("recursiveFileLookup", "true").load(directory)
+    of = F.expr(f"left(path, length(path) - {len(SUFFIX)})")
+    return sides.select(of.alias("path"), "content").mapInArrow(work, f"path string, category string, detail string, manifest struct<{_DDL.replace(' ', ': ').replace(',: ', ', ')}>")
+
+
+def attached(files: DataFrame, directory: str) -> DataFrame:
+    """files with category, detail and manifest of their sidecars; a file without one has the category 'missing'."""
+    found = files.join(read(files.sparkSession, directory).withColumn("there", F.lit(True)), "path", "left")
+    missing = F.col("there").isNull()
+    return found.withColumns({"category": F.when(missing, MISSING).otherwise(F.col("category")), "detail": F.when(missing, F.concat(F.lit(f"{MISSING}: "), F.col("path"), F.lit(SUFFIX))).otherwise(F.col("detail"))}).drop("there")

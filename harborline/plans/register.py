@@ -5,9 +5,9 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.files import content_hashes, list_files, read_bytes
+from ..sources.files import Index, hashed, listing
 from . import manifest as manifests
 from .audit import Audit
 from .config import Pipeline
@@ -31,50 +31,45 @@ class Registration:
     refused: dict[str, str] = field(default_factory=dict)  # path to why its manifest was refused
 
 
-def _manifest(spark: SparkSession, path: str, policy: str, there: set[str]) -> manifests.Manifest | None:
-    side = path + manifests.SUFFIX
-    if policy == "disabled":
-        return None
-    try:
-        if side not in there:
-            raise manifests.ManifestError(manifests.MISSING, side)
-        return manifests.parse(b"".join(read_bytes(spark, side)).decode())
-    except (manifests.ManifestError, UnicodeDecodeError) as e:
-        if policy == "required":
-            raise
-        if side in there:
-            log.warning("manifest of %s ignored: %s", path, e)
-        return None
+def found(spark: SparkSession, directory: str, config: Pipeline, index: Index | None = None, epoch: str = "") -> DataFrame:
+    """path, name, size, content_hash of the files that may have to be loaded, with category, detail and manifest of their sidecars
+    if the policy asks for them. With an index, files that have not changed are not read, and loaded content is not among them."""
+    files = listing(spark, directory, config.file_pattern)
+    files = index.unloaded(index.hashes(files), epoch) if index else hashed(files)
+    files = files.select("path", "name", "size", "content_hash")
+    return files if config.source_manifest == "disabled" else manifests.attached(files, directory)
 
 
-def register(spark: SparkSession, audit: Audit, directory: str, config: Pipeline) -> Registration:
-    """Files with the same content are one candidate each but one record. Known content is not read again. The manifest
-    policy is checked on every run, not only on the first."""
+def register(spark: SparkSession, audit: Audit, directory: str, config: Pipeline, index: Index | None = None) -> Registration:
+    """Files with the same content are one candidate each but one record. The manifest policy is checked on every run, not only on the
+    first. Listing, hashes, what is loaded and manifests meet in one plan; what comes to the driver is a row for each file that may have
+    to be claimed, which is then one transaction of the audit store."""
     out = Registration()
-    files = list_files(spark, directory, config.file_pattern)
-    p = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    store = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    there = {s.getPath().toString() for s in store.listStatus(p)}
-    hashes = content_hashes(spark, files)
-    known = audit.known(hashes.values())
-    for path, size in files:
-        h = hashes[path]
-        state = known.get(h)
+    epoch = audit.epoch()
+    rows = found(spark, directory, config, index, epoch).orderBy("path").collect()
+    known = audit.known(r["content_hash"] for r in rows)
+    if index:
+        index.loaded(sorted(h for h, state in known.items() if state == "COMMITTED"), epoch)
+    for r in rows:
+        h, state = r["content_hash"], known.get(r["content_hash"])
         if state not in (None, "PENDING"):
             if state == "FAILED" and (audit.get(h)["attempt_count"] or 0) >= config.retry_cap:
                 out.skipped += 1
             continue
-        try:
-            m = _manifest(spark, path, config.source_manifest, there)
-        except (manifests.ManifestError, UnicodeDecodeError) as e:
-            out.refused[path] = str(e)
-            if state is None and audit.insert_pending(path.rsplit("/", 1)[-1], h, directory):
-                out.new += 1
-            known[h] = "PENDING"
-            audit.failed(h, f"source manifest {e}")
-            continue
-        if state is None and audit.insert_pending(path.rsplit("/", 1)[-1], h, directory, **(m.fields() if m else {})):
+        m, refusal = None, None
+        if config.source_manifest != "disabled":
+            if r["category"] is None:
+                m = manifests.Manifest(**r["manifest"].asDict())
+            elif config.source_manifest == "required":
+                refusal = r["detail"]
+            elif r["category"] != manifests.MISSING:
+                log.warning("manifest of %s ignored: %s", r["path"], r["detail"])
+        if state is None and audit.insert_pending(r["name"], h, directory, **(m.fields() if m else {})):
             out.new += 1
         known[h] = "PENDING"
-        out.candidates.append(Candidate(path, path.rsplit("/", 1)[-1], size, h))
+        if refusal is not None:
+            out.refused[r["path"]] = refusal
+            audit.failed(h, f"source manifest {refusal}")
+            continue
+        out.candidates.append(Candidate(r["path"], r["name"], r["size"], h))
     return out

@@ -20,6 +20,7 @@ from ..operators.schema import declared
 from ..operators.destinations import destination
 from ..operators.store import Table, with_provenance
 from ..operators.transform import FAULT, Checked, check
+from ..sources.files import Index
 from ..sources.readers import ERROR, ROW, Scan, scan
 from .audit import Audit
 from .config import Pipeline
@@ -132,7 +133,8 @@ def run(spark: SparkSession, directory: str, config: Pipeline, audit: Audit, war
     out.reclaimed = audit.reclaim_stale(config.stale_timeout_minutes)
     table = destination(spark, config.connector, config.dest_table, warehouse)
     table.ensure(declared(config.columns))
-    found = register(spark, audit, directory, config)
+    # beside the tables that a warehouse has; other destinations have no folder for it
+    found = register(spark, audit, directory, config, Index(spark, f"{warehouse.rstrip('/')}/.harborline") if warehouse else None)
     out.new, out.skipped, out.failed = found.new, found.skipped, len(found.refused)
     for c in found.candidates:
         if not audit.claim(c.content_hash, worker, run_id):

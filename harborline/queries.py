@@ -28,10 +28,11 @@ from .operators.transform import check
 from .plans import authoring, export
 from .plans.audit import Audit
 from .plans.config import Column, Pipeline, Quarantine, parse
-from .plans.register import register
+from .plans.register import found, register
 from .plans.run import run
 from .sources import fetch, readers
 from .sources.api import read_api
+from .sources.files import Index
 from .sources.readers import ERROR, ROW, Scan
 from .sources.sink import stage_files
 from .sources.stores import read_text
@@ -290,6 +291,20 @@ def registration_anti_join(spark, sf):
     return spark.createDataFrame([(c.name, c.size, c.content_hash) for c in found.candidates], "name string, size long, content_hash string")
 
 
+def register_files(spark, sf):
+    """Orders of each clerk's customers as files of a watched folder, some with a sidecar of each kind: listed, hashed and joined with what is
+    loaded and with their sidecars, twice, the second time from the index."""
+    folder = _temporary(spark, "watched")
+    o = _t(spark, sf, "orders").select((F.col("o_custkey") % 200).alias("k"), F.col("o_orderkey").alias("mark"), F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("line"))
+    job = stage_files(o.select(F.format_string("%03d", "k").alias("key"), "mark", "line"), folder)
+    run = {"job": {"namespace": "n", "name": "orders"}}
+    sides = [json.dumps(run), "{", "[]", '{"job": {}}', json.dumps(run | {"manifest_version": "9"}), json.dumps(run | {"source_range": 5})]
+    job.publish(lambda f: (f"{folder}/o{f.key}.csv", sides[int(f.key) % 7] if int(f.key) % 7 < 6 else None))
+    index, config = Index(spark, _temporary(spark, "index")), parse({"format": "csv", "dest_table": "t", "columns": [{"source": "a", "dest": "a", "type": "string"}]})
+    index.loaded([r["content_hash"] for r in found(spark, folder, config, index).where("name < 'o050'").collect()], "e")  # 50 files
+    return found(spark, folder, config, index, "e").select("name", "size", "content_hash", "category", F.col("manifest.name").alias("source"))
+
+
 def schema_diff(spark, sf):
     """The declared columns of orders against what its table has."""
     declared = {"o_orderkey": "bigint", "o_orderstatus": "VARCHAR", "o_totalprice": "date", "o_discount": "double"}
@@ -642,7 +657,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         transform_cast, coerce_boolean, coerce_edge_cases, coerce_json_number, strict_partition_good, strict_partition_bad, quarantine_by_column, quarantine_by_error, quarantine_threshold, quarantine_raw_row,
-        validate_failures, drift_required_null, infer_schema_profile, cdc_latest, cdc_tie_errors, cdc_merge, append_rerun, truncate_last_wins, cdc_apply, append_after_merge, provenance_lineage, dedup_by_content_hash, registration_anti_join,
+        validate_failures, drift_required_null, infer_schema_profile, cdc_latest, cdc_tie_errors, cdc_merge, append_rerun, truncate_last_wins, cdc_apply, append_after_merge, provenance_lineage, dedup_by_content_hash, registration_anti_join, register_files,
         schema_diff, audit_status, audit_recent_failures, audit_overview, requeue_eligible, requeue_terminal, hmac_token, aes_roundtrip,
         authoring_report, draft_from_sample, quarantine_redrop, quarantine_triage, parquet_inference, column_tolerance, one_source_two_columns, pipeline_run, audit_listing, status_summary, duckdb_cdc, sqlite_cdc,
         fixed_width_slice, csv_scan, ndjson_scan, parquet_scan, excel_scan, preview_window, compact_batches, compact_again, microbatch_cut, materialize_events, max_cursor, cursor_filter, fetch_pages,
@@ -708,6 +723,10 @@ ORACLE_SQL = {
         SELECT event_id, user_id, event_type, value, 'q-events-' || p || '-' || min(o) OVER w || '-' || max(o) OVER w || '.ndjson' AS file FROM c WINDOW w AS (PARTITION BY p, later, cut)""",
     "fetch_pages": """SELECT CASE WHEN c_custkey <= (SELECT floor(avg(c_custkey)) FROM customer) THEN 0 ELSE 1 END::BIGINT AS run, c_custkey::BIGINT AS c_custkey, c_name,
         lpad(CAST(c_custkey AS VARCHAR), 12, '0') AS changed FROM customer""",
+    "register_files": """WITH f AS (SELECT o_custkey % 200 AS k, string_agg(o_orderkey || ',' || o_orderpriority || chr(10), '' ORDER BY o_orderkey) AS body FROM orders GROUP BY 1)
+        SELECT 'o' || lpad(CAST(k AS VARCHAR), 3, '0') || '.csv' AS name, CAST(strlen(body) AS BIGINT) AS size, sha256(body) AS content_hash,
+          [NULL, 'malformed_json', 'invalid_shape', 'missing_required_field', 'unsupported_version', 'invalid_source_range', 'missing'][k % 7 + 1] AS category, CASE WHEN k % 7 = 0 THEN 'orders' END AS source
+        FROM f WHERE k >= 50""",
     "provenance_lineage": "SELECT left(sha256(strftime(o_orderdate, '%Y-%m')), 12) AS file_hash, count(*) AS rows, CAST(sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM orders GROUP BY 1",
     "dedup_by_content_hash": """WITH f AS (SELECT n_nationkey, sha256('region' || chr(10) || n_regionkey || chr(10)) AS content_hash FROM nation)
         SELECT content_hash, 'n' || lpad(CAST(min(n_nationkey) AS VARCHAR), 2, '0') || '.csv' AS first_name, count(*) AS copies FROM f GROUP BY 1""",

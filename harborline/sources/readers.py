@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,13 @@ from pyspark.sql import types as T
 
 from ..functions.coerce import Raw, kind_of
 from ..functions.json import is_object
-from . import excel
+from . import csv_split, excel
 from .files import read_bytes
 
 ROW, ERROR = "_row", "_parse_error"
 #: Encodings that Spark's own readers take; others go through the JVM's charsets.
 SPARK_ENCODINGS = {"utf-8", "utf8", "us-ascii", "ascii", "iso-8859-1", "latin-1", "utf-16", "utf-16le", "utf-16be", "utf-32"}
+UTF_8 = {"utf-8", "utf8", "us-ascii", "ascii"}
 #: Python's names of charsets that Java names otherwise.
 JAVA_CHARSETS = {"cp500": "IBM500", "cp037": "IBM037", "cp1140": "IBM01140", "cp1252": "windows-1252", "cp1251": "windows-1251", "cp850": "IBM850", "latin-1": "ISO-8859-1", "shift_jis": "Shift_JIS", "gbk": "GBK", "euc_jp": "EUC-JP"}
 
@@ -113,9 +115,18 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> Scan:
     """Header row, commas, double quotes doubled inside quotes, line feeds inside quotes, no trimming, all text. Short rows end in nulls, long ones are cut.
 
     An empty cell without quotes reads as null, not as empty text; both count as missing values everywhere."""
-    options = {"header": True, "multiLine": True, "escape": '"', "quote": '"', "mode": "PERMISSIVE", "inferSchema": False, "enforceSchema": False, "nullValue": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    options = {"escape": '"', "quote": '"', "mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    error = F.lit(None).cast("string").alias(ERROR)
     if encoding.lower().replace("_", "-") in SPARK_ENCODINGS:
-        df = spark.read.options(**options).option("encoding", encoding).csv(path)
+        df = spark.read.options(header=True, multiLine=True, inferSchema=False, enforceSchema=False, **options).option("encoding", encoding).csv(path)
+        files = [unquote(f) for f in df.inputFiles()] if encoding.lower() in UTF_8 and df.columns else []
+        if len(files) == 1 and not _other_line_ends(spark, files[0]):
+            # the columns' names come from there; the cells are read by many tasks
+            rows = csv_split.records(spark, files[0]).where("record > 1")
+            ddl = ", ".join(f"c{i} string" for i in range(len(df.columns)))
+            cells = rows.select((F.col("record") - 1).alias(ROW), F.from_csv("value", ddl, {k: str(v) for k, v in options.items()}).alias("v"))
+            cells = cells.select(ROW, *(F.col(f"v.c{i}").alias(c) for i, c in enumerate(df.columns)), error)
+            return Scan(cells, {c: Raw(F.col(f"`{c}`"), "text") for c in df.columns}, list(df.columns))
     else:
         df = _csv_decoded(spark, path, encoding)
     names = list(df.columns)
@@ -123,6 +134,12 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> Scan:
     return Scan(df.withColumn(ERROR, F.lit(None).cast("string")), {c: Raw(F.col(f"`{c}`"), "text") for c in names}, names)
 
 
+def _other_line_ends(spark: SparkSession, path: str) -> bool:
+    """Whether lines end in a carriage return alone, by the first that is there."""
+    head = "" if path.endswith(".gz") else next(read_bytes(spark, path), b"").decode("latin-1")
+    return "\r" in head and "\n" not in head
+
+
 def read_ndjson(spark: SparkSession, path: str, encoding: str = "utf-8", wanted: list[str] | None = None) -> Scan:
     """One JSON value a line; types are kept. A line that is not an object fails the file."""
     df = _lines(spark, path, encoding).withColumn("_v", F.try_parse_json(F.trim("value")))
