@@ -8,7 +8,6 @@ the text that a CSV file would have.
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import os
 import tempfile
@@ -35,7 +34,7 @@ from .sources.api import read_api
 from .sources.files import Index
 from .sources.readers import ERROR, ROW, Scan
 from .sources.sink import stage_files
-from .sources.stores import read_text
+from .sources.stores import read_text, store_of
 from .streaming import materialize
 from .streaming.log import append_log
 from .streaming.materialize import cut
@@ -411,20 +410,40 @@ def parquet_scan(spark, sf):
 
 
 def excel_scan(spark, sf):
-    """A workbook of the nations, on its second sheet."""
-    rows = [["key", "name", "region"], *([r["n_nationkey"], r["n_name"], r["n_regionkey"]] for r in _t(spark, sf, "nation").orderBy("n_nationkey").collect())]
-    cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, int) else f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
-    sheet = lambda rows: f'<worksheet xmlns="{_SHEETS}"><sheetData>{"".join(f"<row>{"".join(map(cell, r))}</row>" for r in rows)}</sheetData></worksheet>'
-    parts = {
-        "xl/workbook.xml": f'<workbook xmlns="{_SHEETS}" xmlns:r="{_OFFICE}"><sheets><sheet name="Notes" sheetId="1" r:id="rId1"/><sheet name="Nations" sheetId="2" r:id="rId2"/></sheets></workbook>',
+    """A workbook of the customers, on its second sheet, with shared and inline strings; a task writes it and a task reads it."""
+    path = _temporary(spark, "customers") + ".xlsx"
+    books = {
+        "xl/workbook.xml": f'<workbook xmlns="{_SHEETS}" xmlns:r="{_OFFICE}"><sheets><sheet name="Notes" sheetId="1" r:id="rId1"/><sheet name="Customers" sheetId="2" r:id="rId2"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{_PACKAGE}"><Relationship Id="rId1" Type="{_OFFICE}/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{_OFFICE}/worksheet" Target="worksheets/sheet2.xml"/></Relationships>',
-        "xl/worksheets/sheet1.xml": sheet([["note"], ["nothing"]]), "xl/worksheets/sheet2.xml": sheet(rows),
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{_SHEETS}"><sheetData><row><c t="inlineStr"><is><t>note</t></is></c></row></sheetData></worksheet>',
     }
-    with zipfile.ZipFile(data := io.BytesIO(), "w") as z:
-        for name, text in parts.items():
-            z.writestr(name, text)
-    got = readers.scan(spark, _put(spark, _temporary(spark, "nations") + ".xlsx", data.getvalue()), "excel", sheet="Nations")
-    return check(got, (Column("key", "key", "integer"), Column("name", "name", "string"), Column("region", "region", "integer")), keep_raw=False).good()
+
+    def write(parts):
+        import pyarrow as pa
+
+        store, at = store_of(path)
+        n, shared = 0, []
+        with store.open_output_stream(at, compression=None) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in books.items():
+                z.writestr(name, text)
+            with z.open("xl/worksheets/sheet2.xml", "w", force_zip64=True) as sheet:
+                line = lambda cells: sheet.write(f"<row>{''.join(cells)}</row>".encode())
+                text = lambda v: f'<c t="inlineStr"><is><t>{escape(v)}</t></is></c>'
+                sheet.write(f'<worksheet xmlns="{_SHEETS}"><sheetData>'.encode())
+                line(map(text, ("key", "name", "segment", "balance")))
+                for batch in parts:
+                    for r in batch.to_pylist():
+                        if r["c_mktsegment"] not in shared:  # there are five
+                            shared.append(r["c_mktsegment"])
+                        line((f"<c><v>{r['c_custkey']}</v></c>", text(r["c_name"]), f'<c t="s"><v>{shared.index(r["c_mktsegment"])}</v></c>', f"<c><v>{r['c_acctbal']!r}</v></c>"))
+                        n += 1
+                sheet.write(b"</sheetData></worksheet>")
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{_SHEETS}">{"".join(f"<si><t>{escape(x)}</t></si>" for x in shared)}</sst>')
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    _t(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", F.col("c_acctbal").cast("double")).coalesce(1).mapInArrow(write, "n long").collect()
+    got = readers.scan(spark, path, "excel", sheet="Customers")
+    return check(got, (Column("key", "key", "integer"), Column("name", "name", "string"), Column("segment", "segment", "string"), Column("balance", "balance", "float")), keep_raw=False).good()
 
 
 def preview_window(spark, sf):
@@ -744,7 +763,7 @@ ORACLE_SQL = {
     "csv_scan": """SELECT c_custkey AS key, 'Mr "' || c_name || '", of' || chr(10) || c_mktsegment AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS balance FROM customer""",
     "ndjson_scan": "SELECT event_id, CAST(trunc(value) AS BIGINT) AS n, CAST(user_id AS BIGINT) AS q, CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END AS even FROM events",
     "parquet_scan": "SELECT o_orderkey AS key, CAST(trunc(o_totalprice) AS BIGINT) AS whole, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
-    "excel_scan": "SELECT CAST(n_nationkey AS BIGINT) AS key, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation",
+    "excel_scan": "SELECT c_custkey::BIGINT AS key, c_name AS name, c_mktsegment AS segment, c_acctbal AS balance FROM customer",
     "compact_batches": "SELECT batch, count(*) AS files, min(n_name) AS first_name, max(n_name) AS last_name, CAST(0 AS BIGINT) AS left_over FROM (SELECT n_name, CAST((row_number() OVER (ORDER BY n_name || '.ndjson') - 1) // 7 + 1 AS BIGINT) AS batch FROM nation) GROUP BY batch",
     "microbatch_cut": 'SELECT "partition", cut, min(o) AS start_offset, max(o) AS end_offset, count(*) AS messages FROM (SELECT CAST(user_id % 4 AS INTEGER) AS "partition", event_id AS o, CAST((row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1) // 100 AS BIGINT) AS cut FROM events) GROUP BY ALL',
     "max_cursor": """WITH s AS (SELECT max(lpad(CAST(s_nationkey AS VARCHAR), 2, '0') || '-' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0')) AS cursor, count(*) AS n FROM supplier)

@@ -19,6 +19,7 @@ from ..functions.coerce import Raw, kind_of
 from ..functions.json import is_object
 from . import csv_split, excel
 from .files import read_bytes
+from .stores import qualified
 
 ROW, ERROR = "_row", "_parse_error"
 #: Encodings that Spark's own readers take; others go through the JVM's charsets.
@@ -178,9 +179,7 @@ def read_fixed_width(spark: SparkSession, path: str, layout: list[tuple[str, int
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | int = 0) -> Scan:
-    names, rows = excel.read_sheet(b"".join(read_bytes(spark, path, 1 << 20)), sheet)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(ROW, T.LongType())])
-    df = spark.createDataFrame([(*(r[n] for n in names), k + 1) for k, r in enumerate(rows)], schema)
+    names, df = excel.scan_sheet(spark, qualified(spark, path), sheet)
     return Scan(df.withColumn(ERROR, F.lit(None).cast("string")), {n: Raw(F.col(f"c{i}"), "text") for i, n in enumerate(names)}, names)
 
 
