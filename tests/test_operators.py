@@ -70,3 +70,14 @@ def test_compaction(spark, tmp_path):
     with pytest.raises(Exception):
         compact(spark, str(src), str(tmp_path / "out2"), 2)
     assert not list((tmp_path / "out2").iterdir())
+
+
+def test_keys_of_objects_merge(spark, tmp_path):
+    from harborline.operators import infer
+    from harborline.sources import readers
+
+    assert infer.object_keys("OBJECT<>") == [] and infer.object_keys("OBJECT<a: VARIANT, `b c`: OBJECT<x: BIGINT, y: ARRAY<OBJECT<z: VOID>>>, `d``e`: ARRAY<VARIANT>, `ü:, <`: VOID>") == ["a", "b c", "d`e", "ü:, <"]
+    rows = [{"o": {f"k{i % 7}": i, "in": {"deep": [i]}}} if i % 3 else {"o": {"x y": "t", "`": None}} for i in range(300)]
+    (tmp_path / "a.ndjson").write_text("\n".join(json.dumps(r) for r in rows))
+    (got,) = infer.infer(readers.read_ndjson(spark, str(tmp_path / "a.ndjson")), None)
+    assert got.notes == ["holds objects with `, in, k0, k1, k2, k3, k4, k5, k6, x y; loads as JSON text"] and got.type == "string"
