@@ -96,6 +96,10 @@ class Audit:
 
     # -- lookups
 
+    def terminal(self, cap: int) -> list[dict]:
+        """Records that have failed for good."""
+        return [dict(r) for r in self.db.execute(f"SELECT * FROM {TABLE} WHERE state = 'FAILED' AND attempt_count >= ? ORDER BY id", (cap,))]
+
     def known(self, hashes: Iterable[str]) -> dict[str, str]:
         """The states of those hashes that have a record; a listing is looked up by index, however long the store is."""
         asked, out = sorted(set(hashes)), {}

@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 from ..operators import infer, quarantine, validate
 from ..operators.compact import compact
 from ..operators.destinations import destination
+from ..operators.schema import HASH
 from ..operators.store import Table
 from ..sources import fetch, readers
 from ..sources.files import format_of
@@ -58,7 +59,8 @@ def parser() -> argparse.ArgumentParser:
         for flags, options in arguments:
             s.add_argument(*flags, **options)
 
-    store = (("--audit-db",), {"required": True})
+    store = (("--audit-db",), {})
+    listed = [(("--registry",), {}), (("--pipeline",), {})]  # names the store instead
     sample = [(("--file",), {"required": True}), (("--format",), {}), (("--encoding",), {"default": "utf-8"}), (("--sheet",), {}), (("--config",), {})]
     command("run", (("--dir",), {}), (("--config",), {}), (("--audit-db",), {}), (("--warehouse",), {}), (("--registry",), {}), (("--pipeline",), {}), (("--log-format",), {"choices": log.FORMATS}), (("--trace",), {}))
     command("inspect", *sample, (("--rows",), {"type": int, "default": infer.SAMPLE}))
@@ -67,22 +69,72 @@ def parser() -> argparse.ArgumentParser:
     command("report", *[(f, o | ({"required": True} if f == ("--config",) else {})) for f, o in sample if f in (("--file",), ("--config",))], (("--rows",), {"type": int}), (("--shown",), {"type": int, "default": 100}))
     command("draft", *[a for a in sample if a[0] != ("--config",)], (("--table",), {"required": True}), (("--rows",), {"type": int, "default": infer.SAMPLE}), (("--workspace",), {}), (("--acknowledge",), {"action": "append", "default": []}))
     command("browse", (("--workspace",), {"required": True}))
-    command("status", (("--audit-db",), {"action": "append", "required": True}))
-    command("lineage", store, (("reference",), {}))
-    command("requeue", store, (("reference",), {"nargs": "?"}), (("--all",), {"action": "store_true"}), (("--retry-cap",), {"type": int, "default": 3}))
-    command("export-audit", store, (("--out",), {"required": True}))
-    command("serve", store, (("--port",), {"type": int, "default": 8080}))
+    command("status", (("--audit-db",), {"action": "append"}), *listed)
+    command("lineage", store, *listed, (("reference",), {}), (("--dest-table",), {}))
+    flag = {"action": "store_true"}
+    command("requeue", store, *listed, (("reference",), {"nargs": "?"}), (("--all",), flag), (("--dry-run",), flag), (("--yes",), flag), (("--retry-cap",), {"type": int}))
+    command("export-audit", store, *listed, (("--out",), {"required": True}))
+    command("serve", store, *listed, (("--port",), {"type": int, "default": 8080}))
     command("compact", (("--dir",), {"required": True}), (("--out",), {"required": True}), (("--max-files",), {"type": int, "default": 1000}), (("--gzip",), {"action": "store_true"}), (("--delete-source",), {"action": "store_true"}))
     command("redrop-quarantine", (("--sidecar",), {"required": True}), (("--out",), {"required": True}))
-    command("healthcheck", store, (("--table",), {}), (("--config",), {}), (("--warehouse",), {}))
+    command("healthcheck", store, *listed, (("--table",), {}), (("--config",), {}), (("--warehouse",), {}))
     source = [(("--config",), {"required": True}), (("--source",), {"required": True}), (("--dry-run",), {"action": "store_true"})]
     command("fetch", *source, (("--inbox",), {}), (("--staging",), {}), (("--cursors",), {}), (("--gzip",), {"action": "store_true"}))
     command("materialize", *source, (("--continuous",), {"action": "store_true"}))
     return p
 
 
+#: Commands on an audit store, which a registry's pipeline names as well as an option does.
+_ON_STORE = ("status", "lineage", "requeue", "export-audit", "serve", "healthcheck")
+
+
+def _named(args) -> dict:
+    """Settings of the registry's pipeline, taken over into args: its audit store, and what of config and warehouse is not given."""
+    if bool(args.registry) != bool(args.pipeline) and not (args.command == "status" and args.registry):
+        raise registry.RegistryError("--registry and --pipeline go together")
+    if not args.registry:
+        if not args.audit_db:
+            raise registry.RegistryError(f"{args.command} needs --audit-db, or --registry and --pipeline")
+        return {}
+    if args.audit_db:
+        raise registry.RegistryError("either --audit-db or --registry, not both")
+    entries = registry.load(args.registry)
+    if args.pipeline is None:  # status of all
+        args.audit_db = {e.id: e.audit_db for e in entries.values()}
+        return {}
+    e = registry.resolve(entries, args.pipeline)
+    args.audit_db = {e.id: e.audit_db} if args.command == "status" else e.audit_db
+    if args.command == "healthcheck":
+        args.config, args.warehouse = args.config or e.config, args.warehouse or e.warehouse
+    return {"dest_table": configs.load(e.config).dest_table, "retry_cap": configs.load(e.config).retry_cap} if args.command in ("lineage", "requeue") else {}
+
+
+def _requeue(args, cap: int, say) -> int:
+    audit = Audit(args.audit_db)
+    if args.all == (args.reference is not None) or (args.dry_run and args.yes) or ((args.dry_run or args.yes) and not args.all):
+        print("requeue takes a reference, or --all with --dry-run to list or --yes to do it", file=sys.stderr)
+        return 1
+    if not args.all:
+        what, hashes = audit.requeue(args.reference, cap)
+        say({what: hashes})
+        return {"requeued": 0, "ambiguous": 2}.get(what, 1)
+    terminal = audit.terminal(cap)
+    if args.yes:
+        say({"requeued": audit.requeue_all(cap)})
+    else:
+        say({"would_requeue": len(terminal)} | ({"files": [{k: r[k] for k in ("filename", "content_hash", "error_message")} for r in terminal]} if args.dry_run else {}))
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    own: dict = {}
+    if args.command in _ON_STORE:
+        try:
+            own = _named(args)
+        except (registry.RegistryError, configs.ConfigError, OSError) as e:
+            print(e, file=sys.stderr)
+            return 1
     spark = session()
     say = lambda x: print(json.dumps(x, indent=2, default=str))
     if args.command == "run":
@@ -147,19 +199,15 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "browse":
         say({"pipelines": [asdict(r) for r in registry.browse(Path(args.workspace, registry.FILE))], "unlisted": registry.discover(args.workspace)})
     elif args.command == "status":
-        say(export.status_all(spark, {p: p for p in args.audit_db}))
+        say(export.status_all(spark, args.audit_db if isinstance(args.audit_db, dict) else {p: p for p in args.audit_db}))
     elif args.command == "lineage":
         what, rows = Audit(args.audit_db).lineage(args.reference)
+        if into := args.dest_table or own.get("dest_table"):
+            rows = [r | {"destination": {"table": into, "query": f"SELECT * FROM {into} WHERE {HASH} = '{r['content_hash']}'"}} for r in rows]
         say(rows)
         return {"found": 0, "missing": 1, "ambiguous": 2}[what]
     elif args.command == "requeue":
-        audit = Audit(args.audit_db)
-        if args.all:
-            say({"requeued": audit.requeue_all(args.retry_cap)})
-            return 0
-        what, hashes = audit.requeue(args.reference, args.retry_cap)
-        say({what: hashes})
-        return {"requeued": 0, "ambiguous": 2}.get(what, 1)
+        return _requeue(args, args.retry_cap if args.retry_cap is not None else own.get("retry_cap", 3), say)
     elif args.command == "export-audit":
         Path(args.out).write_text(export.page(spark, Audit(args.audit_db)))
     elif args.command == "serve":

@@ -118,3 +118,31 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["lineage", "--audit-db", db, "a.csv"]) == 0 and cli.main(["lineage", "--audit-db", db, "none"]) == 1
     assert cli.main(["status", "--audit-db", db]) == 0 and cli.main(["requeue", "--audit-db", db, "--all", "--retry-cap", "1"]) == 0
     assert cli.main(["export-audit", "--audit-db", db, "--out", str(tmp_path / "x.html")]) == 0 and cli.main(["healthcheck", "--audit-db", db]) == 0
+
+
+def test_commands_by_registry(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("id\n1\n")
+    (tmp_path / "in" / "b.csv").write_text("id\nx\n")
+    (tmp_path / "p.yaml").write_text("format: csv\ndest_table: orders\nretry_cap: 1\ncolumns:\n- {source: id, dest: id, type: integer}\n")
+    db, file = str(tmp_path / "a.db"), tmp_path / "r.yaml"
+    monkeypatch.setenv("DB", db)
+    file.write_text(f"pipelines:\n- {{id: p, dir: in, config: p.yaml, audit_db: '${{DB}}', warehouse: {tmp_path}/wh}}\n")
+    call = lambda *a: cli.main([*a, "--registry", str(file), "--pipeline", "p"])
+    out = lambda: json.loads(capsys.readouterr().out)
+    assert call("run") == 1 and out()["committed"] == 1
+    assert call("status") == 0 and out()["p"]["by_state"]["FAILED"] == 1
+    assert cli.main(["status", "--registry", str(file)]) == 0 and list(out()) == ["p"]
+    assert call("lineage", "a.csv") == 0
+    got = out()[0]
+    assert got["destination"] == {"table": "orders", "query": f"SELECT * FROM orders WHERE _source_file_hash = '{got['content_hash']}'"}
+    assert cli.main(["lineage", "a.csv", "--audit-db", db, "--dest-table", "x"]) == 0 and out()[0]["destination"]["table"] == "x"
+    assert call("requeue", "--all") == 0 and out() == {"would_requeue": 1}
+    assert call("requeue", "--all", "--dry-run") == 0 and out()["files"][0]["filename"] == "b.csv"
+    for odd in (["--all", "--dry-run", "--yes"], ["b.csv", "--yes"], ["b.csv", "--all"], []):
+        assert call("requeue", *odd) == 1
+    assert call("requeue", "--all", "--yes") == 0 and out() == {"requeued": 1}
+    assert call("export-audit", "--out", str(tmp_path / "x.html")) == 0 and call("healthcheck") == 0
+    capsys.readouterr()
+    for bad in (["status"], ["lineage", "a.csv", "--registry", str(file)], ["status", "--audit-db", db, "--registry", str(file), "--pipeline", "p"], ["serve", "--registry", str(file), "--pipeline", "none"], ["export-audit", "--out", "x", "--registry", "/none", "--pipeline", "p"]):
+        assert cli.main(bad) == 1 and capsys.readouterr().err
