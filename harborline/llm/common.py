@@ -104,6 +104,11 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return work
 
 
+def nameless(rows: DataFrame) -> DataFrame:
+    """rows with columns named by their places, for functions on Arrow batches: PySpark looks up columns by name, where equal names and dots fail."""
+    return rows.toDF(*(f"c{i}" for i in range(len(rows.columns))))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -5,8 +5,8 @@ their byte offsets, so each hit maps back to characters of the original text. A
 an item, or all words of a shorter item.
 
 Every window of an item holds one whole block of (window + 1) / 2 words that starts at a multiple of that many words. The
-automaton has these blocks, a tenth of the text of all windows, and where one occurs the words beside it are compared
-with the item's as far as they are equal: a run of `window` words or more is what the windows in it would hit.
+automaton has these blocks, a tenth of the text of all windows, and where one occurs the windows around it are looked up
+by hash and compared word by word, at a cost that does not grow with the number of items that share the block.
 
 The benchmark is a stated side whose size is checked first. Up to `max_pattern_bytes` of text one automaton scans the
 documents, which are not shuffled. Beyond, items are dealt to shards within that bound, of which the driver holds one at
@@ -22,14 +22,12 @@ whole.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, stage, table
+from .common import mix, nameless, release, stage, table
 
 WINDOW = 10
 #: Text of the benchmark that one automaton may hold.
@@ -46,57 +44,88 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Machine:
-    """The automaton of some items (id, text): blocks of longer items, and shorter items whole. Bytes stand as latin-1 characters."""
+    """The automaton of some items (id, text): blocks of longer items, and shorter items whole. Bytes stand as latin-1 characters.
+
+    Where a block occurs, the windows around it are looked up among the hashes of all windows of the items, and compared word by
+    word with one of equal hash. What a block costs there does not depend on how many items hold it."""
 
     def __init__(self, items: list[tuple], window: int = WINDOW):
         import ahocorasick
 
         self.window, self.block = window, (window + 1) // 2
         self.ids = [x[0] for x in items]
-        known: dict[bytes, bytes] = {}
-        self.words = [[known.setdefault(x, x) for x in words(text)] for _, text in items]
-        found: dict[str, list[tuple[int, int]]] = {}
-        for k, w in enumerate(self.words):
-            size = self.block if len(w) >= window else len(w)
-            for i in range(0, len(w) - size + 1, size) if w else ():
-                found.setdefault((b" " + b" ".join(w[i : i + size]) + b" ").decode("latin-1"), []).append((k, i))
-        self.places = list(found.values())
+        self.known: dict[bytes, int] = {}
+        patterns: dict[str, int] = {}
+        size: list[int] = []  # words of each pattern
+        blocks: set[int] = set()
+        self.shorts: dict[int, list[int]] = {}  # items that are a pattern as a whole
+        numbers, owner = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for k, (_, text) in enumerate(items):
+            w = words(text)
+            n = self.block if len(w) >= window else len(w)
+            for i in range(0, len(w) - n + 1, n) if w else ():
+                p = patterns.setdefault((b" " + b" ".join(w[i : i + n]) + b" ").decode("latin-1"), len(size))
+                if p == len(size):
+                    size.append(n)
+                if len(w) >= window:
+                    blocks.add(p)
+                else:
+                    self.shorts.setdefault(p, []).append(k)
+            if len(w) >= window:
+                numbers.append(np.fromiter((self.known.setdefault(x, len(self.known)) for x in w), np.int32, len(w)))
+                owner.append(np.full(len(w), k, np.int32))
+        self.size = np.array(size, np.int64)
+        self.is_block, self.is_short = (np.isin(np.arange(len(size)), list(x)) for x in (blocks, self.shorts))
+        self.numbers, owner = np.concatenate(numbers), np.concatenate(owner)
+        start = np.arange(max(0, len(owner) - window + 1))
+        start = start[owner[start] == owner[start + window - 1]]
+        for self.seed in range(1, 100):
+            h = self._hashes(self.numbers, start)
+            order = np.argsort(h, kind="stable")
+            self.keys, first = np.unique(h[order], return_index=True)
+            self.place = start[order][first]  # one place of each distinct window
+            if all((self.numbers[start[order] + j] == np.repeat(self.numbers[self.place + j], np.diff(np.append(first, len(order))))).all() for j in range(window)):
+                break
+        self.first, self.owner = np.append(first, len(order)), owner[start[order]]  # items of each distinct window
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for n, p in enumerate(found):
+        for p, n in patterns.items():
             self.automaton.add_word(p, n)
-        if found:
+        if patterns:
             self.automaton.make_automaton()
 
+    def _hashes(self, numbers: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """A hash of the window of word numbers at each start."""
+        h = np.full(len(start), self.seed, np.uint64)
+        for j in range(self.window):
+            h ^= numbers[start + j].astype(np.int64).view(np.uint64)
+            mix(h)
+        return h
+
     def scan(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """Hit ranges [i, j) of the words of a text, and the numbers of the items found."""
-        if not w or not self.places:
+        if not w or not len(self.size):
+            return [], set()
+        found = np.array(list(self.automaton.iter(" " + b" ".join(w).decode("latin-1") + " ")), np.int64).reshape(-1, 2)
+        if not len(found):
             return [], set()
-        spans, items = [], set()
-        starts: list[int] = []
-        done: dict[tuple[int, int], int] = {}  # item and shift to the end of the last run
-        for end, n in self.automaton.iter(" " + b" ".join(w).decode("latin-1") + " "):
-            if not starts:
-                lengths = np.fromiter(map(len, w), np.int64, len(w))
-                starts = (np.cumsum(lengths + 1) - lengths).tolist()  # offset of each word in the line
-            last = bisect_right(starts, end)  # words up to the end of the block
-            for k, at in self.places[n]:
-                of = self.words[k]
-                if len(of) < self.window:
-                    spans.append((last - len(of), last))
-                    items.add(k)
-                    continue
-                first = last - self.block
-                if done.get((k, first - at), 0) >= last:
-                    continue
-                i, j = 0, self.block
-                while i < min(first, at) and w[first - i - 1] == of[at - i - 1]:
-                    i += 1
-                while first + j < len(w) and at + j < len(of) and w[first + j] == of[at + j]:
-                    j += 1
-                done[k, first - at] = first + j
-                if i + j >= self.window:
-                    spans.append((first - i, first + j))
-                    items.add(k)
+        lengths = np.fromiter(map(len, w), np.int64, len(w))
+        # words up to the end of the pattern, by the offset of each word in the line
+        last, n = np.searchsorted(np.cumsum(lengths + 1) - lengths, found[:, 0], "right"), found[:, 1]
+        short = self.is_short[n]
+        spans = [(j - size, j) for j, size in zip(last[short].tolist(), self.size[n[short]].tolist())]
+        items = {k for p in np.unique(n[short]).tolist() for k in self.shorts[p]}
+        start = np.unique((last[self.is_block[n]] - self.block)[:, None] - np.arange(self.block))
+        start = start[(start >= 0) & (start <= len(w) - self.window)]
+        if len(start) and len(self.keys):
+            numbers = np.fromiter((self.known.get(x, -1) for x in w), np.int32, len(w))
+            h = self._hashes(numbers, start)
+            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            same = self.keys[at] == h
+            for j in range(self.window):
+                same &= numbers[start + j] == self.numbers[self.place[at] + j]
+            spans += [(i, i + self.window) for i in start[same].tolist()]
+            for k in np.unique(at[same]).tolist():
+                items.update(self.owner[self.first[k] : self.first[k + 1]].tolist())
         return spans, items
 
 
@@ -182,7 +211,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, keep: list[str], w
             for batch in parts:
                 yield rows(batch, (scanned(machine, x.as_py()) for x in batch.column(len(keep))))
 
-        return documents.select(*kept, documents["text"].alias("__text")).mapInArrow(whole, schema)
+        return nameless(documents.select(*kept, "text")).mapInArrow(whole, schema)
 
     # more than one automaton holds: shards scan in turn
     n = int(2 * size // max_pattern_bytes + 1)
@@ -208,15 +237,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, keep: list[str], w
         shared.unpersist()
         release(spark)
     # equal texts have equal hits; a table of its own, so that a join on a hot text can be split
-    once = hits.dropDuplicates(["m", "at", "ids"]).groupBy("m").agg(F.flatten(F.collect_list("at")).alias("__at"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("__ids"))
-    met = documents.withColumn("__m", F.md5("text")).join(stage(once, "leaks-hits").withColumnRenamed("m", "__m"), "__m", "left")
+    once = hits.dropDuplicates(["m", "at", "ids"]).groupBy("m").agg(F.flatten(F.collect_list("at")).alias("at"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+    whole_rows = documents.select(F.md5("text").alias("m"), "text", F.struct(*kept).alias("kept"))
+    met = whole_rows.join(stage(once, "leaks-hits"), "m", "left")
 
     def joined(parts):
         for batch in parts:
             at, ids = (batch.column(len(keep) + i).to_pylist() for i in (1, 2))
             yield rows(batch, (([(x["start"], x["end"]) for x in a or ()], sorted(who or ())) for a, who in zip(at, ids)))
 
-    return met.select(*(met[f"`{c}`"] for c in keep), met["text"].alias("__text"), "__at", "__ids").mapInArrow(joined, schema)
+    return nameless(met.select("kept.*", met["text"], met["at"], met["ids"])).mapInArrow(joined, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
