@@ -9,11 +9,12 @@ Training has labels of texts only. Both embedding tables start with one column o
 points to likely windows; the network learns from these and then, twice, from the windows it finds worst itself: the
 worst of a toxic text is toxic, all of a clean text are clean.
 
-The network is fitted on a bounded sample: at most TRAIN_DOCS labelled rows of each class, of up to TRAIN_CHARS
-characters each.
+The network is fitted on a bounded sample: at most TRAIN_DOCS labelled texts of each class, of up to TRAIN_CHARS
+characters each. Where these are too few, that many characters from some place of longer texts are added.
 
 Defined cases: null and word-less texts score as a window without words; without rows of both classes every score is
-the share of toxic rows (0 if there are none); repeated rows get equal scores; null labels are not used. A long text is
+the share of toxic rows (0 if there are none); repeated rows get equal scores, and one of the rows of a doc_id is learned
+from; null labels are not used. A long text is
 scored in runs of BLOCK windows, one after another. Empty documents give no rows, empty labels scores of 0. Columns of any
 name may be kept but "score" and "predicted".
 """
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, pieces, table, text_buffers, trimmed
+from .common import Words, mix, nameless, pieces, table, text_buffers, trimmed
 
 WINDOW = 24
 STRIDE = 12
@@ -331,27 +332,30 @@ def train(texts: list[str], gold: list[int], seed: int = 7, rounds: int = 3, epo
 
 
 def sample(documents: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> DataFrame | None:
-    """toxic, h, text of some more than `most` labelled texts of each class, by hash of doc_id. Only ids within that bound are
-    joined to the texts. None without labels."""
+    """toxic, long, h, text of some more than `most` labelled texts of each class, by hash of doc_id. Only ids within that bound are
+    joined to the texts. Of longer texts it is `max_chars` characters from some place; of rows that repeat an id, one. None without labels."""
     rows = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not counts:
         return None
     limit = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int((1 << 40) * min(1.0, 1.2 * most / n + 20 / n))).cast("long"))])
     ids = rows.where(F.col("h") < limit[F.col("toxic")]).distinct()
-    return documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.length("text").between(1, max_chars)).select("toxic", "h", "text")
+    start = (F.pmod(F.xxhash64("text"), F.length("text") - max_chars + 1) + 1).cast("int")
+    texts = documents.select("doc_id", "text", (F.length("text") > max_chars).alias("long")).join(F.broadcast(ids), "doc_id").where(F.length("text") > 0)
+    texts = texts.withColumn("text", F.when(F.col("long"), F.substr("text", start, F.lit(max_chars))).otherwise(F.col("text")))
+    return texts.groupBy("doc_id", "toxic", "h").agg(F.min(F.struct("long", "text")).alias("of")).select("toxic", "of.long", "h", "of.text")
 
 
 def train_in_task(rows: DataFrame, most: int = TRAIN_DOCS) -> Network:
-    """The network of the first `most` rows (toxic, h, text) of each class. One task trains it, so that the driver holds
+    """The network of the first `most` rows (toxic, long, h, text) of each class, parts of long texts last. One task trains it, so that the driver holds
     neither the texts nor what training needs; another executor does so again if that one is lost."""
 
     def run(parts):
         by: dict[int, list] = {0: [], 1: []}
         for batch in parts:
-            for toxic, h, text in zip(*(c.to_pylist() for c in batch.columns)):
-                by[toxic].append((h, text))
-        chosen = [(t, k) for k in (0, 1) for _, t in sorted(by[k])[:most]]
+            for toxic, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                by[toxic].append(row)
+        chosen = [(t, k) for k in (0, 1) for _, _, t in sorted(by[k])[:most]]
         net = train([t for t, _ in chosen], [k for _, k in chosen])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
 
@@ -362,7 +366,7 @@ def train_in_task(rows: DataFrame, most: int = TRAIN_DOCS) -> Network:
 def score(documents: DataFrame, net: Network, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """The kept columns and score, predicted."""
     shared = documents.sparkSession.sparkContext.broadcast(net)
-    kept = documents.select(*keep).schema
+    kept = documents.select(*(documents[f"`{c}`"] for c in keep)).schema
 
     def run(parts):
         m = shared.value
@@ -372,7 +376,7 @@ def score(documents: DataFrame, net: Network, keep: list[str], threshold: float
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(got, pa.float64()), pa.array((got >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return documents.select(*keep, documents["text"].alias("__text")).mapInArrow(trimmed(run), f"{fields}, score double, predicted int")
+    return nameless(documents.select(*(documents[f"`{c}`"] for c in keep), "text")).mapInArrow(trimmed(run), f"{fields}, score double, predicted int")
 
 
 def held_out(doc_id: Column) -> Column:
