@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, pieces, table, text_buffers
+from .common import mix, nameless, pieces, table, text_buffers
 
 ORDER = 4
 #: Bounds of the training sample, for each language.
@@ -255,7 +255,7 @@ def train(labelled: DataFrame, most: int = TRAIN_DOCS, order: int = ORDER) -> Mo
 def identify(documents: DataFrame, model: Model | None, keep: list[str], reject: float = REJECT) -> DataFrame:
     """The kept columns and lang_pred (not yet rejected), score, rejected, cross_entropy."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kept = documents.select(*keep).schema
+    kept = documents.select(*(documents[f"`{c}`"] for c in keep)).schema
 
     def run(parts):
         m = shared.value
@@ -272,7 +272,7 @@ def identify(documents: DataFrame, model: Model | None, keep: list[str], reject:
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return documents.select(*keep, documents["text"].alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean, cross_entropy double")
+    return nameless(documents.select(*(documents[f"`{c}`"] for c in keep), "text")).mapInArrow(run, f"{fields}, lang_pred string, score double, rejected boolean, cross_entropy double")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, pieces, release, rolling, stage, table, text_buffers, trimmed
+from .common import Words, mix, nameless, pieces, release, rolling, stage, table, text_buffers, trimmed
 
 WINDOW = 20
 ANCHOR = 8
@@ -281,8 +281,8 @@ def dedup(documents: DataFrame, window: int = WINDOW, keep: list[str] | None = N
     keep = keep or ["doc_id"]
     spans = repeats(documents, window, shard).groupBy("doc", "u").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
     release(documents.sparkSession)
-    rows = _rows(documents, F.struct(*(documents[f"`{c}`"] for c in keep)).alias("kept")).join(spans, ["doc", "u"], "left").select("kept.*", F.col("text").alias("__text"), F.col("spans").alias("__spans"))
-    names, kept_fields = list(keep), documents.select(*keep).schema
+    rows = _rows(documents, F.struct(*(documents[f"`{c}`"] for c in keep)).alias("kept")).join(spans, ["doc", "u"], "left").select("kept.*", "text", "spans")
+    names, kept_fields = list(keep), documents.select(*(documents[f"`{c}`"] for c in keep)).schema
 
     def run(parts):
         for batch in parts:
@@ -305,7 +305,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, keep: list[str] | None = N
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept_fields)
-    return rows.mapInArrow(trimmed(run), f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return nameless(rows).mapInArrow(trimmed(run), f"{fields}, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -384,3 +384,62 @@ def test_packing_nothing(spark, tmp_path):
     save(frame(spark, []), tmp_path, "documents")
     assert packing.query(spark, str(tmp_path)).collect() == []
     assert hashlib.sha256(b"").hexdigest() == sha("")
+
+
+def test_blocks_that_many_items_share():
+    """The cost of a block in a document does not grow with the items that hold it."""
+    import time
+
+    rng = random.Random(14)
+    some = lambda n: " ".join(f"{rng.getrandbits(30):x}" for _ in range(n))
+    took = {}
+    for name, opening in (("shared", lambda: "which of the following is"), ("own", lambda: some(5))):
+        items = [(k, f"{opening()} {some(25)}") for k in range(20_000)]
+        machine = decontam.Machine(items)
+        text = " ".join(f"which of the following is {some(3)}" for _ in range(500))
+        w = decontam.words(f"{text} {items[7][1]} and {items[19_999][1]}")
+        begun = time.perf_counter()
+        for _ in range(20):
+            spans, found = machine.scan(w)
+        took[name] = time.perf_counter() - begun
+        assert found == {7, 19_999}
+        assert sum(j - i for i, j in decontam.merged(spans)) == 60
+    assert took["shared"] < 2 * took["own"] + 0.5
+
+
+def test_names_that_operators_use_themselves(spark):
+    """Columns of any name may be kept."""
+    from harborline.llm import substring_dedup
+
+    names = ["__text", "text_", "spans_", "__m", "__at", "__ids", "at", "ids", "m", "kept", "doc", "u", "a.b"]
+    rows = [(1, "One two three four five six seven eight nine ten eleven"), (2, None), (3, "five")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.concat(F.lit(f"{n} "), F.col("doc_id")) for n in names})
+    bench = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven"), (2, "five")], "item_id long, text string")
+    keep = ["doc_id", *names, "text"]
+    net = toxicity.train(["bad words here", "a kind text"] * 20, [1, 0] * 20)
+    for bound in (1 << 20, 20):
+        got = decontam.contamination(docs, bench, keep, max_pattern_bytes=bound)
+        assert {r["doc_id"]: (r["n_hit"], r["items"]) for r in got.collect()} == {1: (10, [1, 2]), 2: (0, []), 3: (1, [2])}
+        _as_they_were(got, names, rows)
+    for got in (toxicity.score(docs, net, keep), langid.identify(docs, None, keep), substring_dedup.dedup(docs, keep=keep)):
+        _as_they_were(got, names, rows)
+
+
+def _as_they_were(got, names, rows):
+    texts = dict(rows)
+    for r in got.collect():
+        assert r["text"] == texts[r["doc_id"]] and [r[n] for n in names] == [f"{n} {r['doc_id']}" for n in names]
+
+
+def test_long_labelled_texts_are_learned(spark):
+    """All labelled texts are longer than what is learned of one, and one id has many rows."""
+    rng = random.Random(15)
+    rows = [(k, " ".join(f"{rng.choice(['vile', 'nasty', 'filth'])} {prose(rng, 2)}" if k % 2 else prose(rng, 3) for _ in range(900))) for k in range(40)]
+    docs = spark.createDataFrame([*rows, *[(1, f"{k} {rows[1][1]}") for k in range(30)]], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    assert min(len(t) for _, t in rows) > toxicity.TRAIN_CHARS
+    chosen = toxicity.sample(docs, labels)
+    assert chosen.count() == 40 and chosen.agg(F.max(F.length("text"))).first()[0] == toxicity.TRAIN_CHARS
+    net = toxicity.train_in_task(chosen)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs.dropDuplicates(["doc_id"]), net, ["doc_id"]).collect()}
+    assert min(v for k, v in got.items() if k % 2) > max(v for k, v in got.items() if k % 2 == 0)
