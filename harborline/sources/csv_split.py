@@ -122,9 +122,10 @@ def _cutter(starts: dict[int, _Start]):
     return cut
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """record (number from 1, the header's) and value (its text) of a UTF-8 file, without blank lines."""
-    lines = spark.read.option("lineSep", "\n").text(path)
+def records(spark: SparkSession, path: str, lines: DataFrame | None = None) -> DataFrame:
+    """record (number from 1, the header's) and value (its text) of a file, without blank lines: a UTF-8 file, or one whose lines, cut at
+    line feeds, are given in order of partitions."""
+    lines = spark.read.option("lineSep", "\n").text(path) if lines is None else lines
     survey = lines.mapInArrow(_survey, _PART).collect()  # a row a split
     starts, unclosed = _starts(survey)
     if not any(r["quoted"] for r in survey):

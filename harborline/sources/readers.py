@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.coerce import Raw, kind_of
 from ..functions.json import is_object
-from . import csv_split, excel
+from . import csv_split, encoded, excel
 from .files import read_bytes
 from .stores import qualified
 
@@ -65,7 +65,12 @@ def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """Lines of a file in an encoding that Spark does not read, decoded in Python's codec on an executor."""
+    """Lines of a file in an encoding that Spark does not read, by Python's codec on executors: in many tasks where the encoding lets
+    lines be told in bytes. On stores that only Spark reaches the file is one row."""
+    lines = encoded.lines(spark, path, encoding)
+    if lines is not None:
+        return lines
+
     def run(parts):
         import pyarrow as pa
 
@@ -77,31 +82,35 @@ def _decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "value string")
 
 
-def _csv_decoded(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """The same for encodings of Python's codecs."""
+def _header(spark: SparkSession, path: str, encoding: str) -> tuple[list[str], bool]:
+    """The first row of a CSV file in an encoding of Python's codecs, and whether its lines end in a carriage return alone."""
     import codecs
     import csv
     import io
-
-    def rows(text: str):
-        return (r for r in csv.reader(io.StringIO(text, newline="")) if r)
+    import zlib
 
     text, decoder = "", codecs.getincrementaldecoder(encoding)()
+    unzip = zlib.decompressobj(31).decompress if path.endswith(".gz") else bytes
     names: list[str] = []
     for chunk in read_bytes(spark, path):
-        text += decoder.decode(chunk)
-        if (first := next(rows(text), None)) is not None and "\n" in text:
-            names = first
+        text += decoder.decode(unzip(chunk))
+        names = next((r for r in csv.reader(io.StringIO(text, newline="")) if r), [])
+        if names and "\n" in text:
             break
-    else:
-        names = next(rows(text), [])
+    return names, "\r" in text and "\n" not in text
+
+
+def _csv_decoded(spark: SparkSession, path: str, encoding: str, names: list[str]) -> DataFrame:
+    """Cells of a file whose lines end in carriage returns alone, or that only Spark reaches: one task."""
+    import csv
+    import io
 
     def run(parts):
         import pyarrow as pa
 
         for batch in parts:
             for data in batch.column(0):
-                body = iter(rows(data.as_py().decode(encoding)))
+                body = (r for r in csv.reader(io.StringIO(data.as_py().decode(encoding), newline="")) if r)
                 next(body, None)
                 cells = [[*r[: len(names)], *[None] * (len(names) - len(r))] for r in body]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*cells)] if cells else [pa.array([], pa.string())] * len(names), names=names)
@@ -118,18 +127,26 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> Scan:
     An empty cell without quotes reads as null, not as empty text; both count as missing values everywhere."""
     options = {"escape": '"', "quote": '"', "mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     error = F.lit(None).cast("string").alias(ERROR)
+
+    def split(names: list[str], path: str, lines: DataFrame | None = None) -> Scan:
+        """The cells of each record, read by many tasks."""
+        rows = csv_split.records(spark, path, lines).where("record > 1")
+        ddl = ", ".join(f"c{i} string" for i in range(len(names)))
+        cells = rows.select((F.col("record") - 1).alias(ROW), F.from_csv("value", ddl, {k: str(v) for k, v in options.items()}).alias("v"))
+        cells = cells.select(ROW, *(F.col(f"v.c{i}").alias(c) for i, c in enumerate(names)), error)
+        return Scan(cells, {c: Raw(F.col(f"`{c}`"), "text") for c in names}, names)
+
     if encoding.lower().replace("_", "-") in SPARK_ENCODINGS:
         df = spark.read.options(header=True, multiLine=True, inferSchema=False, enforceSchema=False, **options).option("encoding", encoding).csv(path)
         files = [unquote(f) for f in df.inputFiles()] if encoding.lower() in UTF_8 and df.columns else []
         if len(files) == 1 and not _other_line_ends(spark, files[0]):
-            # the columns' names come from there; the cells are read by many tasks
-            rows = csv_split.records(spark, files[0]).where("record > 1")
-            ddl = ", ".join(f"c{i} string" for i in range(len(df.columns)))
-            cells = rows.select((F.col("record") - 1).alias(ROW), F.from_csv("value", ddl, {k: str(v) for k, v in options.items()}).alias("v"))
-            cells = cells.select(ROW, *(F.col(f"v.c{i}").alias(c) for i, c in enumerate(df.columns)), error)
-            return Scan(cells, {c: Raw(F.col(f"`{c}`"), "text") for c in df.columns}, list(df.columns))
+            return split(list(df.columns), files[0])
     else:
-        df = _csv_decoded(spark, path, encoding)
+        names, returns = _header(spark, path, encoding)
+        lines = encoded.lines(spark, path, encoding, feeds_only=True) if names and not returns else None
+        if lines is not None:
+            return split(names, path, lines)
+        df = _csv_decoded(spark, path, encoding, names)
     names = list(df.columns)
     df = numbered(df) if names else spark.createDataFrame([], f"{ROW} long")
     return Scan(df.withColumn(ERROR, F.lit(None).cast("string")), {c: Raw(F.col(f"`{c}`"), "text") for c in names}, names)
