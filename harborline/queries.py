@@ -31,7 +31,7 @@ from .plans.register import found, register
 from .plans.run import run
 from .sources import fetch, readers
 from .sources.api import read_api
-from .sources.files import Index
+from .sources.files import Index, list_files
 from .sources.readers import ERROR, ROW, Scan
 from .sources.sink import stage_files
 from .sources.stores import read_text, store_of
@@ -394,6 +394,17 @@ def csv_scan(spark, sf):
     return check(got, (Column("key", "key", "integer"), Column("name", "name", "string"), Column("balance", "balance", "float", required=False)), keep_raw=False).good()
 
 
+def encoded_scan(spark, sf):
+    """Objects in UTF-16, read by as many tasks as the file has splits; some characters hold the byte of a line feed."""
+    text = F.concat(F.lit('\u0a0a "'), "o_orderstatus", F.lit('",\n'), "o_orderpriority")
+    price = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))
+    path = _temporary(spark, "encoded")
+    _t(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), text.alias("text"), price.alias("price")).coalesce(1).write.option("encoding", "UTF-16LE").json(path)
+    ((file, _),) = list_files(spark, path)
+    got = readers.scan(spark, file, "ndjson", "utf-16le", wanted=["key", "text", "price"])
+    return check(got, (Column("key", "key", "integer"), Column("text", "text", "string"), Column("price", "price", "float", required=False)), keep_raw=False).good()
+
+
 def ndjson_scan(spark, sf):
     """JSON keeps its types: a number is cut to an integer, the same digits in quotes are one, true is no text but True."""
     e = _t(spark, sf, "events")
@@ -679,7 +690,7 @@ QUERIES = {
         validate_failures, drift_required_null, infer_schema_profile, cdc_latest, cdc_tie_errors, cdc_merge, append_rerun, truncate_last_wins, cdc_apply, append_after_merge, provenance_lineage, dedup_by_content_hash, registration_anti_join, register_files,
         schema_diff, audit_status, audit_recent_failures, audit_overview, requeue_eligible, requeue_terminal, hmac_token, aes_roundtrip,
         authoring_report, draft_from_sample, quarantine_redrop, quarantine_triage, parquet_inference, column_tolerance, one_source_two_columns, pipeline_run, audit_listing, status_summary, duckdb_cdc, sqlite_cdc,
-        fixed_width_slice, csv_scan, ndjson_scan, parquet_scan, excel_scan, preview_window, compact_batches, compact_again, microbatch_cut, materialize_events, max_cursor, cursor_filter, fetch_pages,
+        fixed_width_slice, csv_scan, encoded_scan, ndjson_scan, parquet_scan, excel_scan, preview_window, compact_batches, compact_again, microbatch_cut, materialize_events, max_cursor, cursor_filter, fetch_pages,
     )
 }
 
@@ -761,6 +772,7 @@ ORACLE_SQL = {
     "fixed_width_slice": "SELECT p_partkey AS part_key, trim(left(p_name, 30)) AS name, trim(left(p_brand, 12)) AS brand, CAST(p_size AS BIGINT) AS size FROM part",
     "preview_window": "SELECT o_orderkey, o_orderpriority AS priority FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 10",
     "csv_scan": """SELECT c_custkey AS key, 'Mr "' || c_name || '", of' || chr(10) || c_mktsegment AS name, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS balance FROM customer""",
+    "encoded_scan": """SELECT o_orderkey AS key, chr(2570) || ' "' || o_orderstatus || '",' || chr(10) || o_orderpriority AS text, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS price FROM orders""",
     "ndjson_scan": "SELECT event_id, CAST(trunc(value) AS BIGINT) AS n, CAST(user_id AS BIGINT) AS q, CASE WHEN event_id % 2 = 0 THEN 'True' ELSE 'False' END AS even FROM events",
     "parquet_scan": "SELECT o_orderkey AS key, CAST(trunc(o_totalprice) AS BIGINT) AS whole, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
     "excel_scan": "SELECT c_custkey::BIGINT AS key, c_name AS name, c_mktsegment AS segment, c_acctbal AS balance FROM customer",

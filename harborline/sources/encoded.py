@@ -141,12 +141,15 @@ def _reachable(path: str) -> bool:
 
 def lines(spark: SparkSession, path: str, encoding: str, feeds_only: bool = False, split_bytes: int | None = None) -> DataFrame | None:
     """value: the lines of one file, in order of partitions and within them; blank ones too. A partition is a range.
-    None if executors cannot open the file by themselves."""
+    None if it is a folder, or executors cannot open it by themselves."""
     path = qualified(spark, path)
     if not _reachable(path):
         return None
     p, store = _hadoop(spark, path)
-    size, zipped = store.getFileStatus(p).getLen(), path.endswith(".gz")
+    status, zipped = store.getFileStatus(p), path.endswith(".gz")
+    if status.isDirectory():
+        return None
+    size = status.getLen()
     c = None
     if not zipped:
         stream = store.open(p)
