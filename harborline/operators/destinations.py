@@ -2,8 +2,8 @@
 
 Rows go to a staging table first; one transaction then deletes what a file had, or everything, and inserts, so readers see a
 whole file or nothing and a retry changes nothing. Changes are merged by deleting their keys and inserting those that are not
-deletions. DuckDB reads the Parquet files that Spark has staged; SQLite takes rows from an iterator that holds one partition at
-a time; other databases are written by Spark's JDBC sink and need their driver on the class path.
+deletions. DuckDB and SQLite take the Parquet files that Spark has staged, SQLite batch by batch; other databases are written by
+Spark's JDBC sink and need their driver on the class path.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ import shutil
 import sqlite3
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,7 +69,10 @@ class Sql:
 
     def merge(self, staged: str, keys: list[str]) -> list[str]:
         same = " AND ".join(f"{staged_name}.{quoted(k)} = {self.table}.{quoted(k)}" for staged_name in ("s",) for k in keys)
+        # SQLite has no hash joins: without an index it would look through all changes for each row
+        index = [f"CREATE INDEX {quoted(staged + '_keys')} ON {staged} ({', '.join(quoted(k) for k in keys)})"] if self.kind == "sqlite" else []
         return [
+            *index,
             f"DELETE FROM {self.table} WHERE EXISTS (SELECT 1 FROM {staged} AS s WHERE {same})",
             f"INSERT INTO {self.table} ({self.columns}) SELECT {self.columns} FROM {staged} AS s WHERE s.{quoted(OPERATION)} <> 'delete'",
         ]
@@ -164,6 +169,13 @@ class SqlDestination:
         return self.actual()
 
 
+def _write_files(df: DataFrame, options: dict) -> str:
+    """Rows as Parquet files in a new folder beside a database's file."""
+    folder = os.path.join(os.path.abspath(options.get("staging") or os.path.dirname(os.path.abspath(options["path"]))), f"_staged-{uuid.uuid4().hex}")
+    df.write.parquet(f"file://{folder}")
+    return folder
+
+
 class DuckDb(SqlDestination):
     def _connect(self):
         import duckdb
@@ -205,13 +217,18 @@ class DuckDb(SqlDestination):
             con.close()
 
     def stage(self, df):
-        folder = os.path.join(self.options.get("staging") or os.path.dirname(os.path.abspath(self.options["path"])), f"_staged-{uuid.uuid4().hex}")
-        df.write.parquet(f"file://{os.path.abspath(folder)}")
-        return f"read_parquet('{folder}/*.parquet')", self.spark.read.schema(df.schema).parquet(f"file://{os.path.abspath(folder)}").count()
+        folder = _write_files(df, self.options)
+        return f"read_parquet('{folder}/*.parquet')", self.spark.read.schema(df.schema).parquet(f"file://{folder}").count()
 
     def drop(self, staged):
         shutil.rmtree(staged.split("'")[1].rsplit("/", 1)[0], ignore_errors=True)
 
+    def read(self, folder: str) -> DataFrame:
+        """The table's rows, which DuckDB writes to a new folder that executors share."""
+        folder = os.path.abspath(folder.removeprefix("file://"))
+        self.run([f"COPY (SELECT {self.sql.columns} FROM {self.sql.table}) TO '{folder}' (FORMAT parquet, PER_THREAD_OUTPUT true)"])
+        return self._typed(self.spark.read.parquet(f"file://{folder}"))
+
 
 class Sqlite(SqlDestination):
     def _connect(self):
@@ -245,19 +262,25 @@ class Sqlite(SqlDestination):
             con.close()
 
     def stage(self, df):
+        import pyarrow.parquet as pq
+
         name = f"_staged_{uuid.uuid4().hex}"
         kinds = {f.name: f.dataType.simpleString() for f in df.schema}
         as_text = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(c) if k == "timestamp" else F.col(f"`{c}`").cast("string").alias(c) if k == "date" else F.col(f"`{c}`").cast("int").alias(c) if k == "boolean" else F.col(f"`{c}`") for c, k in kinds.items()]
+        folder = _write_files(df.select(*as_text), self.options)
         con, n = self._connect(), 0
         try:
-            con.execute(f"CREATE TABLE {name} ({', '.join(quoted(c) for c in kinds)})")
+            # of the destination's types, or an index on them is no use to comparisons
+            con.execute(f"CREATE TABLE {name} ({', '.join(f'{quoted(c)} {TYPES["sqlite"][k]}' for c, k in kinds.items())})")
             con.execute("BEGIN")
-            for rows in _batches(df.select(*as_text).toLocalIterator(), 1000):
-                con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(kinds))})", rows)
-                n += len(rows)
+            for file in sorted(x for x in os.listdir(folder) if x.endswith(".parquet")):
+                for batch in pq.ParquetFile(f"{folder}/{file}").iter_batches(10_000):
+                    con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(kinds))})", zip(*(c.to_pylist() for c in batch.columns)))
+                    n += batch.num_rows
             con.execute("COMMIT")
         finally:
             con.close()
+            shutil.rmtree(folder, ignore_errors=True)
         return name, n
 
     def drop(self, staged):
@@ -265,6 +288,26 @@ class Sqlite(SqlDestination):
         con.execute(f"DROP TABLE IF EXISTS {staged}")
         con.close()
 
+    def read(self, folder: str = "", rows: int = 100_000) -> DataFrame:
+        """The table's rows. Each task opens the file, which has to lie where executors reach it, and reads so many numbers of rows."""
+        (first, last), = self.select(f"SELECT coalesce(min(_id), 0), coalesce(max(_id), -1) FROM {self.sql.table}")
+        at, statement = f"file:{quote(os.path.abspath(self.options['path']))}?mode=ro", f"SELECT {self.sql.columns} FROM {self.sql.table} WHERE _id BETWEEN ? AND ?"
+        raw = T.StructType([T.StructField(f.name, T.LongType() if TYPES["sqlite"][k] == "INTEGER" else T.DoubleType() if k == "double" else T.StringType()) for f in self.schema for k in (f.dataType.simpleString(),)])
+        kinds = pa.schema([(f.name, {"bigint": pa.int64(), "double": pa.float64()}.get(f.dataType.simpleString(), pa.string())) for f in raw])
+
+        def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for begin in (x for batch in parts for x in batch.column(0).to_pylist()):
+                con = sqlite3.connect(at, timeout=30, uri=True)
+                try:
+                    found = con.execute(statement, (begin, min(last, begin + rows - 1)))
+                    while some := found.fetchmany(10_000):
+                        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*some), kinds)], schema=kinds)
+                finally:
+                    con.close()
+
+        n = -(-(last + 1 - first) // rows)
+        return self._typed(self.spark.range(first, first + n * rows, rows, max(1, n)).mapInArrow(work, raw))
+
 
 class Jdbc(SqlDestination):
     """Postgres, Snowflake: Spark writes the staging table in parallel, the JVM's driver runs the transaction."""
@@ -324,17 +367,6 @@ class Jdbc(SqlDestination):
         self.run([f"DROP TABLE IF EXISTS {staged}"])
 
 
-def _batches(rows: Iterable, size: int):
-    out = []
-    for r in rows:
-        out.append(tuple(r))
-        if len(out) == size:
-            yield out
-            out = []
-    if out:
-        yield out
-
-
 def destination(spark: SparkSession, connector: dict, table: str, warehouse: str):
     """The destination that a connector: block names; without one, the file store below the warehouse."""
     kind = connector.get("type", "files")

@@ -672,7 +672,7 @@ def _stored(spark, sf, kind: str):
     newest = cdc.latest(_changes(spark, sf), ["user_id"], "seq").select("user_id", "seq", "value", cdc.OPERATION)
     for _ in range(2):
         table.apply(with_provenance(newest, "changes", "2024-01-01"), ["user_id"], "changes")
-    return spark.createDataFrame(table.select("SELECT user_id, seq, value FROM t"), "user_id long, seq long, value double")
+    return table.read(_temporary(spark, "read")).select("user_id", "seq", "value")
 
 
 def duckdb_cdc(spark, sf):

@@ -2,6 +2,7 @@ import sqlite3
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from harborline.operators.destinations import Sql, destination
 from harborline.operators.schema import declared
@@ -73,3 +74,31 @@ def test_statements_and_registry(spark):
     for bad in ({"type": "oracle"}, {"type": "duckdb"}, {"type": "postgres"}):
         with pytest.raises(ConfigError):
             destination(spark, bad, "t", "/w")
+
+
+def test_changes_are_looked_up_by_an_index():
+    """Not one by one for each row of the table, which takes the product of both."""
+    sql = Sql("sqlite", "t", declared(parse({"format": "csv", "dest_table": "t", "columns": COLUMNS}).columns))
+    con = sqlite3.connect(":memory:")
+    con.execute(sql.create()[0])
+    con.execute("CREATE TABLE staged (id TEXT, n INTEGER, day TEXT, operation TEXT)")
+    *before, delete, _ = sql.merge("staged", ["id", "n"])
+    for step in before:
+        con.execute(step)
+    plan = " ".join(r[-1] for r in con.execute(f"EXPLAIN QUERY PLAN {delete}"))
+    assert "SEARCH s USING" in plan and "id=? AND n=?" in plan
+
+
+@pytest.mark.parametrize("kind", ["duckdb", "sqlite"])
+def test_rows_are_read_by_many_tasks(spark, tmp_path, kind):
+    kinds = ("string", "integer", "float", "boolean", "date", "timestamp")
+    table = destination(spark, {"type": kind, "path": str(tmp_path / "a b?.db")}, "t", "")
+    table.ensure(declared(parse({"format": "csv", "dest_table": "t", "columns": [{"source": k, "dest": k, "type": k, "required": False} for k in kinds]}).columns))
+    rows = spark.range(50).selectExpr("concat('é', id) AS string", "id AS integer", "id / 4 AS float", "id % 2 = 0 AS boolean", "date_add(DATE'2024-01-01', int(id)) AS date", "timestamp_seconds(id + 0.5) AS timestamp")
+    rows = rows.selectExpr(*(k if k == "integer" else f"if(integer % 7 = 3, null, {k}) AS {k}" for k in kinds)).withColumns({"_source_file_hash": F.lit("h"), "_ingested_at": F.lit("2024-01-01").cast("timestamp")})
+    assert table.read(str(tmp_path / "none")).count() == 0
+    table.append(rows, "h")
+    more = {"rows": 20} if kind == "sqlite" else {}
+    got = table.read(str(tmp_path / "read"), **more)
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == sorted(map(tuple, rows.select(*got.columns).collect()), key=lambda r: r[1])
+    assert kind == "duckdb" or got.rdd.getNumPartitions() == 3
