@@ -55,8 +55,10 @@ def redrop(spark: SparkSession, sidecar: str) -> DataFrame:
 
 
 def triage(spark: SparkSession, directory: str) -> DataFrame:
-    """file, row_number, column, error of all sidecars of a folder, for questions about them."""
+    """file, row_number, column, error of all sidecars of a folder, for questions about them. The parts of a long file's sidecar count as
+    one, under the name that a short file's has."""
     lines = spark.read.option("pathGlobFilter", "*.quarantine.ndjson").text(directory).select("value", F.col("_metadata.file_name").alias("file"))
     v = F.parse_json("value")
     get = lambda p, kind: F.try_variant_get(v, p, kind)
-    return lines.select("file", get("$.row_number", "bigint").alias("row_number"), get("$.column", "string").alias("column"), get("$.error", "string").alias("error"))
+    whole = F.regexp_replace("file", r"(\.[0-9a-f]{12})\.[0-9]{5,11}(\.quarantine\.ndjson)$", "$1$2")
+    return lines.select(whole.alias("file"), get("$.row_number", "bigint").alias("row_number"), get("$.column", "string").alias("column"), get("$.error", "string").alias("error"))

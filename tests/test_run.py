@@ -2,6 +2,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from harborline.operators import quarantine
 from harborline.operators.store import CommitConflict, Table
@@ -207,3 +208,12 @@ def test_a_failed_load_leaves_no_sidecar(place, monkeypatch):
     monkeypatch.setattr(Table, "append", fail)
     assert place.run(quarantine={"enabled": True, "dir": str(place.root / "q"), "max_invalid_fraction": 0.5}).failed == 1
     assert not list((place.root / "q").iterdir())
+
+
+def test_parts_of_a_sidecar_are_triaged_as_one(spark, tmp_path):
+    bad = spark.createDataFrame([(n, "id", "no number", '{"id":"x"}') for n in (1, 2, 5, 9)], "row_number long, column string, error string, row string")
+    for name, rows in (("a.csv", 9), ("b.12345.csv", 3)):  # three rows a part: the first has parts 0, 1 and 2, the second is one file
+        job, named, _ = quarantine.stage_sidecars(bad.where(F.col("row_number") <= rows), str(tmp_path), name, "0123456789ab" + "c" * 52, rows, part_rows=3)
+        assert len(job.publish(named)) == (3 if rows == 9 else 1)
+    got = quarantine.triage(spark, str(tmp_path)).groupBy("file").agg(F.count("*"), F.min("row_number")).collect()
+    assert sorted(map(tuple, got)) == [("a.0123456789ab.quarantine.ndjson", 4, 1), ("b.12345.0123456789ab.quarantine.ndjson", 2, 1)]
