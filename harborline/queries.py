@@ -492,15 +492,14 @@ def compact_again(spark, sf):
 def materialize_events(spark, sf):
     """Events as messages of a log in four partitions, taken to files in two drains that go on from each other: rows by file."""
     e = _t(spark, sf, "events").withColumn("partition", (F.col("user_id") % 4).cast("int"))
-    order = Window.partitionBy("partition").orderBy("event_id")
     value = F.encode(F.to_json(F.struct("event_id", "user_id", "event_type", "value")), "UTF-8")
-    sent = e.select(F.lit("events").alias("topic"), "partition", (F.row_number().over(order) - 1).cast("long").alias("offset"), value.alias("value"))
+    sent = cut(e.select(F.lit("events").alias("topic"), "partition", F.col("event_id").alias("offset"), value.alias("value")), 1).withColumn("offset", F.col("cut"))
     base = _temporary(spark, "queue")
     plan = materialize.parse_plan({"name": "q", "log": f"{base}/log", "inbox": f"{base}/in", "staging": f"{base}/staging", "checkpoint": f"{base}/checkpoint", "batch_size": 500})
     for part in (F.col("offset") < 700, F.col("offset") >= 700):
         append_log(sent.where(part), plan.log, 300)
         materialize.drain(materialize.source(spark, plan), plan)
-    rows = spark.read.text(f"{plan.inbox}/*.ndjson").select(F.from_json("value", "event_id long, user_id long, event_type string, value double").alias("v"), F.col("_metadata.file_name").alias("file"))
+    rows = spark.read.option("pathGlobFilter", "*.ndjson").text(plan.inbox).select(F.from_json("value", "event_id long, user_id long, event_type string, value double").alias("v"), F.col("_metadata.file_name").alias("file"))
     return rows.select("v.*", "file")
 
 

@@ -15,6 +15,7 @@ import gzip
 import json
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .stores import delete_folder, make_folder, move, qualified, read_text, stor
 
 NAME = "harborline_files"
 ACCOUNT = "files.json"
+#: Files that the driver names at a time.
+NAMING = 16
 
 
 @dataclass
@@ -129,16 +132,24 @@ class Job:
 
     def publish(self, target: Callable[[Staged], tuple[str, str | None]]) -> list[str]:
         """Name each file by target(file): its path and the text of its manifest, if it has one. The job's folder goes at the end."""
-        paths = []
-        for f in self.files:
-            path, manifest = target(f)
-            at = qualified(self.spark, path)
-            make_folder(at.rpartition("/")[0])
+        named = [(f, *target(f)) for f in self.files]
+        folders = {path.rpartition("/")[0] for _, path, _ in named}
+        reached = {folder: qualified(self.spark, folder) for folder in folders}
+        for folder in reached.values():
+            make_folder(folder)
+
+        def put(file: tuple[Staged, str, str | None]) -> str:
+            f, path, manifest = file
+            folder, _, name = path.rpartition("/")
+            at = f"{reached[folder]}/{name}"
             if manifest is not None:
                 write_text(f"{f.path}.manifest", manifest)
                 move(f"{f.path}.manifest", at + SUFFIX)
             move(f.path, at)
-            paths.append(path)
+            return path
+
+        with ThreadPoolExecutor(NAMING) as pool:
+            paths = list(pool.map(put, named))
         self.discard()
         return paths
 

@@ -5,8 +5,8 @@
 Both ends are a data source of Spark, `harborline_log`. Writing: a task writes the segments of its partitions under hidden names, and
 when all tasks are done they get their names in order of offset, so that a reader never sees an offset before those below it.
 Reading, as a stream: an offset of the stream is the next offset of each partition; the end of a batch is what the listing of names
-says when the batch begins, so later messages wait for the next one. A batch's tasks are its segments, not its partitions, so a
-hot partition is read by as many. Offsets of a partition are consecutive; if the ones that a stream is to go on with are gone, it fails.
+says when the batch begins, so later messages wait for the next one. A batch's tasks are runs of segments of a partition, of some 100,000
+messages each: a hot partition is read by many, and short segments do not make a task each. Offsets of a partition are consecutive; if the ones that a stream is to go on with are gone, it fails.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from ..sources.stores import exists, make_folder, move, store_of
 
 NAME = "harborline_log"
 SCHEMA = "topic string, partition int, offset long, value binary"
+#: Messages of a task that reads, at most but for its last segment.
+TASK_MESSAGES = 100_000
 _SEGMENT = pa.schema([("offset", pa.int64()), ("value", pa.binary())])
 
 
@@ -41,7 +43,8 @@ class _Written(WriterCommitMessage):
 class _Range(InputPartition):
     topic: str
     partition: int
-    path: str
+    folder: str
+    names: list[str]
     begin: int
     end: int
 
@@ -77,25 +80,31 @@ class _Reader(DataSourceStreamReader):
             if begin < stop and (not segments or (begin and segments[0][0] > begin)):
                 raise Gone(f"{key}: offsets from {begin} on are gone from {self.folder}")
             topic, _, partition = key.rpartition("/")
+            held = TASK_MESSAGES
             for first, last, name in segments:
                 if first < stop and last >= begin:
-                    out.append(_Range(unquote(topic), int(partition), f"{self.folder}/{key}/{name}", begin, stop))
+                    if held >= TASK_MESSAGES:
+                        out.append(_Range(unquote(topic), int(partition), f"{self.folder}/{key}", [], begin, stop))
+                        held = 0
+                    out[-1].names.append(name)
+                    held += last + 1 - first
         return out
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
         import pyarrow.parquet as pq
 
-        store, at = store_of(partition.path)
-        with store.open_input_file(at) as f:
-            for batch in pq.ParquetFile(f).iter_batches(4096, columns=["offset", "value"]):
-                offset = batch.column(0)
-                batch = batch.filter(pc.and_(pc.greater_equal(offset, partition.begin), pc.less(offset, partition.end)))
-                n = batch.num_rows
-                if n:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([partition.topic] * n, pa.string()), pa.array([partition.partition] * n, pa.int32()), batch.column(0), batch.column(1)], names=["topic", "partition", "offset", "value"]
-                    )
+        store, at = store_of(partition.folder)
+        for name in partition.names:
+            with store.open_input_file(f"{at}/{name}") as f:
+                for batch in pq.ParquetFile(f).iter_batches(4096, columns=["offset", "value"]):
+                    offset = batch.column(0)
+                    batch = batch.filter(pc.and_(pc.greater_equal(offset, partition.begin), pc.less(offset, partition.end)))
+                    n = batch.num_rows
+                    if n:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([partition.topic] * n, pa.string()), pa.array([partition.partition] * n, pa.int32()), batch.column(0), batch.column(1)], names=["topic", "partition", "offset", "value"]
+                        )
 
 
 class _Writer(DataSourceArrowWriter):

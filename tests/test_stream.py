@@ -122,3 +122,14 @@ def test_locks(spark, tmp_path):
     with store_lock(spark, str(tmp_path), "s"), pytest.raises(Locked), store_lock(spark, str(tmp_path), "s"):
         pass
     assert not list(tmp_path.glob(".s.lock"))
+
+
+def test_short_segments_share_a_task(spark, tmp_path, monkeypatch):
+    """As many tasks as messages ask for, whatever the length of segments; none is left out."""
+    monkeypatch.setattr(log, "TASK_MESSAGES", 40)
+    reader = log._Reader(str(tmp_path / "log"))
+    send(spark, reader.folder, 0, 400, segment=3)
+    parts = reader.partitions({"t/0": 5}, reader.latestOffset())
+    assert len(parts) == 10 and sum(len(p.names) for p in parts) == 66 + 67  # the first segment is behind the stream
+    got = sorted((p.partition, x) for p in parts for b in reader.read(p) for x in b.column(2).to_pylist())
+    assert got == [(0, i) for i in range(5, 200)] + [(1, i) for i in range(200)]
