@@ -15,7 +15,7 @@ import zipfile
 from datetime import UTC, datetime
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import coerce, crypto
@@ -31,7 +31,7 @@ from .plans.register import found, register
 from .plans.run import run
 from .sources import fetch, readers
 from .sources.api import read_api
-from .sources.files import Index, list_files
+from .sources.files import Index
 from .sources.readers import ERROR, ROW, Scan
 from .sources.sink import stage_files
 from .sources.stores import read_text, store_of
@@ -395,13 +395,12 @@ def csv_scan(spark, sf):
 
 
 def encoded_scan(spark, sf):
-    """Objects in UTF-16, read by as many tasks as the file has splits; some characters hold the byte of a line feed."""
+    """Objects in UTF-16 in files that many tasks write, read by as many tasks as these have splits; some characters hold the byte of a line feed."""
     text = F.concat(F.lit('\u0a0a "'), "o_orderstatus", F.lit('",\n'), "o_orderpriority")
     price = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))
     path = _temporary(spark, "encoded")
-    _t(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), text.alias("text"), price.alias("price")).coalesce(1).write.option("encoding", "UTF-16LE").json(path)
-    ((file, _),) = list_files(spark, path)
-    got = readers.scan(spark, file, "ndjson", "utf-16le", wanted=["key", "text", "price"])
+    _t(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), text.alias("text"), price.alias("price")).write.option("encoding", "UTF-16LE").json(path)
+    got = readers.scan(spark, path, "ndjson", "utf-16le", wanted=["key", "text", "price"])
     return check(got, (Column("key", "key", "integer"), Column("text", "text", "string"), Column("price", "price", "float", required=False)), keep_raw=False).good()
 
 
@@ -508,14 +507,19 @@ def microbatch_cut(spark, sf):
     return cut(e, 100).groupBy("partition", "cut").agg(F.min("offset").alias("start_offset"), F.max("offset").alias("end_offset"), F.count("*").alias("messages"))
 
 
+def _paged(records: DataFrame, size: int) -> DataFrame:
+    """records (mark, record) with the page of each, from 1, in order of mark: numbered in many tasks, as messages of a queue are."""
+    sent = records.select(F.lit("").alias("topic"), F.lit(0).alias("partition"), F.col("mark").cast("long").alias("offset"), "record")
+    return cut(sent, size).select(F.col("offset").alias("mark"), "record", (F.col("cut") + 1).alias("page"))
+
+
 def _served(spark, records: DataFrame, size: int, counted: bool = True):
     """A server of records (mark, record, at), in numbered pages of this size that lie as files in the shared folder. Asked for
     records `since` a cursor, it pages through those alone, which lie in a folder of their own."""
     folder = _temporary(spark, "served")
 
     def put(part: DataFrame, name: str) -> int:
-        page = F.floor((F.row_number().over(Window.orderBy("mark")) - 1) / size) + 1
-        job = stage_files(part.select(page.cast("string").alias("key"), "mark", F.col("record").alias("line")), folder)
+        job = stage_files(_paged(part, size).select(F.col("page").cast("string").alias("key"), "mark", F.col("record").alias("line")), folder)
         job.publish(lambda f: (f"{folder}/{name}/{f.key}.ndjson", None))
         return len(job.files)
 
@@ -570,7 +574,7 @@ def fetch_pages(spark, sf):
             serve(c.where(F.col("mark") > middle), cursors.get("customers"))
         fetch.run_fetch(spark, source, transport, f"{base}/in{k}", f"{base}/staging", cursors, file_records=1000, pages_per_task=4)
     row = F.from_json("value", "c_custkey long, c_name string, changed string")
-    rows = [spark.read.text(f"{base}/in{k}/*.ndjson").select(F.lit(k).cast("long").alias("run"), row.alias("r")) for k in range(2)]
+    rows = [spark.read.option("pathGlobFilter", "*.ndjson").text(f"{base}/in{k}").select(F.lit(k).cast("long").alias("run"), row.alias("r")) for k in range(2)]
     return rows[0].unionByName(rows[1]).select("run", "r.*")
 
 

@@ -1,11 +1,14 @@
 """API sources through executors: pages side by side or in a chain, cursors that move last, the services' own conventions."""
 
 import json
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from harborline.plans import manifest
 from harborline.plans.config import ConfigError
+from harborline.queries import _paged
 from harborline.sources import fetch
 from harborline.sources.api import Api, _Reader, read_api
 
@@ -128,3 +131,12 @@ def test_settings_by_either_name():
     assert got == {"kind": "http", "records_path": "a.b", "inbox": "in", "staging": "st", "state_dir": "s", "cursors": "s/cursors.json", "cursor_field": "t", "cursor_param": "since"}
     with pytest.raises(ConfigError):
         fetch.settings({"headers": "x"})
+
+
+def test_served_pages_are_numbered_by_many_tasks(spark):
+    records = spark.range(0, 300_000, 3, 6).select(F.col("id").alias("mark"), F.col("id").cast("string").alias("record"))
+    paged = _paged(records, 100)
+    # a row for each 65,536 marks may go to one task, the records may not
+    alone = re.findall(r"Exchange SinglePartition.*\n\W*(\w+)", paged._jdf.queryExecution().executedPlan().toString())
+    assert set(alone) <= {"HashAggregate"}
+    assert paged.where(F.col("page") != F.floor(F.col("mark") / 300) + 1).count() == 0 and paged.count() == 100_000
