@@ -7,7 +7,7 @@ range k + 1 begins; a task finds both places itself, so nobody reads the file be
 * in those of several bytes whose line feed is no part of another character;
 * in UTF-16 and UTF-32: whole units, counted from the byte order mark.
 
-All others, which shift between states, and compressed files are one range. Either way a range is decoded in blocks: no file and no
+Files of a folder follow each other in order of path; short ones share a task. All others, which shift between states, and compressed files are one range. Either way a range is decoded in blocks: no file and no
 range has to fit in memory, but a line has to.
 """
 
@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .files import _hadoop
+from .files import _hadoop, list_files
 from .stores import qualified, store_of
 
 BLOCK = 4 << 20
@@ -51,6 +51,21 @@ def _one_byte_a_character(codec: str) -> bool:
     return pairs.decode(codec, "replace") == "".join(single[x] for x in pairs)
 
 
+@dataclass(frozen=True)
+class Range:
+    """The range k of n of a file of this size; without cuts the whole of it."""
+
+    path: str
+    size: int
+    cuts: Cuts | None
+    k: int = 0
+    n: int = 1
+
+    @property
+    def bytes(self) -> int:
+        return -(-self.size // self.n)
+
+
 def cuts(encoding: str, head: bytes, ends: str = "\n\x85") -> Cuts | None:
     """The cuts of a file that begins with head, at the characters `ends`; None if it has to be read from its beginning."""
     codec = codecs.lookup(encoding).name
@@ -139,44 +154,62 @@ def _reachable(path: str) -> bool:
     return True
 
 
+def _head(store, path) -> bytes:
+    stream = store.open(path)
+    try:
+        return bytes(stream.readNBytes(4))
+    finally:
+        stream.close()
+
+
 def lines(spark: SparkSession, path: str, encoding: str, feeds_only: bool = False, split_bytes: int | None = None) -> DataFrame | None:
-    """value: the lines of one file, in order of partitions and within them; blank ones too. A partition is a range.
-    None if it is a folder, or executors cannot open it by themselves."""
+    """value: the lines of a file or of the files of a folder, in order of partitions and within them; blank ones too. A partition is a
+    range, or some short files. None if executors cannot open them by themselves, or for a folder of CSV, whose files have headers."""
     path = qualified(spark, path)
     if not _reachable(path):
         return None
     p, store = _hadoop(spark, path)
-    status, zipped = store.getFileStatus(p), path.endswith(".gz")
-    if status.isDirectory():
+    status = store.getFileStatus(p)
+    if status.isDirectory() and feeds_only:
         return None
-    size = status.getLen()
-    c = None
-    if not zipped:
-        stream = store.open(p)
-        try:
-            c = cuts(encoding, bytes(stream.readNBytes(4)), "\n" if feeds_only else "\n\x85")
-        finally:
-            stream.close()
+    files = list_files(spark, path) if status.isDirectory() else [(path, status.getLen())]
     if split_bytes is None:
-        conf = spark._jsparkSession.sessionState().conf()
+        conf, size = spark._jsparkSession.sessionState().conf(), sum(n for _, n in files)
         split_bytes = min(conf.filesMaxPartitionBytes(), max(conf.filesOpenCostInBytes(), -(-size // spark.sparkContext.defaultParallelism)))
-    step = max(1, split_bytes // (c.width if c else 1)) * (c.width if c else 1)
-    n = max(1, -(-(size - c.origin) // step)) if c else 1
+    marked = codecs.lookup(encoding).name in ("utf-16", "utf-32", "utf-8-sig")  # by a byte order mark
+
+    def step(c: Cuts) -> int:
+        return max(1, split_bytes // c.width) * c.width
+
+    ranges: list[list[Range]] = []  # of each task
+    held = split_bytes
+    for file, size in files:
+        c = None if file.endswith(".gz") else cuts(encoding, _head(store, _hadoop(spark, file)[0]) if marked else b"", "\n" if feeds_only else "\n\x85")
+        n = max(1, -(-(size - c.origin) // step(c))) if c else 1
+        for k in range(n):
+            r = Range(file, size, c, k, n)
+            if held + r.bytes > split_bytes:
+                ranges.append([])
+                held = 0
+            ranges[-1].append(r)
+            held += r.bytes
+
+    def blocks(r: Range) -> Iterator[list[str]]:
+        fs, at = store_of(r.path)
+        if r.cuts is None:
+            with fs.open_input_stream(at, compression="gzip" if r.path.endswith(".gz") else None) as f:
+                yield from split_lines(_blocks(f, None), encoding, feeds_only)
+            return
+        with fs.open_input_file(at) as f:
+            begin, end = (_end_of_line(f, r.cuts.origin + k * step(r.cuts), r.size, r.cuts) if 0 < k < r.n else r.size if k else r.cuts.origin for k in (r.k, r.k + 1))
+            f.seek(begin)
+            yield from split_lines(_blocks(f, end - begin), r.cuts.codec, feeds_only)
 
     def read(parts):
         for batch in parts:
             for k in batch.column(0).to_pylist():
-                fs, at = store_of(path)
-                if c is None:
-                    with fs.open_input_stream(at, compression="gzip" if zipped else None) as f:
-                        for out in split_lines(_blocks(f, None), encoding, feeds_only):
-                            yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
-                    continue
-                with fs.open_input_file(at) as f:
-                    begin = _end_of_line(f, c.origin + k * step, size, c) if k else c.origin
-                    end = _end_of_line(f, c.origin + (k + 1) * step, size, c) if k + 1 < n else size
-                    f.seek(begin)
-                    for out in split_lines(_blocks(f, end - begin), c.codec, feeds_only):
+                for r in ranges[k]:
+                    for out in blocks(r):
                         yield pa.record_batch([pa.array(out, pa.string())], names=["value"])
 
-    return spark.range(0, n, 1, n).mapInArrow(read, "value string")
+    return spark.range(0, len(ranges), 1, max(1, len(ranges))).mapInArrow(read, "value string")

@@ -98,3 +98,20 @@ def test_csv_in_many_ranges(spark, tmp_path, monkeypatch, encoding):
         assert s.names == ["id", word, "note"]
         got = [list(r)[1:] for r in s.df.select("_row", *(v.text for v in s.values.values())).orderBy("_row").collect()]
         assert got == rows, (split, name)
+
+
+def test_files_of_a_folder_follow_each_other(spark, tmp_path):
+    """Long ones are cut, short ones share a task, rows are numbered through all of them in order of path."""
+    want = []
+    for k in range(12):
+        text = TEXTS["utf-16"] * (1 if k % 4 else 20)
+        (tmp_path / f"part-{k:02d}.txt").write_bytes(text.encode("utf-16" if k % 2 else "utf-16-be") if k % 2 else b"\xfe\xff" + text.encode("utf-16-be"))
+        want += text.splitlines()
+    (tmp_path / "_SUCCESS").touch()
+    (tmp_path / "part-99.txt").touch()
+    got = encoded.lines(spark, str(tmp_path), "utf-16", split_bytes=900)
+    assert read(got) == want
+    assert 3 * 5 < got.rdd.getNumPartitions() < sum(-(-p.stat().st_size // 900) for p in tmp_path.iterdir())
+    assert encoded.lines(spark, str(tmp_path), "utf-16", feeds_only=True) is None
+    (tmp_path / "none").mkdir()
+    assert read(encoded.lines(spark, str(tmp_path / "none"), "utf-16")) == []
