@@ -182,13 +182,13 @@ def lines(spark: SparkSession, path: str, encoding: str, feeds_only: bool = Fals
         return max(1, split_bytes // c.width) * c.width
 
     ranges: list[list[Range]] = []  # of each task
-    held = split_bytes
+    held = 0
     for file, size in files:
         c = None if file.endswith(".gz") else cuts(encoding, _head(store, _hadoop(spark, file)[0]) if marked else b"", "\n" if feeds_only else "\n\x85")
         n = max(1, -(-(size - c.origin) // step(c))) if c else 1
         for k in range(n):
             r = Range(file, size, c, k, n)
-            if held + r.bytes > split_bytes:
+            if not ranges or held + r.bytes > split_bytes:  # an empty file may be the first
                 ranges.append([])
                 held = 0
             ranges[-1].append(r)

@@ -115,3 +115,37 @@ def test_files_of_a_folder_follow_each_other(spark, tmp_path):
     assert encoded.lines(spark, str(tmp_path), "utf-16", feeds_only=True) is None
     (tmp_path / "none").mkdir()
     assert read(encoded.lines(spark, str(tmp_path / "none"), "utf-16")) == []
+
+
+@pytest.mark.parametrize("encoding", ["utf-16-le", "utf-16", "cp500", "iso2022_jp"])
+def test_empty_files_come_first(spark, tmp_path, encoding):
+    """An empty file has no lines, alone or before others, and so have several."""
+    (tmp_path / "part-00.txt").touch()
+    alone = encoded.lines(spark, str(tmp_path / "part-00.txt"), encoding)
+    assert read(alone) == [] and alone.rdd.getNumPartitions() == 1
+    assert read(encoded.lines(spark, str(tmp_path), encoding)) == []
+    (tmp_path / "part-01.txt").touch()
+    (tmp_path / "part-02.txt").write_bytes(TEXTS[encoding].encode(encoding))
+    (tmp_path / "part-03.txt").touch()
+    for split in (7, 64, 1 << 20):
+        assert read(encoded.lines(spark, str(tmp_path), encoding, split_bytes=split)) == TEXTS[encoding].splitlines(), split
+
+
+def test_a_first_split_without_rows(spark, tmp_path):
+    """Of a table in one row group the first task may get no rows; the file that it writes is empty."""
+    from harborline.queries import QUERIES
+
+    orders = spark.range(3000).selectExpr("id AS o_orderkey", "'F' AS o_orderstatus", "sha2(string(id), 256) AS o_orderpriority", "double(id) AS o_totalprice")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    small = {"spark.sql.files.maxPartitionBytes": "20k", "spark.sql.files.openCostInBytes": "1k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        splits = spark.read.parquet(str(tmp_path / "orders.parquet")).rdd.glom().map(len).collect()
+        got = QUERIES["encoded_scan"](spark, str(tmp_path)).collect()
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert splits[0] == 0 and sum(splits) == 3000
+    assert {r["key"]: r["price"] for r in got} == {k: float(k) if k % 3 else None for k in range(3000)} and len(got) == 3000
+    assert {r["text"][:7] for r in got} == {'\u0a0a "F",\n'}
